@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from factloom.llm.decontaminate import op9_benchmark_decontamination
+from factloom.llm.lines import OP4_SQL, op4_line_dedup
 from factloom.llm.secrets import op8_secret_ledger
 from factloom.llm.simhash import op10_simhash_pivots
 
-QUERIES = {f.__name__: f for f in (op8_secret_ledger, op9_benchmark_decontamination, op10_simhash_pivots)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op4_line_dedup, op8_secret_ledger, op9_benchmark_decontamination, op10_simhash_pivots)}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL}
