@@ -8,6 +8,7 @@ from factloom.llm.lines import OP4_SQL, op4_line_dedup
 from factloom.llm.packing import op7_mixture_packing
 from factloom.llm.secrets import op8_secret_ledger
 from factloom.llm.simhash import op10_simhash_pivots
+from factloom.llm.warc import OP5_SQL, op5_warc_bundles
 
-QUERIES = {f.__name__: f for f in (op4_line_dedup, op6_language_filters, op7_mixture_packing, op8_secret_ledger, op9_benchmark_decontamination, op10_simhash_pivots)}
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL}
+QUERIES = {f.__name__: f for f in (op4_line_dedup, op5_warc_bundles, op6_language_filters, op7_mixture_packing, op8_secret_ledger, op9_benchmark_decontamination, op10_simhash_pivots)}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op5_warc_bundles": OP5_SQL}
