@@ -1,6 +1,9 @@
-"""All named queries of the engine."""
+"""All named queries of the engine, each with the SQL of the same name in capitals where SQL can say it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from factloom.plans import evidence, spans, state, webpages
+
+_MODULES = (spans, webpages, evidence, state)
+QUERIES = {f.__name__: f for m in _MODULES for f in m.QUERIES}
+ORACLE_SQL = {f.__name__: getattr(m, f.__name__.upper()) for m in _MODULES for f in m.QUERIES if hasattr(m, f.__name__.upper())}
