@@ -91,7 +91,7 @@ def relation_warnings(verdicts: DataFrame, company: Column) -> DataFrame:
 def news_support(verdicts: DataFrame, spans: DataFrame) -> DataFrame:
     """Evidence rows of a news item: first relation quote, executive quotes, date quotes of the date, publication spans; no repeats."""
     part = lambda name, kept: verdicts.select("source_id", F.lit(kept).alias("kind"), F.explode(name).alias("e")).select("source_id", "kind", "e.span_id", "e.quote")
-    first = verdicts.select("source_id", F.lit(0).alias("kind"), F.element_at("evidence", 1).alias("e")).select("source_id", "kind", "e.span_id", "e.quote")
+    first = verdicts.select("source_id", F.lit(0).alias("kind"), F.get("evidence", F.lit(0)).alias("e")).select("source_id", "kind", "e.span_id", "e.quote")
     from factloom.functions.dates import dates_in_text
 
     dated = verdicts.where("published_date is not null").select("source_id", "published_date", F.explode("date_evidence").alias("e"))

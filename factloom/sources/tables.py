@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +47,15 @@ def scoped_candidates(candidates: DataFrame, hosts: DataFrame, *, group: str = "
     marked = candidates.withColumn("_h", url_host(F.col("url"))).join(known, "_h", "left")
     bad = marked.where("_known is null").select(group).distinct()
     return candidates.join(bad, group, "left_anti")
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder for streams' outputs and checkpoints: ``spark.checkpoint.dir``, which all executors share.
+    Only a local session may have it unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='factloom-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root

@@ -26,3 +26,10 @@ def live_reports(reports: DataFrame, *, ts: str = "ts", ttl: str = "1 hour") ->
     """Reports by session of activity: one is live from its first event until ``ttl`` after its last."""
     own = event_time(reports, ts).withWatermark(ts, "10 minutes")
     return own.groupBy(F.session_window(ts, ttl), "report_id").agg(F.count("*").alias("events")).select("report_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "events")
+
+
+def drained(stream: DataFrame, folder: str) -> DataFrame:
+    """All that the stream gives for the input there is now, written under ``folder`` and read again."""
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
