@@ -66,7 +66,7 @@ def _ranked(ws: Workspace, suffixes: DataFrame, first: str, second: str) -> Data
 
 
 def repeated(ws: Workspace, lines: DataFrame, *, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(d, v, p)``: the lines in later copies of repeated runs."""
+    """``(d, v, start, end)``: the maximal runs of lines in later copies of repeated runs."""
     level = _ranked(ws, lines, "a", "b")
     starts: list[DataFrame] = []
     for k in range(LEVELS):
@@ -93,7 +93,7 @@ def repeated(ws: Workspace, lines: DataFrame, *, min_lines: int = MIN_LINES, min
         deeper = level.withColumn("r2", pair).where("r2 is not null").withColumnRenamed("r", "r1")
         level = _ranked(ws, deeper.drop("later"), "r1", "r2")
     if not starts:
-        return lines.select("d", "v", "p").limit(0)
+        return lines.select("d", "v", F.col("p").alias("start"), F.col("p").alias("end")).limit(0)
     runs = starts[0]
     for more in starts[1:]:
         runs = runs.unionByName(more)

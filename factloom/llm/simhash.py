@@ -98,8 +98,8 @@ def band_masks(bands: int = BANDS, radius: int = RADIUS) -> list[int]:
 
 
 def links(ws: Workspace, nodes: DataFrame, *, radius: int = RADIUS, bands: int = BANDS, count: int = PIVOTS, split: int = SPLIT) -> DataFrame:
-    """``(a, b)``: a spanning forest, bucket by bucket, of all pairs of the distinct
-    fingerprints ``nodes(fp)`` within ``radius`` bits."""
+    """``(a, b)``: edges that connect the same of the distinct fingerprints ``nodes(fp)`` as all
+    pairs within ``radius`` bits do. A large bucket gives a star for each of its components."""
     masks = band_masks(bands, radius)
     # A byte for each pivot; the packed table is made once for each fingerprint.
     near = F.concat(*[F.unhex(F.lpad(F.hex(F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(p))))), 2, "0")) for p in pivots(count)])
