@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -137,15 +137,17 @@ def reusable(tasks: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 def invalidated(changed: DataFrame, edges: DataFrame, *, rounds: int = 32) -> DataFrame:
     """Everything downstream of what changed over ``edges(src, dst)``; the graph is the stage plan, of a few nodes."""
-    spark: SparkSession = changed.sparkSession
-    changed.select("node").distinct().createOrReplaceTempView("_changed")
-    edges.select("src", "dst").createOrReplaceTempView("_edges")
-    return spark.sql(f"""
+    return changed.sparkSession.sql(
+        """
         with recursive reach(node, depth) as (
-          select node, 0 from _changed
+          select node, 0 from {changed}
           union all
-          select e.dst, r.depth + 1 from reach r join _edges e on e.src = r.node where r.depth < {rounds})
-        select node, min(depth) as depth from reach group by node""")
+          select e.dst, r.depth + 1 from reach r join {edges} e on e.src = r.node where r.depth < {rounds})
+        select node, min(depth) as depth from reach group by node""",
+        changed=changed.select("node").distinct(),
+        edges=edges.select("src", "dst"),
+        rounds=rounds,
+    )
 
 
 def remaining(plan: DataFrame, done: DataFrame, allowance: DataFrame) -> DataFrame:
