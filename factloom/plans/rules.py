@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from factloom.functions import dates, jsonshape, numbers, text, urls
+from factloom.functions import arrays, dates, ids, jsonshape, numbers, text, urls
 from factloom.operators import dedup, evidence, gates, jobs, joins, report, select
 from factloom.plans.evidence import FACTS, SPANS, values
 from factloom.sources import codec, pages, robots
@@ -364,6 +364,31 @@ DOCUMENT_SECTIONS = """
 select conv_id, turn, last_value(case when role <> 'assistant' then length(text) end ignore nulls) over (partition by conv_id order by turn rows unbounded preceding) as section from conversations"""
 
 
+def identifier_filter(spark, sf_dir):
+    """Documents whose digests, cut in turn, are ids of reports, hashes or submissions."""
+    own = table(spark, sf_dir, "documents").select("doc_id", F.left(F.sha2("text", 256), F.element_at(F.array(F.lit(32), F.lit(64), F.lit(12)), (F.col("doc_id") % 3 + 1).cast("int"))).alias("v"))
+    return own.select("doc_id", *[ids.identifier(F.col("v"), k).alias(k) for k in ("report", "hash", "submission")])
+
+
+IDENTIFIER_FILTER = "select doc_id, doc_id % 3 = 0 as report, doc_id % 3 = 1 as hash, doc_id % 3 <> 2 as submission from documents"
+
+
+def request_memo(spark, sf_dir):
+    """The first request of each host, and the first four distinct event types of each user."""
+    pages_ = table(spark, sf_dir, "pages").select("page_id", urls.url_host(F.col("url")).alias("host"))
+    first = dedup.keep_first(pages_, ["host"], [F.asc("page_id")]).select(F.lit("host").alias("kind"), F.col("page_id").alias("item"), F.col("host").alias("value"))
+    own = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("e"))
+    types = F.array_join(arrays.ordered_distinct(F.transform("e", lambda x: x["event_type"]), 4), ",")
+    return first.unionByName(own.select(F.lit("user").alias("kind"), F.col("user_id").alias("item"), types.alias("value")))
+
+
+REQUEST_MEMO = """
+select 'host' as kind, min(page_id) as item, host as value from (select page_id, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) as host from pages) group by host
+union all
+select 'user', user_id, string_agg(event_type, ',' order by first) from (
+  select *, row_number() over (partition by user_id order by first) as n from (select user_id, event_type, min(event_id) as first from events group by all)) where n <= 4 group by user_id"""
+
+
 def stream_submissions(spark, sf_dir):
     """First event of each user and type, as a stream over the event table with bounded state."""
     own = table(spark, sf_dir, "events")
@@ -378,5 +403,5 @@ QUERIES = (
     first_texts, coverage_notes, search_queries, names_and_placeholders, retry_waits, message_lines, source_markers, evidence_join, quantity_gate, quote_gate,
     verification_gate, relation_warnings, news_support, announcement_gate, audience_jobs, pdf_coverage, merged_facts, resolved_gaps, remaining_budget, promoted_attempts,
     retryable_jobs, planned_tasks, purged_rows, restored_reports, swept_store, crawl_times, dossier_gate, identity_facts, publish_gate, usage_gate, report_status,
-    resource_fit, typed_artifacts, report_json, document_sections, stream_submissions,
+    resource_fit, typed_artifacts, report_json, document_sections, identifier_filter, request_memo, stream_submissions,
 )
