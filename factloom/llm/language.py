@@ -36,6 +36,7 @@ SAMPLE_CHARS = 8_000_000
 SIZES = (2, 3, 4)
 SLOT_BITS = 20
 HASHES = 3
+WORD = 64
 LEAST = 3
 SHARE = 0.25
 PIECE = 1 << 18  # code points at a time, of texts of any length
@@ -72,33 +73,32 @@ def grams(codes: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """The bit-sliced filter; ``masks`` is one unsigned integer a slot, ``fill`` a share for each language."""
+    """The bit-sliced filter: 64 languages a row of ``masks``, a slot a column; ``fill`` is a share for each language."""
 
     def __init__(self, languages: list[str], default: int = 0):
         self.languages = languages
         self.default = default
-        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= 8 * np.dtype(k).itemsize)
-        self.masks = np.zeros(1 << SLOT_BITS, kind)
+        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if min(len(languages), WORD) <= 8 * np.dtype(k).itemsize)
+        self.masks = np.zeros((-(-len(languages) // WORD) or 1, 1 << SLOT_BITS), kind)
         self.fill = np.zeros(len(languages))
 
-    @staticmethod
-    def slots(h: np.ndarray):
-        for k in range(HASHES):
-            yield ((h >> np.uint64(SLOT_BITS * k)) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
-
-    def add(self, h: np.ndarray, language: int) -> None:
-        for at in self.slots(h):
-            self.masks[at] |= self.masks.dtype.type(1 << language)
-
     def close(self) -> None:
-        self.fill = np.array([((self.masks >> self.masks.dtype.type(k)) & 1).mean() for k in range(len(self.languages))])
+        self.fill = np.array([(self.masks[k // WORD] & self._bit(k) != 0).mean() for k in range(len(self.languages))])
+
+    def _bit(self, language: int):
+        return self.masks.dtype.type(1 << language % WORD)
 
     def counts(self, h: np.ndarray) -> np.ndarray:
         """N-grams found, by language."""
-        found = None
-        for at in self.slots(h):
-            found = self.masks[at] if found is None else found & self.masks[at]
-        return np.array([np.count_nonzero(found & found.dtype.type(1 << k)) for k in range(len(self.languages))], float)
+        out = np.zeros(len(self.languages))
+        slots = [((h >> np.uint64(SLOT_BITS * k)) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64) for k in range(HASHES)]
+        for word, masks in enumerate(self.masks):
+            found = masks[slots[0]]
+            for at in slots[1:]:
+                found &= masks[at]
+            for k in range(WORD * word, min(WORD * (word + 1), len(out))):
+                out[k] = np.count_nonzero(found & self._bit(k))
+        return out
 
     def predict(self, text: bytes | None) -> tuple[str, float]:
         total, asked, letters = np.zeros(len(self.languages)), 0, False
@@ -151,11 +151,13 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang") -> Fil
     share = counts.withColumn("share", F.col("n") / total)
     most = share.groupBy("h").agg(F.max("share").alias("most"), F.collect_list(F.struct("lang", "share")).alias("each"))
     held = most.select("h", F.explode("each").alias("e"), "most").where(F.col("e.share") >= SHARE * F.col("most")).select("h", F.col("e.lang").alias("lang"))
-    # The sample bounds this: at most its n-grams.
-    found = held.toArrow()
-    h, names = found["h"].to_numpy().view(np.uint64), np.array(found["lang"].to_pylist(), object)
-    for k, name in enumerate(out.languages):
-        out.add(h[names == name], k)
+    # The slots are OR-ed by Spark: at most 2^SLOT_BITS rows for each 64 languages come to the driver, whatever the input.
+    number = F.create_map(*[F.lit(x) for pair in zip(out.languages, range(len(out.languages)), strict=True) for x in pair])[F.col("lang")]
+    slot = F.explode(F.array(*[F.shiftrightunsigned("h", SLOT_BITS * k).bitwiseAND(F.lit((1 << SLOT_BITS) - 1)) for k in range(HASHES)]))
+    bit = F.expr(f"shiftleft(1L, number % {WORD})")
+    rows = held.select("h", number.alias("number")).select(F.floor(F.col("number") / WORD).cast("int").alias("word"), slot.alias("slot"), bit.alias("bit"))
+    found = rows.groupBy("word", "slot").agg(F.bit_or("bit").alias("mask")).toArrow()
+    out.masks[found["word"].to_numpy(), found["slot"].to_numpy()] = found["mask"].to_numpy().view(np.uint64).astype(out.masks.dtype)
     out.close()
     return out
 
@@ -163,7 +165,7 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang") -> Fil
 def identify(docs: DataFrame, model: Filter, *, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (share of the text's n-grams that the language has)."""
     docs = without(docs, "lang_pred", "score")
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2^SLOT_BITS masks, whatever the input
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2^SLOT_BITS masks for each 64 languages, whatever the input
 
     def run(batches):
         own = sent.value
