@@ -117,7 +117,8 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     lines = ws.write(line_table(docs, doc_id=doc_id, text=text))
     runs = ws.write(repeated(ws, lines, min_lines=min_lines, min_words=min_words))
     cuts = runs.groupBy("d", "v").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
-    out = docs.select("*", *_key(doc_id, text)).join(cuts, ["d", "v"], "left")
+    # Cuts grow with the corpus, so no broadcast: the same plan at every size.
+    out = docs.select("*", *_key(doc_id, text)).join(cuts.hint("merge"), ["d", "v"], "left")
     every = F.split(text, "\n", -1)
     # Between two cuts: from the end of one to the start of the next.
     ends = F.concat(F.array(F.lit(0)), F.transform("_cuts", lambda c: c["end"]))
