@@ -113,12 +113,13 @@ def repeated(ws: Workspace, lines: DataFrame, *, min_lines: int = MIN_LINES, min
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later copies of repeated runs cut from the text, ``n_lines`` and ``n_deleted``."""
     ws = Workspace(docs.sparkSession)
-    docs = without(docs, "n_lines", "n_deleted", "_cuts", "d", "v")
+    docs = without(docs, "n_lines", "n_deleted", "_cuts", "_line_d", "_line_v")
     lines = ws.write(line_table(docs, doc_id=doc_id, text=text))
     runs = ws.write(repeated(ws, lines, min_lines=min_lines, min_words=min_words))
-    cuts = runs.groupBy("d", "v").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
+    cuts = runs.groupBy(F.col("d").alias("_line_d"), F.col("v").alias("_line_v")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
     # Cuts grow with the corpus, so no broadcast: the same plan at every size.
-    out = docs.select("*", *_key(doc_id, text)).join(cuts.hint("merge"), ["d", "v"], "left")
+    own = [k.alias(n) for k, n in zip(_key(doc_id, text), ("_line_d", "_line_v"), strict=True)]
+    out = docs.select("*", *own).join(cuts.hint("merge"), ["_line_d", "_line_v"], "left")
     every = F.split(text, "\n", -1)
     # Between two cuts: from the end of one to the start of the next.
     ends = F.concat(F.array(F.lit(0)), F.transform("_cuts", lambda c: c["end"]))

@@ -221,10 +221,10 @@ def kept(docs: DataFrame) -> DataFrame:
     first = (
         near_duplicates(docs)
         .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy(F.col("component_id").alias("_id"))
-        .agg(F.min("text_tag").alias("_tag"))
+        .groupBy(F.col("component_id").alias("_kept_id"))
+        .agg(F.min("text_tag").alias("_kept_tag"))
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (_text_tag("text") == F.col("_tag"))
+    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (_text_tag("text") == F.col("_kept_tag"))
     return docs.join(first, same, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
