@@ -67,11 +67,13 @@ def ancestors(ws: Workspace, messages: DataFrame) -> tuple[list[DataFrame], Data
             break
         rounds.append(jump)
         higher = state.select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
-        state = ws.write(
-            state.join(higher, ["tree", "up"], "left").select(
-                "tree", "id", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")
-            )
+        # Messages that have reached their root pass by: a round joins only those at least 2^k deep.
+        moved = (
+            state.where("up is not null")
+            .join(higher, ["tree", "up"])
+            .select("tree", "id", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth"))
         )
+        state = ws.write(moved.unionByName(state.where("up is null").select("tree", "id", "up", "total", "depth")))
     return rounds, state.where("up is null").select("tree", "id", "depth", "total")
 
 
