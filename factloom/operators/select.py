@@ -8,6 +8,8 @@ bounded by the span caps of extraction.
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -121,17 +123,33 @@ def shrunk(rows: DataFrame, keys: list[str], source: str, order: str, text: str,
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf.sort_values([source, order]).reset_index(drop=True)
-        while len(own) and own[text].str.len().sum() + overhead * len(own) > limit:
-            several = own.groupby(source).filter(lambda g: len(g) > 1)
-            if len(several):
-                most = several.groupby(source)[text].apply(lambda t: t.str.len().sum()).idxmax()
-                own = own.drop(own.index[own[source] == most][-1])
-            else:
-                k = own[text].str.len().idxmax()
-                if len(own.at[k, text]) // 2 < least:
-                    return own.iloc[:0]
-                own.at[k, text] = own.at[k, text][: len(own.at[k, text]) // 2]
-        return own
+        texts = own[text].tolist()
+        left = sum(len(t) + overhead for t in texts)
+        stacks: dict = {}
+        for k, s in enumerate(own[source]):
+            stacks.setdefault(s, []).append(k)
+        size = {s: sum(len(texts[k]) for k in own_rows) for s, own_rows in stacks.items()}
+        largest = [(-size[s], s) for s in stacks if len(stacks[s]) > 1]
+        heapq.heapify(largest)
+        while left > limit and largest:
+            _, s = heapq.heappop(largest)
+            gone = len(texts[stacks[s].pop()])
+            size[s] -= gone
+            left -= gone + overhead
+            if len(stacks[s]) > 1:
+                heapq.heappush(largest, (-size[s], s))
+        kept = sorted(k for own_rows in stacks.values() for k in own_rows)
+        longest = [(-len(texts[k]), k) for k in kept]
+        heapq.heapify(longest)
+        while left > limit and longest:
+            n, k = heapq.heappop(longest)
+            half = -n // 2
+            if half < least:
+                return own.iloc[:0]
+            left -= -n - half
+            texts[k] = texts[k][:half]
+            heapq.heappush(longest, (-half, k))
+        return own.loc[kept].assign(**{text: [texts[k] for k in kept]})
 
     return rows.groupBy(*keys).applyInPandas(run, rows.schema)
 
