@@ -37,12 +37,12 @@ SAMPLE = 20_000
 SAMPLE_BYTES = 64 << 20
 MAX_CENTROIDS = 256
 PER_CELL = 8
-SPLIT = 4096
+SPLIT = 1024
 ROUNDS = 12
 
 
 def unit(rows) -> np.ndarray:
-    x = np.array([np.asarray(r, np.float64) for r in rows])
+    x = np.array(list(rows), np.float64)
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
@@ -122,28 +122,26 @@ def _placed(nodes: DataFrame, index: MultiIndex) -> DataFrame:
 
 
 def _match(rows: DataFrame, cosine: float) -> DataFrame:
-    """``(node, other, links)``: counts of links, and edges of a spanning forest (``links`` null)."""
+    """``(node, other, links)``: counts of links (``other`` is the node itself), and edges of a spanning forest."""
     group = ["label", "cell", "block"]
     sorted_rows = rows.repartition(*group).sortWithinPartitions(*group, "probe")
 
-    def solve(index, probes):
-        own, far = index["x"], probes["x"]
-        hit = far @ own.T >= cosine
-        same = probes["node"][:, None] == index["node"][None, :]
-        hit &= ~same
+    def solve(index: dict, probes: dict):
+        """Counts and edges of one block of an index and some of its probes."""
+        hit = probes["x"] @ index["x"].T >= cosine
+        hit &= probes["node"][:, None] != index["node"][None, :]
         i, j = np.nonzero(hit)
-        if not len(i):
-            return
-        # Found from both sides: the smaller node's probe counts it. A home row probes its own cell.
-        back = np.array([probes["cells"][p][0] in index["sets"][q] for p, q in zip(i.tolist(), j.tolist(), strict=True)], bool)
-        keep = (probes["node"][i] < index["node"][j]) | ~back
-        i, j = i[keep], j[keep]
+        if len(i):
+            # Found from both sides: the smaller node's probe counts it.
+            back = (index["cells"][j] == probes["cells"][i, :1]).any(axis=1)
+            keep = (probes["node"][i] < index["node"][j]) | ~back
+            i, j = i[keep], j[keep]
         if not len(i):
             return
         nodes = np.concatenate([probes["node"][i], index["node"][j]])
         links = np.concatenate([index["n"][j], probes["n"][i]])
         each, at = np.unique(nodes, return_inverse=True)
-        yield pd.DataFrame({"node": each, "other": each, "links": np.bincount(at, links).astype(np.int64)})
+        yield each, each, np.bincount(at, links).astype(np.int64)
         a, b = at[: len(i)], at[len(i) :]
         root = np.arange(len(each))
         while True:
@@ -155,31 +153,27 @@ def _match(rows: DataFrame, cosine: float) -> DataFrame:
             if (root == before).all():
                 break
         k = np.flatnonzero(root != np.arange(len(each)))
-        yield pd.DataFrame({"node": each[k], "other": each[root[k]], "links": np.zeros(len(k), np.int64)})
-
-    def columns(part):
-        return {"node": part["node"].to_numpy(), "n": part["n"].to_numpy(), "x": unit(part["embedding"]), "cells": part["cells"].tolist()}
+        yield each[k], each[root[k]], np.zeros(len(k), np.int64)
 
     def run(batches):
-        now, held, index = None, [], None
+        now, index = None, None
         for pdf in batches:
-            key = pdf[group].to_numpy(np.int64)
+            key, probe = pdf[group].to_numpy(np.int64), pdf["probe"].to_numpy()
+            rows = {"node": pdf["node"].to_numpy(), "n": pdf["n"].to_numpy(), "x": unit(pdf["embedding"]), "cells": np.stack(pdf["cells"].to_numpy())}
             edges = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            for part in (pdf.iloc[a:b] for a, b in zip([0, *edges], [*edges, len(pdf)], strict=True)):
-                own = tuple(part[group].iloc[0].tolist())
+            out = [(np.empty(0, np.int64),) * 3]
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(pdf)], strict=True):
+                own = tuple(key[a].tolist())
                 if own != now:
-                    now, held, index = own, [], None
-                if index is None:
-                    held.append(part[part["probe"] == 0])
-                probes = part[part["probe"] == 1]
-                if index is None and len(probes):
-                    home = pd.concat(held)
-                    index = columns(home) if len(home) else {}
-                    if index:
-                        index["sets"] = [frozenset(c.tolist()) for c in index["cells"]]
-                if index and len(probes):
-                    for k in range(0, len(probes), 512):
-                        yield from solve(index, columns(probes.iloc[k : k + 512]))
+                    now, index = own, None
+                middle = b - int(probe[a:b].sum())
+                if middle > a:
+                    part = {f: v[a:middle] for f, v in rows.items()}
+                    index = part if index is None else {f: np.concatenate([index[f], part[f]]) for f in part}
+                if index is not None:
+                    for k in range(middle, b, 512):
+                        out += solve(index, {f: v[k : min(b, k + 512)] for f, v in rows.items()})
+            yield pd.DataFrame(dict(zip(("node", "other", "links"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     return sorted_rows.mapInPandas(run, "node long, other long, links long")
 
