@@ -25,7 +25,8 @@ Links join fingerprints that differ in at most ``RADIUS`` bits.
    own, so no task holds an unbounded bucket.
 
 Defined cases: null and blank texts have fingerprint zero and link with each
-other; a null doc_id counts as the smallest; repeated rows each get a row.
+other; a null doc_id counts as the smallest; repeated rows each get a row;
+null or repeated ids do not join unrelated texts.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import Workspace, components, extended, long_key, raw, table, without
+from factloom.llm.common import Workspace, components, extended, raw, table, without
 
 SHINGLE = 3
 SEED = 42
@@ -198,37 +199,45 @@ def _text_tag(text: str) -> Column:
     return F.xxhash64(F.lit("text"), F.col(text))
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, bands: int = BANDS) -> DataFrame:
-    """``(doc_id, text_tag, fp, component_id)``, one row per input row.
+def _groups(docs: DataFrame, doc_id: str, text: str, radius: int, bands: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(doc_id, text_tag, fp)`` of every row; ``(fp, root)`` of every fingerprint; and of every
+    component its ``root``, its smallest fingerprint ``component_fp`` and the ``first`` of its rows, by id and tag.
 
-    Texts are read once; all else runs on ids and fingerprints.
+    Ids may be null or repeat in unrelated texts, so only fingerprints tell components apart.
     """
     ws = Workspace(docs.sparkSession)
     marked = ws.write(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), _text_tag(text).alias("text_tag"))))
-    nodes = ws.write(marked.groupBy("fp").agg(F.min(long_key(F.col("doc_id"))).alias("least")))
+    nodes = ws.write(marked.groupBy("fp").agg(F.min(F.struct("doc_id", "text_tag")).alias("first")))
     edges = ws.write(links(ws, nodes.select("fp"), radius=radius, bands=bands))
     roots = components(ws, edges).toDF("fp", "root")
-    tree = ws.write(nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    lowest = tree.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = tree.join(lowest, "root").select("fp", "component_id")
-    void = F.lit(-(2**63))
-    return marked.join(named, "fp").select("doc_id", "text_tag", "fp", F.when(F.col("component_id") != void, F.col("component_id")).alias("component_id"))
+    tree = ws.write(nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    lowest = tree.groupBy("root").agg(F.min("first").alias("first"), F.min("fp").alias("component_fp"))
+    return marked, tree.select("fp", "root"), lowest
+
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, bands: int = BANDS) -> DataFrame:
+    """``(doc_id, text_tag, fp, component_id, component_fp)``, one row per input row.
+
+    ``component_id`` is the smallest doc_id of the component; where ids are null or repeat,
+    components can share it. ``component_fp``, its smallest fingerprint, is its own.
+    Texts are read once; all else runs on ids and fingerprints.
+    """
+    marked, tree, lowest = _groups(docs, doc_id, text, radius, bands)
+    named = tree.join(lowest, "root").select("fp", F.col("first.doc_id").alias("component_id"), "component_fp")
+    return marked.join(named, "fp").select("doc_id", "text_tag", "fp", "component_id", "component_fp")
 
 
 def kept(docs: DataFrame) -> DataFrame:
     """``docs`` less all but one document of each group: that with the smallest id
     (of rows that share this id, one). Its columns are left as they are."""
-    first = (
-        near_duplicates(docs)
-        .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy(F.col("component_id").alias("_kept_id"))
-        .agg(F.min("text_tag").alias("_kept_tag"))
-    )
+    _, _, lowest = _groups(docs, "doc_id", "text", RADIUS, BANDS)
+    first = lowest.select(F.col("first.doc_id").alias("_kept_id"), F.col("first.text_tag").alias("_kept_tag"))
     same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (_text_tag("text") == F.col("_kept_tag"))
     return docs.join(first, same, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def op10_simhash_pivots(spark, sf_dir):
-    """One row per document: its fingerprint and the smallest doc_id that links reach."""
+    """One row per document: its fingerprint, the smallest doc_id that links reach, and the component's own fingerprint."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    own = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    return found.select("doc_id", own("fp").alias("fingerprint"), "component_id", own("component_fp").alias("component_fingerprint"))

@@ -458,6 +458,15 @@ def test_kept_documents(spark):
     assert simhash.kept(rows.limit(0)).collect() == []
 
 
+def test_unrelated_texts_that_share_ids(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(300)) for c in "abcdef"]
+    rows = [(None, texts[0]), (7, texts[0]), (8, texts[0]), (None, texts[1]), (9, texts[1]), (5, texts[2]), (5, texts[3]), (6, texts[3]), (None, texts[4]), (1, texts[5])]
+    rows = docs(spark, [(i, t, "s") for i, t in rows])
+    assert got(simhash.kept(rows).select("text", "doc_id")) == sorted(zip(texts, [None, None, 5, 5, None, 1], strict=True), key=repr)
+    found = simhash.near_duplicates(rows).collect()
+    assert len({r.component_fp for r in found}) == 6 and all(len({r.component_fp for r in found if r.fp == f}) == 1 for f in {r.fp for r in found})
+
+
 def test_components(spark):
     ws = common.Workspace(spark)
     chain = [(k, k + 1) for k in range(200)] + [(500, 501), (501, 500), (7, 7), (900, 900)]
