@@ -9,9 +9,10 @@ what a window lacks is made up in the next ones. An empty queue's share goes to
 the others. The served stream is cut into windows of ``WINDOW`` tokens.
 
 How many tokens come before a block is a sum over queues of closed terms, so
-every document finds its own windows from its offset in its queue. No task
-waits for another, and a partition starts with the deficits its predecessors
-left. Offsets are prefix sums: each task counts its tokens by queue as it
+every document finds its own windows from its offset in its queue. With more
+than ``QUEUES`` queues the blocks are sorted by due time as a table instead,
+and prefix sums over it give the same numbers. No task waits for another, and a
+partition starts with the deficits its predecessors left. Offsets are prefix sums: each task counts its tokens by queue as it
 writes them, and a table of (task, queue) totals gives the bases.
 
 Every token is in exactly one piece; all windows are full but the last.
@@ -42,9 +43,12 @@ WINDOW = 2048
 QUANTUM = 256
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-#: More sources than this share queues by hash: the state that every task holds stays bounded.
+#: With more sources than this, blocks are ranked in a table: the state that every task holds stays bounded.
 QUEUES = 1024
-WEIGHT_BITS = 20
+#: A step of a weight is then under a block for corpora of up to 2^34 tokens; due times stay exact in a double and 64 bits.
+WEIGHT_BITS = 26
+#: Blocks of a queue that one row stands for until they are dealt out.
+STRIDE = 1 << 12
 CACHE = 1 << 20
 
 # Characters that normalise and split alike here and in the tokenizer: ASCII, Latin-1 letters and marks, Latin Extended-A.
@@ -110,6 +114,11 @@ def tokenize(docs: DataFrame, path: str, *, text: str = "text", end_id: int | No
     return docs.mapInArrow(run, T.StructType([*fields, *more]))
 
 
+def _weight(share: Fraction, whole: Fraction) -> int:
+    """A queue without a target is served last but still in full."""
+    return max(1, round(share / whole * (1 << WEIGHT_BITS)))
+
+
 class Mixture:
     """The service order of the queues: ``totals`` tokens each, served by ``weights``."""
 
@@ -120,8 +129,7 @@ class Mixture:
         self.total = np.array([totals[n] for n in self.names], np.int64)
         share = [Fraction((weights or {}).get(n, 0 if weights else totals[n])) for n in self.names]
         whole = sum(share) or 1
-        # A queue without a target is served last but still in full.
-        self.weight = np.array([max(1, round(s / whole * (1 << WEIGHT_BITS))) for s in share], np.int64)
+        self.weight = np.array([_weight(s, whole) for s in share], np.int64)
 
     def before(self, queue: np.ndarray, block: np.ndarray) -> np.ndarray:
         """Tokens of all queues that are served before each (queue, block)."""
@@ -136,31 +144,81 @@ class Mixture:
         return out
 
     def cut(self, queue: np.ndarray, start: np.ndarray, n: np.ndarray, window: int):
-        """Pieces of documents at ``start`` in their queues: (document, start in it, length, rank in the stream)."""
-        q = self.quantum
-        first, last = start // q, (start + n - 1) // q
-        each = np.where(n > 0, last - first + 1, 0)
-        doc = np.repeat(np.arange(len(n)), each)
-        block = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)
-        low = np.maximum(start[doc], block * q)
-        high = np.minimum((start + n)[doc], (block + 1) * q)
-        rank = self.before(queue[doc], block) + low - block * q
-        # A block in two windows or more is cut there.
-        parts = (rank + high - low - 1) // window - rank // window + 1
-        over = np.repeat(np.arange(len(doc)), parts)
-        k = np.arange(len(over)) - np.repeat(np.cumsum(parts) - parts, parts)
-        edge = (rank // window)[over] + k
-        at = np.maximum(rank[over], edge * window)
-        end = np.minimum((rank + high - low)[over], (edge + 1) * window)
-        doc, begin = doc[over], low[over] - start[doc[over]] + at - rank[over]
-        # Neighbours in the document that are neighbours in one window are one piece.
-        if len(doc):
-            new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (at[1:] != end[:-1]) | (at[1:] % window == 0)
-            head = np.flatnonzero(new)
-            tail = np.append(head[1:], len(doc)) - 1
-            return doc[head], begin[head], end[tail] - at[head], at[head]
-        return doc, begin, end - at, at
+        """Pieces of documents at ``start`` in their queues, as of ``_cut``."""
+        return _cut(start, n, window, self.quantum, lambda doc, block: self.before(queue[doc], block))
+
+
+def _cut(start: np.ndarray, n: np.ndarray, window: int, quantum: int, before):
+    """Pieces of documents at ``start`` in their queues: (document, start in it, length, rank in the stream).
+    ``before`` gives the tokens served before each (document, block of its queue), in order."""
+    q = quantum
+    first, last = start // q, (start + n - 1) // q
+    each = np.where(n > 0, last - first + 1, 0)
+    doc = np.repeat(np.arange(len(n)), each)
+    block = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)
+    low = np.maximum(start[doc], block * q)
+    high = np.minimum((start + n)[doc], (block + 1) * q)
+    rank = before(doc, block) + low - block * q
+    # A block in two windows or more is cut there.
+    parts = (rank + high - low - 1) // window - rank // window + 1
+    over = np.repeat(np.arange(len(doc)), parts)
+    k = np.arange(len(over)) - np.repeat(np.cumsum(parts) - parts, parts)
+    edge = (rank // window)[over] + k
+    at = np.maximum(rank[over], edge * window)
+    end = np.minimum((rank + high - low)[over], (edge + 1) * window)
+    doc, begin = doc[over], low[over] - start[doc[over]] + at - rank[over]
+    # Neighbours in the document that are neighbours in one window are one piece.
+    if len(doc):
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (at[1:] != end[:-1]) | (at[1:] % window == 0)
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(doc)) - 1
+        return doc[head], begin[head], end[tail] - at[head], at[head]
+    return doc, begin, end - at, at
+
+
+def _weighted(totals: DataFrame, weights: dict[str, float] | None) -> DataFrame:
+    """``totals(queue, total)`` with the ``weight`` that ``Mixture`` gives each queue."""
+    if not weights:
+        whole = totals.agg(F.sum("total")).first()[0] or 1
+        scaled = totals.withColumn("_s", F.expr(f"cast(total as decimal(20, 0)) * {1 << WEIGHT_BITS}")).withColumn("_q", F.expr(f"_s div {whole}"))
+        left = F.expr(f"2 * (_s - cast(_q as decimal(20, 0)) * {whole})")
+        up = (left > whole) | ((left == whole) & (F.col("_q") % 2 == 1))  # to the even one of two, as round() does
+        return scaled.select("queue", "total", F.greatest(F.lit(1), F.col("_q") + up.cast("long")).alias("weight"))
+    spark = totals.sparkSession
+    names = F.broadcast(spark.createDataFrame([(n,) for n in weights], "queue string"))
+    share = {r["queue"]: Fraction(weights[r["queue"]]) for r in totals.join(names, "queue", "left_semi").collect()}
+    whole = sum(share.values()) or 1
+    own = spark.createDataFrame([(n, _weight(s, whole)) for n, s in share.items()], "queue string, weight long")
+    return totals.join(F.broadcast(own), "queue", "left").select("queue", "total", F.coalesce("weight", F.lit(1).cast("long")).alias("weight"))
+
+
+def _ranked(ws: Workspace, queues: DataFrame, quantum: int) -> DataFrame:
+    """``(queue, block, before)``: the tokens served before each block of ``queues(queue, total, weight)``."""
+    runs = queues.where("total > 0").withColumn("last", F.expr(f"(total - 1) div {quantum}")).withColumn("low", F.explode(F.expr(f"sequence(0L, last, {STRIDE}L)")))
+    blocks = runs.repartition("queue", "low").withColumn("block", F.explode(F.expr(f"sequence(low, least(low + {STRIDE - 1}, last))")))
+    # Due at (2 block + 1) / weight: whole part, and a rest that a double tells from all others.
+    due = blocks.select(
+        F.expr("(2 * block + 1) div weight").alias("whole"),
+        F.expr("((2 * block + 1) % weight) / weight").alias("rest"),
+        "queue",
+        "block",
+        F.expr(f"least({quantum}L, total - block * {quantum})").alias("size"),
+    )
+    order = ["whole", "rest", "queue"]
+
+    def run(batches):
+        task, served = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            size = batch.column("size").to_numpy(zero_copy_only=False)
+            ahead = served + np.cumsum(size) - size
+            served += int(size.sum())
+            yield pa.RecordBatch.from_arrays([batch.column("queue"), batch.column("block"), batch.column("size"), pa.array([task] * len(batch), pa.int32()), pa.array(ahead, pa.int64())], names=["queue", "block", "size", "task", "ahead"])
+
+    sums = ws.write(due.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "queue string, block long, size long, task int, ahead long"))
+    base = F.coalesce(F.sum("size").over(W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a task
+    bases = sums.groupBy("task").agg(F.sum("size").alias("size")).select("task", base.alias("base"))
+    return sums.join(F.broadcast(bases), "task").select("queue", "block", (F.col("base") + F.col("ahead")).alias("before"))
 
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -173,24 +231,40 @@ def pack(docs: DataFrame, path: str, *, text: str = "text", source: str = "sourc
     """
     spark = docs.sparkSession
     ws = Workspace(spark)
-    docs = without(docs, *[c.split()[0] for c in PIECE.split(", ")], "ids", "queue", "n", "chunk", "ahead", "base")
+    docs = without(docs, *[c.split()[0] for c in PIECE.split(", ")], "ids", "queue", "n", "chunk", "ahead", "base", "_ranks")
     name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
-    if docs.select(source).distinct().limit(QUEUES + 1).count() > QUEUES:
-        name = F.concat(F.lit("#"), F.pmod(F.xxhash64(name), F.lit(QUEUES)).cast("string"))
     tokens = ws.write(tokenize(docs.withColumn("queue", name), path, text=text, end_id=end_id))
     sizes = ws.write(tokens.groupBy("queue", "chunk").agg(F.max(F.col("ahead") + F.col("n")).alias("size")))
-    totals = {r["queue"]: r["total"] for r in sizes.groupBy("queue").agg(F.sum("size").alias("total")).collect()}
+    totals = ws.write(sizes.groupBy("queue").agg(F.sum("size").alias("total")))
     order = W.partitionBy("queue").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     bases = sizes.select("queue", "chunk", F.coalesce(F.sum("size").over(order), F.lit(0)).alias("base"))
-    mixture = Mixture(totals, {f"={k}": v for k, v in weights.items()} if weights else None, quantum)
+    targets = {f"={k}": v for k, v in weights.items()} if weights else None
     fields = [f for f in docs.schema.fields if f.name != text]
-    placed = tokens.join(bases, ["queue", "chunk"]).select(*[f.name for f in fields], "queue", "n", "ids", (F.col("base") + F.col("ahead")).alias("_at"))
+    at = (F.col("base") + F.col("ahead")).alias("_at")
+    few = totals.limit(QUEUES + 1).collect()
+    mixture = Mixture({r["queue"]: r["total"] for r in few}, targets, quantum) if len(few) <= QUEUES else None
+    if mixture:
+        placed = tokens.join(bases, ["queue", "chunk"]).select(*[f.name for f in fields], "queue", "n", "ids", at)
+    else:
+        # Where documents are is found without their ids; (queue, chunk, ahead) is a key of all that have tokens.
+        key = ["queue", "chunk", "ahead"]
+        spans = tokens.where("n > 0").select(*key, "n").join(bases, ["queue", "chunk"]).select(*key, "n", at)
+        spans = spans.select(*key, "_at", F.explode(F.expr(f"sequence(_at div {quantum}, (_at + n - 1) div {quantum})")).alias("block"))
+        found = spans.join(_ranked(ws, _weighted(totals, targets), quantum), ["queue", "block"])
+        ranks = found.groupBy(*key, "_at").agg(F.array_sort(F.collect_list(F.struct("block", "before")))["before"].alias("_ranks"))
+        placed = tokens.where("n > 0").join(ranks, key).select(*[f.name for f in fields], "n", "ids", "_at", "_ranks")
+
+    def cut(batch, n):
+        start = batch.column("_at").to_numpy(zero_copy_only=False)
+        if mixture:
+            return mixture.cut(np.array([mixture.number[x] for x in batch.column("queue").to_pylist()], np.int64), start, n, window)
+        ranks = batch.column("_ranks").flatten().to_numpy(zero_copy_only=False)
+        return _cut(start, n, window, quantum, lambda doc, block: ranks)
 
     def run(batches):
         for batch in batches:
-            queue = np.array([mixture.number[x] for x in batch.column("queue").to_pylist()], np.int64)
             n = batch.column("n").to_numpy(zero_copy_only=False)
-            doc, begin, length, rank = mixture.cut(queue, batch.column("_at").to_numpy(zero_copy_only=False), n, window)
+            doc, begin, length, rank = cut(batch, n)
             ids = [memoryview(x) for x in batch.column("ids").to_pylist()]
             pieces = [ids[d][4 * a : 4 * b] for d, a, b in zip(doc.tolist(), begin.tolist(), (begin + length).tolist(), strict=True)]
             crc = pa.array([zlib.crc32(x) for x in pieces], pa.int64())

@@ -11,6 +11,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from factloom.llm import chat, common, decontaminate, language, licenses, lines, packing, secrets, simhash, vectors, warc
 from factloom.llm.registry import ORACLE_SQL, QUERIES
@@ -318,6 +319,21 @@ def test_packing_cases(spark):
     assert packing.pack(rows.limit(0), packing.vocabulary()).collect() == []
 
 
+@pytest.mark.parametrize("weights", [None, {"s0": 3.0, "s1": 1.0, "gone": 5.0}])
+def test_packing_many_sources(spark, monkeypatch, weights):
+    rows = [(k, "some words of mine " * (200 if k < 2 else k % 40), f"s{k}") for k in range(1200)] + [(5000 + k, "and some more words here", f"s{k % 7}") for k in range(50)] + [(None, "x y", None), (3, None, None)]
+    rows = docs(spark, rows)
+    run = lambda: packing.pack(rows, packing.vocabulary(), window=128, quantum=16, weights=weights, with_ids=True)
+    found = run()
+    assert {r.length for r in packing.sequences(found).collect()} <= {128, sum(r.length for r in found.collect()) % 128}
+    if weights:  # the first windows have their targets
+        share = {r.source: r.n for r in found.where("sequence_id < 6").groupBy("source").agg(F.sum("length").alias("n")).collect()}
+        assert share.keys() == {"s0", "s1"} and abs(share["s0"] - 3 * share["s1"]) <= 64
+    many = got(found)
+    monkeypatch.setattr(packing, "QUEUES", 10**6)
+    assert many == got(run())
+
+
 @pytest.mark.parametrize("text", ["Hello, world's 12x ½ don't 'll", "Été öß ſ ŉ", "á é", "<|startoftext|>x", "\x1c a\xa0b c", "İSTANBUL ΣΑΣ", "x" * 300, "!!!...'s's'", ""])
 def test_words_tokenize_alone(text):
     own = packing.word_cache(packing.vocabulary())
