@@ -7,10 +7,12 @@ A text is put to the filter n-gram by n-gram; popcounts by language, less the
 false positives that the language's fill makes likely, decide.
 
 An n-gram is taken for a language if it occurs in at least ``LEAST`` of the
-language's training texts and in at least ``SHARE`` of the share of texts that
+language's training texts (one, if under ``FEW`` were sampled) and in at least ``SHARE`` of the share of texts that
 its most frequent language has it in, so common names and stray quotes do not
 enter. Training reads a sample of about ``SAMPLE`` texts a language, chosen by
-hash (all if there are fewer); its counts are summed by Spark.
+hash (all if there are fewer); its counts are summed by Spark. Texts too long
+for ``FEW`` of them to fit the sample enter only where a language has under
+``FEW`` others, so that a few giants do not crowd out the rest.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0,
 as is any text when there is nothing to learn from; ties go to the language
@@ -26,6 +28,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +41,7 @@ SLOT_BITS = 20
 HASHES = 3
 WORD = 64
 LEAST = 3
+FEW = 30
 SHARE = 0.25
 PIECE = 1 << 18  # code points at a time, of texts of any length
 UND = "und"
@@ -118,12 +122,22 @@ class Filter:
 
 
 def _sampled(train: DataFrame, text: str, lang: str) -> DataFrame:
-    """About SAMPLE texts and SAMPLE_CHARS characters of each language, by hash of the text."""
-    size = train.groupBy(lang).agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("chars")).collect()
+    """About SAMPLE texts and SAMPLE_CHARS characters of each language, by hash of the text; all of FEW texts or under."""
+    long, tag = F.length(text) > SAMPLE_CHARS // FEW, F.pmod(F.xxhash64(F.lit("sample"), F.col(text)), F.lit(1 << 30))
+    size = train.groupBy(lang, long.alias("long")).agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("chars")).collect()
     limit: Column = F.lit(0.0)
     for row in size:
-        limit = F.when(F.col(lang) == row[lang], F.lit(min(1.0, SAMPLE / row["n"], SAMPLE_CHARS / max(1, row["chars"])))).otherwise(limit)
-    return train.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(text)), F.lit(1 << 30)) < limit * (1 << 30))
+        if not row["long"]:
+            share = min(1.0, SAMPLE / row["n"], SAMPLE_CHARS / max(1, row["chars"]))
+            limit = F.when((F.col(lang) == row[lang]) & ~long, F.lit(share * (1 << 30))).otherwise(limit)
+    others = {row[lang]: row["n"] for row in size if not row["long"]}
+    lacking = {row[lang]: FEW - others.get(row[lang], 0) for row in size if row["long"] and others.get(row[lang], 0) < FEW}
+    if lacking:
+        least = train.where(long & F.col(lang).isin(list(lacking))).select(lang, tag.alias("tag"))
+        least = least.withColumn("k", F.row_number().over(W.partitionBy(lang).orderBy("tag"))).where(F.col("k") <= FEW).collect()
+        for name, n in lacking.items():
+            limit = F.when((F.col(lang) == name) & long, F.lit(1.0 + max(r["tag"] for r in least if r[lang] == name and r["k"] <= n))).otherwise(limit)
+    return train.where(tag < limit)
 
 
 def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang") -> Filter:
@@ -139,16 +153,18 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang") -> Fil
     def texts(batches):
         for batch in batches:
             for body, name in zip(raw(batch, "text"), batch.column("lang").to_pylist(), strict=True):
-                own = np.unique(np.concatenate([np.empty(0, np.uint64), *map(grams, _pieces(body))]))
+                own = np.empty(0, np.uint64)
+                for codes in _pieces(body):
+                    own = np.union1d(own, grams(codes))
                 for k in range(0, len(own), 1 << 16):
                     h = own[k : k + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([name] * len(h))], names=["h", "lang"])
 
-    counts = sample.mapInArrow(texts, "h long, lang string").groupBy("h", "lang").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
+    counts = sample.mapInArrow(texts, "h long, lang string").groupBy("h", "lang").agg(F.count("*").alias("n"))
     total: Column = F.lit(0)
     for name, n in numbers.items():
         total = F.when(F.col("lang") == name, F.lit(n)).otherwise(total)
-    share = counts.withColumn("share", F.col("n") / total)
+    share = counts.where(F.col("n") >= F.when(total < FEW, F.lit(1)).otherwise(F.lit(LEAST))).withColumn("share", F.col("n") / total)
     most = share.groupBy("h").agg(F.max("share").alias("most"), F.collect_list(F.struct("lang", "share")).alias("each"))
     held = most.select("h", F.explode("each").alias("e"), "most").where(F.col("e.share") >= SHARE * F.col("most")).select("h", F.col("e.lang").alias("lang"))
     # The slots are OR-ed by Spark: at most 2^SLOT_BITS rows for each 64 languages come to the driver, whatever the input.

@@ -257,6 +257,29 @@ def test_language_cases(spark):
     assert language.identify(rows.limit(0), model).collect() == []
 
 
+@pytest.mark.parametrize("n", [1, 2])
+def test_language_of_few_texts(spark, n):
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test tables")
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and text is not null").cache()
+    held = language.held_out()
+    few = rows.where(~held & (F.col("lang") == "es") & (F.length("text") > 1000)).orderBy("doc_id").limit(n)
+    model = language.train(rows.where(~held & (F.col("lang") != "es")).unionByName(few))
+    found = language.identify(rows.where(held), model).groupBy("lang").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("a"), F.count("*").alias("n")).collect()
+    assert len(found) == 4 and all(r.n >= 15 and r.a > 0.94 for r in found), found
+
+
+def test_language_with_giant_texts(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_CHARS", 30_000)
+    en, de = "the cat and the dog sat on this mat with that hat", "der hund und die katze sitzen auf der matte mit dem hut"
+    rows = [(f"{en} {k}", "en") for k in range(100)] + [(f"{de} {k}", "de") for k in range(100)] + [((f"{de} {k} ") * 4000, "de") for k in range(8)] + [((f"{en} {k} ") * 40, "fr") for k in range(40)]
+    learn = spark.createDataFrame(rows, "text string, lang string")
+    sizes = {r.lang: (r.n, r.chars) for r in language._sampled(learn, "text", "lang").groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()}
+    assert sizes["en"][0] == sizes["de"][0] == 100 and sizes["de"][1] < 30_000 and sizes["fr"][0] == 30
+    model = language.train(learn.where("lang <> 'fr'"))
+    assert [r.lang_pred for r in language.identify(docs(spark, [(1, de, "s"), (2, en, "s")]), model).orderBy("doc_id").collect()] == ["de", "en"]
+
+
 # 7 packing
 
 
