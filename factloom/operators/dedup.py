@@ -13,9 +13,9 @@ def keep_first(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFra
 
 
 def first_of(rows: DataFrame, key: str, item: str) -> DataFrame:
-    """Every row with the smallest ``item`` of its key as ``kept_id``: a map-side minimum, then a join, so a key may be of any size."""
-    first = rows.groupBy(key).agg(F.min(item).alias("kept_id"))
-    return rows.join(first, key)
+    """Every row with the smallest ``item`` of its key as ``kept_id``: a map-side minimum, then a join, so a key may be of any size. Null keys are one key."""
+    first = rows.groupBy(F.col(key).alias("_key")).agg(F.min(item).alias("kept_id"))
+    return rows.join(first, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def kept_documents(docs: DataFrame, scope: list[str], *, order: str = "ord", url: str = "url", digest: str = "content_hash") -> DataFrame:

@@ -58,3 +58,13 @@ def test_entry_works(spark):
 
     assert entry.entry(spark).columns == ["page_id", "ord", "text", "section"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_content_hash_of_null_texts(spark, tmp_path):
+    rows = [(4, None), (2, "a"), (3, "a"), (1, None), (5, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    registry = _registry()
+    got = [tuple(r) for r in registry.QUERIES["content_hash_dedup"](spark, str(tmp_path)).select("doc_id", "content_hash", "kept_id").collect()]
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(got) == sorted(con.execute(f"select doc_id, content_hash, kept_id from ({registry.ORACLE_SQL['content_hash_dedup']})").fetchall()) and len(got) == 5
