@@ -404,34 +404,67 @@ def test_ledger_is_incremental(spark):
 # 9 decontamination
 
 
-def brute_hits(text, items, window=13):
-    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    seq, hit, names = word.findall(lower(text)), set(), set()
+def brute_windows(items, window=13):
+    """Windows of words as tuples, by length, with the items that have them."""
+    word, out = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), defaultdict(lambda: defaultdict(set))
     for i, t in items:
         own = word.findall(lower(t))
         m = min(window, len(own))
         for k in range(len(own) - m + 1 if own else 0):
-            for p in range(len(seq) - m + 1):
-                if seq[p : p + m] == own[k : k + m]:
-                    hit.update(range(p, p + m))
-                    if i is not None:
-                        names.add(str(i))
+            out[m][tuple(own[k : k + m])].add(i)
+    return out
+
+
+def brute_hits(text, windows):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    seq, hit, names = word.findall(lower(text)), set(), set()
+    for m, own in windows.items():
+        for p in range(len(seq) - m + 1):
+            for i in own.get(tuple(seq[p : p + m]), ()):
+                hit.update(range(p, p + m))
+                names.update([str(i)] if i is not None else [])
     return len(seq), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(seq)
 
 
-def test_decontamination(spark, lake):
-    items = lake.execute("select * from benchmark").fetchall()[:12] + [(900, None), (901, "..."), (902, "one two"), (902, "one two"), (None, "three four"), (903, "ß"), (904, "x " * 13)]
-    texts = lake.execute("select doc_id, text from documents").fetchall()[:25] + [(-1, None), (-2, ""), (-3, "ONE  two one-TWO three.four ß"), (-4, "x " * 40), (-4, "x " * 40), (-5, items[0][1]), (-6, "Y " + items[1][1] + " w" * 900)]
+VERDICT = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def test_decontamination_query(spark, lake):
+    windows = brute_windows(lake.execute("select item_id, text from benchmark").fetchall())
+    want = sorted(((i, *brute_hits(t, windows)) for i, t in lake.execute("select doc_id, text from documents").fetchall()), key=repr)
+    assert got(QUERIES["op9_benchmark_decontamination"](spark, SF).select(*VERDICT)) == want
+
+
+def test_decontamination(spark, lake, monkeypatch):
+    items = lake.execute("select item_id, text from benchmark").fetchall()
+    items += [(900, None), (901, "..."), (902, "one two"), (902, "one two"), (None, "three four"), (903, "ß"), (904, "x " * 13), (905, " ".join(t for _, t in items[:9])), (906, items[0][1]), (None, items[1][1])]
+    texts = lake.execute("select doc_id, text from documents").fetchall()
+    texts += [(-1, None), (-2, ""), (-3, "ONE  two one-TWO three.four ß"), (-4, "x " * 40), (-4, "x " * 40), (-5, items[0][1]), (-6, "Y " + items[1][1] + " w" * 900), (-7, " ".join(t for _, t in items[3:7]) * 30)]
+    windows = brute_windows(items)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    df = docs(spark, [(i, t, "s") for i, t in texts])
-    want = sorted(((i, *brute_hits(t, items)) for i, t in texts), key=repr)
-    names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    assert got(decontaminate.decontaminate(df, bench).select(*names)) == want
-    assert got(decontaminate.decontaminate(df, bench, part_bytes=300, keep_text=False).select(*names)) == want
+    df = docs(spark, [(i, t, "s") for i, t in texts]).cache()
+    want = sorted(((i, *brute_hits(t, windows)) for i, t in texts), key=repr)
+    assert got(decontaminate.decontaminate(df, bench).select(*VERDICT)) == want
+    # In parts, and long items in segments.
+    monkeypatch.setattr(decontaminate.segments, "__kwdefaults__", {**decontaminate.segments.__kwdefaults__, "size": 20})
+    monkeypatch.setattr(decontaminate, "STEP", 3)
+    size = sum(len(t or "") for _, t in items)
+    for keep in (True, False):
+        out = decontaminate.decontaminate(df, bench, part_bytes=size // 2, keep_text=keep)
+        assert got(out.select(*VERDICT)) == want and ("text" in out.columns) == keep and "lang" in out.columns
     assert decontaminate.decontaminate(df.limit(0), bench).collect() == []
+    assert decontaminate.decontaminate(df.limit(0), bench, part_bytes=size // 2).collect() == []
     assert not any(r.contaminated for r in decontaminate.decontaminate(df, bench.limit(0)).collect())
 
 
+def test_pattern_memory():
+    rng = np.random.default_rng(1)
+    items = [(str(k), " ".join(f"w{x}" for x in rng.integers(0, 5000, 1000))) for k in range(300)]
+    own = decontaminate.Patterns(items)
+    held = own.tokens.nbytes + sum(t.shift.nbytes + t.hash.nbytes + t.place.nbytes + t.items.nbytes + t.begin.nbytes for t in own.tables)
+    assert held < 12 * sum(len(t) for _, t in items)
+
+
 # 10 SimHash
 
 
@@ -534,12 +567,8 @@ def test_pipeline(spark, lake):
     fps = [brute_fingerprint(r.text) for r in table[2].values()]
     groups = brute_components(list(table[2]), fps)
     assert set(table[3]) == {i for i, g in zip(table[2], groups, strict=True) if i == g}
-    items = lake.execute("select * from benchmark").fetchall()
-    own = decontaminate.Patterns([(str(i), t) for i, t in items])
-    for i, r in table[3].items():
-        seq = decontaminate.words(r.text.encode())
-        hit = {k for start, m, _ in own.search(seq) for k in range(start, start + m)}
-        assert (i in table[4]) == (not (hit and 20 * len(hit) >= len(seq)))
+    windows = brute_windows(lake.execute("select item_id, text from benchmark").fetchall())
+    assert set(table[4]) == {i for i, r in table[3].items() if not brute_hits(r.text, windows)[4]}
     sizes = defaultdict(int)
     for r in now.collect():
         sizes[r.doc_id] += r.length
