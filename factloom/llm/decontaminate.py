@@ -47,7 +47,6 @@ STEP = 1 << 15
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 ADDED = ("n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.cumprod(np.full(256, _MIX))
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -60,6 +59,7 @@ class Table:
 
     def __init__(self, tokens: np.ndarray, starts: np.ndarray, items: np.ndarray, m: int):
         self.m, self.size = m, min(BLOCK, m)
+        self.steps, self.powers = np.arange(m), np.cumprod(np.full(m, _MIX))
         self.bits = max(10, int(4 * len(starts)).bit_length())
         self.shift = np.full(1 << self.bits, m - self.size + 1, np.uint8 if m < 256 else np.uint32)
         for end in range(self.size, m + 1):  # later ends say less, so the last word stands
@@ -82,10 +82,8 @@ class Table:
         return ((key * _MIX) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def whole(self, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(starts), np.uint64)
-        for k in range(self.m):
-            h += tokens[starts + k].astype(np.uint64) * _POWERS[k % len(_POWERS)] + np.uint64(k)
-        return h
+        out = [(tokens[starts[a : a + STEP, None] + self.steps].astype(np.uint64) * self.powers).sum(1, dtype=np.uint64) for a in range(0, len(starts), STEP)]
+        return np.concatenate([np.empty(0, np.uint64), *out])
 
     def candidates(self, at: np.ndarray) -> list[int]:
         """Ends of the positions that the shifts do not rule out."""
@@ -110,12 +108,12 @@ class Table:
             start = found[a : a + STEP]
             h = self.whole(at, start)
             low, high = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
+            if not (high > low).any():
+                continue
             start, low, n = start[high > low], low[high > low], (high - low)[high > low]
             pattern = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
             start = np.repeat(start, n)
-            same = np.ones(len(start), bool)
-            for k in range(self.m):
-                same &= at[start + k] == tokens[self.place[pattern] + k]
+            same = (at[start[:, None] + self.steps] == tokens[self.place[pattern][:, None] + self.steps]).all(axis=1)
             if same.any():
                 yield start[same], pattern[same]
 
