@@ -172,33 +172,48 @@ def test_multi_index(spark):
 
 
 def brute_lines(rows, least=4, words=20):
-    """Longest run at every line that an earlier place has too, by comparing all places."""
+    """Whole repeated runs: at every line the longest that an earlier place has too, by comparing with all places."""
     every = sorted((i, t.split("\n")) for i, t in rows if t is not None)
+    count = lambda x: len(x.strip(" ").split(" ")) if x.strip(" ") else 0
+    places = defaultdict(list)
     gone = defaultdict(set)
     for a, (i, own) in enumerate(every):
         for p in range(len(own)):
-            for b in range(a + 1):
-                j, other = every[b]
-                for q in range(p if b == a else len(other)):
-                    n = 0
-                    while p + n < len(own) and q + n < len(other) and own[p + n] == other[q + n]:
-                        n += 1
-                    count = lambda x: len(x.strip().split(" ")) if x.strip() else 0
-                    for size in (2**k for k in range(12) if 2**k <= n):
-                        if size >= least or sum(map(count, own[p : p + size])) >= words:
-                            gone[i].update(range(p, p + n if n >= least and size >= least else p + size))
+            longest = 0
+            for b, q in places[own[p]]:
+                other, n = every[b][1], 1
+                while p + n < len(own) and q + n < len(other) and own[p + n] == other[q + n]:
+                    n += 1
+                longest = max(longest, n)
+            places[own[p]].append((a, p))
+            sizes = [count(x) for x in own[p : p + longest]]
+            if sum(x > 0 for x in sizes) >= least or sum(sizes) >= words:
+                gone[i].update(range(p, p + longest))
     return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) if t is not None else None for i, t in rows}
 
 
-def test_line_runs(spark):
-    rng = np.random.default_rng(3)
+@pytest.mark.parametrize("seed", [3, 4])
+def test_line_runs(spark, seed):
+    rng = np.random.default_rng(seed)
     long = " ".join(f"w{k}" for k in range(25))
     pool = ["a", "b", "c d e", "", long, long + " x", "f g", "h " * 12 + "end", "p " * 8 + "q"]
     rows = [(int(k), "\n".join(rng.choice(pool, int(rng.integers(1, 14))))) for k in range(24)] + [(24, None), (25, ""), (26, long + "\n" + long), (27, "\n\n\n\n\n\n\n")]
+    # Long runs of every length, also out of one another and within one text.
+    deep = [f"l{k} x" for k in range(40)]
+    rows += [(30 + k, "\n".join(deep[int(a) : int(a) + int(n)])) for k, (a, n) in enumerate(zip(rng.integers(0, 20, 14), rng.integers(1, 25, 14), strict=True))]
+    rows += [(50, "\n".join(["same"] * 37)), (51, "\n".join((deep[:9] + ["own"]) * 3)), (52, "\n".join(deep))]
     out = lines.dedup_lines(docs(spark, [(i, t, "s") for i, t in rows]))
     assert {r.doc_id: r.text for r in out.collect()} == brute_lines(rows)
 
 
+def test_runs_are_judged_whole(spark):
+    three = ["one two three four five six seven eight", "a b c d e f g h i j", "k l m n o p q r s"]  # 27 words, no two lines have 20
+    assert [len(" ".join(three[k : k + 2]).split()) for k in (0, 1)] == [18, 19]
+    rows = [(1, "\n".join(["x", *three, "y"])), (2, "\n".join(["v", *three, "w"])), (3, "c\n\n\n\n\n\nd"), (4, "e\n\n\n\n\n\nf")]
+    out = {r.doc_id: r.text for r in lines.dedup_lines(docs(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert out == {1: rows[0][1], 2: "v\nw", 3: rows[2][1], 4: rows[3][1]} == brute_lines(rows)
+
+
 def test_line_cases(spark):
     x = "\n".join("abcdef")
     rows = docs(spark, [(1, x, "s"), (1, x, "s"), (2, x, "s"), (None, "\n".join("cdefg"), "s"), (3, None, "s")])
