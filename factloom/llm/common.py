@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,14 +27,31 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    root = f"file://{tempfile.mkdtemp(prefix='factloom-')}"
+    folder = tempfile.mkdtemp(prefix="factloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    root = f"file://{folder}"
     spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
+_open: list[Workspace] = []
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables that operators write inside go at the end of the block, once its result has been written."""
+    before = len(_open)
+    try:
+        yield
+    finally:
+        for ws in _open[before:]:
+            ws.close()
+        del _open[before:]
+
+
 class Workspace:
     """Tables written under the shared folder. They survive lost executors, cut
-    lineage, and go when the driver ends or on ``drop``."""
+    lineage, and go when the driver ends, at the end of a ``scope`` or on ``drop``."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -41,6 +62,10 @@ class Workspace:
         self._fs.mkdirs(self._path(self.root))
         self._fs.deleteOnExit(self._path(self.root))
         self._at: dict[int, str] = {}
+        _open.append(self)
+
+    def close(self) -> None:
+        self._fs.delete(self._path(self.root), True)
 
     def write(self, df: DataFrame, *, codec: str = "zstd") -> DataFrame:
         path = f"{self.root}/{len(self._at)}-{uuid.uuid4().hex[:8]}"

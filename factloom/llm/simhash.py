@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import Workspace, components, extended, raw, table, without
+from factloom.llm.common import Workspace, components, extended, long_key, raw, table, without
 
 SHINGLE = 3
 SEED = 42
@@ -229,11 +229,16 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 def kept(docs: DataFrame) -> DataFrame:
     """``docs`` less all but one document of each group: that with the smallest id
-    (of rows that share this id, one). Its columns are left as they are."""
+    (of rows that share this id, one). Its columns are left as they are.
+
+    Rows of one id and text are merged where they are read, so that none of them is a
+    hot key, and texts are shuffled once: the merge and the join have the same key."""
     _, _, lowest = _groups(docs, "doc_id", "text", RADIUS, BANDS)
-    first = lowest.select(F.col("first.doc_id").alias("_kept_id"), F.col("first.text_tag").alias("_kept_tag"))
-    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (_text_tag("text") == F.col("_kept_tag"))
-    return docs.join(first, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    key, null = long_key(F.col("doc_id")), F.lit(-(2**63))
+    own = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), key.alias("_key"), F.coalesce(_text_tag("text"), null).alias("_tag"))
+    once = own.groupBy("_key", "_tag").agg(F.first("_row").alias("_row"))
+    first = lowest.select(long_key(F.col("first.doc_id")).alias("_key"), F.coalesce("first.text_tag", null).alias("_tag"))
+    return once.join(first, ["_key", "_tag"], "left_semi").select("_row.*")
 
 
 def op10_simhash_pivots(spark, sf_dir):
