@@ -143,7 +143,7 @@ def good(v):
     return v is not None and any(x for x in v if x) and all(x is not None and np.isfinite(x) for x in v)
 
 
-def test_multi_index(spark):
+def test_multi_index(spark, monkeypatch):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(60, 16))
     rows, k = [], 0
@@ -159,15 +159,58 @@ def test_multi_index(spark):
     assert sum(r[1] for r in found.values()) >= 0.9 * sum(w[1] for w in want)
     assert all(found[w[0]][1] <= w[1] for w in want)
     assert sum(found[w[0]] == w for w in want) >= 0.95 * len(want)
-    for split in (1, 3):  # many blocks in a cell
-        old, vectors.SPLIT = vectors.SPLIT, split
-        try:
-            assert {r.vec_id: tuple(r) for r in vectors.near_vectors(df).collect()} == found
-        finally:
-            vectors.SPLIT = old
+    for size in (1, 3):  # many blocks in a cell
+        monkeypatch.setattr(vectors, "BIN", size)
+        assert {r.vec_id: tuple(r) for r in vectors.near_vectors(df).collect()} == found
     assert vectors.near_vectors(df.limit(0)).collect() == []
 
 
+def planted(rng, n, dim):
+    """Vectors in pairs, chains and groups at cosines around the threshold, among others at random."""
+    x = rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    more = []
+    for k in range(0, n, 2):
+        for _ in range(int(rng.integers(1, 5))):
+            side = rng.normal(size=dim)
+            side -= side @ x[k] * x[k]
+            c = rng.uniform(0.9, 0.999)
+            more.append(c * x[k] + np.sqrt(1 - c * c) * side / np.linalg.norm(side))
+    out = np.concatenate([x, more, x[:40]]).astype(np.float32)
+    return out[rng.permutation(len(out))]
+
+
+@pytest.mark.parametrize("kind", ["string", "double"])
+def test_planted_vectors(spark, tmp_path, monkeypatch, kind):
+    rng = np.random.default_rng(9)
+    x = planted(rng, 2500, 48)
+    labels = {"string": ["a", "b b", ""], "double": [1.2, 1.7, -1.0]}[kind]
+    rows = [(k, v.tolist(), labels[k % 2] if k % 9 else labels[2]) for k, v in enumerate(x)]
+    spark.createDataFrame(rows, f"vec_id long, embedding array<float>, label {kind}").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(vectors, "PER_CELL", 16)  # many cells for a small table
+    monkeypatch.setattr(vectors, "BIN", 300)
+    found = {r.vec_id: r for r in QUERIES["op3_multi_index"](spark, str(tmp_path)).collect()}
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    same = np.array([r[2] for r in rows])
+    hit = (y @ y.T >= 0.93) & (same[:, None] == same)
+    np.fill_diagonal(hit, False)
+    want = hit.sum(1)
+    have = np.array([found[k].n_links for k in range(len(x))])
+    assert len(found) == len(x) and (have <= want).all() and want.sum() > 2000
+    assert have.sum() >= 0.97 * want.sum()
+    root = vectors._forest(len(x), *np.nonzero(hit))
+    exact = have == want
+    assert exact.mean() > 0.95 and np.mean([found[k].component_id == root[k] for k in range(len(x))]) > 0.95
+    assert all(found[k].kept == (found[k].component_id == k) and root[found[k].component_id] == root[k] for k in range(len(x)))
+
+
+def test_extreme_vectors(spark):
+    rows = [(1, [1e300, 1e300], "a"), (2, [1e-300, 1e-300], "a"), (3, [1.0, -1.0], "a"), (4, [1e-320, 0.0], "b"), (5, [3.0, 0.0], "b"), (6, [1e300, 1e300], "a")]
+    out = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"))
+    assert got(out) == [(1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (6, 2, 1, False)]
+
+
 # 4 line dedup
 
 
@@ -284,17 +327,75 @@ def test_language_of_few_texts(spark, n):
     assert len(found) == 4 and all(r.n >= 15 and r.a > 0.94 for r in found), found
 
 
-def test_language_with_giant_texts(spark, monkeypatch):
-    monkeypatch.setattr(language, "SAMPLE_CHARS", 30_000)
+def test_language_with_giant_texts(spark):
     en, de = "the cat and the dog sat on this mat with that hat", "der hund und die katze sitzen auf der matte mit dem hut"
     rows = [(f"{en} {k}", "en") for k in range(100)] + [(f"{de} {k}", "de") for k in range(100)] + [((f"{de} {k} ") * 4000, "de") for k in range(8)] + [((f"{en} {k} ") * 40, "fr") for k in range(40)]
     learn = spark.createDataFrame(rows, "text string, lang string")
-    sizes = {r.lang: (r.n, r.chars) for r in language._sampled(learn, "text", "lang").groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()}
+    sample = language._sampled(learn.withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 30))), 2000, 30_000)
+    sizes = {r.lang: (r.n, r.chars) for r in sample.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()}
     assert sizes["en"][0] == sizes["de"][0] == 100 and sizes["de"][1] < 30_000 and sizes["fr"][0] == 30
-    model = language.train(learn.where("lang <> 'fr'"))
+    model = language.train(learn.where("lang <> 'fr'"), chars=30_000)
     assert [r.lang_pred for r in language.identify(docs(spark, [(1, de, "s"), (2, en, "s")]), model).orderBy("doc_id").collect()] == ["de", "en"]
 
 
+def test_language_of_one_repeated_text(spark):
+    en, de = "the cat and the dog sat on this mat", "der hund und die katze sitzen auf der matte"
+    learn = spark.range(20_000).select(F.lit(de).alias("text"), F.lit("de").alias("lang")).union(spark.createDataFrame([(f"{en} {k}", "en") for k in range(50)], "text string, lang string"))
+    model = language.train(learn, texts=200)
+    assert model.languages == ["de", "en"]
+    assert [r.lang_pred for r in language.identify(docs(spark, [(1, de, "s"), (2, en, "s"), (None, de, "s")]), model).orderBy("doc_id").collect()] == ["de", "de", "en"]
+    assert [r.h for r in docs(spark, [(None, en, "s")]).select(language.held_out().alias("h")).collect()] == [False]
+
+
+def test_very_many_languages(spark):
+    n = 2500
+    learn = spark.range(n).select(F.concat(F.lit("word"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"), F.format_string("l%04d", "id").alias("lang"))
+    model = language.train(learn)
+    assert len(model.languages) == n and model.masks.shape[0] == -(-n // 64)
+
+
+def test_scripts_with_marks():
+    text = "हिन्दी में लिखा"
+    (codes,) = language._pieces(text.encode())
+    assert "".join(map(chr, codes.tolist())) == f" {text} "
+    (codes,) = language._pieces(b"It's 3 OK")
+    assert "".join(map(chr, codes.tolist())) == " it s ok "
+
+
+def test_filter_against_sets(spark, lake):
+    """The filter against exact sets of n-grams, on all documents: it misses none, and corrected counts tell the same language."""
+    rows = [(i, t, x) for i, t, x in lake.execute("select doc_id, text, lang from documents").fetchall()]
+    learn = [(t, x) for i, t, x in rows if i is not None and zlib.crc32(str(i).encode()) % 5 and t is not None and x is not None]
+    model = language.train(spark.createDataFrame(learn, "text string, lang string"))
+    word = re.compile(r"[\W\d_]+")
+
+    def exact(text):
+        plain = f" {word.sub(' ', (text or '').lower()).strip(' ')} "
+        return [plain[k : k + n] for n in language.SIZES for k in range(len(plain) - n + 1)]
+
+    seen = defaultdict(lambda: defaultdict(int))
+    sizes = defaultdict(int)
+    for t, x in learn:
+        sizes[x] += 1
+        for g in set(exact(t)):
+            seen[g][x] += 1
+    known = defaultdict(set)
+    for g, by in seen.items():
+        share = {x: n / sizes[x] for x, n in by.items() if n >= (1 if sizes[x] < language.FEW else language.LEAST)}
+        known[g] = {x for x, s in share.items() if s >= language.SHARE * max(share.values())}
+    assert list(model.languages) == sorted(sizes)
+    for _, t, _ in rows:
+        own = exact(t)
+        want = np.array([sum(x in known.get(g, ()) for g in own) for x in model.languages])
+        h = np.concatenate([np.empty(0, np.uint64), *(language.grams(c) for c in language._pieces((t or "").encode()))])
+        have = model.counts(h) if len(h) else np.zeros(len(want))
+        assert (have >= want).all()
+        if len(h) > 60:
+            fixed = (have - len(h) * model.fill**language.HASHES) / (1 - model.fill**language.HASHES)
+            assert abs(fixed - want).max() < 0.1 * len(h)
+            assert model.predict(t.encode())[0] == model.languages[int(want.argmax())]
+
+
 # 7 packing
 
 
