@@ -14,7 +14,13 @@ and one of ``BANDS`` bands of one MinHash agrees with probability at least
 rows a band would ask for far more bands). Minima of all window sizes come
 from doubling: the minimum over 2^(k+1) shingles is that of two over 2^k.
 
-Verification counts shingles as words, not hashes, around retrieved windows.
+Minima are looked up in the sorted minima of all templates, so a scan costs the
+same for ten templates and ten thousand. Verification counts shingles as words,
+not hashes, around retrieved windows.
+
+The templates here are whole short licenses (MIT, BSD, ISC), the notices and
+headers that other licenses ask for, one-line mentions and SPDX lines; ``scan``
+takes any others, also as a table.
 
 Defined cases: null and empty texts match nothing; repeated template ids add
 their texts as separate templates of one id; templates without words are
@@ -43,24 +49,51 @@ SLACK = 1.25
 BANDS = 32
 PIECE = 1 << 16
 CACHE = 1 << 20
+TEMPLATE_BYTES = 32 << 20
 
-#: Wording of public license notices.
-TEMPLATES = (
+#: Wording of public licenses and license notices.
+NOTICES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
     ("apache-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
     ("mit", "Released under the MIT License."),
     ("mit", "Licensed under the MIT License."),
     ("mit", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    ("mit", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("gpl-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("lgpl-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("lgpl-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("lgpl", "This work is licensed under the GNU Lesser General Public License."),
+    ("agpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("agpl-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("bsd-2-clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.'),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd", 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("bsl-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software"),
+    ("cc0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."),
+    ("cc0-1.0", "CC0 1.0 Universal (CC0 1.0) Public Domain Dedication"),
+    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc-by-nc-sa-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("cc-by-nd-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
 )
+#: Names of licenses as one-line notices say them, and their identifiers.
+NAMES = (
+    ("bsd-2-clause", "BSD 2-Clause License"), ("bsd-3-clause", "BSD 3-Clause License"), ("isc", "ISC License"), ("mpl-2.0", "Mozilla Public License 2.0"), ("unlicense", "The Unlicense"),
+    ("cc-by-4.0", "CC BY 4.0"), ("cc-by-sa-4.0", "CC BY-SA 4.0"), ("cc-by-nc-4.0", "CC BY-NC 4.0"), ("cc-by-nc-sa-4.0", "CC BY-NC-SA 4.0"), ("cc-by-nd-4.0", "CC BY-ND 4.0"),
+)
+SPDX = "Apache-2.0 MIT GPL-2.0 GPL-3.0 LGPL-2.1 LGPL-3.0 AGPL-3.0 BSD-2-Clause BSD-3-Clause ISC MPL-2.0 Unlicense Zlib BSL-1.0 CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0".split()
+TEMPLATES = (*NOTICES, *((k, f"Licensed under {name}.") if name.startswith(("CC", "The")) else (k, f"Licensed under the {name}.") for k, name in NAMES), *((x.lower(), f"SPDX-License-Identifier: {x}") for x in SPDX))
 
 
 def collision_probability(similarity: float, bands: int = BANDS) -> float:
@@ -131,6 +164,24 @@ class Template:
         return out
 
 
+class Lookup:
+    """Templates by their minimum of one band: a filter of 2^16 bits on the high bits, then a search in the sorted minima,
+    so a window costs the same whatever the number of templates."""
+
+    def __init__(self, mins: np.ndarray, templates: np.ndarray):
+        order = mins.argsort(kind="stable")
+        self.mins, self.templates = mins[order], templates[order]
+        self.filter = np.zeros(1 << 16, bool)
+        self.filter[self.mins >> np.uint64(48)] = True
+
+    def hits(self, low: np.ndarray):
+        """``(position, template)`` of every window minimum that is a template's."""
+        for i in np.flatnonzero(self.filter[low >> np.uint64(48)]).tolist():
+            a, b = np.searchsorted(self.mins, low[i], "left"), np.searchsorted(self.mins, low[i], "right")
+            for t in self.templates[a:b].tolist():
+                yield i, t
+
+
 class Templates:
     def __init__(self, items: list[tuple[str | None, str | None]]):
         self.hash = WordHash()
@@ -139,12 +190,13 @@ class Templates:
             seq = words(text and text.encode())
             if seq and license_id is not None:
                 self.all.append(Template(license_id, seq, self._ids(seq)))
-        #: By shingle size, level and band: the minimum that names a template.
-        self.tables: dict[int, dict[int, list[dict[int, list[int]]]]] = {}
+        groups: dict[tuple[int, int], list[int]] = {}
         for t, own in enumerate(self.all):
-            bands = self.tables.setdefault(own.size, {}).setdefault(own.level, [{} for _ in range(BANDS)])
-            for table_of, low in zip(bands, own.mins, strict=True):
-                table_of.setdefault(low, []).append(t)
+            groups.setdefault((own.size, own.level), []).append(t)
+        #: By shingle size and level: a lookup for each band.
+        self.tables: dict[int, dict[int, list[Lookup]]] = {}
+        for (size, level), ts in groups.items():
+            self.tables.setdefault(size, {})[level] = [Lookup(np.array([self.all[t].mins[k] for t in ts], np.uint64), np.array(ts)) for k in range(BANDS)]
 
     def _ids(self, seq: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.hash.__getitem__, seq), np.uint64, len(seq))
@@ -170,11 +222,9 @@ class Templates:
                         low = np.minimum(low[:-2], low[2:]) if level == 2 else np.minimum(low[:-4:2], low[4::2])
                         if level in levels:
                             stride, width = 1 << (level - 2), 1 << level
-                            for value, ts in levels[level][band].items():
-                                for i in np.flatnonzero(low == np.uint64(value)).tolist():
-                                    start = base + i * stride
-                                    for t in ts:
-                                        found.setdefault(t, set()).add((start, start + width))
+                            for i, t in levels[level][band].hits(low):
+                                start = base + i * stride
+                                found.setdefault(t, set()).add((start, start + width))
         out: dict[int, list[tuple[int, int]]] = {}
         for t, ranges in found.items():
             more, merged = self.all[t].span, []
@@ -214,12 +264,18 @@ class Templates:
         return [sorted(x, key=lambda m: (m[1], m[0], m[2], m[3])) for x in out]
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, *, text: str = "text", keep_text: bool = True) -> DataFrame:
+def scan(docs: DataFrame, templates: list[tuple[str, str]] | DataFrame = TEMPLATES, *, text: str = "text", keep_text: bool = True, most_bytes: int = TEMPLATE_BYTES) -> DataFrame:
     """``docs`` with ``matches``: license, words (end exclusive) and containment. One pass, no shuffle.
 
-    The templates are a list of the caller, so of bounded size; they go to every task.
+    ``templates`` are pairs, or a table ``(license, text)``; they go to every task, so a table
+    of over ``most_bytes`` of text is an error.
     """
     docs = without(docs, "matches")
+    if isinstance(templates, DataFrame):
+        size = templates.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+        if size > most_bytes:
+            raise ValueError(f"{size} bytes of templates are more than {most_bytes}")
+        templates = [(r.license, r.text) for r in templates.select("license", "text").collect()]
     sent = docs.sparkSession.sparkContext.broadcast(list(templates))
     item = pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("containment", pa.float64())])
 

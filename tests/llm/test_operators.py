@@ -67,6 +67,64 @@ def test_license_windows(lake):
     assert found[-7:-5] == [[], []] and "mit" in [m[0] for m in found[-5] if m[2] - m[1] > 50] and [m[0] for m in found[-1]] == ["mit"] and found[-2] == []
 
 
+def brute_licenses(text, templates):
+    """Regions of every text by counting shingles at each place, written apart from the operator."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    seq, out = word.findall(lower(text)), set()
+    by_size = {}
+    for license_id, t in templates:
+        own = word.findall(lower(t))
+        n = min(5, len(own))
+        if n not in by_size:
+            by_size[n] = [tuple(seq[k : k + n]) for k in range(len(seq) - n + 1)]
+        want = {tuple(own[k : k + n]) for k in range(len(own) - n + 1)}
+        need, wide = -(-4 * len(want) // 5), -(-5 * len(own) // 4) - n + 1
+        at = [k for k, s in enumerate(by_size[n]) if s in want]
+        regions = []
+        for last in at:  # the shingles in the window that ends at this one
+            inside = [k for k in at if last - wide < k <= last]
+            if len({by_size[n][k] for k in inside}) >= need:
+                regions.append((inside[0], last + n, len({by_size[n][k] for k in inside})))
+        merged = []
+        for a, b, c in regions:
+            if merged and a < merged[-1][1]:
+                merged[-1] = (merged[-1][0], b, max(c, merged[-1][2]))
+            else:
+                merged.append((a, b, c))
+        out |= {(license_id, a, b, c / len(want)) for a, b, c in merged}
+    return sorted(out, key=lambda m: (m[1], m[0], m[2], m[3]))
+
+
+def test_license_query(spark, lake):
+    rows = lake.execute("select doc_id, text from documents").fetchall()
+    want = []
+    for i, t in rows:
+        ms = brute_licenses(t, licenses.TEMPLATES)
+        want.append((i, len(ms), ",".join(sorted({m[0] for m in ms})), ",".join(f"{m[0]}:{m[1]}:{m[2]}" for m in ms)))
+    assert got(QUERIES["op1_license_windows"](spark, SF).select("doc_id", "n_matches", "licenses", "spans")) == sorted(want, key=repr) and any(w[1] for w in want)
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("Licensed under the BSD 3-Clause License.", ["bsd-3-clause"]), ("# SPDX-License-Identifier: GPL-3.0-only", ["gpl-3.0"]), ("SPDX-License-Identifier: MIT", ["mit"]), ("Licensed under CC BY-SA 4.0.", ["cc-by-sa-4.0"]), ("no license here", [])],
+)
+def test_license_lines(text, want):
+    assert [m[0] for m in licenses.Templates(list(licenses.TEMPLATES)).matches([text.encode()])[0]] == want
+
+
+def test_many_templates(spark):
+    rng = np.random.default_rng(2)
+    templates = [(f"t{k}", " ".join(f"w{x}" for x in rng.integers(0, 400, 5 + k % 60))) for k in range(700)]
+    texts = [f"x {templates[k][1]} y {templates[k + 1][1]}" for k in range(0, 200, 7)]
+    own = licenses.Templates(templates)
+    assert own.matches([t.encode() for t in texts]) == [brute_licenses(t, templates) for t in texts]
+    table = spark.createDataFrame(templates, "license string, text string")
+    out = licenses.scan(docs(spark, [(k, t, "s") for k, t in enumerate(texts)]), table).orderBy("doc_id").collect()
+    assert [[(m["license"], m["start"], m["end"], m["containment"]) for m in r.matches] for r in out] == own.matches([t.encode() for t in texts])
+    with pytest.raises(ValueError):
+        licenses.scan(docs(spark, []), table, most_bytes=100)
+
+
 def test_license_cases(spark):
     rows = docs(spark, [(None, None, None), (1, "", "a"), (2, "x Licensed under CC BY-NC 4.0. y", "a"), (2, "x Licensed under CC BY-NC 4.0. y", "a")])
     out = licenses.scan(rows)
