@@ -6,6 +6,12 @@ with its version, so a changed pattern is a new pair. A run scans only pairs
 that the ledger lacks, each blob once however many paths have it, and joins
 the findings back to all paths.
 
+The ledger is a table in a folder of the caller's (``Ledger``). ``update`` scans
+what is new and appends it; a second run over the same versions scans nothing.
+Texts in which no rule's hint occurs send only their hash to the exchange that
+finds the distinct blobs. Two runs at once may both scan a pair; readers take
+one of such rows, as a pair's spans are always the same.
+
 Match offsets come from built-in functions: ``split`` gives the text between
 matches and ``regexp_extract_all`` the matches, so an offset is a running sum
 of code point counts. Only lengths leave the row that holds the text.
@@ -18,7 +24,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,7 +48,7 @@ class Rule:
 
 
 RULES = (
-    Rule("assign", 1, r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, r"[:=]"),
+    Rule("assign", 1, r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"),
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 20, "AKIA"),
     Rule("hex", 1, r"[0-9a-f]+", 0, 24, r"[0-9a-f]{24}"),
 )
@@ -78,19 +84,19 @@ def scan(versions: DataFrame, *, ledger: DataFrame | None = None, rules: tuple[R
     """The ledger rows that ``versions`` adds: every unseen (blob, rule) pair, scanned."""
     ws = Workspace(versions.sparkSession)
     names = F.array(*[F.lit(r.name) for r in rules])
-    blobs = versions.select(blob_id(F.col(text)).alias("blob"), F.coalesce(text, F.lit("")).alias("text")).dropDuplicates(["blob"])
+    body = F.coalesce(F.col(text), F.lit(""))
+    hints = [F.contains(body, F.lit(r.hint)) if r.kind == "access" else body.rlike(r.hint) for r in rules]
+    likely = hints[0]
+    for hint in hints[1:]:
+        likely = likely | hint
+    # Equal blobs have equal hints. Texts without one are done once their hash is known to be new.
+    blobs = versions.select(blob_id(F.col(text)).alias("blob"), F.when(likely, body).alias("text")).dropDuplicates(["blob"])
     if ledger is None:
         blobs = blobs.withColumn("seen", F.array().cast("array<string>"))
     else:
         seen = ledger.where(F.col("rule").isin([r.name for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
         blobs = blobs.join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
-    blobs = blobs.where(F.size("seen") < len(rules))
-    hints = [F.contains("text", F.lit(r.hint)) if r.kind == "access" else F.col("text").rlike(r.hint) for r in rules]
-    likely = hints[0]
-    for hint in hints[1:]:
-        likely = likely | hint
-    # One pass takes the texts: pairs without a hint are done, the others keep their text for the patterns.
-    staged = ws.write(blobs.select("blob", "seen", F.when(likely, F.col("text")).alias("text")))
+    staged = ws.write(blobs.where(F.size("seen") < len(rules)).select("blob", "seen", "text"))
     found = None
     for rule in rules:
         own = _scan(staged.where("text is not null"), rule)
@@ -100,12 +106,36 @@ def scan(versions: DataFrame, *, ledger: DataFrame | None = None, rules: tuple[R
     return pairs.join(spans, ["blob", "rule"], "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")))
 
 
+class Ledger:
+    """The ledger as a Parquet table under ``path``, which all executors share."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def rows(self) -> DataFrame:
+        """One row a pair; none before the first update."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            return self.spark.createDataFrame([], LEDGER)
+        return self.spark.read.schema(LEDGER).parquet(self.path)
+
+    def update(self, versions: DataFrame, *, rules: tuple[Rule, ...] = RULES, text: str = "text") -> int:
+        """Scans the unseen pairs of ``versions`` and appends them; how many there were."""
+        ws = Workspace(self.spark)
+        new = ws.write(scan(versions, ledger=self.rows(), rules=rules, text=text))
+        n = new.count()
+        if n:
+            new.write.mode("append").parquet(self.path)
+        return n
+
+
 def findings(paths: DataFrame, ledger: DataFrame, *, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """``paths`` less the text, each with ``blob``, ``n_<kind>`` and ``spans`` (kind:start:end, by start, then kind)."""
     paths = without(paths, "blob", "spans", *[f"n_{r.kind}" for r in rules])
     rank = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (r.name, k)])
     each = (
         ledger.where(F.col("rule").isin([r.name for r in rules]) & (F.size("spans") > 0))
+        .dropDuplicates(["blob", "rule"])
         .select("blob", F.explode("spans").alias("s"), rank[F.col("rule")].alias("rank"))
         .groupBy("blob")
         .agg(
@@ -120,8 +150,15 @@ def findings(paths: DataFrame, ledger: DataFrame, *, rules: tuple[Rule, ...] = R
     return named.join(each, "blob", "left").select(*named.columns, *zero, F.coalesce("spans", F.lit("")).alias("spans"))
 
 
+def base_spans(spans: Column) -> Column:
+    """Of a list of spans, those of the kinds in RULES."""
+    kinds = F.array(*[F.lit(r.kind) for r in RULES])
+    return F.array_join(F.filter(F.split(spans, ","), lambda x: F.array_contains(kinds, F.substring_index(x, ":", 1))), ",")
+
+
 def op8_secret_ledger(spark, sf_dir):
-    """One row per document: counts, digest and list of its secrets' spans."""
+    """One row per document: counts, digest and list of its secrets' spans. Every run starts a ledger of its own."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ledger = Workspace(spark).write(scan(docs))
-    return findings(docs, ledger).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
+    ledger = Ledger(spark, f"{Workspace(spark).root}/ledger")
+    ledger.update(docs)
+    return findings(docs, ledger.rows()).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(base_spans(F.col("spans")), 256).alias("base_sha256"), "spans")

@@ -575,6 +575,30 @@ def test_ledger_is_incremental(spark):
     assert secrets.scan(first.limit(0)).collect() == []
 
 
+def test_stored_ledger(spark, tmp_path, monkeypatch):
+    ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger")
+    first = spark.createDataFrame([(1, "token=abcdef"), (2, "clean"), (3, None), (4, "token=abcdef")], "doc_id long, text string")
+    assert ledger.rows().count() == 0 and ledger.update(first) == 9
+    scanned = []
+    inner = secrets._scan
+    monkeypatch.setattr(secrets, "_scan", lambda blobs, rule: scanned.append(blobs.count()) or inner(blobs, rule))
+    assert ledger.update(first) == 0 and scanned == [0, 0, 0]
+    scanned.clear()
+    assert ledger.update(first.union(spark.createDataFrame([(5, "secret: 123456")], first.schema))) == 3 and scanned == [1, 1, 1]
+    twice = ledger.rows().unionByName(ledger.rows())  # as after two runs at once
+    assert got(secrets.findings(first, twice).select("doc_id", "spans")) == [(1, "assign:0:12"), (2, ""), (3, ""), (4, "assign:0:12")]
+    more = (*secrets.RULES, secrets.Rule("pem", 1, "-----BEGIN[A-Z ]+-----", 0, 10, "-----BEGIN"))
+    text = spark.createDataFrame([(1, "token=abcdef -----BEGIN KEY-----")], "doc_id long, text string")
+    out = secrets.findings(text, secrets.scan(text, rules=more), rules=more).select("spans", secrets.base_spans(F.col("spans")).alias("base")).first()
+    assert out.spans == "assign:0:12,pem:13:32" and out.base == "assign:0:12"
+
+
+def test_very_long_secret_texts(spark):
+    text = ("word = x, " * 30_000 + "api_key: '" + "A9" * 40 + "' ") * 4 + "AKIA" + "Z" * 200_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secrets.findings(df, secrets.scan(df)).first().spans == brute_spans(text)
+
+
 # 9 decontamination
 
 
