@@ -326,27 +326,48 @@ def test_line_cases(spark):
 # 5 WARC
 
 
-def test_bundles(spark):
+def test_bundles(spark, tmp_path):
+    import zstandard
+
     rows = [(3, "u", "same"), (1, "u\r\nx", "same"), (2, None, None), (4, "u", ""), (5, "u", "ü" * 5000), (6, "u", "z" * 9000), (7, "u", "<p>" * 10), (None, "u", "n")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, record string, sha string").repartition(2)
     stored = warc.bundles(pages, frame=4000, bundle=6000)
-    found = {r.record: r for r in warc.read(stored).collect()}
+    found = {r.page_id: r for r in warc.read(stored).collect()}
     assert {k: (r.record_type, r.refers_to) for k, r in found.items()} == {"1": ("response", None), "3": ("revisit", "1"), "2": ("response", None), "4": ("revisit", "2"), "5": ("response", None), "6": ("response", None), "7": ("response", None), "": ("response", None)}
     assert found["5"].payload.decode() == "ü" * 5000 and found["3"].payload_bytes == 4
-    import zstandard
-
+    files = warc.export(stored, f"file://{tmp_path}/warc")
+    assert sorted(files) == sorted(os.listdir(f"{tmp_path}/warc")) and len(files) == stored.count() > 1
+    assert sorted(warc.export(stored, f"file://{tmp_path}/warc")) == sorted(files)
     for b in stored.collect():
+        with open(f"{tmp_path}/warc/{b.bundle}.warc.zst", "rb") as f:
+            assert f.read() == b.body
         whole = zstandard.ZstdDecompressor().stream_reader(b.body, read_across_frames=True).read()
-        assert len(whole) == sum(f.plain for f in b.frames)
+        assert len(whole) == sum(f.plain for f in b.frames) and whole.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")
         assert warc.seek_table(b.body) == [(f.start, f.size, f.plain) for f in b.frames]
         for x in b["index"]:
-            fields, _ = warc.parse(warc.lookup(b.body, x.frame, x.start, x.size))
-            assert fields["WARC-Record-ID"] == f"<urn:page:{x.record}>"
+            fields, message = warc.parse(warc.lookup(b.body, x.frame, x.start, x.size))
+            assert fields["WARC-Record-ID"] == f"<urn:page:{x.record}>" and fields["Content-Type"].startswith("application/http")
+            assert message.startswith(b"HTTP/1.1 200 OK\r\n")
     assert warc.bundles(pages.limit(0)).collect() == []
-    some = {r.record: r.record_type for r in warc.read(warc.bundles(pages, least=3)).collect()}
+    some = {r.page_id: r.record_type for r in warc.read(warc.bundles(pages, least=3)).collect()}
     assert some["4"] == "response" and some["3"] == "revisit"
 
 
+def test_bundles_of_repeated_ids(spark):
+    rows = [(None, "u", "a")] * 40 + [(1, "u", "a")] * 3 + [(1, "u", "b")] * 2 + [(1, "v", "b"), (2, "u", "c"), (2, "u", "d")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = warc.read(warc.bundles(pages, frame=500)).collect()
+    assert len(found) == len({r.record for r in found}) == len(rows)
+    kinds = defaultdict(lambda: defaultdict(int))
+    for r in found:
+        kinds[(r.page_id, r.payload_digest)][(r.record_type, r.refers_to)] += 1
+    sha = lambda t: warc.digest(t.encode())
+    assert {k: dict(v) for k, v in kinds.items()} == {
+        ("", sha("a")): {("response", None): 1, ("revisit", ""): 39}, ("1", sha("a")): {("revisit", ""): 3}, ("1", sha("b")): {("response", None): 1, ("revisit", "1"): 2},
+        ("2", sha("c")): {("response", None): 1}, ("2", sha("d")): {("response", None): 1},
+    }
+
+
 # 6 language ID
 
 
