@@ -10,14 +10,21 @@ leaf id.
 Template: every turn is START role SEP text END. Texts and roles are escaped:
 a backslash is doubled, and one is put after the first character of every
 control string (those of the template and of other common ones), so none is
-left and ``unescape`` restores all. A conversation is rows ``(tree, leaf,
-part, formatted, loss)`` of about ``PART`` characters cut between turns, so
-one of any length is written and read in bounded memory; ``loss`` has the
-spans (code points in the part, end exclusive) of assistant texts.
-
-Defined cases: a null text or role is empty; a null tree is a tree of its own;
-a parent that is missing makes its child a root; messages on a parent cycle
-have no root and are in no path; an empty table gives no conversation.
+left and ``unescape`` restores all.
+
+Output contract: a conversation is one row ``(tree, leaf, part, last,
+formatted, loss)`` with part 0, unless it is over ``part`` characters (2^20 by
+default). Then it is several, cut between turns and numbered, of which the
+last has ``last``; joined in order they are the conversation. So one of any
+length is written and read in bounded memory. ``loss`` has the spans (code
+points in the part, end exclusive) of assistant texts.
+
+Defined cases: a null text or role is empty; messages of a null tree are one
+tree; of messages that share tree and id one stands, the least by parent,
+role, text and score (nulls first); a message without id is passed over; a
+parent that is missing makes its child a root; messages on a parent cycle
+have no root and are in no path; an empty table gives no conversation; other
+columns are passed over, whatever their names.
 Repeated rows of ``conversations`` are turns like any other, ordered by turn,
 role, then text (nulls first).
 """
@@ -97,19 +104,35 @@ def branches(ws: Workspace, messages: DataFrame, *, top: int | None = 1) -> tupl
     return chosen, path
 
 
+def messages_once(messages: DataFrame) -> DataFrame:
+    """``messages`` with null trees as a tree of its own and one message for each (tree, id)."""
+    rows = messages.where("id is not null").select(long_key(F.col("tree")).alias("tree"), "id", F.struct("parent", "role", "text", F.col("score").cast("double").alias("score")).alias("m"))
+    return rows.groupBy("tree", "id").agg(F.min("m").alias("m")).select("tree", "id", "m.*")
+
+
+def conversations(ws: Workspace, messages: DataFrame, *, top: int | None = 1, unique: bool = False, part: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The best ``top`` branches of each tree, as of ``branches``, and each as one formatted conversation, as of ``format_paths``.
+    ``unique``: no (tree, id) repeats and no tree is null, so nothing need be merged."""
+    if not unique:
+        messages = ws.write(messages_once(messages))
+    chosen, path = branches(ws, messages, top=top)
+    return chosen, format_paths(path, messages, part=part or PART)
+
+
 def format_paths(path: DataFrame, messages: DataFrame, *, learned: tuple[str, ...] = LEARNED, part: int = PART) -> DataFrame:
-    """Conversations of the chosen paths, in parts: ``(tree, leaf, part, formatted, loss)``."""
+    """Conversations of the chosen paths: ``(tree, leaf, part, last, formatted, loss)``."""
     rows = path.join(messages.select("tree", "id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")), ["tree", "id"])
     rows = rows.select("tree", "leaf", "pos", "role", "text").repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "pos")
-    schema = pa.schema([("tree", pa.int64()), ("leaf", pa.int64()), ("part", pa.int32()), ("formatted", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    schema = pa.schema([("tree", pa.int64()), ("leaf", pa.int64()), ("part", pa.int32()), ("last", pa.bool_()), ("formatted", pa.string()), ("loss", pa.list_(span))])
 
     def run(batches):
         now, number, texts, spans, size, done, chars = None, 0, [], [], 0, [], 0
 
-        def flush():
+        def flush(last):
             nonlocal texts, spans, size, number
             if texts:
-                done.append((*now, number, "".join(texts), spans))
+                done.append((*now, number, last, "".join(texts), spans))
                 texts, spans, size, number = [], [], 0, number + 1
 
         def out():
@@ -121,28 +144,33 @@ def format_paths(path: DataFrame, messages: DataFrame, *, learned: tuple[str, ..
         for batch in batches:
             for tree, leaf, role, text in zip(*(batch.column(c).to_pylist() for c in ("tree", "leaf", "role", "text")), strict=True):
                 if (tree, leaf) != now:
-                    flush()
+                    flush(True)
                     now, number = (tree, leaf), 0
+                elif size >= part:
+                    flush(False)
                 head, body = f"{START}{escape(role)}{SEP}", escape(text)
                 if role in learned:
                     spans.append({"start": size + len(head), "end": size + len(head) + len(body)})
                 texts += (head, body, END)
                 size += len(head) + len(body) + len(END)
                 chars += len(head) + len(body) + len(END)
-                if size >= part:
-                    flush()
                 if chars >= part and done:
                     yield out()
-        flush()
+        flush(True)
         if done:
             yield out()
 
-    return rows.mapInArrow(run, "tree long, leaf long, part int, formatted string, loss array<struct<start:bigint,end:bigint>>")
+    return rows.mapInArrow(run, "tree long, leaf long, part int, last boolean, formatted string, loss array<struct<start:bigint,end:bigint>>")
+
 
+def read_back(formatted: DataFrame) -> DataFrame:
+    """What formatted conversations say, one row each: turns, digests of turns and of the text under the mask.
+    Only those of several parts need to be brought together."""
+    whole = F.col("last") & (F.col("part") == 0)
+    return _read(formatted.where(whole)).unionByName(_read(formatted.where(~whole).repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "part")))
 
-def read_back(conversations: DataFrame) -> DataFrame:
-    """What the formatted conversations say, one row each: turns, digests of turns and of the text under the mask."""
-    rows = conversations.repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "part")
+
+def _read(rows: DataFrame) -> DataFrame:
     names = ("tree", "leaf", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
 
@@ -154,13 +182,12 @@ def read_back(conversations: DataFrame) -> DataFrame:
                 done.append((*now, turns, all_turns.hexdigest(), lost, all_loss.hexdigest(), size))
 
         for batch in batches:
-            for at in range(len(batch)):
-                x = batch.slice(at, 1).to_pylist()[0]
-                if (x["tree"], x["leaf"]) != now:
+            for tree, leaf, text, loss in zip(*(batch.column(c).to_pylist() for c in ("tree", "leaf", "formatted", "loss")), strict=True):
+                if (tree, leaf) != now:
                     flush()
-                    now = (x["tree"], x["leaf"])
+                    now = (tree, leaf)
                     turns, lost, size, all_turns, all_loss = 0, 0, 0, hashlib.sha256(), hashlib.sha256()
-                text, end = x["formatted"], 0
+                end = 0
                 for m in _TURN.finditer(text):
                     if m.start() != end:
                         raise ValueError(f"text between turns in conversation {now}")
@@ -168,7 +195,7 @@ def read_back(conversations: DataFrame) -> DataFrame:
                     all_turns.update(f"{unescape(m[1])}\n{unescape(m[2])}\n".encode())
                 if end != len(text):
                     raise ValueError(f"text after the last turn in conversation {now}")
-                for span in x["loss"]:
+                for span in loss:
                     learned = unescape(text[span["start"] : span["end"]])
                     lost += len(learned)
                     all_loss.update(learned.encode())
@@ -198,8 +225,8 @@ def op2_reply_trees(spark, sf_dir):
     more = spark.createDataFrame([(-7, 0, "user", CHECK_TEXT), (-7, 1, "assistant", CHECK_TEXT)], "conv_id long, turn long, role string, text string")
     ws = Workspace(spark)
     messages = ws.write(turn_messages(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)))
-    _, path = branches(ws, messages)
-    found = read_back(ws.write(format_paths(path, messages)))
+    _, formatted = conversations(ws, messages, unique=True)
+    found = read_back(ws.write(formatted))
     conv = F.when(F.col("tree") != F.lit(-(2**63)), F.col("tree")).alias("conv_id")
     return found.select(conv, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
