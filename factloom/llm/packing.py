@@ -1,12 +1,20 @@
 """Mixture-controlled packing: deficit round-robin over source queues, in closed form.
 
-Each source is a queue of tokens. Queues are served in blocks of ``QUANTUM``
-tokens; block j of a queue with weight w is due at (j + 1/2) / w, and blocks
-are served in order of due time, ties in order of the queues' names. That is
-deficit round-robin with credits carried for ever: at any time every queue has
-had its share to within one block, so windows get the target proportions and
-what a window lacks is made up in the next ones. An empty queue's share goes to
-the others. The served stream is cut into windows of ``WINDOW`` tokens.
+Each source is a queue of tokens with a weight. In deficit round-robin every
+round credits each queue with its weight and serves a block of ``QUANTUM``
+tokens from those whose credit has reached a block; what is left of the credit
+is carried on. Started with half a block of credit, queue q of weight w has the
+credit for its block j after (j + 1/2) QUANTUM / w rounds: so the order of
+service is known without playing the rounds (a test plays them, with deficit
+counters, and compares window by window). Ties go in order of the queues' names.
+At any time every queue has had its share to within one block, so windows get
+the target proportions, and what a window lacks is made up in the next ones. An
+empty queue's share goes to the others. The served stream is cut into windows
+of ``WINDOW`` tokens; ``window_mixtures`` reports what each got.
+
+Targets are ``weights`` by source, or the sources' sizes to the power
+``temper``: 1 is the corpus as it is, 0 the same for all. A target other than
+the corpus' own lasts until its queues run out, as every token is packed once.
 
 How many tokens come before a block is a sum over queues of closed terms, so
 every document finds its own windows from its offset in its queue. With more
@@ -120,16 +128,14 @@ def _weight(share: Fraction, whole: Fraction) -> int:
 
 
 class Mixture:
-    """The service order of the queues: ``totals`` tokens each, served by ``weights``."""
+    """The service order of the queues: ``totals`` tokens each, served by whole ``weights``."""
 
-    def __init__(self, totals: dict[str, int], weights: dict[str, float] | None = None, quantum: int = QUANTUM):
+    def __init__(self, totals: dict[str, int], weights: dict[str, int], quantum: int = QUANTUM):
         self.names = sorted(totals)
         self.number = {n: k for k, n in enumerate(self.names)}
         self.quantum = quantum
         self.total = np.array([totals[n] for n in self.names], np.int64)
-        share = [Fraction((weights or {}).get(n, 0 if weights else totals[n])) for n in self.names]
-        whole = sum(share) or 1
-        self.weight = np.array([_weight(s, whole) for s in share], np.int64)
+        self.weight = np.array([weights[n] for n in self.names], np.int64)
 
     def before(self, queue: np.ndarray, block: np.ndarray) -> np.ndarray:
         """Tokens of all queues that are served before each (queue, block)."""
@@ -177,14 +183,18 @@ def _cut(start: np.ndarray, n: np.ndarray, window: int, quantum: int, before):
     return doc, begin, end - at, at
 
 
-def _weighted(totals: DataFrame, weights: dict[str, float] | None) -> DataFrame:
-    """``totals(queue, total)`` with the ``weight`` that ``Mixture`` gives each queue."""
-    if not weights:
+def _weighted(totals: DataFrame, weights: dict[str, float] | None, temper: float) -> DataFrame:
+    """``totals(queue, total)`` with the ``weight`` of each queue, a whole multiple of 2^-WEIGHT_BITS of all."""
+    if not weights and temper == 1:
         whole = totals.agg(F.sum("total")).first()[0] or 1
         scaled = totals.withColumn("_s", F.expr(f"cast(total as decimal(20, 0)) * {1 << WEIGHT_BITS}")).withColumn("_q", F.expr(f"_s div {whole}"))
         left = F.expr(f"2 * (_s - cast(_q as decimal(20, 0)) * {whole})")
         up = (left > whole) | ((left == whole) & (F.col("_q") % 2 == 1))  # to the even one of two, as round() does
         return scaled.select("queue", "total", F.greatest(F.lit(1), F.col("_q") + up.cast("long")).alias("weight"))
+    if not weights:
+        power = F.pow(F.col("total").cast("double"), F.lit(float(temper)))
+        whole = totals.agg(F.sum(power)).first()[0] or 1.0
+        return totals.select("queue", "total", F.greatest(F.lit(1), F.round(power / whole * (1 << WEIGHT_BITS)).cast("long")).alias("weight"))
     spark = totals.sparkSession
     names = F.broadcast(spark.createDataFrame([(n,) for n in weights], "queue string"))
     share = {r["queue"]: Fraction(weights[r["queue"]]) for r in totals.join(names, "queue", "left_semi").collect()}
@@ -224,10 +234,10 @@ def _ranked(ws: Workspace, queues: DataFrame, quantum: int) -> DataFrame:
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, path: str, *, text: str = "text", source: str = "source", weights: dict[str, float] | None = None, window: int = WINDOW, quantum: int = QUANTUM, end_id: int | None = END_ID, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, *, text: str = "text", source: str = "source", weights: dict[str, float] | None = None, temper: float = 1.0, window: int = WINDOW, quantum: int = QUANTUM, end_id: int | None = END_ID, with_ids: bool = False) -> DataFrame:
     """The pieces of all documents: their columns but text, and ``PIECE`` (and ``ids``).
 
-    ``weights`` are target token proportions by source, those of the corpus if None.
+    ``weights`` are target token proportions by source; if None, the sources' sizes to the power ``temper``.
     """
     spark = docs.sparkSession
     ws = Workspace(spark)
@@ -241,8 +251,9 @@ def pack(docs: DataFrame, path: str, *, text: str = "text", source: str = "sourc
     targets = {f"={k}": v for k, v in weights.items()} if weights else None
     fields = [f for f in docs.schema.fields if f.name != text]
     at = (F.col("base") + F.col("ahead")).alias("_at")
-    few = totals.limit(QUEUES + 1).collect()
-    mixture = Mixture({r["queue"]: r["total"] for r in few}, targets, quantum) if len(few) <= QUEUES else None
+    queues = ws.write(_weighted(totals, targets, temper))
+    few = queues.limit(QUEUES + 1).collect()
+    mixture = Mixture({r["queue"]: r["total"] for r in few}, {r["queue"]: r["weight"] for r in few}, quantum) if len(few) <= QUEUES else None
     if mixture:
         placed = tokens.join(bases, ["queue", "chunk"]).select(*[f.name for f in fields], "queue", "n", "ids", at)
     else:
@@ -250,7 +261,7 @@ def pack(docs: DataFrame, path: str, *, text: str = "text", source: str = "sourc
         key = ["queue", "chunk", "ahead"]
         spans = tokens.where("n > 0").select(*key, "n").join(bases, ["queue", "chunk"]).select(*key, "n", at)
         spans = spans.select(*key, "_at", F.explode(F.expr(f"sequence(_at div {quantum}, (_at + n - 1) div {quantum})")).alias("block"))
-        found = spans.join(_ranked(ws, _weighted(totals, targets), quantum), ["queue", "block"])
+        found = spans.join(_ranked(ws, queues, quantum), ["queue", "block"])
         ranks = found.groupBy(*key, "_at").agg(F.array_sort(F.collect_list(F.struct("block", "before")))["before"].alias("_ranks"))
         placed = tokens.where("n > 0").join(ranks, key).select(*[f.name for f in fields], "n", "ids", "_at", "_ranks")
 
@@ -287,6 +298,21 @@ def sequences(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("sequence_id").agg(F.array_join(F.transform(own, lambda x: F.hex(x["ids"])), "").alias("h"), F.sum("length").alias("length")).select("sequence_id", F.unhex("h").alias("ids"), "length")
 
 
+def window_mixtures(pieces: DataFrame, *, source: str = "source") -> DataFrame:
+    """``(sequence_id, source, tokens, share, so_far)``: what each window has of each source, its share of the
+    window, and the source's share of all windows up to this one, which follows the target."""
+    own = pieces.groupBy("sequence_id", F.col(source).alias("source")).agg(F.sum("length").alias("tokens"))
+    whole = own.groupBy("sequence_id").agg(F.sum("tokens").alias("size"))
+    full = pieces.agg(F.max(F.col("offset") + F.col("length")).alias("window"))
+    order = W.partitionBy("source").orderBy("sequence_id").rowsBetween(W.unboundedPreceding, 0)
+    rows = own.join(whole, "sequence_id").crossJoin(F.broadcast(full)).withColumn("sum", F.sum("tokens").over(order))  # one row
+    return rows.select("sequence_id", "source", "tokens", (F.col("tokens") / F.col("size")).alias("share"), (F.col("sum") / (F.col("sequence_id") * F.col("window") + F.col("size"))).alias("so_far"))
+
+
+#: Targets of the registered query: small sources count for more than they have.
+TEMPER = 0.7
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -296,4 +322,4 @@ def vocabulary() -> str:
 def op7_mixture_packing(spark, sf_dir):
     """One row per piece of a document in a training window."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return pack(docs, vocabulary()).select("doc_id", *[c.split()[0] for c in PIECE.split(", ")])
+    return pack(docs, vocabulary(), temper=TEMPER).select("doc_id", "source", *[c.split()[0] for c in PIECE.split(", ")])

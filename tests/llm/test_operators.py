@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import re
 import zlib
@@ -172,6 +173,56 @@ def test_long_conversation(spark):
     assert out[-(2**63)].n_turns == 1 and out[-(2**63)].loss_chars == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_trees(spark, seed):
+    """Ranks, ties and depths of all branches of random forests with cycles, lost parents, repeated and missing ids."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for tree in [None, 1, 2, 3, 4, 5]:
+        n = int(rng.integers(1, 60))
+        for k in range(n):
+            parent = [None, int(rng.integers(0, n)), n + 5, max(0, k - 1), max(0, k - 1)][int(rng.integers(0, 5))]
+            rows.append((tree, k, None if parent == k else parent, str(rng.choice(["user", "assistant"])), f"t{k}", float(rng.integers(0, 3))))
+        rows += [rows[-1], (tree, 0, None, "user", "a", 1.0), (tree, None, 0, "user", "nobody", 9.0)]
+    rows += [(9, k, k - 1 if k else None, "user", "x", 0.0) for k in range(130)] * 3
+    once = {}
+    for r in rows:
+        if r[1] is not None:
+            order = lambda x: tuple((v is not None, v) for v in x[2:])
+            once[r[:2]] = min(once.get(r[:2], r), r, key=order)
+
+    def path(r):
+        out = [r]
+        while out[-1][2] is not None and (r[0], out[-1][2]) in once:
+            out.append(once[(r[0], out[-1][2])])
+            if len(out) > len(once):
+                return None
+        return out[::-1]
+
+    parents = {(r[0], r[2]) for r in once.values() if r[2] is not None}
+    want = defaultdict(list)
+    for key, r in once.items():
+        if key not in parents and (p := path(r)):
+            want[r[0]].append((-sum(x[5] for x in p), 1 - len(p), r[1], [x[1] for x in p]))
+    want = {t: sorted(v) for t, v in want.items()}
+    ws = common.Workspace(spark)
+    df = spark.createDataFrame([(*r, "c") for r in rows], "tree long, id long, parent long, role string, text string, score double, leaf string")
+    chosen, formatted = chat.conversations(ws, df, top=None, part=40)
+    name = lambda t: None if t == -(2**63) else t
+    have = defaultdict(list)
+    for r in chosen.orderBy("rank").collect():
+        have[name(r.tree)].append((-r.total, -r.depth, r.leaf))
+    assert have == {t: [x[:3] for x in v] for t, v in want.items()}
+    back = {(name(r.tree), r.leaf): r for r in chat.read_back(ws.write(formatted)).collect()}
+    assert back.keys() == {(t, x[2]) for t, v in want.items() for x in v}
+    for t, v in want.items():
+        for x in v:
+            turns = "".join(f"{once[(t, k)][3]}\n{once[(t, k)][4]}\n" for k in x[3])
+            assert back[(t, x[2])].turns_sha256 == hashlib.sha256(turns.encode()).hexdigest()
+    best, _ = chat.conversations(ws, df)
+    assert {name(r.tree): r.leaf for r in best.collect()} == {t: v[0][2] for t, v in want.items()}
+
+
 # 3 embedding near-dedup
 
 
@@ -478,23 +529,29 @@ def test_filter_against_sets(spark, lake):
 # 7 packing
 
 
-def replay(totals, weights, quantum):
-    """Deficit round-robin by simulation: the queue whose next block is due first is served."""
-    names, at, out = sorted(totals), dict.fromkeys(totals, 0), []
-    mix = packing.Mixture(totals, weights, quantum)
-    while any(at[n] < totals[n] for n in names):
-        n = min((n for n in names if at[n] < totals[n]), key=lambda n: ((2 * (at[n] // quantum) + 1) / int(mix.weight[mix.number[n]]), n))
-        size = min(quantum, totals[n] - at[n])
-        out += [(n, at[n] + k) for k in range(size)]
-        at[n] += size
+def deficit_round_robin(totals, weights, quantum):
+    """Rounds with deficit counters: each credits every queue with its weight and serves the blocks that the credit pays for."""
+    cost = 2 * math.lcm(*weights.values())
+    credit, at, out = dict.fromkeys(sorted(totals), cost // 2), dict.fromkeys(totals, 0), []
+    while any(at[n] < totals[n] for n in at):
+        for n in credit:
+            if at[n] == totals[n]:
+                continue
+            credit[n] += weights[n]
+            while credit[n] >= cost and at[n] < totals[n]:
+                credit[n] -= cost
+                size = min(quantum, totals[n] - at[n])
+                out += [(n, at[n] + k) for k in range(size)]
+                at[n] += size
     return out
 
 
-@pytest.mark.parametrize("weights", [None, {"a": 3, "b": 1}])
-def test_mixture_order(weights):
+@pytest.mark.parametrize("weights", [{"a": 3, "b": 1, "c": 2, "d": 1}, {"a": 7, "b": 5, "c": 1, "d": 12}])
+def test_mixture_is_deficit_round_robin(weights):
     totals = {"a": 700, "b": 90, "c": 33, "d": 1}
-    stream = replay(totals, weights, 8)
-    mix = packing.Mixture(totals, weights, 8)
+    stream = deficit_round_robin(totals, weights, 8)
+    mix = packing.Mixture(totals, {n: w << 10 for n, w in weights.items()}, 8)
+    windows = defaultdict(dict)
     for n in totals:
         rng = np.random.default_rng(2)
         cuts = [0, *sorted(rng.choice(totals[n] + 1, 5)), totals[n]]
@@ -502,7 +559,19 @@ def test_mixture_order(weights):
         doc, begin, length, rank = mix.cut(np.full(len(start), mix.number[n]), start, size, 20)
         assert length.sum() == totals[n] and (length > 0).all() and (rank // 20 == (rank + length - 1) // 20).all()
         for d, b, m, r in zip(doc, begin, length, rank, strict=True):
-            assert stream[r : r + m] == [(n, start[d] + b + k) for k in range(m)]
+            windows[r // 20].update({int(r % 20) + k: (n, int(start[d] + b) + k) for k in range(m)})
+    assert {w: [own[k] for k in sorted(own)] for w, own in windows.items()} == {w: stream[20 * w : 20 * w + 20] for w in range(-(-len(stream) // 20))}
+
+
+def test_mixture_targets(spark):
+    rows = docs(spark, [(k, f"word{k} and more words " * 60, "abc"[min(k % 10, 2)]) for k in range(200)])
+    pieces = packing.pack(rows, packing.vocabulary(), window=256, quantum=32, weights={"a": 2.0, "b": 1.0, "c": 1.0})
+    own = packing.window_mixtures(pieces).where("sequence_id < 40").collect()
+    target = {"a": 0.5, "b": 0.25, "c": 0.25}
+    # While no queue is empty each source has had its target to within a block; what a window lacks the next ones make up.
+    assert len(own) == 120 and all(abs(r.so_far - target[r.source]) * 256 * (r.sequence_id + 1) <= 32 for r in own)
+    even = packing.window_mixtures(packing.pack(rows, packing.vocabulary(), window=256, quantum=32, temper=0.0)).where("sequence_id < 40").collect()
+    assert all(abs(r.so_far - 1 / 3) * 256 * (r.sequence_id + 1) <= 32 for r in even)
 
 
 def test_packing(spark, lake):
@@ -537,11 +606,11 @@ def test_packing_cases(spark):
     assert packing.pack(rows.limit(0), packing.vocabulary()).collect() == []
 
 
-@pytest.mark.parametrize("weights", [None, {"s0": 3.0, "s1": 1.0, "gone": 5.0}])
-def test_packing_many_sources(spark, monkeypatch, weights):
+@pytest.mark.parametrize(("weights", "temper"), [(None, 1.0), (None, 0.6), ({"s0": 3.0, "s1": 1.0, "gone": 5.0}, 1.0)])
+def test_packing_many_sources(spark, monkeypatch, weights, temper):
     rows = [(k, "some words of mine " * (200 if k < 2 else k % 40), f"s{k}") for k in range(1200)] + [(5000 + k, "and some more words here", f"s{k % 7}") for k in range(50)] + [(None, "x y", None), (3, None, None)]
     rows = docs(spark, rows)
-    run = lambda: packing.pack(rows, packing.vocabulary(), window=128, quantum=16, weights=weights, with_ids=True)
+    run = lambda: packing.pack(rows, packing.vocabulary(), window=128, quantum=16, weights=weights, temper=temper, with_ids=True)
     found = run()
     assert {r.length for r in packing.sequences(found).collect()} <= {128, sum(r.length for r in found.collect()) % 128}
     if weights:  # the first windows have their targets
