@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import decontaminate, language, lines, packing, simhash
-from factloom.llm.common import Workspace, table
+from factloom.llm.common import Workspace, scope, table
 
 #: A text of which the chosen language knows fewer n-grams than this share is in none of the languages.
 LEAST_SCORE = 0.3
@@ -45,9 +45,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in training windows."""
-    pieces = packing.pack(docs.select("doc_id", "text", "source"), packing.vocabulary())
-    return pieces.select("doc_id", "source", *[c.split()[0] for c in packing.PIECE.split(", ")])
+    """The pieces of all documents in training windows, with their token ids; ``packing.sequences`` joins them to windows."""
+    pieces = packing.pack(docs.select("doc_id", "text", "source"), packing.vocabulary(), temper=packing.TEMPER, with_ids=True)
+    return pieces.select("doc_id", "source", *[c.split()[0] for c in packing.PIECE.split(", ")], "ids")
 
 
 STAGES = [
@@ -63,9 +63,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read as the next one's input."""
+    """All stages over ``documents``, each written as Parquet and read as the next one's input.
+    A stage's work tables go when it has been written, its input when the next one has."""
     ws = Workspace(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, held = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = ws.write(stage(spark, docs, sf_dir))
+        with scope():
+            docs = ws.write(stage(spark, docs, sf_dir))
+        if held is not None:
+            ws.drop(held)
+        held = docs
     return docs
