@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,19 +10,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Characters that a path in a policy keeps as they are, and those that are never escaped.
+SAFE = "/?:@!$&'()*+,;=%"
+UNRESERVED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~"
+_UNIT = re.compile(rf"%[0-9A-Fa-f]{{2}}|[^{re.escape(SAFE + UNRESERVED)}]", re.S)
 
-SAFE = "/?:@!$&'()*+,;=-._~%"
-_KEPT = re.compile(r"[A-Za-z0-9._~-]")
 
+def _escaped(unit: re.Match) -> str:
+    if len(unit[0]) == 1:
+        return "".join(f"%{b:02X}" for b in unit[0].encode())
+    plain = chr(int(unit[0][1:], 16))
+    return plain if plain in UNRESERVED else unit[0].upper()
 
-def canonical_path(value: str) -> str:
-    """Percent escapes of plain characters undone, others in upper case."""
-
-    def one(m: re.Match) -> str:
-        c = chr(int(m[0][1:], 16))
-        return c if _KEPT.fullmatch(c) else m[0].upper()
 
-    return re.sub("%[0-9a-fA-F]{2}", one, quote(value, safe=SAFE))
+def canonical_path(value: str) -> str:
+    """Percent escapes of plain characters undone, others in upper case; what is not plain is escaped."""
+    return _UNIT.sub(_escaped, value)
 
 
 @F.pandas_udf(T.StringType())
@@ -32,21 +34,26 @@ def robots_path(value: pd.Series) -> pd.Series:
 
 
 def path_matches(pattern: str, target: str) -> bool:
-    """``*`` is anything, a last ``$`` is the end; linear time, no regular expression."""
-    whole = pattern.endswith("$")
-    first, *rest = pattern.removesuffix("$").split("*")
-    if not target.startswith(first):
-        return False
-    at = len(first)
-    if not rest:
-        return not whole or at == len(target)
-    last = rest.pop() if whole else None
-    for part in rest:
-        k = target.find(part, at)
-        if k < 0:
+    """``*`` is anything, a last ``$`` is the end.
+
+    An automaton with a state for each plain character of the pattern, all states in the bits of one
+    integer: a character moves states on, a wildcard keeps its state. One step a character, no way back."""
+    plain = pattern.removesuffix("$").replace("*", "")
+    stay = 0 if pattern.endswith("$") else 1 << len(plain)
+    moves: dict[str, int] = {}
+    k = 0
+    for c in pattern.removesuffix("$"):
+        if c == "*":
+            stay |= 1 << k
+        else:
+            moves[c] = moves.get(c, 0) | 1 << k
+            k += 1
+    state = 1
+    for c in target:
+        state = (state & moves.get(c, 0)) << 1 | state & stay
+        if not state:
             return False
-        at = k + len(part)
-    return last is None or target.endswith(last) and len(target) - len(last) >= at
+    return bool(state >> len(plain) & 1)
 
 
 @F.pandas_udf(T.BooleanType())
