@@ -44,8 +44,8 @@ from factloom.llm.common import Workspace, components, extended, long_key, table
 
 COSINE = 0.93
 RECALL = 0.99
-SAMPLE = 1 << 16
-SAMPLE_BYTES = 64 << 20
+SAMPLE = 1 << 15
+SAMPLE_BYTES = 32 << 20
 MAX_CENTROIDS = 4096
 PER_CELL = 128
 BIN = 4096
@@ -59,8 +59,9 @@ def matrix(column: pa.Array) -> np.ndarray:
     """Vectors of one dimension, scaled to length 1; by their largest component first, so that no square overflows or vanishes."""
     flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy(zero_copy_only=False)
     x = flat.astype(np.float64).reshape(len(column), -1)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x
 
 
 def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -104,8 +105,8 @@ class MultiIndex:
     def _pairs(x: np.ndarray, sample: np.ndarray, cosine: float) -> np.ndarray:
         """Linked pairs within the sample, at most one for each of its first vectors: the least similar, which is the hardest."""
         out = []
-        for a in range(0, len(x), 500):
-            c = x[a : a + 500] @ sample.T
+        for a in range(0, len(x), 100):
+            c = x[a : a + 100] @ sample.T
             c[np.arange(len(c)), a + np.arange(len(c))] = 0
             c[c < cosine] = 2
             j = c.argmin(1)
