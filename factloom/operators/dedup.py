@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.operators.fold import folded
+from factloom.operators.select import top_k
+
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
@@ -20,30 +22,32 @@ def first_of(rows: DataFrame, key: str, item: str) -> DataFrame:
 
 def kept_documents(docs: DataFrame, scope: list[str], *, order: str = "ord", url: str = "url", digest: str = "content_hash") -> DataFrame:
     """In order, a document whose URL or content equals that of a *kept* one gives way to it: ``kept_ord`` names it.
-    Exact, so a fold over each scope (a job has few documents)."""
+    Exact, so a fold over each scope, whose state is the kept documents' URLs and digests (a job has few)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def start():
         seen: dict[tuple[str, str], int] = {}
-        out = []
-        pdf = pdf.sort_values(order)
-        for o, u, d in zip(pdf[order], pdf[url], pdf[digest], strict=True):
+
+        def step(o, u, d):
             kept = seen.get(("u", u), seen.get(("d", d)))
             if kept is None:
                 seen[("u", u)] = seen[("d", d)] = kept = o
-            out.append(kept)
-        return pdf.assign(kept_ord=out)
+            return (kept,)
+
+        return step
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.groupBy(*scope).applyInPandas(run, f"{schema}, kept_ord long")
+    return folded(docs, scope, [F.asc(order)], [order, url, digest], "kept_ord long", start)
 
 
 def upsert(rows: DataFrame, keys: list[str], order: str, *, scope: list[str] | None = None, most: int | None = None) -> DataFrame:
-    """The last row of each key; with ``most``, only the keys first seen among that many."""
-    own = W.partitionBy(*keys)
-    out = rows.withColumn("_last", F.max(order).over(own)).withColumn("_first", F.min(order).over(own)).where(F.col(order) == F.col("_last"))
+    """The last row of each key; with ``most``, only the keys first seen among that many, in each ``scope`` or in all."""
+    own = rows.groupBy(*keys).agg(F.max(order).alias("_last"), F.min(order).alias("_first"))
     if most is not None:
-        out = out.withColumn("_rank", F.row_number().over(W.partitionBy(*(scope or [])).orderBy("_first"))).where(F.col("_rank") <= most).drop("_rank")
-    return out.drop("_last", "_first")
+        own = top_k(own, scope, [F.asc("_first")], most) if scope else own.orderBy("_first").limit(most)
+    last = own.select(*[F.col(k).alias(f"_{n}") for n, k in enumerate(keys)], "_last")
+    same = F.col(order) == F.col("_last")
+    for n, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_{n}"))
+    return rows.join(last, same, "left_semi")
 
 
 def merged(base: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
@@ -58,8 +62,15 @@ def set_mismatch(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
     return out.where("n_left <> 1 or n_right <> 1")
 
 
+#: Characters of a name that details are looked up by.
+LEAD = 8
+
+
 def without_resolved(gaps: DataFrame, resolved: DataFrame, area: str) -> DataFrame:
-    """Gaps of ``area`` whose detail starts with the name of something now resolved go."""
-    hit = resolved.select(F.col("name").alias("_name"))
-    own = (F.col("area") == area) & F.startswith("detail", F.col("_name"))
-    return gaps.join(F.broadcast(hit), own, "left_anti")
+    """Gaps of ``area`` whose detail starts with the name of something now resolved go.
+    Names are looked up by their first characters, then compared whole."""
+    names = resolved.where("name is not null").select(F.col("name").alias("_name"), F.left("name", F.lit(LEAD)).alias("_lead")).distinct()
+    leads = F.array_distinct(F.array(*[F.left("detail", F.lit(n)) for n in range(LEAD + 1)]))
+    details = gaps.where(F.col("area") == area).select("detail").distinct().withColumn("_lead", F.explode(leads))
+    hit = details.join(names, "_lead").where(F.startswith("detail", F.col("_name"))).select(F.lit(area).alias("area"), "detail").distinct()
+    return gaps.join(hit, ["area", "detail"], "left_anti").select(*gaps.columns)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.operators.fold import folded
+
 RESOURCES = ("calls", "input_tokens", "output_tokens", "tool_calls")
 
 
@@ -59,68 +60,72 @@ def capacity(rows: DataFrame, keys: list[str], *, size: str, item: str, most_ite
 
 
 def admissions(events: DataFrame, scope: list[str], order: str, amount: str, *, budget: int) -> DataFrame:
-    """Reservations in order: admitted while they fit in what earlier admitted ones left; refused ones cost nothing.
+    """Reservations in order: admitted while they fit in what earlier admitted ones left; refused ones cost nothing."""
+
+    def start():
+        used = 0
 
-    A fold over each job's own list of events."""
-    listed = events.groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(amount).cast("long").alias("n")))).alias("l"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<o:bigint,ok:boolean>>").alias("out"))
+        def step(n):
+            nonlocal used
+            ok = used + n <= budget
+            used += n * ok
+            return (ok,)
 
-    def step(s: Column, x: Column) -> Column:
-        ok = s["used"] + x["n"] <= budget
-        return F.struct(F.when(ok, s["used"] + x["n"]).otherwise(s["used"]).alias("used"), F.array_append(s["out"], F.struct(x["o"].cast("long").alias("o"), ok.alias("ok"))).alias("out"))
+        return step
 
-    out = listed.select(*scope, F.explode(F.aggregate("l", start, step, lambda s: s["out"])).alias("x"))
-    return out.select(*scope, F.col("x.o").alias(order), F.col("x.ok").alias("admitted"))
+    return folded(events.select(*scope, order, F.col(amount).cast("long").alias("_n")), scope, [F.asc(order)], ["_n"], "admitted boolean", start).drop("_n")
 
 
 def ledger(events: DataFrame, scope: list[str], limits: dict[str, int]) -> DataFrame:
     """Reserve and settle events replayed in order (``ord, key, kind`` and the four resources): ``accepted`` for each,
     what is spent and in flight after it. A reservation must fit; settling frees it and spends the actual amount;
-    after a refusal the ledger is exhausted and takes no more."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        spent, flight, shut, out = dict.fromkeys(RESOURCES, 0), {}, False, []
-        for row in pdf.sort_values("ord").to_dict("records"):
-            amount = {r: int(row[r]) for r in RESOURCES}
-            if row["kind"] == "reserve":
-                held = {r: spent[r] + sum(f[r] for f in flight.values()) + amount[r] for r in RESOURCES}
-                ok = not shut and row["key"] not in flight and all(held[r] <= limits[r] for r in RESOURCES)
+    after a refusal the ledger is exhausted and takes no more. The state is the reservations in flight."""
+
+    def start():
+        spent, held, flight, shut = dict.fromkeys(RESOURCES, 0), dict.fromkeys(RESOURCES, 0), {}, False
+
+        def step(key, kind, *amounts):
+            nonlocal shut
+            amount = dict(zip(RESOURCES, amounts, strict=True))
+            if kind == "reserve":
+                ok = not shut and key not in flight and all(spent[r] + held[r] + amount[r] <= limits[r] for r in RESOURCES)
                 shut = shut or not ok
                 if ok:
-                    flight[row["key"]] = amount
+                    flight[key] = amount
+                    held.update({r: held[r] + amount[r] for r in RESOURCES})
             else:
-                ok = flight.pop(row["key"], None) is not None
+                freed = flight.pop(key, None)
+                ok = freed is not None
                 if ok:
-                    spent = {r: spent[r] + amount[r] for r in RESOURCES}
-            out.append((ok, spent["input_tokens"], sum(f["input_tokens"] for f in flight.values())))
-        return pdf.sort_values("ord").assign(accepted=[o[0] for o in out], spent_tokens=[o[1] for o in out], in_flight_tokens=[o[2] for o in out])
+                    held.update({r: held[r] - freed[r] for r in RESOURCES})
+                    spent.update({r: spent[r] + amount[r] for r in RESOURCES})
+            return ok, spent["input_tokens"], held["input_tokens"]
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in events.dtypes)
-    return events.groupBy(*scope).applyInPandas(run, f"{schema}, accepted boolean, spent_tokens long, in_flight_tokens long")
+        return step
+
+    return folded(events, scope, [F.asc("ord")], ["key", "kind", *RESOURCES], "accepted boolean, spent_tokens long, in_flight_tokens long", start)
 
 
 def admitted_jobs(submitted: DataFrame, *, running: int = 2, queued: int = 4, per_owner: int = 1) -> DataFrame:
     """Events ``(scope, ord, job_id, owner_hash, kind submit|finish)`` replayed: a submission enters if its owner has
-    fewer than ``per_owner`` open jobs and there is room to run or wait."""
+    fewer than ``per_owner`` open jobs and there is room to run or wait. The state is the open jobs."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def start():
         open_jobs: dict[str, str] = {}
-        out = []
-        own = pdf.sort_values("ord")
-        for job, owner, kind in zip(own["job_id"], own["owner_hash"], own["kind"], strict=True):
+
+        def step(job, owner, kind):
             if kind == "finish":
-                out.append("finished" if open_jobs.pop(job, None) else "ignored")
-            elif list(open_jobs.values()).count(owner) >= per_owner:
-                out.append("owner_busy")
-            elif len(open_jobs) >= running + queued:
-                out.append("full")
-            else:
-                open_jobs[job] = owner
-                out.append("running" if len(open_jobs) <= running else "queued")
-        return own.assign(outcome=out)
+                return ("finished" if open_jobs.pop(job, None) else "ignored",)
+            if list(open_jobs.values()).count(owner) >= per_owner:
+                return ("owner_busy",)
+            if len(open_jobs) >= running + queued:
+                return ("full",)
+            open_jobs[job] = owner
+            return ("running" if len(open_jobs) <= running else "queued",)
+
+        return step
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in submitted.dtypes)
-    return submitted.groupBy("scope").applyInPandas(run, f"{schema}, outcome string")
+    return folded(submitted, ["scope"], [F.asc("ord")], ["job_id", "owner_hash", "kind"], "outcome string", start)
 
 
 def durations(events: DataFrame, keys: list[str], order: list[Column], micros: Column) -> DataFrame:
@@ -136,18 +141,20 @@ def reusable(tasks: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 
 def invalidated(changed: DataFrame, edges: DataFrame, *, rounds: int = 32) -> DataFrame:
-    """Everything downstream of what changed over ``edges(src, dst)``; the graph is the stage plan, of a few nodes."""
-    return changed.sparkSession.sql(
+    """Everything downstream of what changed over ``edges(src, dst)``; the graph is the stage plan, of a few nodes.
+    A chain of ``rounds`` hops or a cycle is an error."""
+    found = changed.sparkSession.sql(
         """
         with recursive reach(node, depth) as (
           select node, 0 from {changed}
           union all
           select e.dst, r.depth + 1 from reach r join {edges} e on e.src = r.node where r.depth < {rounds})
-        select node, min(depth) as depth from reach group by node""",
+        select node, min(depth) as depth, max(depth) as longest from reach group by node""",
         changed=changed.select("node").distinct(),
         edges=edges.select("src", "dst"),
         rounds=rounds,
     )
+    return found.select("node", F.when(F.col("longest") < rounds, F.col("depth")).otherwise(F.raise_error(F.lit(f"more than {rounds} hops"))).alias("depth"))
 
 
 def remaining(plan: DataFrame, done: DataFrame, allowance: DataFrame) -> DataFrame:

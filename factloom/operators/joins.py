@@ -26,22 +26,36 @@ def all_match(owners: DataFrame, owner: str, parts: DataFrame, good: Column) ->
     return owners.join(bad, owner, "left_anti")
 
 
+#: Characters by which quotes of few words are looked up.
+GRAM = 3
+
+
 def quotes_in_texts(quotes: DataFrame, texts: DataFrame, *, quote: str, text: str) -> DataFrame:
-    """Pairs of a quote and a text that has it, as an equi-join.
+    """Pairs of a quote and a text that has it, as equi-joins; an empty quote is in no text.
 
     A word inside a quote, with something before and after it, is a whole word
-    of any text that has the quote. Each quote is looked up by its longest such
-    word among the texts' distinct words, and the pair is then confirmed.
-    Quotes without one (two words or fewer) are compared with every text."""
-    word = F.lit(r"(?U)\w+")
-    inner = lambda c: F.regexp_extract_all(c, word, F.lit(0))
+    of any text that has the quote: such a quote is looked up by its longest
+    inner word. Quotes without one (two words or fewer) are looked up by their
+    first characters among all runs of as many characters. Texts go into these
+    lookups as 128 bits of hash and their words or runs; the text itself is
+    fetched for the pairs found, and confirms."""
+    own = quotes.where(F.length(quote) > 0)
+    inner = lambda c: F.regexp_extract_all(c, F.lit(r"(?U)\w+"), F.lit(0))
+    runs = lambda c, n: F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
     longest = F.array_max(F.transform(F.slice(inner(F.col(quote)), 2, F.greatest(F.size(inner(F.col(quote))) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    own = quotes.withColumn("_anchor", longest)
-    held = texts.withColumn("_anchor", F.explode(F.array_distinct(inner(F.col(text)))))
-    hit = F.contains(F.col(text), F.col(quote))
-    found = held.join(own.where("_anchor is not null"), "_anchor").where(hit).drop("_anchor")
-    short = texts.join(own.where("_anchor is null").drop("_anchor"), hit)
-    return found.unionByName(short)
+    own = own.withColumn("_word", longest).withColumn("_size", F.when(F.col("_word").isNull(), F.least(F.length(quote), F.lit(GRAM))).otherwise(0))
+    own = own.withColumn("_anchor", F.coalesce("_word", F.left(quote, F.col("_size")))).drop("_word")
+    keyed = texts.withColumn("_h", F.xxhash64(text)).withColumn("_g", F.xxhash64(F.lit("text"), text))
+    sizes = sorted(r["_size"] for r in own.select("_size").distinct().collect())  # at most GRAM + 1
+    found = None
+    for size in sizes:
+        parts = inner(F.col(text)) if size == 0 else runs(F.col(text), size)
+        held = keyed.select("_h", "_g", F.explode(F.array_distinct(parts)).alias("_anchor"))
+        hit = own.where(F.col("_size") == size).drop("_size").join(held, "_anchor").drop("_anchor")
+        found = hit if found is None else found.unionByName(hit)
+    if found is None:
+        return own.drop("_size", "_anchor").join(texts, F.lit(False))
+    return found.distinct().join(keyed, ["_h", "_g"]).where(F.contains(F.col(text), F.col(quote))).drop("_h", "_g")
 
 
 def evidence_sources(facts: DataFrame, sources: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """Ranked, budgeted and interleaved selection.
 
-Order-dependent choices are folds over one group's ordered list
-(``aggregate``), so groups run in parallel and stay in the JVM; everything
-else is a window. A group here is a document, source or job, whose list is
-bounded by the span caps of extraction.
+Order-dependent choices are folds that stream a group's ordered rows, linear in
+their number; everything else is a window. ``halved`` and ``shrunk`` see a whole
+group at once: it is one chunk or batch of a document, which ``MAX_GROUP`` rows
+bound; a larger one is an error.
 """
 
 from __future__ import annotations
@@ -15,6 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.operators.fold import folded
+
+#: Rows of a chunk or batch that is looked at as a whole.
+MAX_GROUP = 100_000
+
 
 def top_k(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first ``k`` of each group, numbered from 1 in ``rn``."""
@@ -31,7 +36,9 @@ def bucket_round_robin(rows: DataFrame, scope: list[str], bucket: list[str], ord
     """Round-robin over buckets that come in the order in which their first row does.
 
     ``turn`` and ``bucket_order`` give the sequence within ``scope``."""
-    ranked = rows.withColumn("_rank", F.row_number().over(W.partitionBy(*scope).orderBy(*order)) if scope else F.row_number().over(W.orderBy(*order)))
+    if not scope:
+        raise ValueError("buckets of the whole table cannot be ranked without a scope")
+    ranked = rows.withColumn("_rank", F.row_number().over(W.partitionBy(*scope).orderBy(*order)))
     own = W.partitionBy(*scope, *bucket)
     return ranked.withColumn("turn", F.row_number().over(own.orderBy("_rank"))).withColumn("bucket_order", F.min("_rank").over(own)).drop("_rank")
 
@@ -46,35 +53,40 @@ def first_fit(rows: DataFrame, keys: list[str], order: list[tuple[str, bool]], c
     """Rows that still fit when their turn comes; those that don't are passed over, not the end.
 
     ``order``: (column, descending) of numbers. Gives ``(keys, item, cost, pos)``."""
-    sort = [(-F.col(c) if down else F.col(c)).alias(f"o{k}") for k, (c, down) in enumerate(order)]
-    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*sort, F.col(item).alias("item"), F.col(cost).cast("long").alias("cost")))).alias("l"))
-    kind = dict(rows.dtypes)[item]
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<item:{kind},cost:bigint>>").alias("kept"))
-    full = F.lit(False) if most is None else None
+    own = rows.select(*keys, *dict.fromkeys([*(c for c, _ in order), item]), F.col(cost).cast("long").alias("_cost"))
+    sort = [F.desc(c) if down else F.asc(c) for c, down in order] + [F.asc(item), F.asc("_cost")]
+
+    def start():
+        used, pos = 0, -1
 
-    def step(s: Column, x: Column) -> Column:
-        fits = s["used"] + x["cost"] <= budget
-        if full is None:
-            fits = fits & (F.size(s["kept"]) < most)
-        taken = F.struct((s["used"] + x["cost"]).alias("used"), F.array_append(s["kept"], F.struct(x["item"].alias("item"), x["cost"].alias("cost"))).alias("kept"))
-        return F.when(fits, taken).otherwise(s)
+        def step(n):
+            nonlocal used, pos
+            if used + n > budget or most is not None and pos + 1 >= most:
+                return None
+            used, pos = used + n, pos + 1
+            return (pos,)
 
-    kept = listed.select(*keys, F.aggregate("l", start, step, lambda s: s["kept"]).alias("kept"))
-    return kept.select(*keys, F.posexplode("kept").alias("pos", "x")).select(*keys, F.col("x.item").alias(item), F.col("x.cost").alias(cost), "pos")
+        return step
+
+    return folded(own, keys, sort, ["_cost"], "pos int", start).select(*keys, item, F.col("_cost").alias(cost), "pos")
 
 
 def chunks(rows: DataFrame, keys: list[str], order: str, chars: str, *, limit: int, overhead: int = 150) -> DataFrame:
     """Consecutive rows in chunks: one closes when the next row and its overhead would pass the limit. Adds ``chunk`` from 0."""
-    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), (F.col(chars).cast("long") + overhead).alias("n")))).alias("l"))
-    start = F.struct(F.lit(0).cast("long").alias("size"), F.lit(0).alias("chunk"), F.array().cast("array<struct<o:bigint,chunk:int>>").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        new = (s["size"] > 0) & (s["size"] + x["n"] > limit)
-        chunk = s["chunk"] + new.cast("int")
-        return F.struct(F.when(new, x["n"]).otherwise(s["size"] + x["n"]).alias("size"), chunk.alias("chunk"), F.array_append(s["out"], F.struct(x["o"].cast("long").alias("o"), chunk.alias("chunk"))).alias("out"))
+    def start():
+        size, chunk = 0, 0
+
+        def step(n):
+            nonlocal size, chunk
+            n += overhead
+            new = 0 < size and size + n > limit
+            size, chunk = n if new else size + n, chunk + new
+            return (chunk,)
+
+        return step
 
-    out = listed.select(*keys, F.explode(F.aggregate("l", start, step, lambda s: s["out"])).alias("x"))
-    return rows.join(out.select(*keys, F.col("x.o").alias(order), F.col("x.chunk").alias("chunk")), [*keys, order])
+    return folded(rows, keys, [F.asc(order)], [chars], "chunk int", start)
 
 
 def halved(rows: DataFrame, keys: list[str], order: str, chars: str, *, limit: int, overhead: int = 150) -> DataFrame:
@@ -91,6 +103,7 @@ def halved(rows: DataFrame, keys: list[str], order: str, chars: str, *, limit: i
         return out
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        _bounded(pdf)
         pdf = pdf.sort_values(order).reset_index(drop=True)
         part = {k: p for p, own in enumerate(split(pdf[chars].tolist())) for k in own}
         return pdf.assign(part=[part[k] for k in range(len(pdf))])
@@ -99,29 +112,38 @@ def halved(rows: DataFrame, keys: list[str], order: str, chars: str, *, limit: i
     return rows.groupBy(*keys).applyInPandas(run, f"{schema}, part int")
 
 
+def _bounded(pdf: pd.DataFrame) -> None:
+    if len(pdf) > MAX_GROUP:
+        raise ValueError(f"a group of {len(pdf)} rows is over {MAX_GROUP}")
+
+
 def byte_budget(rows: DataFrame, keys: list[str], order: list[str], text: str, position: str, *, budget: int) -> DataFrame:
-    """Texts in order until the bytes run out; the last one is cut at a whole character, blank cuts cost nothing.
+    """Texts in ``order`` until the bytes run out; the last one is cut at a whole character, blank cuts cost nothing.
+    ``position`` tells the kept rows' order."""
 
-    ``order`` ascending. Kept rows come back in ``position`` order with their text as kept."""
+    def start():
+        left = budget
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, kept = budget, {}
-        for k, t in pdf.sort_values(order)[text].items():
+        def step(value):
+            nonlocal left
             if left <= 0:
-                break
-            cut = t.encode()[:left].decode(errors="ignore")
-            if cut.strip():
-                kept[k] = cut
-                left -= len(cut.encode())
-        return pdf.loc[list(kept)].assign(**{text: list(kept.values())}).sort_values(position)
+                return None
+            cut = (value or "").encode()[:left].decode(errors="ignore")
+            if not cut.strip():
+                return None
+            left -= len(cut.encode())
+            return (cut,)
 
-    return rows.groupBy(*keys).applyInPandas(run, rows.schema)
+        return step
+
+    return folded(rows, keys, [F.asc(c) for c in [*order, position]], [text], f"`{text}` string", start).select(*rows.columns)
 
 
 def shrunk(rows: DataFrame, keys: list[str], source: str, order: str, text: str, *, limit: int, overhead: int = 0, least: int = 120) -> DataFrame:
     """A batch made to fit: the last span of the source with the most text goes, single spans are halved, never under ``least`` characters."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        _bounded(pdf)
         own = pdf.sort_values([source, order]).reset_index(drop=True)
         texts = own[text].tolist()
         left = sum(len(t) + overhead for t in texts)
