@@ -137,19 +137,26 @@ class Filter:
         return self.languages[best], float(min(1.0, real[best] / max(1, asked)))
 
 
+def _small(spark, rows: list, schema: str) -> DataFrame:
+    """A table of a row a label, which the driver holds anyway; sent to all tasks, so that texts stay where they are."""
+    return F.broadcast(spark.createDataFrame([tuple(r) for r in rows], schema))
+
+
 def _sampled(train: DataFrame, texts: int, chars: int) -> DataFrame:
     """Of ``train(lang, text, tag)`` about ``texts`` texts and ``chars`` characters of each language, the least by tag; all of FEW texts or under."""
-    whole = 1 << 30
+    whole, spark = 1 << 30, train.sparkSession
     rows = train.withColumn("long", F.length("text") > chars // FEW)
     size = rows.groupBy("lang").agg(F.count_if(~F.col("long")).alias("n"), F.sum(F.when(~F.col("long"), F.length("text")).otherwise(0)).alias("chars"))
     share = F.least(F.lit(1.0), texts / F.col("n"), chars / F.greatest(F.lit(1), F.col("chars")))
-    size = size.select("lang", F.when(F.col("n") > 0, F.ceil(share * whole)).otherwise(F.lit(0)).alias("limit"), F.greatest(F.lit(0), FEW - F.col("n")).alias("lacking"))
-    # Of long texts, as many of the least tags as the language lacks.
-    least = rows.where("long").join(size.where("lacking > 0"), "lang").select("lang", "lacking", "tag")
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("tag"))
-    least = least.withColumn("k", rank).where(F.col("k") <= FEW).where("k <= lacking").groupBy("lang").agg((F.max("tag") + 1).alias("long_limit"))
-    limits = size.join(least, "lang", "left")
-    return rows.join(limits, "lang").where(F.col("tag") < F.when(F.col("long"), F.coalesce("long_limit", F.lit(0))).otherwise(F.col("limit"))).select("lang", "text")
+    size = size.select("lang", F.when(F.col("n") > 0, F.ceil(share * whole)).otherwise(F.lit(0)).alias("limit"), F.greatest(F.lit(0), FEW - F.col("n")).alias("lacking")).collect()
+    lacking = [(r.lang, r.lacking) for r in size if r.lacking]
+    extra = {}
+    if lacking:  # of long texts, as many of the least tags as the language lacks
+        rank = F.row_number().over(W.partitionBy("lang").orderBy("tag"))
+        least = rows.where("long").join(_small(spark, lacking, "lang string, lacking long"), "lang").select("lang", "lacking", "tag", rank.alias("k")).where(F.col("k") <= FEW)
+        extra = {r.lang: r.tag + 1 for r in least.where("k <= lacking").groupBy("lang").agg(F.max("tag").alias("tag")).collect()}
+    limits = _small(spark, [(r.lang, r.limit, extra.get(r.lang, 0)) for r in size], "lang string, limit long, long_limit long")
+    return rows.join(limits, "lang").where(F.col("tag") < F.when(F.col("long"), F.col("long_limit")).otherwise(F.col("limit"))).select("lang", "text")
 
 
 def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", texts: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Filter:
@@ -173,8 +180,7 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", texts:
                     h = own[k : k + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([name] * len(h))], names=["h", "lang"])
 
-    # A row a label, as the driver has them anyway.
-    totals = F.broadcast(labelled.sparkSession.createDataFrame([(n, k, numbers[n]) for k, n in enumerate(languages)], "lang string, number int, total long"))
+    totals = _small(labelled.sparkSession, [(n, k, numbers[n]) for k, n in enumerate(languages)], "lang string, number int, total long")
     counts = sample.mapInArrow(own_grams, "h long, lang string").groupBy("h", "lang").agg(F.count("*").alias("n")).join(totals, "lang")
     share = counts.where(F.col("n") >= F.when(F.col("total") < FEW, F.lit(1)).otherwise(F.lit(LEAST))).select("h", "number", (F.col("n") / F.col("total")).alias("share"))
     most = share.groupBy("h").agg(F.max("share").alias("most"), F.collect_list(F.struct("number", "share")).alias("each"))
