@@ -41,9 +41,17 @@ def casefold(text: pd.Series) -> pd.Series:
     return text.str.casefold()
 
 
+#: Characters whose full case folding is not their lower case: to one character, and to several.
+_ONE, _MANY = ({c: f for c in map(chr, range(0x1F000)) if (f := c.lower().casefold()) != c.lower() and (len(f) > 1) is more} for more in (False, True))
+
+
 def fold(text: Column) -> Column:
-    """``casefold`` for the characters whose folding is not their lower case in western texts, without Python."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Full case folding in built-in expressions. Only texts with a character that folds to several take the longer way."""
+    plain = F.translate(F.lower(text), "".join(c.lower() for c in _ONE), "".join(_ONE.values()))
+    whole = plain
+    for c in sorted({c.lower() for c in _MANY}):
+        whole = F.replace(whole, F.lit(c), F.lit(c.casefold()))
+    return F.when(F.regexp_like(F.lower(text), F.lit(f"[{''.join(sorted({c.lower() for c in _MANY if len(c.lower()) == 1}))}]")), whole).otherwise(plain)
 
 
 def words(text: Column) -> Column:

@@ -32,8 +32,8 @@ PURPOSES = (
     ("products", r"(?i)(?:products?|services?|solutions?)"),
     ("trust", r"(?i)(?:trust|security|compliance|responsible-ai)"),
 )
-#: A small public-suffix table ``(suffix, private)``; replace it by a full one where there is one.
-SUFFIXES = [(s, False) for s in "com net org info biz io co de fr es uk co.uk org.uk ac.uk jp co.jp com.au com.br eu ch at nl it se".split()] + [(s, True) for s in ("github.io", "blogspot.com", "herokuapp.com", "appspot.com")]
+#: A small public-suffix table ``(rule, private)`` with wildcards and exceptions; replace it by a full one where there is one.
+SUFFIXES = [(s, False) for s in "com net org info biz io co de fr es uk co.uk org.uk ac.uk jp co.jp com.au com.br eu ch at nl it se *.ck !www.ck *.kawasaki.jp !city.kawasaki.jp".split()] + [(s, True) for s in ("github.io", "blogspot.com", "herokuapp.com", "appspot.com", "*.compute.amazonaws.com")]
 
 #: Characters that a path and a query keep as they are.
 PATH_SAFE, QUERY_SAFE = "/:@!$&'()*+,;=-._~%", "/?:@!$&'()*+,;=-._~%"
@@ -176,13 +176,16 @@ def approved(links: DataFrame, hosts: DataFrame, *, url: str = "url") -> DataFra
 def www_pairs(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
     """``(host, counterpart)``: apex and www of exactly a registrable domain under a public suffix that is not private.
 
-    The longest suffix that fits decides, as a join on every tail of the name."""
-    tails = F.transform(F.sequence(F.lit(2), F.size("labels")), lambda k: F.struct(k.alias("k"), F.array_join(F.slice("labels", k, F.lit(256)), ".").alias("tail")))
+    ``suffixes(suffix, private)`` are rules: a name, ``*.name`` for any label before it, ``!name`` for an exception.
+    Each rule is looked up by its name among the tails of the host; an exception wins, else the longest suffix."""
+    rule = F.col("suffix")
+    shift = F.when(F.startswith(rule, F.lit("*.")), -1).when(F.startswith(rule, F.lit("!")), 1).otherwise(0)
+    rules = suffixes.select(F.regexp_replace(rule, r"\A(?:\*\.|!)", "").alias("tail"), shift.alias("shift"), "private")
+    tails = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda k: F.struct(k.alias("k"), F.array_join(F.slice("labels", k, F.lit(256)), ".").alias("tail")))
     each = hosts.select("host").distinct().withColumn("labels", F.split("host", r"\.")).where(F.size("labels") >= 2).select("host", "labels", F.explode(tails).alias("t"))
-    own = each.select("host", "labels", "t.k", "t.tail").join(suffixes.select(F.col("suffix").alias("tail"), "private"), "tail")
-    best = own.groupBy("host", "labels").agg(F.min_by(F.struct("tail", "private", "k"), "k").alias("b")).where(~F.col("b.private"))
-    name = F.concat(F.element_at("labels", F.col("b.k") - 1), F.lit("."), F.col("b.tail"))
-    out = best.withColumn("domain", name).where(~F.startswith("domain", F.lit("www.")))
+    own = each.select("host", "labels", "t.k", "t.tail").join(rules, "tail").withColumn("k", F.col("k") + F.col("shift")).where("k >= 2")
+    best = own.groupBy("host", "labels").agg(F.min_by(F.struct("private", "k"), F.struct((F.col("shift") != 1).alias("a"), "k")).alias("b")).where(~F.col("b.private"))
+    out = best.withColumn("domain", F.array_join(F.slice("labels", F.col("b.k") - 1, F.lit(256)), ".")).where(~F.startswith("domain", F.lit("www.")))
     other = F.when(F.col("host") == F.col("domain"), F.concat(F.lit("www."), F.col("domain"))).when(F.col("host") == F.concat(F.lit("www."), F.col("domain")), F.col("domain"))
     return out.select("host", other.alias("counterpart")).where("counterpart is not null")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from factloom.functions.arrays import all_different, disjoint, within
 from factloom.functions.text import entity_in_text, entity_key, talk_line
 from factloom.operators.dedup import set_mismatch
-from factloom.operators.evidence import check_quotes
+from factloom.operators.evidence import check_quotes, quantity_warnings, ungrounded
 
 
 def violations(rows: DataFrame, keys: list[str], rules: dict[str, Column]) -> DataFrame:
@@ -46,89 +46,254 @@ def grounded_text(claims: DataFrame, keys: list[str]) -> DataFrame:
     return violations(claims, keys, {"unknown_with_content": unknown & (F.col("text").isNotNull() | (n > 0)), "known_without_content": ~unknown & (blank | (n == 0)), "repeated_reference": ~all_different(F.col("fact_ids"))})
 
 
-def source_verification(verdicts: DataFrame, sources: DataFrame, spans: DataFrame, *, company: Column, homepage: Column) -> DataFrame:
-    """Verdicts cover the sources once each; the homepage names the company; related sources quote it; quotes are the source's."""
+def _sections_of(reviews: DataFrame) -> DataFrame:
+    return reviews.select("section_id", (F.col("decision") == "accept").alias("accepted"))
+
+
+def _quote_codes(rows: DataFrame, part: str, spans: DataFrame) -> DataFrame:
+    """Codes of the quotes in array ``part``, each against the span of its own source."""
+    quotes = rows.select("source_id", F.explode(part).alias("e")).select("source_id", F.concat_ws("\x00", "source_id", "e.span_id").alias("span_id"), "e.quote")
+    own = spans.select(F.concat_ws("\x00", "source_id", "span_id").alias("span_id"), "text")
+    return check_quotes(quotes, own).where("code is not null").select("source_id", "code")
+
+
+def source_verification(verdicts: DataFrame, sources: DataFrame, spans: DataFrame, *, named: Column, company: Column, homepage: Column) -> DataFrame:
+    """A verification of ``sources(source_id, title, text)`` that found the company ``named`` on ``homepage``, asked for ``company`` (or null).
+
+    Verdicts cover the sources once each; the homepage is one of them and names the company; it is the one asked for;
+    quotes are of the verdict's own source; related sources have evidence and name the company in title or text;
+    an executive is named in the quotes given for it, as is the role, which needs a name. ``(source_id, code)``."""
     cover = set_mismatch(verdicts, sources, ["source_id"]).select("source_id", F.lit("coverage").alias("code"))
-    quotes = verdicts.select("source_id", F.explode("evidence").alias("e")).select("source_id", "e.span_id", "e.quote")
-    bad_quotes = check_quotes(quotes, spans.select("span_id", "text")).where("code is not null").select("source_id", "code")
-    named = F.exists("evidence", lambda e: entity_in_text(company, e["quote"]))
+    known = sources.where(F.col("source_id") == homepage).agg(F.count("*").alias("n")).where("n <> 1").select(homepage.alias("source_id"), F.lit("unknown_homepage").alias("code"))
+    quotes = union(*(_quote_codes(verdicts, part, spans) for part in ("evidence", "date_evidence", "executive_evidence")))
+    whole = sources.select("source_id", F.concat_ws(" ", "title", "text").alias("_whole"))
+    said = F.array_join(F.transform("executive_evidence", lambda e: e["quote"]), " ")
+    given = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
+    related = F.col("relation") == "related"
     rules = {
-        "homepage_unnamed": (F.col("source_id") == homepage) & ~F.coalesce(named, F.lit(False)),
-        "company_changed": entity_key(F.col("company_name")) != entity_key(company),
-        "related_without_evidence": (F.col("relation") == "related") & (F.size("evidence") == 0),
-        "executive_without_evidence": F.col("executive_name").isNotNull() & (F.size("executive_evidence") == 0),
+        "homepage_unnamed": (F.col("source_id") == homepage) & ~entity_in_text(named, F.col("_whole")),
+        "company_changed": (F.col("source_id") == homepage) & (F.coalesce(company, F.lit("")) != "") & (entity_key(named) != entity_key(company)),
+        "related_without_evidence": related & (F.size("evidence") == 0),
+        "related_unnamed": related & ~entity_in_text(named, F.col("_whole")),
+        "role_without_name": given("executive_role") & ~given("executive_name"),
+        "executive_unquoted": given("executive_name") & ((F.size("executive_evidence") == 0) | ~entity_in_text(F.col("executive_name"), said)),
+        "role_unquoted": given("executive_role") & ~entity_in_text(F.col("executive_role"), said),
     }
-    return union(cover, bad_quotes, violations(verdicts, ["source_id"], rules))
+    return union(cover, known, quotes, violations(verdicts.join(whole, "source_id"), ["source_id"], rules))
+
 
+def dossier(dossiers: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Dossiers ``(keys, status, company, company_text, company_basis, included, excluded, known, fact_ids, description_text,
+    description_basis, summary)`` against their ``facts(keys, fact_id, evidence)``.
 
-def dossier(groups: DataFrame, keys: list[str]) -> DataFrame:
-    """``(included, excluded, known)`` source lists: disjoint, and together all that is known."""
+    The company is matched and unchanged; included and excluded sources are known, different, and listed once; cited
+    facts come from included sources only; there is a source-backed profile and a summary."""
     inc, exc, known = F.col("included"), F.col("excluded"), F.col("known")
-    return violations(groups, keys, {"overlap": ~disjoint(inc, exc), "unknown_source": ~within(F.concat(inc, exc), known), "missing_source": ~within(known, F.concat(inc, exc)), "repeated_source": ~all_different(inc)})
+    rules = {
+        "ambiguous": F.col("status") != "matched",
+        "unknown_source": ~within(F.concat(inc, exc), known),
+        "repeated_source": ~all_different(inc) | ~all_different(exc),
+        "overlap": ~disjoint(inc, exc),
+        "identity_changed": F.col("company_text").isNull() | (F.col("company_basis") != "source_backed") | (entity_key(F.col("company_text")) != entity_key(F.col("company"))),
+        "no_profile": F.col("description_text").isNull() | (F.col("description_basis") != "source_backed") | (F.size("summary") == 0),
+    }
+    cited = dossiers.select(*keys, "included", F.explode(F.array_distinct("fact_ids")).alias("fact_id")).join(facts.select(*keys, "fact_id", "evidence"), [*keys, "fact_id"])
+    outside = cited.where(F.exists("evidence", lambda e: ~F.array_contains(F.col("included"), e["source_id"]))).select(*keys, F.lit("cites_outside").alias("code")).distinct()
+    return union(violations(dossiers, keys, rules), outside)
+
 
+#: Categories that say what a company is, the first before the others.
+CORE_CATEGORIES = ("company", "offering", "product_workflow")
 
-def identity_fact(facts: DataFrame, keys: list[str]) -> DataFrame:
-    """The fact that names the company: its own category first, core categories next, then by id."""
-    order = F.struct((F.col("category") != "company").alias("a"), (~F.col("category").isin("company", "offering", "customer")).alias("b"), F.col("fact_id").alias("c"))
-    return facts.groupBy(*keys).agg(F.min_by("fact_id", order).alias("identity_fact_id"))
+
+def identity_fact(facts: DataFrame, dossiers: DataFrame, keys: list[str]) -> DataFrame:
+    """The fact that names the company of ``dossiers(keys, company, included)``: with evidence, from included sources only,
+    one of whose quotes names it; of these by category (company first, then the core ones), then by id. Dossiers without one are left out."""
+    own = facts.join(dossiers.select(*keys, "company", "included"), keys)
+    names = F.exists("evidence", lambda e: entity_in_text(F.col("company"), e["quote"]))
+    own = own.where((F.size("evidence") > 0) & F.forall("evidence", lambda e: F.array_contains(F.col("included"), e["source_id"])) & names)
+    order = F.struct((F.col("category") != CORE_CATEGORIES[0]).alias("a"), (~F.col("category").isin(*CORE_CATEGORIES)).alias("b"), F.col("fact_id").alias("c"))
+    return own.groupBy(*keys).agg(F.min_by("fact_id", order).alias("identity_fact_id"))
 
 
 def strategy(opportunities: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
-    """Priorities once each, targets open, at least one prerequisite, baselines with an actual figure."""
-    repeated = opportunities.groupBy(*keys, "priority").count().where("count > 1").select(*keys, F.lit("repeated_priority").alias("code"))
-    own = violations(opportunities, keys, {"target_set": F.exists("success_criteria", lambda c: c["target"].isNotNull()), "no_prerequisite": F.size("prerequisites") == 0})
+    """``opportunities(keys, opportunity_id, priority, signal_basis, hypothesis_basis, outcome_basis, success_criteria, prerequisites)``:
+    priorities once each, a source-backed signal, hypothesis and outcome that claim no more than that, targets open,
+    at least one prerequisite, baselines with an actual figure. ``(keys, opportunity_id, code)``."""
+    own = [*keys, "opportunity_id"]
+    claimed = ("hypothesis", "analysis")
+    twice = opportunities.groupBy(*keys, "priority").agg(F.count("*").alias("n"), F.min("opportunity_id").alias("opportunity_id")).where("n > 1").select(*own, F.lit("repeated_priority").alias("code"))
+    rules = {
+        "signal_unsupported": F.col("signal_basis") != "source_backed",
+        "hypothesis_as_fact": ~F.col("hypothesis_basis").isin(*claimed),
+        "outcome_as_fact": ~F.col("outcome_basis").isin(*claimed),
+        "target_set": F.exists("success_criteria", lambda c: c["target"].isNotNull()),
+        "no_prerequisite": F.size("prerequisites") == 0,
+    }
     actual = facts.where(F.exists("quantities", lambda q: q["kind"] == "actual")).select("fact_id")
-    base = opportunities.select(*keys, F.explode("success_criteria").alias("c")).select(*keys, F.explode("c.baseline_fact_ids").alias("fact_id"))
-    return union(repeated, own, base.join(actual, "fact_id", "left_anti").select(*keys, F.lit("baseline_without_figure").alias("code")))
+    base = opportunities.select(*own, F.explode("success_criteria").alias("c")).select(*own, F.explode("c.baseline_fact_ids").alias("fact_id"))
+    return union(twice, violations(opportunities, own, rules), base.join(actual, "fact_id", "left_anti").select(*own, F.lit("baseline_without_figure").alias("code")).distinct())
 
 
 def audience(outputs: DataFrame, opportunities: DataFrame, keys: list[str], *, points: int = 3) -> DataFrame:
-    """Complete audiences have all points, others say why not; lines differ; points name a known opportunity."""
-    n, full = F.size("talk_points"), F.col("coverage") == "complete"
-    lines = F.transform("talk_points", lambda p: talk_line(p["seller_line"]))
-    own = violations(outputs, keys, {"count": full & (n != points), "too_many": n > points, "no_gap": ~full & (F.size("evidence_gaps") == 0), "repeated_line": ~all_different(lines)})
+    """``outputs(keys, audience, asked, coverage, talk_points, evidence_gaps)``: for the audience asked; complete ones have all
+    points, limited ones some, insufficient ones none; others than complete say why; lines differ; points name a known opportunity."""
+    n, coverage = F.size("talk_points"), F.col("coverage")
+    lines = F.transform("talk_points", lambda p: talk_line(F.coalesce(p["seller_line"], F.lit(""))))
+    rules = {
+        "other_audience": F.col("audience") != F.col("asked"),
+        "complete_count": (coverage == "complete") & (n != points),
+        "limited_count": (coverage == "limited") & ~n.between(1, points - 1),
+        "insufficient_count": (coverage == "insufficient_evidence") & (n != 0),
+        "too_many": n > points,
+        "no_gap": (coverage != "complete") & (F.size("evidence_gaps") == 0),
+        "repeated_line": ~all_different(lines),
+    }
     used = outputs.select(*keys, F.explode("talk_points.opportunity_id").alias("opportunity_id"))
-    return union(own, used.join(opportunities.select("opportunity_id"), "opportunity_id", "left_anti").select(*keys, F.lit("unknown_opportunity").alias("code")))
-
-
-def review(sections: DataFrame, reviews: DataFrame, issues: DataFrame, facts: DataFrame) -> DataFrame:
-    """Every section reviewed once, sources always accepted, rejections with an issue and issues with a rejection, known facts."""
-    cover = set_mismatch(reviews, sections, ["section_id"]).select("section_id", F.lit("coverage").alias("code"))
-    sources = reviews.where("section_id = 'section_sources' and decision <> 'accepted'").select("section_id", F.lit("sources_rejected").alias("code"))
-    rejected = reviews.where("decision = 'rejected'").select("section_id")
-    silent = rejected.join(issues.select("section_id"), "section_id", "left_anti").select("section_id", F.lit("rejection_without_issue").alias("code"))
-    idle = issues.select("section_id").distinct().join(rejected, "section_id", "left_anti").select("section_id", F.lit("issue_without_rejection").alias("code"))
-    unknown = issues.select("section_id", F.explode("fact_ids").alias("fact_id")).join(facts.select("fact_id"), "fact_id", "left_anti").select("section_id", F.lit("unknown_reference").alias("code"))
-    return union(cover, sources, silent, idle, unknown)
+    lost = used.join(opportunities.select("opportunity_id"), "opportunity_id", "left_anti").select(*keys, F.lit("unknown_opportunity").alias("code")).distinct()
+    return union(violations(outputs, keys, rules), lost)
+
+
+SERVER_SECTIONS = ("section_sources",)
+EVIDENCE_SECTIONS = ("section_company", "section_summary", "section_evidence", "section_contradictions")
+
+
+def review(sections: DataFrame, reviews: DataFrame, issues: DataFrame, facts: DataFrame, *, decision: Column | None = None) -> DataFrame:
+    """``reviews(section_id, decision)`` and ``issues(section_id, code, fact_ids)`` of a review that decided ``decision`` in all.
+
+    Every section reviewed once; issues on known sections and facts; what the server owns is accepted and has no issue;
+    core evidence is not called insufficient, and is rejected with the facts concerned; rejections have an issue and
+    accepted sections none; a review that accepts has neither. ``(section_id, code)``."""
+    code = lambda rows, name: rows.select("section_id", F.lit(name).alias("code")).distinct()
+    own = reviews.join(sections.select("section_id"), "section_id", "left_semi")
+    rejected, accepted = own.where("decision <> 'accept'"), own.where("decision = 'accept'")
+    known = issues.join(sections.select("section_id"), "section_id", "left_semi")
+    core, server = F.col("section_id").isin(*EVIDENCE_SECTIONS), F.col("section_id").isin(*SERVER_SECTIONS)
+    named = issues.where(F.size("fact_ids") > 0)
+    parts = [
+        code(set_mismatch(reviews, sections, ["section_id"]), "coverage"),
+        code(issues.join(sections.select("section_id"), "section_id", "left_anti"), "unknown_section"),
+        code(issues.select("section_id", F.explode("fact_ids").alias("fact_id")).join(facts.select("fact_id"), "fact_id", "left_anti"), "unknown_reference"),
+        code(rejected.where(server), "server_section_rejected"),
+        code(known.where(server), "server_section_issue"),
+        code(known.where(core & (F.col("code") == "insufficient_evidence")), "vague_core_issue"),
+        code(rejected.where(core).join(named.select("section_id"), "section_id", "left_anti"), "core_without_facts"),
+        code(rejected.join(issues.select("section_id"), "section_id", "left_anti"), "rejection_without_issue"),
+        code(accepted.join(issues.select("section_id"), "section_id", "left_semi"), "issue_without_rejection"),
+    ]
+    if decision is not None:
+        blocking = rejected.select("section_id").union(issues.select("section_id")).where(decision == "accept")
+        parts.append(code(blocking, "accepted_with_issues"))
+    return union(*parts)
+
+
+def report(parts: dict[str, DataFrame], *, days: int = 90) -> DataFrame:
+    """A report as tables: ``(item, code)`` of everything in it that does not hold.
+
+    ``header`` (one row: status, company_text, company_basis, description_text, description_basis, summary, news_status,
+    as_of), ``facts(fact_id, entity, evidence, quantities, warnings)``, ``claims(claim_id, text, basis, fact_ids)``,
+    ``sources(source_id, published_at, is_news)``, ``opportunities(opportunity_id)``, ``requested(audience)``,
+    ``coverage(audience, status)``, ``audiences(audience, coverage, talk_points, evidence_gaps)`` and
+    ``announcements(source_id, published_at, executive_name, executive_role)``."""
+    header, facts, claims, sources, opportunities, requested, coverage, audiences, news = (parts[n] for n in ("header", "facts", "claims", "sources", "opportunities", "requested", "coverage", "audiences", "announcements"))
+    code = lambda rows, item, name: rows.select(F.col(item).cast("string").alias("item"), F.lit(name).alias("code")).distinct()
+    twice = lambda rows, key: rows.groupBy(key).count().where("count > 1")
+    missing = lambda rows, key, known: rows.join(known.select(key), key, "left_anti")
+    one = F.broadcast(header.limit(1))  # one row
+    found = [code(twice(rows, key), key, "repeated_id") for rows, key in ((facts, "fact_id"), (sources, "source_id"), (opportunities, "opportunity_id"))]
+    found.append(ungrounded(claims, facts.dropDuplicates(["fact_id"])).select(F.col("claim_id").cast("string").alias("item"), "code"))
+    # Audiences: each requested one is accounted for, what is retained agrees with its coverage.
+    found.append(code(set_mismatch(requested, coverage, ["audience"]), "audience", "audience_unaccounted"))
+    found.append(code(twice(audiences, "audience"), "audience", "repeated_audience"))
+    found.append(code(missing(audiences, "audience", requested), "audience", "audience_not_requested"))
+    both = coverage.join(audiences, "audience", "left")
+    n, own = F.size("talk_points"), F.col("coverage")
+    rules = {
+        "coverage_mismatch": F.when(own.isNull(), F.col("status") != "unavailable").otherwise(own != F.col("status")),
+        "audience_inconsistent": (own.isin("complete", "limited") & (n == 0)) | ((own == "insufficient_evidence") & (n > 0)) | ((own != "complete") & (F.size("evidence_gaps") == 0)),
+    }
+    found.append(violations(both.withColumn("item", F.col("audience")), ["item"], rules))
+    found.append(code(coverage.where("status <> 'complete'").crossJoin(one.where("status = 'completed'").select(F.lit(1).alias("_one"))), "audience", "completed_without"))
+    empty = header.join(facts.limit(1).select(F.lit(True).alias("_any")), F.lit(True), "left")  # one row with one row
+    lacking = F.col("_any").isNull() | (F.size("summary") == 0)
+    for part in ("company", "description"):
+        lacking = lacking | (F.col(f"{part}_basis") != "source_backed") | (F.coalesce(F.col(f"{part}_text"), F.lit("")) == "")
+    found.append(violations(empty.withColumn("item", F.lit("report")), ["item"], {"no_core": lacking}))
+    # Facts: citations, entity, warnings as they are recomputed.
+    found.append(code(missing(facts.select("fact_id", F.explode("evidence.source_id").alias("source_id")), "source_id", sources), "fact_id", "unknown_source"))
+    found.append(code(facts.crossJoin(one.select("company_text")).where(entity_key(F.col("entity")) != entity_key(F.col("company_text"))), "fact_id", "other_entity"))
+    warned = F.array_sort(F.collect_list(F.struct("quantity_index", "span_id", "numeric_text")))
+    again = quantity_warnings(facts).where("code = 'quantity_warning'").groupBy("fact_id").agg(warned.alias("_again"))
+    kept = facts.select("fact_id", F.array_sort(F.transform("warnings", lambda w: F.struct(w["quantity_index"].cast("int").alias("quantity_index"), w["span_id"].alias("span_id"), w["numeric_text"].alias("numeric_text")))).alias("_kept"))
+    none = F.array().cast("array<struct<quantity_index:int,span_id:string,numeric_text:string>>")
+    found.append(code(kept.join(again, "fact_id", "left").where(F.coalesce("_again", none) != F.coalesce("_kept", none)), "fact_id", "warnings_changed"))
+    found.append(code(missing(audiences.select("audience", F.explode("talk_points.opportunity_id").alias("opportunity_id")), "opportunity_id", opportunities), "audience", "unknown_opportunity"))
+    # Announcements: from a news source of that day, in the window, with executives that its quotes name.
+    found.append(code(missing(news, "source_id", sources), "source_id", "unknown_source"))
+    found.append(code(twice(news, "source_id"), "source_id", "repeated_announcement"))
+    some = news.agg((F.count("*") > 0).alias("some"))
+    found.append(violations(header.crossJoin(F.broadcast(some)).withColumn("item", F.lit("report")), ["item"], {"news_status": (F.col("news_status") == "found") != F.col("some")}))  # one row with one row
+    quoted = facts.select(F.explode("evidence").alias("e")).groupBy(F.col("e.source_id").alias("source_id")).agg(F.array_join(F.array_sort(F.collect_list("e.quote")), " ").alias("_said"))
+    dated = news.join(sources.select("source_id", F.col("published_at").alias("_day"), "is_news"), "source_id").join(quoted, "source_id", "left").crossJoin(one.select("as_of"))
+    said = F.coalesce("_said", F.lit(""))
+    given = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
+    day = F.col("published_at")
+    rules = {
+        "date_out_of_window": ~day.between(F.date_sub("as_of", days), F.col("as_of")),
+        "date_mismatch": ~day.eqNullSafe(F.col("_day")),
+        "not_news": ~F.coalesce("is_news", F.lit(False)),
+        "executive_uncited": (given("executive_name") & ~entity_in_text(F.col("executive_name"), said)) | (given("executive_role") & ~entity_in_text(F.col("executive_role"), said)),
+        "role_without_name": given("executive_role") & ~given("executive_name"),
+    }
+    found.append(violations(dated.withColumn("item", F.col("source_id").cast("string")), ["item"], rules))
+    return union(*found)
 
 
-def report(facts: DataFrame, claims: DataFrame, sources: DataFrame, announcements: DataFrame, *, as_of: Column, days: int = 90) -> DataFrame:
-    """Unique ids, citations and references that resolve, one entity, announcements in the window. ``(item, code)``."""
-    twice = facts.groupBy("fact_id").count().where("count > 1").select(F.col("fact_id").cast("string").alias("item"), F.lit("repeated_id").alias("code"))
-    cited = facts.select("fact_id", F.explode("evidence.source_id").alias("source_id"))
-    lost = cited.join(sources.select("source_id"), "source_id", "left_anti").select(F.col("fact_id").cast("string").alias("item"), F.lit("unknown_source").alias("code"))
-    refs = claims.select("claim_id", F.explode("fact_ids").alias("fact_id")).join(facts.select("fact_id").distinct(), "fact_id", "left_anti").select(F.col("claim_id").cast("string").alias("item"), F.lit("unknown_fact").alias("code"))
-    entities = facts.select(entity_key(F.col("entity")).alias("k")).agg(F.count_distinct("k").alias("n")).where("n > 1").select(F.lit("report").alias("item"), F.lit("several_entities").alias("code"))
-    dates = announcements.where(~F.col("published_at").between(F.date_sub(as_of, days), as_of)).select(F.col("source_id").cast("string").alias("item"), F.lit("date_out_of_window").alias("code"))
-    return union(twice, lost, refs, entities, dates)
+#: Sections without which no report goes out.
+CORE_SECTIONS = ("section_company", "section_summary", "section_evidence", "section_sources")
 
 
-def publishable(sections: DataFrame, reviews: DataFrame, *, contradictions: bool = False) -> DataFrame:
+def publishable(reviews: DataFrame, *, contradictions: bool = False) -> DataFrame:
     """Core sections that were not accepted: no rows lets the report out."""
-    core = ["section_company", "section_summary", "section_evidence", "section_sources"] + ["section_contradictions"] * contradictions
-    accepted = reviews.where("decision = 'accepted'").select("section_id")
-    own = sections.sparkSession.createDataFrame([(c,) for c in core], "section_id string")
+    core = [*CORE_SECTIONS, *["section_contradictions"] * contradictions]
+    accepted = _sections_of(reviews).where("accepted").select("section_id")
+    own = reviews.sparkSession.createDataFrame([(c,) for c in core], "section_id string")
     return own.join(accepted, "section_id", "left_anti").withColumn("code", F.lit("core_not_accepted"))
 
 
-def published(opportunities: DataFrame, audiences: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Accepted opportunities, and accepted audiences all of whose points name one of them."""
-    accepted = reviews.where("decision = 'accepted'").select("section_id")
-    kept = opportunities.withColumn("section_id", F.concat(F.lit("opportunity_"), F.col("opportunity_id"))).join(accepted, "section_id", "left_semi").drop("section_id")
+def published(opportunities: DataFrame, audiences: DataFrame, announcements: DataFrame, gaps: DataFrame, own_gaps: DataFrame, requested: DataFrame, reviews: DataFrame) -> dict[str, DataFrame]:
+    """What of a reviewed candidate goes out, as tables.
+
+    Accepted ``opportunities``; ``audiences`` whose content and coverage were accepted and all of whose points name an
+    accepted opportunity; ``coverage`` of every requested audience; ``announcements`` if their section was accepted;
+    ``gaps(area, detail)``: the candidate's, or the server's ``own_gaps`` if the limitations were not accepted, and what
+    was left out; ``status``, partial if anything is missing or not accepted."""
+    decided = _sections_of(reviews)
+    accepted = decided.where("accepted").select("section_id")
+    passes = lambda rows, section: rows.withColumn("section_id", section).join(accepted, "section_id", "left_semi").drop("section_id")
+    kept = passes(opportunities, F.concat(F.lit("section_"), F.col("opportunity_id").cast("string")))
+    said = passes(passes(audiences, F.concat(F.lit("section_audience_"), F.col("audience"))), F.concat(F.lit("section_coverage_"), F.col("audience")))
     points = audiences.select("audience", F.explode("talk_points.opportunity_id").alias("opportunity_id"))
-    bad = points.join(kept.select("opportunity_id"), "opportunity_id", "left_anti").select("audience").distinct()
-    said = audiences.withColumn("section_id", F.concat(F.lit("audience_"), F.col("audience"))).join(accepted, "section_id", "left_semi").drop("section_id")
-    return kept, said.join(bad, "audience", "left_anti")
+    said = said.join(points.join(kept.select("opportunity_id"), "opportunity_id", "left_anti").select("audience").distinct(), "audience", "left_anti")
+    coverage = requested.join(said.select("audience", F.col("coverage").alias("status")), "audience", "left").select("audience", F.coalesce("status", F.lit("unavailable")).alias("status"))
+    news = passes(announcements, F.lit("section_announcements"))
+    gap = lambda rows, area, detail: rows.select(F.lit(area).alias("area"), detail.alias("detail"))
+    limits = decided.where((F.col("section_id") == "section_limitations") & F.col("accepted")).select(F.lit(True).alias("_ok"))
+    flag = lambda rows: rows.agg(F.count("*").alias("n"))
+    state = flag(limits).select((F.col("n") > 0).alias("limits_ok")).crossJoin(flag(opportunities).select(F.col("n").alias("before"))).crossJoin(flag(kept).select(F.col("n").alias("after")))
+    state = F.broadcast(state.crossJoin(flag(announcements).select(F.col("n").alias("news_before"))).crossJoin(flag(news).select(F.col("n").alias("news_after"))))  # one row
+    chosen = gaps.crossJoin(state.select("limits_ok")).where("limits_ok").select("area", "detail").unionByName(own_gaps.crossJoin(state.select("limits_ok")).where("not limits_ok").select("area", "detail"))
+    removed = audiences.select("audience").distinct().join(said.select("audience"), "audience", "left_anti")
+    made = [
+        chosen,
+        gap(removed, "audience_coverage", F.concat(F.upper("audience"), F.lit(" was left out: its content or something it shares was not accepted."))),
+        gap(state.where("news_before > 0 and news_after = 0"), "official_news", F.lit("Announcements were not accepted and are not published.")),
+        gap(state.where("not limits_ok"), "quality_review", F.lit("Limitations that were not accepted were left out; those the server saw remain.")),
+        gap(state.where("before <> after"), "opportunities", F.lit("Some opportunities were not accepted and were left out.")),
+    ]
+    missing = coverage.where("status <> 'complete'").select(F.lit(1).alias("k")).unionByName(decided.where("not accepted").select(F.lit(1).alias("k")))
+    status = flag(missing).select(F.when(F.col("n") > 0, "partial").otherwise("completed").alias("status"))
+    return {"opportunities": kept, "audiences": said, "coverage": coverage, "announcements": news, "gaps": union(*made).distinct(), "status": status}
 
 
 def usage(rows: DataFrame, keys: list[str]) -> DataFrame:

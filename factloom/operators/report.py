@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from factloom.functions.text import excerpt
 
-FIXED_SECTIONS = ("section_company", "section_summary", "section_evidence", "section_sources", "section_gaps", "section_announcements")
+#: Sections that every report has.
+FIXED_SECTIONS = ("section_company", "section_summary", "section_evidence", "section_sources", "section_limitations", "section_announcements")
 
 
 def sections(spark: SparkSession, opportunities: DataFrame, requested: DataFrame, produced: DataFrame, *, contradictions: DataFrame | None = None) -> DataFrame:
@@ -20,7 +21,7 @@ def sections(spark: SparkSession, opportunities: DataFrame, requested: DataFrame
     if contradictions is not None:
         parts.append(contradictions.limit(1).select(F.lit("section_contradictions").alias("section_id"), F.lit("contradictions").alias("kind")))
     named = lambda df, prefix, c, kind: df.select(F.concat(F.lit(prefix), F.col(c).cast("string")).alias("section_id"), F.lit(kind).alias("kind"))
-    parts += [named(opportunities, "opportunity_", "opportunity_id", "opportunity"), named(requested, "coverage_", "audience", "coverage"), named(produced, "audience_", "audience", "audience")]
+    parts += [named(opportunities, "section_", "opportunity_id", "opportunity"), named(requested, "section_coverage_", "audience", "coverage"), named(produced, "section_audience_", "audience", "audience")]
     return reduce(DataFrame.unionByName, parts)
 
 

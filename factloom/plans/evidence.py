@@ -76,55 +76,6 @@ with claim as (select conv_id, list_distinct(flatten(list({_sql_numbers("(turn |
 doc as (select doc_id as conv_id, {_sql_numbers('text')} as m from documents)
 select conv_id from claim join doc using (conv_id) where not list_has_all(m, n)"""
 
-DATED = ((1, "Published 2026-09-04 and 2026-02-30."), (2, "On September 4, 2026 or 5 Sept 2026"), (3, "4th March 2025; MARCH 4 2025; 31 June 2025"), (4, "At 2026-01-02T10:00, not 2026-01-03Tx"), (5, "none"), (6, "May 1, 2024 and 1 may 2024 and 02 Dec 1999"))
-
-
-def dates_in_text(spark, sf_dir):
-    """Dates in prose."""
-    out = values(spark, DATED, "id long, t string").select("id", F.explode(dates.dates_in_text(F.col("t"))).alias("d"))
-    return out.select("id", F.col("d").cast("string").alias("d"))
-
-
-_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Sept|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
-DATES_IN_TEXT = rf"""
-with t(id, x) as (values {', '.join(f"({i}, '{t}')" for i, t in DATED)}),
-iso as (select id, unnest(regexp_extract_all(x, '(^|[^\pL\pN_])([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})($|[^\pL\pN_]|T[0-9]{{2}}:)', 2)) as d from t),
-named as (select id, unnest(regexp_extract_all(regexp_replace(x, '(?i)([0-9])(st|nd|rd|th)\b', '\1', 'g'), '(?i)\b(?:(?:{_MONTHS})\s+[0-9]{{1,2}},?\s+[0-9]{{4}}|[0-9]{{1,2}}\s+(?:{_MONTHS})\s+[0-9]{{4}})\b')) as d from t),
-parsed as (
-  select id, try_strptime(d, '%Y-%m-%d')::date as d from iso union all
-  select id, coalesce(try_strptime(c, '%B %d %Y'), try_strptime(c, '%b %d %Y'), try_strptime(c, '%d %B %Y'), try_strptime(c, '%d %b %Y'))::date
-  from (select id, regexp_replace(replace(d, ',', ''), '(?i)\bsept\b', 'Sep') as c from named))
-select distinct id::bigint as id, d::varchar as d from parsed where d is not null"""
-
-STAMPS = ((1, "2026-09-04"), (2, "2026-09-04T23:30:00-05:00"), (3, "2026-02-30"), (4, "04.09.2026"), (5, " 2026-01-01 "), (6, "2026-01-01T25:00:00Z"))
-
-
-def strict_dates(spark, sf_dir):
-    """Dates of publication: the local day of an offset, null for what is no date."""
-    return values(spark, STAMPS, "id long, t string").select("id", dates.strict_date(F.col("t")).cast("string").alias("d"))
-
-
-STRICT_DATES = "select * from (values (1::bigint, '2026-09-04'), (2, '2026-09-04'), (3, null), (4, null), (5, '2026-01-01'), (6, null)) t(id, d)"
-
-
-def publication_resolution(spark, sf_dir):
-    """Which date page, verdict and quotes agree on."""
-    rows = (
-        (1, False, ["2026-01-02"], "2026-01-02", False, None, []),
-        (2, True, [], "2026-01-02", False, None, []),
-        (3, False, ["2026-01-02", "2026-01-03"], None, False, "2026-01-02", ["published 2026-01-02"]),
-        (4, False, [], "2026-01-02", False, "2026-01-03", ["2026-01-03"]),
-        (5, False, [], None, False, "2026-01-03", ["Updated January 3, 2026"]),
-        (6, False, [], None, False, "2026-01-03", ["Posted and updated 3 January 2026"]),
-        (7, False, [], "2026-01-02", True, None, []),
-    )
-    own = values(spark, rows, "id long, conflict boolean, visible array<string>, meta string, truncated boolean, proposed string, quotes array<string>")
-    d = dates.publication_date(F.col("conflict"), F.col("visible"), F.col("meta").cast("date"), F.col("truncated"), F.col("proposed").cast("date"), F.col("quotes"))
-    return own.select("id", d.cast("string").alias("d"))
-
-
-PUBLICATION_RESOLUTION = "select * from (values (1::bigint, '2026-01-02'), (2, null), (3, null), (4, null), (5, null), (6, '2026-01-03'), (7, null)) t(id, d)"
-
 
 def quote_containment(spark, sf_dir):
     """Documents that hold a whole benchmark text."""
@@ -147,12 +98,6 @@ select item_id, doc_id, substring(d.text, greatest(strpos(d.text, b.text) - 120,
 from benchmark b join documents d on contains(d.text, b.text)"""
 
 
-def quote_fuzzy_match(spark, sf_dir):
-    """Benchmark texts with one word's ending changed, given the source's wording."""
-    rows = table(spark, sf_dir, "benchmark").select("item_id", "text", F.regexp_replace("text", r"\A(\S+ \S{9,})(?=\s)", "$1s").alias("quote"))
-    return rows.select("item_id", canonical_quote(F.col("quote"), F.col("text")).alias("canonical"))
-
-
 def unsupported_refs(spark, sf_dir):
     """References (labels, ids moved up by 30) to documents that are not there."""
     refs = table(spark, sf_dir, "labels").select((F.col("doc_id") + 30).alias("ref"))
@@ -211,91 +156,6 @@ ARRAY_SET_RULES = """
 with own as (select lang, coalesce(list(distinct source) filter (n_chars > 3000), []) as s from documents group by lang), e as (select s as e from own where lang = 'en')
 select lang, list_has_all(e, s) as within, not list_has_any(s, e) as disjoint, list_has_all(e, s) and list_has_all(s, e) as same from own, e"""
 
-FACT = "fact_id string, category string, entity string, statement string, time_context string, evidence array<struct<span_id:string,quote:string>>, quantities array<struct<numeric_text:string,unit:string,currency:string,period:string,kind:string,span_id:string>>"
-SPANS = (("s1", "Contoso grew revenue by 500 million dollars in 2025."), ("s2", "The company employs 1,000 people across its twelve offices."))
-_Q = lambda n, **k: (n, k.get("unit"), k.get("currency"), k.get("period"), "actual", k.get("span", "s1"))
-FACTS = (
-    ("f1", "result", "Contoso Ltd", "Revenue grew by 500.0.", "2025", [("s1", "revenue by 500 million dollars in 2025")], [_Q("500", unit="million")]),
-    ("f2", "result", "Contoso", "Revenue grew by 600.", None, [("s1", "grew revenue by 500 million dollars")], []),
-    ("f3", "result", "Fabrikam", "It grew.", None, [("s1", "grew revenue")], []),
-    ("f4", "size", "contoso inc", "It has 1000 staff.", None, [("s2", "employs 1,000 people")], [_Q("one thousand", span="s2")]),
-    ("f5", "size", "Contoso", "It has offices.", None, [("s9", "twelve offices")], []),
-    ("f6", "size", "Contoso", "It has offices.", None, [("s2", "fifteen offices")], []),
-    ("f7", "size", "Contoso", "The company employs many.", "2024", [("s2", "The company employs 1,000 peoples across its twelve offices.")], []),
-    ("f8", "size", "Contoso", "The company employs many.", None, [("s2", "The company employs 1,000 peoples across its twelve offices.")], []),
-    ("f9", "result", "Contoso", "Revenue.", None, [("s1", "revenue by 500 million")], [_Q("500", currency="EUR")]),
-)
-
-
-def _facts(spark):
-    return values(spark, FACTS, FACT), values(spark, SPANS, "span_id string, text string")
-
-
-def fact_acceptance(spark, sf_dir):
-    """Candidate facts against their spans: accepted, left out, or why the batch fails."""
-    facts, spans = _facts(spark)
-    out = evidence.accept_facts(facts, spans, F.lit("Contoso"))
-    return out.select("fact_id", "code", F.col("warnings").cast("long").alias("warnings"), F.col("recovered").cast("long").alias("recovered"))
-
-
-FACT_ACCEPTANCE = """
-select * from (values ('f1', null, 0::bigint, 0::bigint), ('f2', 'numeric_or_period_mismatch', 0, 0), ('f3', 'entity_mismatch', 0, 0), ('f4', null, 1, 0), ('f5', 'unknown_reference', 0, 0),
-  ('f6', 'quote_mismatch', 0, 0), ('f7', 'numeric_or_period_mismatch', 0, 1), ('f8', null, 0, 1), ('f9', 'numeric_or_period_mismatch', 0, 0)) t(fact_id, code, warnings, recovered)"""
-
-
-def omission_notices(spark, sf_dir):
-    facts, spans = _facts(spark)
-    return evidence.omission_notices(evidence.accept_facts(facts, spans, F.lit("Contoso")))
-
-
-OMISSION_NOTICES = """select * from (values ('facts', '3 facts were left out for a number or period.'), ('quotes', '2 quotations were given the source''s wording.')) t(area, detail)"""
-
-CLAIMS = (("c1", "Revenue grew by 500.", "source_backed", ["f1"]), ("c2", "Revenue grew by 700.", "source_backed", ["f1", "f4"]), ("c3", "Perhaps 9 more.", "inference", ["f1"]), ("c4", "No.", "source_backed", ["f0"]), ("c5", None, "unknown", []), ("c6", "x", "unknown", []), ("c7", " ", "inference", ["f1", "f1"]))
-
-
-def _claims(spark):
-    return values(spark, CLAIMS, "claim_id string, text string, basis string, fact_ids array<string>")
-
-
-def grounding_gate(spark, sf_dir):
-    """Claims with unknown facts, or numbers that their quotes lack."""
-    return evidence.ungrounded(_claims(spark), _facts(spark)[0])
-
-
-GROUNDING_GATE = "select * from (values ('c2', 'numeric_or_period_mismatch'), ('c4', 'unknown_reference')) t(claim_id, code)"
-
-
-def grounded_text_gate(spark, sf_dir):
-    return gates.grounded_text(_claims(spark), ["claim_id"])
-
-
-GROUNDED_TEXT_GATE = "select * from (values ('c6', 'unknown_with_content'), ('c7', 'known_without_content'), ('c7', 'repeated_reference')) t(claim_id, code)"
-
-
-def report_gate_violations(spark, sf_dir):
-    """A report with everything that can be wrong with it once."""
-    ev = "evidence array<struct<source_id:string,quote:string>>"
-    facts = values(spark, (("f1", "A", [("s1", "q")]), ("f1", "A Inc", [("s1", "q")]), ("f2", "B", [("s3", "q")])), f"fact_id string, entity string, {ev}")
-    claims = values(spark, (("c1", ["f1"]), ("c2", ["f9"])), "claim_id string, fact_ids array<string>")
-    sources = values(spark, (("s1",), ("s2",)), "source_id string")
-    news = values(spark, (("s1", "2026-01-01"), ("s2", "2025-01-01")), "source_id string, d string").select("source_id", F.col("d").cast("date").alias("published_at"))
-    return gates.report(facts, claims, sources, news, as_of=F.lit("2026-02-01").cast("date"))
-
-
-REPORT_GATE_VIOLATIONS = "select * from (values ('f1', 'repeated_id'), ('f2', 'unknown_source'), ('c2', 'unknown_fact'), ('report', 'several_entities'), ('s2', 'date_out_of_window')) t(item, code)"
-
-
-def review_gate(spark, sf_dir):
-    """A review that misses sections, and decisions that do not fit their issues."""
-    sections = values(spark, (("section_company",), ("section_sources",), ("section_summary",), ("audience_ceo",)), "section_id string")
-    reviews = values(spark, (("section_company", "accepted"), ("section_sources", "rejected"), ("audience_ceo", "rejected")), "section_id string, decision string")
-    issues = values(spark, (("section_company", ["f1"]), ("section_sources", ["f0"])), "section_id string, fact_ids array<string>")
-    return gates.review(sections, reviews, issues, values(spark, (("f1",),), "fact_id string"))
-
-
-REVIEW_GATE = """select * from (values ('section_summary', 'coverage'), ('section_sources', 'sources_rejected'), ('audience_ceo', 'rejection_without_issue'),
-  ('section_company', 'issue_without_rejection'), ('section_sources', 'unknown_reference')) t(section_id, code)"""
-
 
 def bounds_gate(spark, sf_dir):
     """Documents and parts outside declared bounds."""
@@ -322,75 +182,13 @@ def section_enumeration(spark, sf_dir):
 SECTION_ENUMERATION = f"""
 select * from (values {', '.join(f"('{s}', 'fixed')" for s in report.FIXED_SECTIONS)}) t(section_id, kind)
 union all select 'section_contradictions', 'contradictions' where exists (select 1 from labels where quality = 0)
-union all select 'opportunity_' || doc_id, 'opportunity' from labels where toxic = 1
-union all select distinct 'coverage_' || lang, 'coverage' from documents
-union all select distinct 'audience_' || lang, 'audience' from documents where n_chars > 5000"""
-
-
-def review_targets(spark, sf_dir):
-    """Which artifacts issues send back."""
-    issues = values(spark, ((1, "quality", "section_company", []), (2, "quality", "section_evidence", ["f1", "f2"]), (3, "quality", "section_evidence", ["f9"]), (4, "insufficient_evidence", "section_summary", []), (5, "tone", "audience_cto", []), (6, "quality", "opportunity_1", [])), "issue_id long, code string, section_id string, fact_ids array<string>")
-    owners = values(spark, (("f1", "extract_1"), ("f2", "extract_1")), "fact_id string, owner_key string")
-    chunks = values(spark, (("extract_1",), ("extract_2",)), "owner_key string")
-    return joins.issue_targets(issues, owners, chunks)
-
-
-REVIEW_TARGETS = """select * from (values (1::bigint, 'verify_sources'), (2, 'extract_1'), (3, 'extract_1'), (3, 'extract_2'), (5, 'audience_cto'), (6, 'strategy')) t(issue_id, target)"""
-
-
-def artifact_references(spark, sf_dir):
-    """Fact ids anywhere in a nested artifact."""
-    schema = "job long, summary struct<text:string,fact_ids:array<string>>, opportunities array<struct<id:string,signal:struct<fact_ids:array<string>>,success_criteria:array<struct<baseline_fact_ids:array<string>>>>>"
-    rows = [(1, ("t", ["a", "b"]), [("o", (["c"],), [(["a", "d"],)])]), (2, ("t", []), [])]
-    return report.references(values(spark, rows, schema), ["job"])
-
-
-ARTIFACT_REFERENCES = "select * from (values (1::bigint, 'a'), (1, 'b'), (1, 'c'), (1, 'd')) t(job, fact_id)"
-
-JSON_ROWS = ((1, '{"a": 1, "b": ["x"]}'), (2, '{"a": "1", "b": []}'), (3, '{"a": 1}'), (4, '{"a": 1, "b": [], "c": 2}'), (5, '{"a": 1, "a": 2, "b": []}'), (6, '{"a": NaN, "b": []}'), (7, "{"), (8, '{"a": null, "b": null}'), (9, '{"a": true, "b": []}'))
-
-
-def json_shape_gate(spark, sf_dir):
-    """Artifacts that are not exactly of their schema."""
-    return values(spark, JSON_ROWS, "id long, j string").select("id", json_shape(F.col("j"), "a bigint, b array<string>").alias("code"))
-
-
-JSON_SHAPE_GATE = """select * from (values (1::bigint, null), (2, 'wrong_shape'), (3, 'wrong_shape'), (4, 'wrong_shape'), (5, 'invalid_json'), (6, 'invalid_json'), (7, 'invalid_json'), (8, null), (9, 'wrong_shape')) t(id, code)"""
-
-
-def audience_gate(spark, sf_dir):
-    """Audience outputs that break the rules of counts, lines and references."""
-    schema = "audience string, coverage string, talk_points array<struct<opportunity_id:string,seller_line:string>>, evidence_gaps array<string>"
-    rows = (("ceo", "complete", [("o1", "A  b"), ("o1", "a B"), ("o2", "c")], []), ("cto", "partial", [("o9", "x")], []), ("cfo", "complete", [("o1", "x")], ["g"]))
-    return gates.audience(values(spark, rows, schema), values(spark, (("o1",), ("o2",)), "opportunity_id string"), ["audience"])
-
-
-AUDIENCE_GATE = "select * from (values ('ceo', 'repeated_line'), ('cto', 'no_gap'), ('cto', 'unknown_opportunity'), ('cfo', 'count')) t(audience, code)"
-
-
-def strategy_gate(spark, sf_dir):
-    """Opportunities that break the rules of a strategy."""
-    schema = "opportunity_id string, priority int, prerequisites array<string>, success_criteria array<struct<target:string,baseline_fact_ids:array<string>>>"
-    rows = (("o1", 1, ["p"], [(None, ["f1"])]), ("o2", 1, [], [("10", ["f2"])]))
-    facts = values(spark, (("f1", [("actual",)]), ("f2", [("goal",)])), "fact_id string, quantities array<struct<kind:string>>")
-    return gates.strategy(values(spark, rows, schema), facts, ["opportunity_id"]).unionByName(gates.violations(values(spark, rows, schema).groupBy("priority").agg(F.count("*").alias("n"), F.min("opportunity_id").alias("opportunity_id")), ["opportunity_id"], {"shared_priority": F.col("n") > 1}))
-
-
-STRATEGY_GATE = "select * from (values ('o2', 'target_set'), ('o2', 'no_prerequisite'), ('o2', 'baseline_without_figure'), ('o1', 'shared_priority')) t(opportunity_id, code)"
-
-
-def citation_excerpts(spark, sf_dir):
-    """Each cited place once, with its surroundings."""
-    facts, spans = _facts(spark)
-    own = spans.select("span_id", "text", F.lit("src").alias("source_id"), F.lit(1).alias("page"), F.lit(None).cast("string").alias("section"))
-    return report.citations(facts, own).where("excerpt is not null").groupBy("span_id").agg(F.count("*").alias("places"))
-
+union all select 'section_' || doc_id, 'opportunity' from labels where toxic = 1
+union all select distinct 'section_coverage_' || lang, 'coverage' from documents
+union all select distinct 'section_audience_' || lang, 'audience' from documents where n_chars > 5000"""
 
-CITATION_EXCERPTS = "select * from (values ('s1', 1::bigint), ('s2', 1)) t(span_id, places)"
 
 QUERIES = (
-    entity_normalize, entity_in_text_filter, numeric_tokens, numeric_forms, numeric_subset_gate, dates_in_text, strict_dates, publication_resolution, quote_containment,
-    quote_context_window, quote_fuzzy_match, unsupported_refs, referenced_pruning, audience_coverage_default, relational_division, set_equality_gate, array_set_rules,
-    fact_acceptance, omission_notices, grounding_gate, grounded_text_gate, report_gate_violations, review_gate, bounds_gate, section_enumeration, review_targets,
-    artifact_references, json_shape_gate, audience_gate, strategy_gate, citation_excerpts,
+    entity_normalize, entity_in_text_filter, numeric_tokens, numeric_forms, numeric_subset_gate, quote_containment,
+    quote_context_window, unsupported_refs, referenced_pruning, audience_coverage_default, relational_division, set_equality_gate, array_set_rules,
+    bounds_gate, section_enumeration, 
 )

@@ -8,21 +8,12 @@ from pyspark.sql import functions as F
 
 from factloom.functions import arrays, dates, ids, jsonshape, numbers, text, urls
 from factloom.operators import dedup, evidence, gates, jobs, joins, report, select
-from factloom.plans.evidence import FACTS, SPANS, values
+from factloom.plans.evidence import values
 from factloom.sources import codec, pages, robots
 from factloom.sources.tables import artifacts, scratch, table
 from factloom.streaming import jobs as streams
 
 
-def first_texts(spark, sf_dir):
-    """The first claim that is not blank."""
-    rows = values(spark, ((1, "", " a ", "b"), (2, None, None, None), (3, " ", None, "c")), "id long, a string, b string, c string")
-    return rows.select("id", text.first_text(F.col("a"), F.col("b"), F.col("c")).alias("claim"))
-
-
-FIRST_TEXTS = "select * from (values (1::bigint, 'a'), (2, null), (3, 'c')) t(id, claim)"
-
-
 def coverage_notes(spark, sf_dir):
     """Notes on labelled documents: toxic, poor, both or none."""
     rows = table(spark, sf_dir, "labels")
@@ -42,34 +33,6 @@ def search_queries(spark, sf_dir):
 SEARCH_QUERIES = """select distinct 'site:' || regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) || ' "Contoso" after:2024-01-01' as query from pages"""
 
 
-def names_and_placeholders(spark, sf_dir):
-    """Vendor keys, stage names, stand-ins for secrets, talk lines."""
-    rows = values(spark, ((1, " Open-AI_x ", "extract", "changeme", "A  B\tc"), (2, "vendor", "Bad stage", "s3cr3t-value", " x ")), "id long, v string, s string, p string, t string")
-    return rows.select("id", text.vendor_key(F.col("v")).alias("vendor"), text.stage_name(F.col("s")).alias("stage"), text.placeholder(F.col("p")).alias("stand_in"), text.talk_line(F.col("t")).alias("line"))
-
-
-NAMES_AND_PLACEHOLDERS = "select * from (values (1::bigint, 'openaix', 'extract', true, 'a b c'), (2, 'vendor', 'unknown', false, 'x')) t(id, vendor, stage, stand_in, line)"
-
-
-def retry_waits(spark, sf_dir):
-    """Seconds to wait from headers, and between attempts."""
-    rows = values(spark, ((1, "1500", None, 0), (2, None, "7", 1), (3, None, "Sat, 20 Jan 2024 00:01:00 GMT", 2), (4, None, "soon", 3), (5, None, "-4", 9)), "id long, ms string, v string, n int")
-    wait = dates.retry_after(F.col("ms"), F.col("v"), F.lit("2024-01-20 00:00:00").cast("timestamp"))
-    return rows.select("id", wait.alias("wait"), numbers.retry_delay(F.col("v").try_cast("double"), F.col("n")).alias("delay"))
-
-
-RETRY_WAITS = "select * from (values (1::bigint, 1.5::double, 1.0::double), (2, 7.0, 7.0), (3, 60.0, 4.0), (4, 0.0, 8.0), (5, 0.0, -4.0)) t(id, wait, delay)"
-
-
-def message_lines(spark, sf_dir):
-    """The first lines of errors, with their sources; and of distinct error paths."""
-    rows = values(spark, ((1, [(1, "bad"), (None, "worse")], [(["a", "b"], "type"), (["a", "b"], "type"), (["c"], "missing")]),), "id long, m array<struct<number:int,text:string>>, e array<struct<loc:array<string>,kind:string>>")
-    return rows.select("id", F.array_join(report.messages(F.col("m")), "|").alias("messages"), F.array_join(jsonshape.error_list(F.col("e")), "|").alias("errors"))
-
-
-MESSAGE_LINES = "select 1::bigint as id, 'Source 1: bad|worse' as messages, 'a.b: type|c: missing' as errors"
-
-
 def source_markers(spark, sf_dir):
     """Numbers of the sources of each language's report, by id."""
     own = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("report_id"), F.col("source").alias("source_id")).agg(F.min("doc_id").alias("ord"))
@@ -89,79 +52,6 @@ def evidence_join(spark, sf_dir):
 EVIDENCE_JOIN = "select fact_id, ord, source_id, source from (values ('f1', 0::bigint, '1'), ('f1', 1, 'x'), ('f2', 0, '2')) t(fact_id, ord, source_id) left join documents on doc_id::varchar = source_id"
 
 
-def quantity_gate(spark, sf_dir):
-    """Quantities by ordinal that their quotes do not bear out."""
-    from factloom.plans.evidence import FACT
-
-    out = evidence.quantity_warnings(values(spark, FACTS, FACT))
-    return out.select("fact_id", F.col("quantity_index").cast("long").alias("quantity_index"), "numeric_text", "code")
-
-
-QUANTITY_GATE = "select * from (values ('f4', 0::bigint, 'one thousand', 'quantity_warning'), ('f9', 0, '500', 'numeric_or_period_mismatch')) t(fact_id, quantity_index, numeric_text, code)"
-
-
-def quote_gate(spark, sf_dir):
-    """Quotes that are not in their spans, and how many were recovered."""
-    rows = values(spark, [(f[0], s, q) for f in FACTS for s, q in f[5]], "fact_id string, span_id string, quote string")
-    checked = evidence.check_quotes(rows, values(spark, SPANS, "span_id string, text string"))
-    return checked.groupBy("code").agg(F.count("*").alias("n"), F.count_if(F.col("canonical") != F.col("quote")).alias("recovered"))
-
-
-QUOTE_GATE = "select * from (values (null, 7::bigint, 2::bigint), ('unknown_reference', 1, 0), ('quote_mismatch', 1, 0)) t(code, n, recovered)"
-
-VERDICT = "source_id string, company_name string, relation string, evidence array<struct<span_id:string,quote:string>>, executive_name string, executive_evidence array<struct<span_id:string,quote:string>>, published_date string, date_evidence array<struct<span_id:string,quote:string>>"
-VERDICTS = (
-    ("a", "Contoso", "related", [("s1", "Contoso grew revenue")], None, [], "2026-01-02", [("s1", "On 2 January 2026"), ("s1", "On 3 January 2026")]),
-    ("b", "Contoso Inc", "related", [("s2", "The company employs")], "Ann", [], None, []),
-    ("c", "Fabrikam", "related", [], None, [], None, []),
-)
-
-
-def verification_gate(spark, sf_dir):
-    """Verdicts that do not cover, name or quote as they must."""
-    sources = values(spark, (("a",), ("b",), ("c",), ("d",)), "source_id string")
-    return gates.source_verification(values(spark, VERDICTS, VERDICT), sources, values(spark, SPANS, "span_id string, text string"), company=F.lit("Contoso"), homepage=F.lit("a"))
-
-
-VERIFICATION_GATE = "select * from (values ('d', 'coverage'), ('b', 'executive_without_evidence'), ('c', 'company_changed'), ('c', 'related_without_evidence')) t(source_id, code)"
-
-
-def relation_warnings(spark, sf_dir):
-    return evidence.relation_warnings(values(spark, VERDICTS, VERDICT), F.lit("Contoso"))
-
-
-RELATION_WARNINGS = "select * from (values ('b'), ('c')) t(source_id)"
-
-
-def news_support(spark, sf_dir):
-    """Evidence that stands for a news item."""
-    spans = values(spark, (("a", "p1", "datepublished: 2026-01-02", True), ("z", "p2", "x", True)), "source_id string, span_id string, text string, is_publication boolean")
-    return evidence.news_support(values(spark, VERDICTS, VERDICT), spans).select("source_id", "span_id", "quote", F.col("kind").cast("long").alias("kind"))
-
-
-NEWS_SUPPORT = """select * from (values ('a', 's1', 'Contoso grew revenue', 0::bigint), ('b', 's2', 'The company employs', 0), ('a', 's1', 'On 2 January 2026', 2), ('a', 'p1', 'datepublished: 2026-01-02', 3)) t(source_id, span_id, quote, kind)"""
-
-
-def announcement_gate(spark, sf_dir):
-    """Announcements without source, with another date, or without evidence."""
-    news = values(spark, (("s1", "2026-01-01"), ("s2", "2026-01-01"), ("s3", "2026-01-01"), ("s4", "2026-01-01")), "source_id string, d string").select("source_id", F.col("d").cast("date").alias("published_at"))
-    sources = values(spark, (("s1", "2026-01-01"), ("s2", "2026-01-02"), ("s4", "2026-01-01")), "source_id string, d string").select("source_id", F.col("d").cast("date").alias("published_at"))
-    facts = values(spark, (("f", [("s1", "q")]),), "fact_id string, evidence array<struct<source_id:string,quote:string>>")
-    return joins.announcement_violations(news, sources, facts)
-
-
-ANNOUNCEMENT_GATE = "select * from (values ('s2', 'date_mismatch'), ('s3', 'unknown_source'), ('s4', 'no_evidence')) t(source_id, code)"
-
-
-def audience_jobs(spark, sf_dir):
-    """One job for each audience that is not done."""
-    payload = values(spark, ((1, "p"),), "job long, payload string")
-    return joins.jobs_by_audience(payload, ["ceo", "cto", "cfo"], values(spark, (("cto",),), "audience string")).select("job", "audience", "payload")
-
-
-AUDIENCE_JOBS = "select * from (values (1::bigint, 'ceo', 'p'), (1, 'cfo', 'p')) t(job, audience, payload)"
-
-
 def pdf_coverage(spark, sf_dir):
     """Coverage of page texts: users are documents, their events pages, props their texts."""
     own = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc"), (F.col("event_id") % 300).alias("page"), F.when(F.col("event_id") % 5 != 0, F.col("props")).alias("text"))
@@ -185,45 +75,6 @@ def merged_facts(spark, sf_dir):
 MERGED_FACTS = "select doc_id, case when l.doc_id is null then 'document' else 'label' end as origin from documents left join labels l using (doc_id)"
 
 
-def resolved_gaps(spark, sf_dir):
-    """Gaps that are still open once audiences have succeeded."""
-    gaps = values(spark, (("audience", "ceo: no facts"), ("audience", "cto: late"), ("facts", "ceo: few")), "area string, detail string")
-    return dedup.without_resolved(gaps, values(spark, (("ceo",),), "name string"), "audience")
-
-
-RESOLVED_GAPS = "select * from (values ('audience', 'cto: late'), ('facts', 'ceo: few')) t(area, detail)"
-
-
-def remaining_budget(spark, sf_dir):
-    """What tasks still to come need."""
-    plan = values(spark, ((1, "e1", "extract"), (1, "e2", "extract"), (1, "d", "dossier")), "job_id long, task_key string, task_id string")
-    allowance = values(spark, (("extract", 1, 10, 5, 0), ("dossier", 1, 20, 5, 0)), "task_id string, calls long, input_tokens long, output_tokens long, tool_calls long")
-    return jobs.remaining(plan, values(spark, (("e1",),), "task_key string"), allowance)
-
-
-REMAINING_BUDGET = "select 1::bigint as job_id, 2::bigint as calls, 30::bigint as input_tokens, 10::bigint as output_tokens, 0::bigint as tool_calls"
-
-
-def promoted_attempts(spark, sf_dir):
-    """The attempt that counts for each task."""
-    rows = values(spark, (("a", 1, True, "x"), ("a", 2, False, "y"), ("b", 1, False, "p"), ("b", 2, False, "q"), ("c", 1, True, "m"), ("c", 2, True, "n")), "task_key string, attempt long, valid boolean, value string")
-    return jobs.promoted(rows, ["task_key"]).select("task_key", "value")
-
-
-PROMOTED_ATTEMPTS = "select * from (values ('a', 'x'), ('b', 'q'), ('c', 'n')) t(task_key, value)"
-
-
-def retryable_jobs(spark, sf_dir):
-    """Failed jobs worth another try."""
-    own = values(spark, ((1, "failed"), (2, "failed"), (3, "failed"), (4, "completed")), "job_id long, state string")
-    failures = values(spark, ((1, True), (2, True), (2, False), (3, True), (4, True)), "job_id long, transient boolean")
-    spent = values(spark, ((1, 3), (3, 40)), "job_id long, calls long")
-    return jobs.retryable(own, failures, spent, calls=40).select("job_id")
-
-
-RETRYABLE_JOBS = "select 1::bigint as job_id"
-
-
 def planned_tasks(spark, sf_dir):
     """Documents as tasks against the caps of their languages."""
     tasks = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("task_id"), numbers.token_estimate(F.col("n_chars")).alias("estimate"))
@@ -249,25 +100,6 @@ select 'report' as kind, event_id from events where ts + interval 10 days > time
 union all select 'job', event_id from events where ts + interval 7 days > timestamp '2024-01-20'"""
 
 
-def restored_reports(spark, sf_dir):
-    """Cached reports that come back, never for longer than they had."""
-    cached = values(spark, ((1, "2024-01-20 00:30:00"), (2, "2024-01-21 00:00:00"), (3, "2024-01-22 00:00:00")), "report_id long, e string").select("report_id", F.col("e").cast("timestamp").alias("expires_at"))
-    out = jobs.restored(cached, values(spark, ((3,),), "report_id long"), F.lit("2024-01-20 00:00:00").cast("timestamp"), F.expr("interval 1 hour"))
-    return out.select("report_id", F.unix_seconds("expires_at").alias("expires"))
-
-
-RESTORED_REPORTS = "select * from (values (1::bigint, 1705710600::bigint), (2, 1705712400)) t(report_id, expires)"
-
-
-def swept_store(spark, sf_dir):
-    """A store after one account's broken records have gone."""
-    rows = ((1, "a", "ok"), (2, "a", "expired"), (3, "b", "expired"), (4, "a", "invalid"), (5, "a", "clock"))
-    return jobs.swept(values(spark, rows, "id long, namespace string, status string"), "a").select("id")
-
-
-SWEPT_STORE = "select * from (values (1::bigint), (3), (5)) t(id)"
-
-
 def crawl_times(spark, sf_dir):
     """The earliest next request on each host: users' events with their delay of a minute."""
     own = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("host"), "ts").agg(F.lit(60.0).alias("delay"))
@@ -277,46 +109,6 @@ def crawl_times(spark, sf_dir):
 CRAWL_TIMES = "select user_id as host, epoch_us(ts) as ts, lag(epoch_us(ts)) over (partition by user_id order by ts) + 60000000 as earliest from (select distinct user_id, ts from events)"
 
 
-def dossier_gate(spark, sf_dir):
-    """Included and excluded sources against all that are known."""
-    rows = ((1, ["a"], ["b"], ["a", "b"]), (2, ["a", "a"], ["a"], ["a", "b"]), (3, ["z"], ["a"], ["a"]))
-    return gates.dossier(values(spark, rows, "job long, included array<string>, excluded array<string>, known array<string>"), ["job"])
-
-
-DOSSIER_GATE = "select * from (values (2::bigint, 'overlap'), (2, 'missing_source'), (2, 'repeated_source'), (3, 'unknown_source')) t(job, code)"
-
-
-def identity_facts(spark, sf_dir):
-    """The fact that names each source's company."""
-    own = table(spark, sf_dir, "documents").select("source", F.col("lang").alias("category"), F.col("doc_id").cast("string").alias("fact_id"))
-    return gates.identity_fact(own.withColumn("category", F.when(F.col("category") == "es", "company").otherwise(F.col("category"))), ["source"])
-
-
-IDENTITY_FACTS = "select source, arg_min(doc_id::varchar, ((lang <> 'es')::int, doc_id::varchar)) as identity_fact_id from documents group by source"
-
-
-def publish_gate(spark, sf_dir):
-    """What of a reviewed report goes out: opportunities, audiences, and core sections that hold it back."""
-    opportunities = values(spark, (("1",), ("2",)), "opportunity_id string")
-    audiences = values(spark, (("ceo", [("1",)]), ("cto", [("1",), ("2",)]), ("cfo", [("1",)])), "audience string, talk_points array<struct<opportunity_id:string>>")
-    names = ("opportunity_1", "audience_ceo", "audience_cto", "section_company", "section_summary", "section_sources")
-    reviews = values(spark, [(n, "accepted") for n in names] + [("section_evidence", "rejected")], "section_id string, decision string")
-    kept, said = gates.published(opportunities, audiences, reviews)
-    held = gates.publishable(opportunities, reviews)
-    return kept.select(F.lit("opportunity").alias("kind"), F.col("opportunity_id").alias("item")).unionByName(said.select(F.lit("audience").alias("kind"), F.col("audience").alias("item"))).unionByName(held.select(F.lit("held").alias("kind"), F.col("section_id").alias("item")))
-
-
-PUBLISH_GATE = "select * from (values ('opportunity', '1'), ('audience', 'ceo'), ('held', 'section_evidence')) t(kind, item)"
-
-
-def usage_gate(spark, sf_dir):
-    """Usage records that cannot be."""
-    return gates.usage(values(spark, ((1, 1, 2, 3, 0), (2, 1, -2, 3, None)), "id long, calls long, input_tokens long, output_tokens long, tool_calls long"), ["id"])
-
-
-USAGE_GATE = "select * from (values (2::bigint, 'input_tokens:negative'), (2, 'tool_calls:negative')) t(id, code)"
-
-
 def report_status(spark, sf_dir):
     """Completed where every part of a source is."""
     own = table(spark, sf_dir, "documents").select("source", F.when(F.col("n_chars") > 20, "complete").otherwise("partial").alias("coverage"))
@@ -326,16 +118,6 @@ def report_status(spark, sf_dir):
 REPORT_STATUS = "select source, case when bool_and(n_chars > 20) then 'completed' else 'partial' end as status from documents group by source"
 
 
-def resource_fit(spark, sf_dir):
-    """Which reservations are within which allowances, in all four components."""
-    four = "struct<calls:bigint,input_tokens:bigint,output_tokens:bigint,tool_calls:bigint>"
-    rows = values(spark, ((1, (1, 2, 3, 4), (1, 2, 3, 4)), (2, (1, 2, 3, 5), (9, 9, 9, 4))), f"id long, a {four}, b {four}")
-    return rows.select("id", jobs.fits("a", "b").alias("fits"))
-
-
-RESOURCE_FIT = "select * from (values (1::bigint, true), (2, false)) t(id, fits)"
-
-
 def typed_artifacts(spark, sf_dir):
     """Conversations as JSON artifacts, read back by their strict schema."""
     own = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.to_json(F.struct("role", "turn")).alias("json"))
@@ -400,8 +182,8 @@ def stream_submissions(spark, sf_dir):
 STREAM_SUBMISSIONS = "select distinct user_id, event_type from events"
 
 QUERIES = (
-    first_texts, coverage_notes, search_queries, names_and_placeholders, retry_waits, message_lines, source_markers, evidence_join, quantity_gate, quote_gate,
-    verification_gate, relation_warnings, news_support, announcement_gate, audience_jobs, pdf_coverage, merged_facts, resolved_gaps, remaining_budget, promoted_attempts,
-    retryable_jobs, planned_tasks, purged_rows, restored_reports, swept_store, crawl_times, dossier_gate, identity_facts, publish_gate, usage_gate, report_status,
-    resource_fit, typed_artifacts, report_json, document_sections, identifier_filter, request_memo, stream_submissions,
+    coverage_notes, search_queries, source_markers, evidence_join, 
+    pdf_coverage, merged_facts, 
+    planned_tasks, purged_rows, crawl_times, report_status,
+    typed_artifacts, report_json, document_sections, identifier_filter, request_memo, stream_submissions,
 )

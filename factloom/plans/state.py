@@ -119,23 +119,6 @@ fold as (
   from fold f join queue q on q.user_id = f.user_id and q.rn = f.rn + 1)
 select user_id, ord, admitted from fold where rn > 0"""
 
-RESERVE = "job long, ord long, key string, kind string, calls long, input_tokens long, output_tokens long, tool_calls long"
-LEDGER = (
-    (1, 1, "a", "reserve", 1, 60, 10, 0), (1, 2, "b", "reserve", 1, 30, 10, 0), (1, 3, "a", "settle", 1, 20, 5, 0), (1, 4, "c", "reserve", 1, 50, 10, 0),
-    (1, 5, "d", "reserve", 1, 1, 1, 9), (1, 6, "e", "reserve", 1, 1, 1, 0), (1, 7, "b", "settle", 1, 30, 10, 0), (1, 8, "x", "settle", 1, 1, 1, 0),
-)
-
-
-def ledger_replay(spark, sf_dir):
-    """Reservations and settlements replayed; a refusal closes the ledger."""
-    out = jobs.ledger(values(spark, LEDGER, RESERVE), ["job"], {"calls": 10, "input_tokens": 100, "output_tokens": 100, "tool_calls": 5})
-    return out.select("ord", "accepted", "spent_tokens", "in_flight_tokens")
-
-
-LEDGER_REPLAY = """
-select * from (values (1::bigint, true, 0::bigint, 60::bigint), (2, true, 0, 90), (3, true, 20, 30), (4, true, 20, 80), (5, false, 20, 80), (6, false, 20, 80), (7, true, 50, 50), (8, false, 50, 50))
-  t(ord, accepted, spent_tokens, in_flight_tokens)"""
-
 
 def job_admission(spark, sf_dir):
     """Submissions against places to run and wait, one a user."""
@@ -182,20 +165,6 @@ with own as (select event_type, user_id, max(event_id) as event_id, min(event_id
 ranked as (select *, row_number() over (partition by event_type order by first) as r from own)
 select event_type, user_id, event_id from ranked where r <= 40"""
 
-EDGES = (("extract", "dossier"), ("verify", "dossier"), ("dossier", "strategy"), ("strategy", "audience_ceo"), ("strategy", "audience_cto"), ("audience_ceo", "review"), ("audience_cto", "review"))
-
-
-def invalidate_closure(spark, sf_dir):
-    """What a new dossier makes stale."""
-    out = jobs.invalidated(values(spark, (("dossier",),), "node string"), values(spark, EDGES, "src string, dst string"))
-    return out.select("node", F.col("depth").cast("long").alias("depth"))
-
-
-INVALIDATE_CLOSURE = f"""
-with recursive edge(src, dst) as (values {', '.join(f"('{a}', '{b}')" for a, b in EDGES)}),
-reach(node, depth) as (select 'dossier', 0::bigint union all select dst, depth + 1 from reach join edge on src = node)
-select node, min(depth) as depth from reach group by node"""
-
 
 def task_reuse(spark, sf_dir):
     """Documents as tasks: those whose content another source already has can be reused."""
@@ -225,33 +194,6 @@ def usage_by_task(spark, sf_dir):
 USAGE_BY_TASK = "select event_type as task_id, count(*) as attempts, sum(length(props))::bigint as output_tokens, count(*) filter (event_id % 7 <> 0) as succeeded from events group by 1"
 
 
-def job_lifecycle(spark, sf_dir):
-    """Job states after cancel, retry and delete."""
-    rows = ((1, 1, 1, "queued", None, None), (1, 2, 2, "failed", "timeout", None), (1, 3, 3, "retry", None, None), (2, 1, 4, "completed", None, "r2"), (2, 2, 5, "delete", None, None), (3, 1, 6, "completed", None, "r3"))
-    return jobs.lifecycle(values(spark, rows, "job_id long, ts long, ord long, kind string, error string, report_id string"))
-
-
-JOB_LIFECYCLE = "select * from (values (1::bigint, 'queued', null, null), (3, 'completed', null, 'r3')) t(job_id, state, error, report_id)"
-
-
-def provider_failures(spark, sf_dir):
-    """What a provider's status means."""
-    rows = values(spark, [(s,) for s in (401, 404, 408, 429, 500, 503)], "status int").withColumn("f", jobs.failure(F.col("status")))
-    return rows.select("status", "f.code", "f.retryable")
-
-
-PROVIDER_FAILURES = "select * from (values (401, 'auth', false), (404, 'rejected', false), (408, 'timeout', true), (429, 'rate_limited', true), (500, 'unavailable', true), (503, 'unavailable', true)) t(status, code, retryable)"
-
-
-def stored_records(spark, sf_dir):
-    """Records of a browser's store that open, or why not."""
-    rows = ((1, "2024-01-15T00:00:00Z", "2024-01-22T00:00:00Z"), (2, "2024-01-01T00:00:00Z", "2024-01-08T00:00:00Z"), (3, "2024-02-30T00:00:00Z", "2024-03-01T00:00:00Z"), (4, "2024-01-21T00:00:00.000Z", "2024-01-25T00:00:00Z"), (5, "2024-01-15T00:00:00Z", "2024-01-23T00:00:00Z"), (6, "yesterday", ""))
-    return values(spark, rows, "id long, created string, expires string").select("id", gates.stored_record(F.lit(NOW).cast("timestamp")).alias("status"))
-
-
-STORED_RECORDS = "select * from (values (1::bigint, 'ok'), (2, 'expired'), (3, 'invalid'), (4, 'clock'), (5, 'invalid'), (6, 'invalid')) t(id, status)"
-
-
 def blob_round_trip(spark, sf_dir):
     """Documents sealed and opened again: own, altered, and of another owner."""
     key = b"a key of the caller"
@@ -271,24 +213,6 @@ def blob_round_trip(spark, sf_dir):
 BLOB_ROUND_TRIP = "select doc_id, case doc_id % 3 when 1 then 'bad_signature' when 2 then 'wrong_owner' end as error, doc_id % 3 = 0 as same from documents"
 
 
-def request_gate(spark, sf_dir):
-    """Requests with a closed schema and rules on seeds."""
-    seed = lambda u, p="homepage": {"url": u, "purpose": p}
-    rows = [
-        {"seeds": [seed("https://a.com/")], "audiences": ["ceo"], "seller_context": None},
-        {"seeds": [seed("https://a.com/"), seed("https://b.com/")], "audiences": [], "seller_context": None},
-        {"seeds": [seed("https://a.com/"), seed("https://a.com/", "news")], "audiences": [], "seller_context": None},
-        {"seeds": [], "audiences": [], "seller_context": None},
-        {"seeds": [seed("https://a.com/")], "audiences": ["x", "x"], "seller_context": ""},
-        {"seeds": [seed("https://a.com/")], "audiences": [], "seller_context": None, "more": 1},
-    ]
-    own = values(spark, [(k, json.dumps(r)) for k, r in enumerate(rows)], "id long, json string")
-    return requests(own).select("id", "error")
-
-
-REQUEST_GATE = "select * from (values (0::bigint, null), (1, 'one_homepage'), (2, 'repeated_seed'), (3, 'seed_count'), (4, 'repeated_audience'), (5, 'wrong_shape')) t(id, error)"
-
-
 def candidate_scope(spark, sf_dir):
     """Search results (pages by tens) all of whose hosts are approved: those that are not under .org."""
     own = table(spark, sf_dir, "pages").select("page_id", "url", F.floor(F.col("page_id") / 2).alias("group_id"))
@@ -320,7 +244,7 @@ JOB_VIEW = """
 select user_id as job_id, case when bool_or(event_type = 'purchase') then 'completed' else arg_max(event_type, (ts, event_id)) end as status from events group by user_id"""
 
 QUERIES = (
-    date_window_filter, announcement_order, idempotent_submission, ttl_active, latest_state, best_attempt, stage_durations, ledger_totals, ledger_admission, ledger_replay,
-    job_admission, capacity_check, active_jobs, latest_50, upsert_latest, invalidate_closure, task_reuse, checkpoint_sizes, usage_by_task, job_lifecycle,
-    provider_failures, stored_records, blob_round_trip, request_gate, candidate_scope, namespaces, job_view,
+    date_window_filter, announcement_order, idempotent_submission, ttl_active, latest_state, best_attempt, stage_durations, ledger_totals, ledger_admission, 
+    job_admission, capacity_check, active_jobs, latest_50, upsert_latest, task_reuse, checkpoint_sizes, usage_by_task, 
+    blob_round_trip, candidate_scope, namespaces, job_view,
 )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factloom.functions import text, urls
 from factloom.operators import select
 from factloom.sources import pages, robots
+from factloom.plans.reports import derived, twin
 from factloom.sources.tables import table
 from factloom.plans.spans import LEXICON
 
@@ -104,11 +105,14 @@ def host_www_pairs(spark, sf_dir):
     return urls.www_pairs(own.unionByName(more), spark.createDataFrame(urls.SUFFIXES, "suffix string, private boolean"))
 
 
-MORE_HOSTS = ("a.com", "www.a.com", "b.co.uk", "www.b.co.uk", "x.b.co.uk", "www.www.c.org", "d.github.io", "www.d.github.io", "e.unknown", "com")
+MORE_HOSTS = ("a.com", "www.a.com", "b.co.uk", "www.b.co.uk", "x.b.co.uk", "www.www.c.org", "d.github.io", "www.d.github.io", "e.unknown", "com", "f.g.ck", "www.f.g.ck", "g.ck", "www.ck", "h.city.kawasaki.jp", "city.kawasaki.jp", "www.city.kawasaki.jp", "i.j.kawasaki.jp", "k.l.compute.amazonaws.com")
 HOST_WWW_PAIRS = f"""
-with suffix(suffix, private) as (values {', '.join(f"('{s}', {str(p).lower()})" for s, p in urls.SUFFIXES)}),
+with rule(rule, private) as (values {', '.join(f"('{s}', {str(p).lower()})" for s, p in urls.SUFFIXES)}),
 host as (select distinct regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) as host from pages union values {', '.join(f"('{h}')" for h in MORE_HOSTS)}),
-best as (select host, arg_max(suffix, length(suffix)) as suffix, arg_max(private, length(suffix)) as private from host join suffix on ends_with(host, '.' || suffix) group by host),
+fit as (
+  select host, private, rule[1] = '!' as exception, case when rule[1] = '!' then regexp_replace(rule, '^![^.]*[.]', '') when rule[1] = '*' then regexp_extract(host, '([^.]+' || replace(rule[2:], '.', '[.]') || ')$', 1) else rule end as suffix
+  from host join rule on case when rule[1] = '!' then host = rule[2:] or ends_with(host, '.' || rule[2:]) when rule[1] = '*' then regexp_matches(host, '[.][^.]+' || replace(rule[2:], '.', '[.]') || '$') else ends_with(host, '.' || rule) end),
+best as (select host, arg_max(suffix, (exception::int, length(suffix))) as suffix, arg_max(private, (exception::int, length(suffix))) as private from fit group by host),
 named as (select host, regexp_extract(left(host, length(host) - length(suffix) - 1), '[^.]*$') || '.' || suffix as domain from best where not private)
 select host, case when host = domain then 'www.' || domain else domain end as counterpart
 from named where not starts_with(domain, 'www.') and (host = domain or host = 'www.' || domain)"""
@@ -129,38 +133,53 @@ page as (select page_id, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]+(
 hit as (select page_id, max(size * 2 + allow::int) as best from page join rule on target like pattern group by page_id)
 select page_id, coalesce(best % 2 = 1, true) as allowed from page left join hit using (page_id)"""
 
-ROBOTS_LINES = ((1, "User-agent: *"), (2, "Disallow: /private # all"), (3, ""), (4, "User-agent: Loom"), (5, "User-agent: other"), (6, "Allow: /private/open"), (7, "Crawl-delay: 2"), (8, "User-agent: loombot"), (9, "Disallow: /x"), (10, "Request-rate: 1/5"), (11, "Sitemap: https://a.com/s"))
+#: Users of ``events`` are hosts, their events the lines of its policy.
+ROBOTS_LINES = """
+select cast(user_id as string) as host, rn as line_no, case when rn = 1 then 'User-agent: *' when event_type = 'signup' then 'User-agent: ' || case event_id % 3 when 0 then 'Loom' when 1 then 'other' else 'loombot' end
+  when event_type = 'click' then 'Disallow: /a' || cast(event_id as string) || ' # all' when event_type = 'view' then 'allow : /b' || cast(event_id as string) when event_type = 'purchase' then 'Crawl-delay: ' || cast(event_id % 5 as string)
+  else 'Request-rate: 1/' || cast(event_id % 9 as string) end as text
+from (select *, row_number() over (partition by user_id order by event_id) as rn from {events}) t"""
 
 
 def robots_groups(spark, sf_dir):
-    """The rules of the groups that fit best, and their delay."""
-    lines = spark.createDataFrame([("h", n, t) for n, t in ROBOTS_LINES], "host string, line_no long, text string")
-    return robots.policy(lines, "loombot")
+    """The rules of the groups that fit each host's reader best, and their delay."""
+    return robots.policy(derived(spark, sf_dir, ROBOTS_LINES), "loombot")
 
 
 ROBOTS_GROUPS = f"""
-with line(line_no, text) as (values {', '.join(f"({n}, '{t}')" for n, t in ROBOTS_LINES)}),
-own as (select line_no, lower(trim(split_part(t, ':', 1))) as key, trim(regexp_replace(t, '^[^:]*:', '')) as value from (select line_no, trim(split_part(text, '#', 1)) as t from line) where contains(t, ':')),
-used as (select * from own where key in ('user-agent', 'allow', 'disallow', 'crawl-delay', 'request-rate')),
-grouped as (select *, sum(opens) over (order by line_no) as grp from (select *, (key = 'user-agent' and coalesce(lag(key) over (order by line_no), '') <> 'user-agent')::int as opens from used)),
-score as (select grp, max(case when lower(value) = '*' then 0 when contains('loombot', lower(value)) then length(value) end) as score from grouped where key = 'user-agent' group by grp),
-best as (select * from grouped where grp in (select grp from score where score = (select max(score) from score))),
-delay as (select coalesce(max(case when key = 'crawl-delay' then value::double when key = 'request-rate' then split_part(value, '/', 2)::double / split_part(value, '/', 1)::double end), 0.0) as delay from best)
-select 'h' as host, line_no::bigint as line_no, value as pattern, key = 'allow' as allow, delay from best, delay where key in ('allow', 'disallow') and value <> ''"""
-
-REPLIES = ((1, 200, None), (2, 429, "7200"), (3, 429, "soon"), (4, 401, None), (5, 403, "5"), (6, 500, None), (7, 301, None))
-
-
-def reply_status(spark, sf_dir):
-    """What a status says, with the capped wait."""
-    rows = spark.createDataFrame(REPLIES, "id long, status int, retry string").withColumn("e", pages.status_error(F.col("status"), F.col("retry")))
-    return rows.select("id", "e.code", F.col("e.retry_after").cast("long").alias("retry_after"))
-
-
-REPLY_STATUS = f"""
-select id::bigint as id, case when status = 200 then null when status = 429 then 'source_rate_limited' when status in (401, 403) then 'source_forbidden' else 'source_unavailable' end as code,
-       case when status = 429 and regexp_full_match(retry, '[0-9]{{1,6}}') then least(retry::bigint, 3600) end as retry_after
-from (values {', '.join(f"({i}, {s}, {'null' if r is None else repr(r)})" for i, s, r in REPLIES)}) t(id, status, retry)"""
+with line as ({twin(ROBOTS_LINES)}),
+own as (select host, line_no, lower(trim(split_part(t, ':', 1))) as key, trim(regexp_replace(t, '^[^:]*:', '')) as value from (select host, line_no, trim(split_part(text, '#', 1)) as t from line)),
+grouped as (select *, sum(opens) over (partition by host order by line_no) as grp from (select *, (key = 'user-agent' and coalesce(lag(key) over (partition by host order by line_no), '') <> 'user-agent')::int as opens from own)),
+score as (select host, grp, max(case when lower(value) = '*' then 0 when contains('loombot', lower(value)) then length(value) end) as score from grouped where key = 'user-agent' group by all),
+top as (select host, max(score) as score from score group by host),
+best as (select g.* from grouped g join score s using (host, grp) join top t on t.host = g.host and t.score = s.score),
+delay as (select host, coalesce(max(case when key = 'crawl-delay' then value::double when key = 'request-rate' then split_part(value, '/', 2)::double / split_part(value, '/', 1)::double end), 0.0) as delay from best group by host),
+rule as (select * from best where key in ('allow', 'disallow') and value <> '')
+select d.host, r.line_no, r.value as pattern, case when r.key is not null then r.key = 'allow' end as allow, d.delay from delay d left join rule r on r.host = d.host"""
+
+ROBOTS_BROKEN = """
+select cast(user_id as string) as host, rn as line_no, case
+  when rn = 1 then case when user_id % 9 = 1 then 'Disallow: /x' when user_id % 9 = 2 then '<html>' when user_id % 9 = 8 then 'Allow-all: yes' else 'User-agent: *' end
+  when rn = 2 then case when user_id % 9 = 3 then 'Crawl-delay: soon' when user_id % 9 = 4 then 'Request-rate: 0/5' when user_id % 9 = 5 then 'Disallow: x' when user_id % 9 = 6 then 'no colon' when user_id % 9 = 7 then 'User-agent:' else '# note' end
+  else '# ' || event_type end as text
+from (select *, row_number() over (partition by user_id order by event_id) as rn from {events}) t"""
+
+
+def robots_refused(spark, sf_dir):
+    """Hosts whose policy cannot be read, so nothing of theirs is: what is wrong with it."""
+    types = derived(spark, sf_dir, "select distinct cast(user_id as string) as host, case when user_id % 10 = 9 then 'text/html' else 'text/plain' end as content_type from {events}")
+    return robots.refused(derived(spark, sf_dir, ROBOTS_BROKEN), types)
+
+
+ROBOTS_REFUSED = f"""
+with line as ({twin(ROBOTS_BROKEN)}), host as (select distinct user_id, user_id::varchar as host, user_id % 9 as k from events)
+select host, 'media_type' as code from host where user_id % 10 = 9
+union all select host, 'rule_without_agent' from host where k = 1
+union all select host, 'unreadable_line' from host where k in (2, 6) and exists (select 1 from line where line.host = host.host and (text = '<html>' or text = 'no colon'))
+union all select host, 'bad_delay' from host where k in (3, 4) and exists (select 1 from line where line.host = host.host and line_no = 2)
+union all select host, 'bad_pattern' from host where k = 5 and exists (select 1 from line where line.host = host.host and line_no = 2)
+union all select host, 'bad_agent' from host where k = 7 and exists (select 1 from line where line.host = host.host and line_no = 2)
+union all select host, 'unrecognised' from host where k in (1, 2, 8)"""
 
 
 def media_types(spark, sf_dir):
@@ -171,19 +190,6 @@ def media_types(spark, sf_dir):
 
 MEDIA_TYPES = "select page_id, case when page_id % 3 <> 1 then 'text/html' end as media_type, false as challenged from pages"
 
-REDIRECTS = (("https://a.com/1", "https://a.com/2"), ("https://a.com/2", "https://b.com/3"), ("https://b.com/3", None), ("https://a.com/l", "https://a.com/m"), ("https://a.com/m", "https://a.com/l"), ("https://a.com/o", "https://c.com/"))
-
-
-def redirect_chain(spark, sf_dir):
-    """Where replies lead over at most three approved hops."""
-    rows = spark.createDataFrame(REDIRECTS, "url string, location string")
-    hosts = spark.createDataFrame([("a.com",), ("b.com",)], "host string")
-    return pages.final_urls(rows, hosts).select("url", "final", F.col("hops").cast("long").alias("hops"), "error")
-
-
-REDIRECT_CHAIN = """
-select * from (values ('https://a.com/1', 'https://b.com/3', 2::bigint, null), ('https://a.com/2', 'https://b.com/3', 1, null), ('https://b.com/3', 'https://b.com/3', 0, null),
-  ('https://a.com/l', null, 1, 'redirect_loop'), ('https://a.com/m', null, 1, 'redirect_loop'), ('https://a.com/o', null, 0, 'host_not_approved')) t(url, final, hops, error)"""
 
 ADDRESSES = ("8.8.8.8", "10.0.0.1", "127.0.0.1", "169.254.169.254", "168.63.129.16", "::1", "2001:4860:4860::8888", "::ffff:8.8.8.8", "224.0.0.1", "192.0.2.1", "x", "100.64.0.1")
 
@@ -199,16 +205,6 @@ PUBLIC_ADDRESSES = f"""
 with own as (select distinct user_id, unnest([user_id % {len(ADDRESSES)}, (user_id // 2) % 7]) as k from events)
 select user_id, count(*) as n from own group by user_id having bool_and(k in (0, 6))"""
 
-PATHS = ((1, "/a?b=1"), (2, "//evil.com"), (3, "https://evil.com"), (4, "/a\\b"), (5, None), (6, "/"))
-
-
-def local_paths(spark, sf_dir):
-    """Redirect targets that stay on the site."""
-    return spark.createDataFrame(PATHS, "id long, path string").select("id", urls.local_path(F.col("path"), "/home").alias("path"))
-
-
-LOCAL_PATHS = "select * from (values (1::bigint, '/a?b=1'), (2, '/home'), (3, '/home'), (4, '/home'), (5, '/home'), (6, '/')) t(id, path)"
-
 
 def email_rules(spark, sf_dir):
     """Customers whose made-up address a rule lets in."""
@@ -220,5 +216,5 @@ EMAIL_RULES = "select c_custkey from customer where c_custkey % 3 = 0 or c_custk
 
 QUERIES = (
     page_span_topk, page_title, page_text_blocks, page_spans, page_publication_dates, page_links, link_purpose, url_normalize, host_policy, host_www_pairs,
-    robots_match, robots_groups, reply_status, media_types, redirect_chain, public_addresses, local_paths, email_rules,
+    robots_match, robots_groups, robots_refused, media_types, public_addresses, email_rules,
 )
