@@ -116,7 +116,7 @@ class Ledger:
         """One row a pair; none before the first update."""
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-            return self.spark.createDataFrame([], LEDGER)
+            return self.spark.range(0).select(*[F.lit(None).cast(x.split(' ', 1)[1]).alias(x.split(' ', 1)[0]) for x in LEDGER.split(', ')])
         return self.spark.read.schema(LEDGER).parquet(self.path)
 
     def update(self, versions: DataFrame, *, rules: tuple[Rule, ...] = RULES, text: str = "text") -> int:
