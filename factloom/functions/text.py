@@ -89,7 +89,8 @@ def readable(text: Column, *, least: int = 40, short: int = 500, barriers: tuple
 
 
 def substance(text: Column, lexicon: list[str] | tuple[str, ...] = SUBSTANCE, *, most: int = 12) -> Column:
-    return F.least(F.lit(most), F.regexp_count(text, F.lit(rf"(?iU)\b(?:{'|'.join(lexicon)})\b")))
+    # ``least`` passes over nulls, so a text that is not there must count 0 before.
+    return F.least(F.lit(most), F.coalesce(F.regexp_count(text, F.lit(rf"(?iU)\b(?:{'|'.join(lexicon)})\b")), F.lit(0)))
 
 
 def span_rank(text: Column, section: Column | None = None, *, company: Column | None = None, lexicon: list[str] | tuple[str, ...] = SUBSTANCE) -> Column:

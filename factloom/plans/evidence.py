@@ -53,15 +53,14 @@ def numeric_tokens(spark, sf_dir):
 
 NUMERIC_TOKENS = f"select doc_id, array_to_string(list_sort(n), ' ') as numbers from (select doc_id, {_sql_numbers('text')} as n from documents) where len(n) > 0"
 
-SAMPLE_NUMBERS = ((1, "1,000 and 500.0%, 007 of 3.50 or 12,34 in 2024."), (2, "v1 x2 3,4.5.6"), (3, ""), (4, "0 and 0.00 and 1,000,000.10%"))
-
-
 def numeric_forms(spark, sf_dir):
-    """Forms of numbers: separators, zeros, percent."""
-    return values(spark, SAMPLE_NUMBERS, "id long, t string").select("id", F.array_join(F.array_sort(numbers.numeric_tokens(F.col("t"))), " ").alias("numbers"))
+    """Forms of numbers, made of each event's: thousands, leading and trailing zeros, percent, and one that is none."""
+    n = F.col("event_id") * 1237
+    said = F.concat(F.lit("v"), F.col("user_id").cast("string"), F.lit(" "), F.format_number(n, 0), F.lit(" and 00"), F.col("user_id").cast("string"), F.lit(".50%, 12,34"))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.array_sort(numbers.numeric_tokens(said)), " ").alias("numbers"))
 
 
-NUMERIC_FORMS = f"select id::bigint as id, array_to_string(list_sort({_sql_numbers('x')}), ' ') as numbers from (values {', '.join(f'''({i}, '{t}')''' for i, t in SAMPLE_NUMBERS)}) v(id, x)"
+NUMERIC_FORMS = "select event_id, array_to_string(list_sort(list_distinct([(event_id * 1237)::varchar, case when user_id = 0 then '0' else user_id::varchar end || '.5%', '12,34'])), ' ') as numbers from events"
 
 
 def numeric_subset_gate(spark, sf_dir):

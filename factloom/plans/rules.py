@@ -43,13 +43,14 @@ SOURCE_MARKERS = "select lang as report_id, source as source_id, row_number() ov
 
 
 def evidence_join(spark, sf_dir):
-    """Citations of facts with their sources, lost ones too."""
-    facts = values(spark, (("f1", [("1", "q"), ("x", "r")]), ("f2", [("2", "s")])), "fact_id string, evidence array<struct<source_id:string,quote:string>>")
-    sources = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_id"), "source")
-    return joins.evidence_sources(facts, sources).select("fact_id", F.col("ord").cast("long").alias("ord"), "source_id", "source")
+    """Citations of all documents' facts with their sources, lost ones too."""
+    from factloom.plans.reports import facts
 
+    sources = table(spark, sf_dir, "documents").where("source <> 'src3'").groupBy(F.col("source").alias("source_id")).agg(F.min("doc_id").alias("first_id"))
+    return joins.evidence_sources(facts(spark, sf_dir), sources).select("fact_id", F.col("ord").cast("long").alias("ord"), "source_id", "first_id")
 
-EVIDENCE_JOIN = "select fact_id, ord, source_id, source from (values ('f1', 0::bigint, '1'), ('f1', 1, 'x'), ('f2', 0, '2')) t(fact_id, ord, source_id) left join documents on doc_id::varchar = source_id"
+
+EVIDENCE_JOIN = "select 'f' || doc_id as fact_id, 0::bigint as ord, source as source_id, case when source <> 'src3' then min(doc_id) over (partition by source) end as first_id from documents"
 
 
 def pdf_coverage(spark, sf_dir):
@@ -152,7 +153,9 @@ def identifier_filter(spark, sf_dir):
     return own.select("doc_id", *[ids.identifier(F.col("v"), k).alias(k) for k in ("report", "hash", "submission")])
 
 
-IDENTIFIER_FILTER = "select doc_id, doc_id % 3 = 0 as report, doc_id % 3 = 1 as hash, doc_id % 3 <> 2 as submission from documents"
+IDENTIFIER_FILTER = """
+with own as (select doc_id, left(sha256(text), [32, 64, 12][doc_id % 3 + 1]) as v from documents)
+select doc_id, regexp_full_match(v, '[0-9a-f]{32}') as report, regexp_full_match(v, '[0-9a-f]{64}') as hash, regexp_full_match(v, '[A-Za-z0-9_-]{16,80}') as submission from own"""
 
 
 def request_memo(spark, sf_dir):

@@ -9,7 +9,7 @@ from factloom.operators import select
 from factloom.sources import pages, robots
 from factloom.plans.reports import derived, twin
 from factloom.sources.tables import table
-from factloom.plans.spans import LEXICON
+from factloom.plans.spans import LEXICON, _RANK
 
 
 def parsed(spark, sf_dir):
@@ -38,6 +38,33 @@ def page_text_blocks(spark, sf_dir):
     return rows.select("page_id", F.col("ord").cast("long").alias("ord"), F.sha2("text", 256).alias("digest"), "section")
 
 
+#: Blocks by cutting up the page's text: what is hidden goes, block tags cut, a heading names what follows.
+BLOCKS = r"""
+raw as (select page_id, url, html, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) as title, regexp_extract(html, '(?is)<body[^>]*>(.*)$', 1) as body from pages where url like 'https://%'),
+seen as (select page_id, title, regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '<!--.*?-->', '', 'gs'), '<nav>.*?(</nav>|$)', chr(1), 'gs'), '<footer>.*?(</footer>|$)', chr(1), 'gs'), '<[^>]*$', '') as body from raw),
+cut as (select page_id, title, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '<h1>', chr(1) || chr(2), 'g'), '</?(p|div|article|ul|li|h1)\b[^>]*>', chr(1), 'g'), '<br/?>', ' ', 'g'), '<[^>]*>', '', 'g'), chr(1)) as parts from seen),
+part as (select page_id, unnest([title] || parts) as x, unnest(range(len(parts) + 1)) as n from cut),
+plain as (select page_id, n, n = 0 as is_title, starts_with(x, chr(2)) as heading, trim(regexp_replace(replace(replace(replace(replace(replace(replace(x, chr(2), ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) as text from part),
+blocks as (
+  select page_id, row_number() over (partition by page_id order by n) - 1 as ord, case when is_title then left(text, 300) else text end as text,
+    case when is_title then 'Title' else last_value(case when heading then left(text, 300) end ignore nulls) over (partition by page_id order by n rows unbounded preceding) end as section
+  from plain where text <> '')"""
+PAGE_TEXT_BLOCKS = f"with {BLOCKS} select page_id, ord, sha256(text) as digest, section from blocks"
+PAGE_SPAN_TOPK = f"""
+with {BLOCKS}, ranked as (select *, {_RANK} + case when len(list_filter(regexp_extract_all(lower(section), '[\\pL\\pN_]+'), lambda w: w in ({', '.join(repr(w) for w in LEXICON)}))) > 0 then 3 else 0 end as rank from blocks),
+numbered as (select *, row_number() over (partition by page_id order by rank desc, ord) as rn from ranked)
+select page_id, ord, left(text, 1200) as text, section from numbered where rn <= 6"""
+PAGE_SPANS = f"""
+with recursive {BLOCKS},
+cutting as (
+  select page_id, ord as block, section, 0 as n, text as rest, '' as piece from blocks
+  union all
+  select page_id, block, section, n + 1, ltrim(rest[c + 1:]), trim(rest[1:c]) from (
+    select *, case when length(rest) <= 300 then length(rest) else case when sp > 150 then sp else 300 end end as c
+    from (select *, coalesce(301 - nullif(strpos(reverse(rest[1:301]), ' '), 0) + 1 - 1, 0) as sp from cutting where rest <> '')))
+select page_id, row_number() over (partition by page_id order by block, n) - 1 as ord, length(piece)::bigint as chars, section from cutting where n > 0 and piece <> ''"""
+
+
 def page_spans(spark, sf_dir):
     """Spans of each page under the caps of a document."""
     rows = parsed(spark, sf_dir).select("page_id", pages.document_spans(F.transform("blocks", lambda b: F.struct(b["text"].alias("text"), b["section"].alias("section"))), size=300).alias("d"))
@@ -57,6 +84,13 @@ def page_links(spark, sf_dir):
     return parsed(spark, sf_dir).select("page_id", F.posexplode("links").alias("ord", "link")).select("page_id", F.col("ord").cast("long").alias("ord"), "link")
 
 
+PAGE_LINKS = r"""
+with raw as (select page_id, regexp_extract(url, '^https://([^/?#]+)', 1) as host, regexp_extract_all(html, '<a [^>]*?href="([^"#]+)"', 1) as hrefs from pages where url like 'https://%'),
+each as (select page_id, unnest(hrefs) as href, host, unnest(range(len(hrefs))) as n from raw),
+found as (select page_id, 'https://' || lower(host) || '/' || replace(url_encode(href[2:]), '%2C', ',') as link, min(n) as n from each group by all)
+select page_id, row_number() over (partition by page_id order by n) - 1 as ord, link from found"""
+
+
 def link_purpose(spark, sf_dir):
     """What a page's address says it is about."""
     rows = table(spark, sf_dir, "pages").select("page_id", F.concat(F.element_at(F.split("url", r"[?#]"), 1), F.element_at(F.array(*[F.lit(x) for x in ("/about", "/security", "/x", "/products", "/annual_report")]), (F.col("page_id") % 5 + 1).cast("int"))).alias("url"))
@@ -188,7 +222,13 @@ def media_types(spark, sf_dir):
     return rows.select("page_id", pages.media_type(F.col("body"), F.col("declared")).alias("media_type"), pages.challenged(F.create_map(F.lit("server"), F.lit("x")), F.col("body")).alias("challenged"))
 
 
-MEDIA_TYPES = "select page_id, case when page_id % 3 <> 1 then 'text/html' end as media_type, false as challenged from pages"
+MEDIA_TYPES = r"""
+with own as (select page_id, ltrim(html) as html, lower(html) as low, ['text/html', 'application/pdf', ''][page_id % 3 + 1] as declared from pages)
+select page_id, case when starts_with(html, '%PDF-') then case when declared in ('', 'application/pdf') then 'application/pdf' end
+    when declared = 'application/pdf' or contains(left(html, 1024), chr(0)) then null
+    when declared = 'text/html' or (declared = '' and regexp_matches(left(html, 1024), '(?i)<(!doctype\s+html|html|head|body)\b')) then 'text/html' end as media_type,
+  regexp_matches(low, '<title[^>]*>\s*(just a moment|attention required|checking your browser|verify(ing)? you are human)')
+    and regexp_matches(low, '/cdn-cgi/challenge-platform/|cf-chl-|cf_chl_|jschl_vc|challenges\.cloudflare\.com|hcaptcha\.com|g-recaptcha') as challenged from own"""
 
 
 ADDRESSES = ("8.8.8.8", "10.0.0.1", "127.0.0.1", "169.254.169.254", "168.63.129.16", "::1", "2001:4860:4860::8888", "::ffff:8.8.8.8", "224.0.0.1", "192.0.2.1", "x", "100.64.0.1")
@@ -212,7 +252,9 @@ def email_rules(spark, sf_dir):
     return rows.where(text.email_allowed(F.col("email"), ["*@example.com", "user1*@other.org"])).select("c_custkey")
 
 
-EMAIL_RULES = "select c_custkey from customer where c_custkey % 3 = 0 or c_custkey::varchar like '1%'"
+EMAIL_RULES = """
+with own as (select c_custkey, 'User' || c_custkey || case when c_custkey % 3 = 0 then '@Example.com' else '@other.org' end as email from customer)
+select c_custkey from own where lower(email) like '%@example.com' or lower(email) like 'user1%@other.org'"""
 
 QUERIES = (
     page_span_topk, page_title, page_text_blocks, page_spans, page_publication_dates, page_links, link_purpose, url_normalize, host_policy, host_www_pairs,
