@@ -183,8 +183,8 @@ def www_pairs(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
     rules = suffixes.select(F.regexp_replace(rule, r"\A(?:\*\.|!)", "").alias("tail"), shift.alias("shift"), "private")
     tails = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda k: F.struct(k.alias("k"), F.array_join(F.slice("labels", k, F.lit(256)), ".").alias("tail")))
     each = hosts.select("host").distinct().withColumn("labels", F.split("host", r"\.")).where(F.size("labels") >= 2).select("host", "labels", F.explode(tails).alias("t"))
-    own = each.select("host", "labels", "t.k", "t.tail").join(rules, "tail").withColumn("k", F.col("k") + F.col("shift")).where("k >= 2")
-    best = own.groupBy("host", "labels").agg(F.min_by(F.struct("private", "k"), F.struct((F.col("shift") != 1).alias("a"), "k")).alias("b")).where(~F.col("b.private"))
+    own = each.select("host", "labels", "t.k", "t.tail").join(rules, "tail").withColumn("k", F.col("k") + F.col("shift")).where("k >= 1")
+    best = own.groupBy("host", "labels").agg(F.min_by(F.struct("private", "k"), F.struct((F.col("shift") != 1).alias("a"), "k")).alias("b")).where(~F.col("b.private") & (F.col("b.k") >= 2))
     out = best.withColumn("domain", F.array_join(F.slice("labels", F.col("b.k") - 1, F.lit(256)), ".")).where(~F.startswith("domain", F.lit("www.")))
     other = F.when(F.col("host") == F.col("domain"), F.concat(F.lit("www."), F.col("domain"))).when(F.col("host") == F.concat(F.lit("www."), F.col("domain")), F.col("domain"))
     return out.select("host", other.alias("counterpart")).where("counterpart is not null")

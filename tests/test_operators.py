@@ -1,0 +1,216 @@
+"""Operators without a SQL twin against brute force, folds and lookups at size, gates with passing and violating rows."""
+
+from __future__ import annotations
+
+import random
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from factloom.functions import text, urls
+from factloom.operators import dedup, gates, jobs, joins, select
+from factloom.plans import registry, spans
+from factloom.sources import pages, robots
+
+SF = "/root/testdata/sf0.001"
+
+
+def got(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def split(spark):
+    """Spans of the documents: (source, doc_id, ord, text)."""
+    return sorted(tuple(r) for r in spans.document_spans(spark, SF, "source").select("source", "doc_id", "ord", "text").collect())
+
+
+def grouped(rows, key):
+    out = {}
+    for r in rows:
+        out.setdefault(key(r), []).append(r)
+    return out
+
+
+def test_byte_budget(spark, split):
+    want = []
+    for doc, own in grouped(split, lambda r: r[1]).items():
+        left = spans.SPAN_BUDGET
+        for r in sorted(own, key=lambda r: r[2]):
+            size, kept = 0, ""
+            for c in r[3]:
+                if size + len(c.encode()) > left:
+                    break
+                size, kept = size + len(c.encode()), kept + c
+            if left > 0 and kept.strip():
+                want.append((doc, r[2], size))
+                left -= size
+    assert got(registry.QUERIES["byte_budget_exact"](spark, SF)) == sorted(want, key=repr)
+
+
+def halves(sizes, limit):
+    if len(sizes) > 1 and sum(n + 150 for _, n in sizes) > limit:
+        k = len(sizes) // 2
+        return halves(sizes[:k], limit) + halves(sizes[k:], limit)
+    return [sizes]
+
+
+def test_chunk_halving(spark, split):
+    want = []
+    for doc, own in grouped(split, lambda r: r[1]).items():
+        for part, rows in enumerate(halves([(r[2], len(r[3])) for r in sorted(own, key=lambda r: r[2])], spans.CHUNK)):
+            want += [(doc, k, part) for k, _ in rows]
+    assert got(registry.QUERIES["chunk_halving"](spark, SF)) == sorted(want, key=repr)
+
+
+def test_batch_shrink(spark, split):
+    """Step by step, looking for the largest each time."""
+    want = []
+    for source, own in grouped(split, lambda r: r[0]).items():
+        docs = {d: [[r[2], r[3]] for r in sorted(rows, key=lambda r: r[2])] for d, rows in grouped(own, lambda r: r[1]).items()}
+        total = lambda: sum(len(t) for rows in docs.values() for _, t in rows)  # noqa: E731, B023
+        while total() > 20_000 and any(len(rows) > 1 for rows in docs.values()):
+            most = max((d for d in docs if len(docs[d]) > 1), key=lambda d: (sum(len(t) for _, t in docs[d]), -d))  # noqa: B023
+            docs[most].pop()
+        while total() > 20_000:
+            most = max(docs, key=lambda d: (len(docs[d][0][1]), -d))  # noqa: B023
+            docs[most][0][1] = docs[most][0][1][: len(docs[most][0][1]) // 2]
+            if len(docs[most][0][1]) < 120:
+                docs = {}
+                break
+        want += [(source, d, o, len(t)) for d, rows in docs.items() for o, t in rows]
+    assert got(registry.QUERIES["batch_shrink"](spark, SF)) == sorted(want, key=repr)
+
+
+def test_kept_documents(spark):
+    rows = sorted((r.source, r.doc_id, r.doc_id % 40, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    kept, want = {}, []
+    for source, doc, url, body in rows:
+        first = next((k for k in kept.setdefault(source, []) if k[1] == url), None) or next((k for k in kept[source] if k[2] == body), None)
+        if first is None:
+            kept[source].append((doc, url, body))
+        want.append((source, doc, first[0] if first else doc))
+    assert got(registry.QUERIES["kept_documents"](spark, SF)) == sorted(want, key=repr)
+
+
+def test_job_admission(spark):
+    counts, open_jobs = {}, {}
+    for r in sorted(spark.read.parquet(f"{SF}/events.parquet").collect(), key=lambda r: r.event_id):
+        own, job = open_jobs.setdefault(r.event_type, []), r.event_id // 3
+        if r.event_id % 3 == 2:
+            what = "finished" if any(j == job for j, _ in own) else "ignored"
+            own[:] = [x for x in own if x[0] != job]
+        elif any(u == r.user_id for _, u in own):
+            what = "owner_busy"
+        elif len(own) == 6:
+            what = "full"
+        else:
+            # A job that comes again while open keeps its place.
+            own[:] = [x for x in own if x[0] != job] + [(job, r.user_id)] if not any(j == job for j, _ in own) else [(j, r.user_id if j == job else u) for j, u in own]
+            what = "running" if len(own) <= 2 else "queued"
+        counts[(r.event_type, what)] = counts.get((r.event_type, what), 0) + 1
+    assert got(registry.QUERIES["job_admission"](spark, SF)) == sorted(((a, b, n) for (a, b), n in counts.items()), key=repr)
+
+
+def test_folds_are_linear(spark):
+    """A group of 100,000 rows, each fold under five seconds once warm."""
+    rows = spark.range(100_000).select(F.lit("g").alias("g"), F.col("id").alias("ord"), (F.col("id") % 7 + 1).alias("n"))
+    runs = {
+        "first_fit": lambda: select.first_fit(rows, ["g"], [("n", True), ("ord", False)], "n", 50_000, item="ord"),
+        "chunks": lambda: select.chunks(rows, ["g"], "ord", "n", limit=1000),
+        "admissions": lambda: jobs.admissions(rows, ["g"], "ord", "n", budget=50_000),
+    }
+    runs["chunks"]().count()
+    for name, run in runs.items():
+        began = time.time()
+        n = run().count()
+        assert n and time.time() - began < 5, name
+    assert runs["first_fit"]().agg(F.sum("n")).first()[0] == 50_000
+
+
+def test_quotes_in_texts(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcä_") for _ in range(rng.randrange(1, 4)))
+    phrase = lambda n: "".join(word() + rng.choice([" ", " ", ", ", "\n", "-"]) for _ in range(n))
+    texts = [phrase(rng.randrange(0, 30)) for _ in range(150)]
+    quotes = ["", "-", ", ", "a", "ab", "\n"] + [t[i : i + rng.randrange(1, 25)] for t in texts[:60] if t for i in [rng.randrange(len(t))]] + [phrase(3) for _ in range(20)]
+    q = spark.createDataFrame(list(enumerate(quotes)), "k long, q string")
+    t = spark.createDataFrame(list(enumerate(texts)) + [(900, texts[0]), (901, None)], "d long, t string")
+    want = {(k, d) for k, x in enumerate(quotes) if x for d, y in [*enumerate(texts), (900, texts[0])] if x in y}
+    out = joins.quotes_in_texts(q, t, quote="q", text="t")
+    assert {(r.k, r.d) for r in out.collect()} == want and out.count() == len(want)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_resolved_gaps(spark):
+    details = ["ceo: x", "ce", "cfo", "", "a long name of many words: y", "a long nam", "c"]
+    gaps = spark.createDataFrame([("a", d, k) for k, d in enumerate(details)] + [("b", "ceo: x", 99)], "area string, detail string, k int")
+    names = ["ce", "a long name of many", "zzz", None, "a long name of many words: y and more"]
+    out = dedup.without_resolved(gaps, spark.createDataFrame([(n,) for n in names], "name string"), "a")
+    assert {r.k for r in out.collect()} == {k for k, d in enumerate(details) if not any(n is not None and d.startswith(n) for n in names)} | {99}
+
+
+def test_upsert(spark):
+    rows = spark.createDataFrame([(1, 5, "a"), (2, 3, "b"), (1, 9, "c"), (None, 4, "d"), (3, 8, "e"), (None, 7, "f")], "k int, o int, v string")
+    assert got(dedup.upsert(rows, ["k"], "o")) == [(1, 9, "c"), (2, 3, "b"), (3, 8, "e"), (None, 7, "f")]
+    assert got(dedup.upsert(rows, ["k"], "o", most=2)) == [(2, 3, "b"), (None, 7, "f")]
+
+
+def test_invalidation_stops_at_cycles(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string")
+    with pytest.raises(Exception, match="hops"):
+        jobs.invalidated(spark.createDataFrame([("a",)], "node string"), edges).collect()
+
+
+def test_full_case_folding(spark):
+    rows = ["Straße", "ΌΣΟΣ", "ﬁn ŉ ǰ", "İstanbul", "ſs µ", "plain", "ᾳ ﬗ", "ЁЖ", ""]
+    df = spark.createDataFrame([(r,) for r in rows], "t string").select("t", text.fold(F.col("t")).alias("f"), F.transform(F.array("t"), text.fold).alias("l"))
+    for r in df.collect():
+        assert r.f == r.t.casefold() == r.l[0], r
+
+
+def test_suffix_rules(spark):
+    hosts = spark.createDataFrame([(h,) for h in ("a.ck", "b.a.ck", "www.ck", "www.www.ck", "city.kawasaki.jp", "x.y.kawasaki.jp", "z.eu.compute.amazonaws.com", "co.uk")], "host string")
+    found = dict(tuple(r) for r in urls.www_pairs(hosts, spark.createDataFrame(urls.SUFFIXES, "suffix string, private boolean")).collect())
+    assert found == {"b.a.ck": "www.b.a.ck", "city.kawasaki.jp": "www.city.kawasaki.jp", "x.y.kawasaki.jp": "www.x.y.kawasaki.jp"}
+
+
+def test_refused_policies_close_the_host(spark):
+    lines = spark.createDataFrame([("bad", 1, "Disallow: /"), ("good", 1, "User-agent: *"), ("good", 2, "Disallow: /x")], "host string, line_no long, text string")
+    unread = robots.refused(lines)
+    assert got(unread) == [("bad", "rule_without_agent"), ("bad", "unrecognised")]
+    targets = spark.createDataFrame([("bad", "/a"), ("good", "/a"), ("good", "/x1"), ("none", "/")], "host string, target string")
+    rules = robots.policy(lines, "loom").where("pattern is not null").select("host", "pattern", "allow")
+    assert got(robots.allowed(targets, rules, unread).select("host", "target", "allowed")) == [("bad", "/a", False), ("good", "/a", True), ("good", "/x1", False), ("none", "/", True)]
+
+
+def test_scanned_and_encrypted_documents(spark):
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, ""), ("b", 1, " "), ("b", 2, None), ("c", 1, "y")], "doc string, page int, text string")
+    locked = spark.createDataFrame([("c",)], "doc string")
+    assert got(pages.pdf_refusals(rows, locked)) == [("b", "scanned_document"), ("c", "encrypted_document")]
+
+
+def test_gates_pass(spark):
+    """Rows that hold give no violation."""
+    none = "array<string>"
+    opp = spark.createDataFrame([("o1", 1, "source_backed", "hypothesis", "analysis", [(None, ["f1"])], ["p"])], f"opportunity_id string, priority int, signal_basis string, hypothesis_basis string, outcome_basis string, success_criteria array<struct<target:string,baseline_fact_ids:{none}>>, prerequisites {none}")
+    facts = spark.createDataFrame([("f1", [("actual",)])], "fact_id string, quantities array<struct<kind:string>>")
+    assert gates.strategy(opp, facts, []).collect() == []
+    out = spark.createDataFrame([("ceo", "ceo", "limited", [("o1", "Line")], ["g"]), ("cto", "cto", "insufficient_evidence", [], ["g"])], f"audience string, asked string, coverage string, talk_points array<struct<opportunity_id:string,seller_line:string>>, evidence_gaps {none}")
+    assert gates.audience(out, opp, ["audience"]).collect() == []
+    names = [*gates.CORE_SECTIONS, "section_o1"]
+    sections = spark.createDataFrame([(s,) for s in names], "section_id string")
+    reviews = spark.createDataFrame([(s, "accept") for s in names], "section_id string, decision string")
+    issues = spark.createDataFrame([], f"section_id string, code string, fact_ids {none}")
+    assert gates.review(sections, reviews, issues, facts, decision=F.lit("accept")).collect() == []
+    assert gates.publishable(reviews).collect() == []
+
+
+def test_core_review_rules(spark):
+    sections = spark.createDataFrame([("section_company",), ("section_summary",), ("section_sources",)], "section_id string")
+    reviews = spark.createDataFrame([("section_company", "repair"), ("section_summary", "reject"), ("section_sources", "reject")], "section_id string, decision string")
+    issues = spark.createDataFrame([("section_company", "insufficient_evidence", ["f"]), ("section_summary", "unsupported_claim", []), ("section_sources", "quote_mismatch", ["f"])], "section_id string, code string, fact_ids array<string>")
+    facts = spark.createDataFrame([("f",)], "fact_id string")
+    assert got(gates.review(sections, reviews, issues, facts)) == [("section_company", "vague_core_issue"), ("section_sources", "server_section_issue"), ("section_sources", "server_section_rejected"), ("section_summary", "core_without_facts")]
