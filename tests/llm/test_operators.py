@@ -837,6 +837,77 @@ def test_components(spark):
 # the pipeline
 
 
+def brute_pipeline(spark, rows, sf):
+    """Rows (id, text) that stay up to packing: the language filter as it is (held against sets above), all else by brute force."""
+    import corpus_pipeline
+
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.language_id(spark, rows, sf).collect()]
+    key = lambda r: (-(2**63) if r[0] is None else r[0], r[1] or "")
+    once = sorted({key(r) for r in kept})
+    cut = {}
+    for (i, t), (_, new) in zip(once, brute_lines_by_place([t for _, t in once]), strict=True):
+        cut[(i, t)] = new
+    left = [(r[0], cut[key(r)]) for r in kept if cut[key(r)] == r[1] or cut[key(r)].strip()]
+    fps = [brute_fingerprint(t) for _, t in left]
+    parent = list(range(len(left)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a in range(len(left)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= 3:
+                parent[root(a)] = root(b)
+    groups = defaultdict(list)
+    for k in range(len(left)):
+        groups[root(k)].append(left[k])
+    windows = brute_windows([(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()])
+    least = [min(-(2**63) if i is None else i for i, _ in own) for own in groups.values()]
+    clean = [[t for i, t in own if (-(2**63) if i is None else i) == low] for low, own in zip(least, groups.values(), strict=True)]
+    return [(None if low == -(2**63) else low, [t for t in own if not brute_hits(t, windows)[4]]) for low, own in zip(least, clean, strict=True)]
+
+
+def brute_lines_by_place(texts):
+    """``brute_lines`` of texts in corpus order, by their place."""
+    found = brute_lines(list(enumerate(texts)))
+    return [(k, found[k]) for k in range(len(texts))]
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null and repeated ids, rows and texts, null columns, clashing extra columns, empty and long texts, all through run()."""
+    import corpus_pipeline
+
+    real = spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in real]
+    rows += [(None, rows[1][1] + " own words here", "en", None, None), (None, rows[2][1][::-1], None, "a", 1), (5, rows[3][1][::-1], None, "a", 1), (5, rows[4][1][::-1], None, "a", 1), rows[6], rows[6]]
+    rows += [(None, None, None, None, None), (70, "", "de", "b", 0), (71, "123 456", "en", "b", 7), (72, " ".join(r[1] for r in rows[:30]) * 3, "en", "c", 3), (-9, rows[8][1], "en", "c", 3), (None, rows[8][1], "en", "c", 3)]
+    df = spark.createDataFrame([(*r, 1, "x", 2.0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, fp int, ids string, score double")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    sf = str(tmp_path)
+    out = corpus_pipeline.run(spark, sf).collect()
+    want = brute_pipeline(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    # One document of each group whose smallest id it has; where ids repeat in a group, any of those.
+    sizes = [(i, {len(packing.word_cache(packing.vocabulary()).encode(t)) // 4 + 1 for t in own}) for i, own in want if own]
+    have = defaultdict(int)
+    for r in out:
+        have[(r.doc_id, r.doc_tokens)] += r.length
+        assert len(r.ids) == 4 * r.length and zlib.crc32(bytes(r.ids)) == r.ids_crc32
+    assert sorted((repr(i) for i, _ in have), key=str) == sorted((repr(i) for i, n in sizes if any((i, x) in have for x in n)), key=str)
+    for i, n in sizes:
+        assert any((i, x) in have and have[(i, x)] % x == 0 for x in n), (i, n)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_pipeline(spark, lake):
     import corpus_pipeline
 
