@@ -256,3 +256,22 @@ def op9_benchmark_decontamination(spark, sf_dir):
     """One row per document: words, hit words, hit items and whether it is contaminated."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate(docs, table(spark, sf_dir, "benchmark"), keep_text=False).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+#: Windows of both sides as lists of words, joined.
+OP9_SQL = f"""
+with low as (select doc_id, row_number() over () as r, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+doc as (select doc_id, r, string_split(trim(regexp_replace(t, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g')), ' ') as w from low),
+item as (select item_id, string_split(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g')), ' ') as w from benchmark),
+pattern as (
+  select item_id, least(len(w), {WINDOW}) as m, array_to_string(w[k + 1:k + least(len(w), {WINDOW})], ' ') as x
+  from (select item_id, w, unnest(range(greatest(len(w) - {WINDOW}, 0) + 1)) as k from item where w <> [''])),
+sizes as (select distinct m from pattern),
+place as (select r, m, k, array_to_string(w[k + 1:k + m], ' ') as x from (select r, w, m, unnest(range(len(w) - m + 1)) as k from doc, sizes where w <> [''] and len(w) >= m)),
+found as (select r, k, m, item_id from place join (select distinct item_id, m, x from pattern) p using (m, x)),
+hit as (select r, count(*) as n from (select distinct r, unnest(range(k, k + m)) from found) group by r),
+named as (select r, list_sort(list(distinct item_id::varchar)) as items from found where item_id is not null group by r)
+select doc_id, n_words, n_hit, n_items, items_sha256, n_hit > 0 and 20 * n_hit >= n_words as contaminated from (
+  select doc_id, case when w = [''] then 0 else len(w) end::bigint as n_words, coalesce(n, 0)::bigint as n_hit, coalesce(len(items), 0)::bigint as n_items, sha256(coalesce(array_to_string(items, ','), '')) as items_sha256
+  from doc left join hit using (r) left join named using (r))
+"""

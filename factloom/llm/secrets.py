@@ -162,3 +162,23 @@ def op8_secret_ledger(spark, sf_dir):
     ledger = Ledger(spark, f"{Workspace(spark).root}/ledger")
     ledger.update(docs)
     return findings(docs, ledger.rows()).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(base_spans(F.col("spans")), 256).alias("base_sha256"), "spans")
+
+
+def _sql_matches(rule: Rule, rank: int) -> str:
+    """Matches of one rule by what lies between them."""
+    pattern = (rule.pattern.removesuffix("+") + f"{{{rule.least},}}" if rule.kind == "hex" else rule.pattern).replace("'", "''")
+    return f"""
+select r, {rank} as rank, '{rule.kind}' as kind, list_sum(list_transform(gap[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(hit[1:k - 1], lambda x: length(x))), 0) as start, length(hit[k]) as size
+from (select r, string_split_regex(text, '{pattern}') as gap, regexp_extract_all(text, '{pattern}') as hit, regexp_extract_all(text, '{pattern}', {rule.group}) as value, unnest(range(1, len(regexp_extract_all(text, '{pattern}')) + 1)) as k from doc)
+where length(value[k]) >= {rule.least}"""
+
+
+OP8_SQL = f"""
+with doc as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+found as ({' union all '.join(_sql_matches(rule, k) for k, rule in enumerate(RULES))}),
+own as (
+  select r, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+    string_agg(kind || ':' || start::bigint || ':' || (start + size)::bigint, ',' order by start, rank) as spans from found group by r)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans
+from doc left join own using (r)
+"""
