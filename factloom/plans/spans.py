@@ -96,6 +96,18 @@ def byte_budget_exact(spark, sf_dir):
     return select.byte_budget(rows, ["doc_id"], ["ord"], "text", "ord", budget=SPAN_BUDGET).select("doc_id", "ord", F.octet_length("text").cast("long").alias("bytes"))
 
 
+BYTE_BUDGET_EXACT = f"""
+with recursive {SPANS}, queue as (select doc_id, ord, text, row_number() over (partition by doc_id order by ord) as rn from spans),
+fold as (
+  select doc_id, 0::bigint as rn, 0::bigint as ord, 0::bigint as bytes, {SPAN_BUDGET}::bigint as room from (select distinct doc_id from queue)
+  union all
+  select doc_id, rn, ord, bytes, room - bytes from (
+    select q.doc_id, q.rn, q.ord, f.room, case when f.room <= 0 then 0 when strlen(q.text) <= f.room then case when trim(q.text) <> '' then strlen(q.text) else 0 end
+      else list_max(list_transform(list_filter(range(0, length(q.text)), lambda k: strlen(q.text[1:k]) <= f.room and (k = 0 or trim(q.text[1:k]) <> '')), lambda k: case when k = 0 then 0 else strlen(q.text[1:k]) end)) end as bytes
+    from fold f join queue q on q.doc_id = f.doc_id and q.rn = f.rn + 1))
+select doc_id, ord, bytes from fold where bytes > 0"""
+
+
 def first_fit_budget(spark, sf_dir):
     """Spans, longest first, that still fit in 300 characters a document; others are passed over."""
     rows = document_spans(spark, sf_dir).withColumn("chars", F.length("text"))
@@ -160,6 +172,20 @@ def chunk_halving(spark, sf_dir):
     return select.halved(rows, ["doc_id"], "ord", "chars", limit=CHUNK).select("doc_id", "ord", F.col("part").cast("long").alias("part"))
 
 
+CHUNK_HALVING = f"""
+with recursive {SPANS}, numbered as (select doc_id, ord, row_number() over w - 1 as i, sum(length(text) + 150) over w as total from spans window w as (partition by doc_id order by ord)),
+node as (
+  select doc_id, 0::bigint as low, count(*) as high, sum(length(text) + 150)::bigint as size from spans group by doc_id
+  union all
+  select doc_id, low, high, size from (
+    select n.doc_id, case when side = 0 then low else low + (high - low) // 2 end as low, case when side = 0 then low + (high - low) // 2 else high end as high,
+      (select max(total) from numbered x where x.doc_id = n.doc_id and x.i = (case when side = 0 then low + (high - low) // 2 else high end) - 1)
+        - coalesce((select max(total) from numbered x where x.doc_id = n.doc_id and x.i = (case when side = 0 then low else low + (high - low) // 2 end) - 1), 0) as size
+    from node n, (values (0), (1)) t(side) where high - low > 1 and size > {CHUNK})),
+leaf as (select *, row_number() over (partition by doc_id order by low) - 1 as part from node where high - low = 1 or size <= {CHUNK})
+select x.doc_id, ord, part from numbered x join leaf l on l.doc_id = x.doc_id and i >= low and i < high"""
+
+
 def batch_shrink(spark, sf_dir):
     """Each source's documents as one batch, spans dropped or halved until 20000 characters are left."""
     rows = document_spans(spark, sf_dir, "source")
@@ -207,6 +233,17 @@ def kept_documents(spark, sf_dir):
     return dedup.kept_documents(rows, ["source"]).select("source", F.col("ord").alias("doc_id"), "kept_ord")
 
 
+KEPT_DOCUMENTS = """
+with recursive queue as (select source, doc_id, 'u' || doc_id % 40 as u, 'd' || sha256(text) as d, row_number() over (partition by source order by doc_id) as rn from documents),
+fold as (
+  select source, 0::bigint as rn, 0::bigint as doc_id, 0::bigint as kept_ord, map {}::map(varchar, bigint) as seen from (select distinct source from documents)
+  union all
+  select source, rn, doc_id, coalesce(old, doc_id), case when old is null then map_concat(seen, map([u, d], [doc_id, doc_id])) else seen end from (
+    select q.source, q.rn, q.doc_id, q.u, q.d, f.seen, coalesce(map_extract_value(f.seen, q.u), map_extract_value(f.seen, q.d)) as old
+    from fold f join queue q on q.source = f.source and q.rn = f.rn + 1))
+select source, doc_id, kept_ord from fold where rn > 0"""
+
+
 def stable_ids(spark, sf_dir):
     """Ids from canonical JSON of ASCII fields."""
     canon = ids.ascii_json(doc_id=F.col("doc_id"), n_chars=F.col("n_chars"), source=F.col("source"))

@@ -126,6 +126,19 @@ def job_admission(spark, sf_dir):
     return jobs.admitted_jobs(own).groupBy("scope", "outcome").agg(F.count("*").alias("n"))
 
 
+JOB_ADMISSION = """
+with recursive queue as (select event_type as scope, event_id // 3 as job, user_id as owner, event_id % 3 = 2 as finish, row_number() over (partition by event_type order by event_id) as rn from events),
+fold as (
+  select scope, 0::bigint as rn, '' as outcome, map {}::map(bigint, bigint) as jobs from (select distinct scope from queue)
+  union all
+  select scope, rn, outcome, case when outcome = 'finished' then map_from_entries(list_filter(map_entries(jobs), lambda e: e.key <> job)) when outcome = 'in' then map_concat(jobs, map([job], [owner])) else jobs end from (
+    select q.scope, q.rn, q.job, q.owner, f.jobs, case when finish then case when map_contains(f.jobs, q.job) then 'finished' else 'ignored' end
+      when list_contains(map_values(f.jobs), q.owner) then 'owner_busy' when cardinality(f.jobs) >= 6 then 'full' else 'in' end as outcome
+    from fold f join queue q on q.scope = f.scope and q.rn = f.rn + 1)),
+named as (select scope, case when outcome = 'in' then case when cardinality(jobs) <= 2 then 'running' else 'queued' end else outcome end as outcome from fold where rn > 0)
+select scope, outcome, count(*) as n from named group by all"""
+
+
 def capacity_check(spark, sf_dir):
     """Users over 12 distinct types and days, or 400 of value."""
     own = events(spark, sf_dir, "user_id", F.concat("event_type", F.col("ts").cast("date").cast("string")).alias("item"), F.floor("value").cast("long").alias("size"))
