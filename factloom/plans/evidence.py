@@ -5,10 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.functions import arrays, dates, numbers, text
-from factloom.functions.jsonshape import json_shape
-from factloom.functions.quotes import canonical_quote
-from factloom.operators import evidence, gates, joins, report
+from factloom.functions import arrays, numbers, text
+from factloom.operators import gates, joins, report
 from factloom.operators import dedup as sets
 from factloom.sources.tables import table
 

@@ -6,16 +6,19 @@ As in ``reports``, a derived table is one SELECT that Spark and DuckDB both read
 from __future__ import annotations
 
 import gzip
+import hashlib
+import uuid
 import zlib
 
 import pandas as pd
 from pyspark.sql import functions as F
 
-from factloom.functions import dates, jsonshape, numbers, text, urls
+from factloom.functions import dates, ids, jsonshape, numbers, quotes, text, urls
 from factloom.operators import dedup, evidence, gates, jobs, joins, report
 from factloom.plans.reports import derived, twin
-from factloom.sources import pages
-from factloom.sources.tables import requests, table
+from factloom.sources import codec, pages
+from factloom.sources.tables import raw_files, requests, scratch, table
+from factloom.streaming import jobs as streams
 
 NOW = "2024-01-20 00:00:00"
 
@@ -471,9 +474,136 @@ PARALLEL_VALUES = r"""
 select page_id, case when url like 'https://%' then 'https://' || lower(regexp_extract(url, '^https://([^/?#]+)', 1)) || coalesce(nullif(regexp_extract(url, '^https://[^/?#]+([^?#]*)', 1), ''), '/') || regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) end as value,
   case when url not like 'https://%' then 'invalid_url' end as error from pages"""
 
+def quote_token_rows(spark, sf_dir):
+    """Tokens of the benchmark's texts with their places."""
+    own = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(quotes.quote_tokens(F.concat("text", F.lit(" 1,000.50 can’t")))).alias("n", "t"))
+    return own.select("item_id", F.col("n").cast("long").alias("n"), "t.value", F.col("t.start").cast("long").alias("start"), F.col("t.end").cast("long").alias("stop"))
+
+
+_TOKEN = "[0-9]+(?:[.,][0-9]+)*%?|\\pL+(?:[''’]\\pL+)?"
+QUOTE_TOKEN_ROWS = f"""
+with own as (select item_id, text || ' 1,000.50 can’t' as x from benchmark),
+cut as (select item_id, regexp_extract_all(x, '{_TOKEN}') as hit, string_split_regex(x, '{_TOKEN}') as gap, unnest(range(1, len(regexp_extract_all(x, '{_TOKEN}')) + 1)) as k from own),
+placed as (select item_id, k, hit[k] as t, (list_sum(list_transform(gap[1:k], lambda g: length(g))) + coalesce(list_sum(list_transform(hit[1:k - 1], lambda g: length(g))), 0))::bigint as start from cut)
+select item_id, k - 1 as n, case when t = '1,000.50' then '1000.5' else replace(replace(lower(t), '’', chr(39)), 'ß', 'ss') end as value, start, start + length(t) as stop from placed"""
+
+
+def marker_rows(spark, sf_dir):
+    """What tells sign, currency and comparison in each event's amount, written in turn in several ways."""
+    said = F.element_at(F.array(*[F.concat(F.lit(a), F.col("user_id").cast("string"), F.lit(b)) for a, b in MARKED]), (F.col("event_id") % len(MARKED) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(quotes.meaning_markers(said), " ").alias("markers"))
+
+
+MARKED = (("$", " and €5"), ("(", ")"), ("-", ""), ("a-", ""), ("- £", ">="), ("($ ", ",00 )"), ("", ""))
+MARKER_ROWS = "select event_id, ['$ €', 'accounting_negative', 'negative_number', '', '= > negative_number £', '$ accounting_negative', ''][event_id % 7 + 1] as markers from events"
+
+
+def host_forms(spark, sf_dir):
+    """Hosts of pages as they may be written, in normal form or refused."""
+    host = F.try_parse_url("url", F.lit("HOST"))
+    form = F.element_at(F.array(F.upper(host), F.concat(host, F.lit(".")), F.concat(host, F.lit(".internal")), F.concat(F.lit("10.0.0."), (F.col("page_id") % 250).cast("string")), F.concat(F.lit("-"), host)), (F.col("page_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", urls.normalize_host(form).alias("host"))
+
+
+HOST_FORMS = "select page_id, case when page_id % 5 < 2 then lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) end as host from pages"
+
+
+def owned_rows(spark, sf_dir):
+    """The rows of one owner."""
+    own = table(spark, sf_dir, "events").select("event_id", F.sha2(F.concat(F.lit("user"), F.col("user_id").cast("string")), 256).alias("owner_hash"))
+    return jobs.owned(own, hashlib.sha256(b"user3").hexdigest()).select("event_id")
+
+
+OWNED_ROWS = "select event_id from events where sha256('user' || user_id) = sha256('user3')"
+
+
+def chunk_payloads(spark, sf_dir):
+    """Chunks of a source's spans (documents, fifty to a chunk) with its header."""
+    docs = table(spark, sf_dir, "documents").where("source is not null")
+    chunks = docs.select(F.col("source").alias("source_id"), F.floor(F.col("doc_id") / 50).alias("chunk"), F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("span_id"), "text", F.lit(1).alias("page"), F.col("lang").alias("section"))
+    sources = docs.select(F.col("source").alias("source_id")).distinct().select("source_id", F.concat(F.lit("https://a.com/"), "source_id").alias("url"), F.upper("source_id").alias("title"))
+    spans = report.span_rows(chunks).select("source_id", "span.*", "ord").join(chunks.select("ord", "chunk"), "ord")
+    out = report.chunk_payload(spans, sources)
+    return out.select("source_id", "chunk", "url", "title", F.array_join(F.transform("spans", lambda s: s["span_id"]), ",").alias("spans"), F.sha2(F.array_join(F.transform("spans", lambda s: s["text"]), "|"), 256).alias("digest"))
+
+
+CHUNK_PAYLOADS = """
+select source as source_id, doc_id // 50 as chunk, 'https://a.com/' || source as url, upper(source) as title, string_agg(doc_id::varchar, ',' order by doc_id) as spans, sha256(string_agg(text, '|' order by doc_id)) as digest
+from documents where source is not null group by all"""
+
+
+def decoded_pages(spark, sf_dir):
+    """Pages' bytes in one of four codings, told by header, mark or meta element, or by none and wrong."""
+
+    @F.pandas_udf("string")
+    def text_of(body: pd.Series, kind: pd.Series) -> pd.Series:
+        return pd.Series([pages.html_text(b, k) for b, k in zip(body, kind, strict=True)], dtype=object)
+
+    html, k = F.col("html"), F.col("page_id") % 5
+    body = F.when(k == 0, F.encode(html, "UTF-16BE")).when(k == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(html, "UTF-8"))).when(k == 3, F.concat(F.encode(html, "UTF-8"), F.unhex(F.lit("FF")))).otherwise(F.encode(html, "UTF-8"))
+    kind = F.when(k == 0, "text/html; charset=utf-16-be").when(k == 4, "text/html; charset=shift_jis").otherwise("text/html")
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(text_of(body, kind), 256).alias("digest"))
+
+
+DECODED_PAGES = "select page_id, case when page_id % 5 < 3 then sha256(html) end as digest from pages"
+
+
+def json_forms(spark, sf_dir):
+    """Canonical JSON of events' properties, written with other order and spaces, and the size of a record."""
+    own = table(spark, sf_dir, "events")
+    loose = F.concat(F.lit('{ "user" : '), F.col("user_id").cast("string"), F.lit(',\n"props":'), "props", F.lit(', "e":"\u00e9"}'))
+    return own.select("event_id", ids.canonical_json(loose).alias("json"), ids.json_size(F.struct("event_id", "event_type")).cast("long").alias("bytes"))
+
+
+JSON_FORMS = r"""
+select event_id, '{"e":"\u00e9","props":' || replace(props, ' ', '') || ',"user":' || user_id || '}' as json, strlen('{"event_id":' || event_id || ',"event_type":"' || event_type || '"}')::bigint as bytes from events"""
+
+
+def stored_lines(spark, sf_dir):
+    """Reports (labels) written as lines of JSON and read as raw files and as text again."""
+    folder = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    codec.write_json_lines(table(spark, sf_dir, "labels").select("doc_id", "quality"), folder)
+    raw = raw_files(spark, f"{folder}/*.txt").select(F.explode(F.split(F.decode("body", "UTF-8"), "\n")).alias("line")).where("line <> ''")
+    return raw.select(F.from_json("line", "doc_id long, quality int").alias("r")).select("r.doc_id", "r.quality")
+
+
+STORED_LINES = "select doc_id, quality from labels"
+
+
+def stream_usage_windows(spark, sf_dir):
+    """Totals of event types by hour, as a stream: windows that the watermark has passed."""
+    stream = _stream(spark, sf_dir)
+    out = streams.usage_windows(stream, "event_type", "event_id").select(F.unix_micros("start").alias("start"), "event_type", "n", "total")
+    return streams.drained(out, f"{scratch(spark)}/{uuid.uuid4().hex}")
+
+
+STREAM_USAGE_WINDOWS = """
+select epoch_us(date_trunc('hour', ts)) as start, event_type, count(*) as n, sum(event_id)::bigint as total from events
+where date_trunc('hour', ts) + interval 1 hour <= (select max(ts) from events) - interval 10 minutes group by all"""
+
+
+def stream_live_reports(spark, sf_dir):
+    """Sessions of users' activity, as a stream: those that the watermark has passed."""
+    stream = _stream(spark, sf_dir).withColumn("report_id", F.col("user_id"))
+    out = streams.live_reports(stream, ttl="3 hours").select("report_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("stop"), "events")
+    return streams.drained(out, f"{scratch(spark)}/{uuid.uuid4().hex}")
+
+
+STREAM_LIVE_REPORTS = """
+with marked as (select user_id, ts, sum(new) over (partition by user_id order by ts, event_id) as s from (
+  select *, (ts >= coalesce(lag(ts) over (partition by user_id order by ts, event_id) + interval 3 hours, timestamp '1900-01-01'))::int as new from events)),
+own as (select user_id as report_id, min(ts) as a, max(ts) + interval 3 hours as b, count(*) as events from marked group by user_id, s)
+select report_id, epoch_us(a) as start, epoch_us(b) as stop, events from own where b <= (select max(ts) from events) - interval 10 minutes"""
+
+
+def _stream(spark, sf_dir):
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
 QUERIES = (
     dates_in_text, strict_dates, publication_resolution, news_support, first_texts, names_and_placeholders, retry_waits, message_lines, audience_jobs, resolved_gaps,
     remaining_budget, promoted_attempts, retryable_jobs, restored_reports, swept_store, usage_gate, resource_fit, ledger_replay, invalidate_closure, job_lifecycle,
     provider_failures, reply_status, stored_records, local_paths, redirect_chain, request_gate, json_shape_gate, artifact_references, bounded_bodies, settings_gate,
-    strict_schemas, parallel_values,
+    strict_schemas, parallel_values, quote_token_rows, marker_rows, host_forms, owned_rows, chunk_payloads, decoded_pages, json_forms, stored_lines,
+    stream_usage_windows, stream_live_reports,
 )

@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from factloom.functions import arrays, dates, ids, jsonshape, numbers, text, urls
-from factloom.operators import dedup, evidence, gates, jobs, joins, report, select
+from factloom.functions import arrays, ids, numbers, text, urls
+from factloom.operators import dedup, jobs, joins, report, select
 from factloom.plans.evidence import values
 from factloom.sources import codec, pages, robots
 from factloom.sources.tables import artifacts, scratch, table

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from factloom.functions import dates, ids, text
-from factloom.operators import dedup, gates, jobs, report, select
-from factloom.plans.evidence import values
+from factloom.operators import dedup, jobs, report, select
 from factloom.sources import codec
-from factloom.sources.tables import requests, scoped_candidates, table
+from factloom.sources.tables import scoped_candidates, table
 
 NOW = "2024-01-20 00:00:00"
 
