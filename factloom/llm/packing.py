@@ -57,7 +57,9 @@ QUEUES = 1024
 WEIGHT_BITS = 26
 #: Blocks of a queue that one row stands for until they are dealt out.
 STRIDE = 1 << 12
-CACHE = 1 << 20
+CACHE = 1 << 17
+#: Characters tokenized at a time; longer texts are cut at a space, over which no token reaches.
+PIECE_CHARS = 1 << 16
 
 # Characters that normalise and split alike here and in the tokenizer: ASCII, Latin-1 letters and marks, Latin Extended-A.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ſ]*")
@@ -84,7 +86,19 @@ class WordCache(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        """The ids of ``text``. Words do not act on each other, so plain texts go word by word."""
+        """The ids of ``text``. Words do not act on each other, so plain texts go word by word, long ones in pieces."""
+        out, at = [], 0
+        while at < len(text):
+            end = len(text)
+            if end - at > PIECE_CHARS:
+                end = text.rfind(" ", at, at + PIECE_CHARS)
+                end = end if end > at else text.find(" ", at + PIECE_CHARS)
+                end = end if end > 0 else len(text)
+            out.append(self._piece(text[at:end]))
+            at = end
+        return b"".join(out)
+
+    def _piece(self, text: str) -> bytes:
         if "<|" in text or not _PLAIN.fullmatch(text) or not unicodedata.is_normalized("NFC", text):
             return self.slow(text)
         return b"".join(map(self.__getitem__, _SPLIT.findall(text.lower())))

@@ -49,6 +49,8 @@ RADIUS = 3
 BANDS = 5
 PIVOTS = 16
 SPLIT = 4096
+#: Shingles of a text hashed at a time.
+STEP = 1 << 15
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -61,10 +63,10 @@ def fingerprint(text: bytes | None) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(flat[a:b], SEED) for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)])
-    ones, n = np.zeros(64, np.int64), len(hashes) // 8
-    for k in range(0, n, 1 << 15):
-        block = np.frombuffer(hashes, np.uint8)[8 * k : 8 * (k + (1 << 15))].reshape(-1, 8)
+    ones, n = np.zeros(64, np.int64), len(words) - size + 1
+    for k in range(0, n, STEP):
+        own = zip(starts[k : min(n, k + STEP)].tolist(), ends[k + size - 1 : k + size - 1 + STEP].tolist(), strict=False)
+        block = np.frombuffer(b"".join([digest(flat[a:b], SEED) for a, b in own]), np.uint8).reshape(-1, 8)
         ones += np.unpackbits(block, axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 

@@ -627,6 +627,19 @@ def test_words_tokenize_alone(text):
     assert own.encode(text) == own.slow(text)
 
 
+def test_long_texts_tokenize_in_pieces(monkeypatch):
+    own = packing.word_cache(packing.vocabulary())
+    monkeypatch.setattr(packing, "PIECE_CHARS", 7)
+    for text in ["ΣΑΣ ΣΑΣ αΣ, e\u0301 x \u0301y  é\u0301   ", "a" * 50 + " bb " + "c" * 20, " <|endoftext|> <| endoftext |>  x", "It's a dog's 12 days\n\tof don't-ing " * 9, "x\u3000y\u00a0z\u2028w q"]:
+        assert own.encode(text) == own.slow(text)
+
+
+def test_long_fingerprints(monkeypatch):
+    text = " ".join(f"w{k % 91} v{k % 17}" for k in range(300))
+    monkeypatch.setattr(simhash, "STEP", 7)
+    assert simhash.fingerprint(text.encode()) == brute_fingerprint(text) and simhash.fingerprint(b"One two") == brute_fingerprint("One two")
+
+
 # 8 secrets
 
 
