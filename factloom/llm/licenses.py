@@ -48,7 +48,7 @@ CONTAINMENT = 0.8
 SLACK = 1.25
 BANDS = 32
 PIECE = 1 << 16
-CACHE = 1 << 17
+CACHE = 1 << 20
 TEMPLATE_BYTES = 32 << 20
 
 #: Wording of public licenses and license notices.

@@ -57,7 +57,7 @@ QUEUES = 1024
 WEIGHT_BITS = 26
 #: Blocks of a queue that one row stands for until they are dealt out.
 STRIDE = 1 << 12
-CACHE = 1 << 17
+CACHE = 1 << 20
 #: Characters tokenized at a time; longer texts are cut at a space, over which no token reaches.
 PIECE_CHARS = 1 << 16
 
