@@ -49,6 +49,10 @@ SHARD_TERMS = 1 << 22
 PART_TERMS = 1 << 20
 #: Characters of a text whose terms are numbered at a time.
 STEP = 1 << 20
+#: Up to so many different terms are sent to every task as a table; more are joined by exchange.
+SENT_TERMS = 200_000
+#: Shards searched in a task, one after another, if there are enough for all.
+SHARDS_A_TASK = 8
 #: Lists whose best documents are scored beforehand.
 PROBED = 8
 
@@ -310,13 +314,15 @@ def search(
     ws = Workspace(spark)
     postings = index(ws, docs, doc_id=doc_id, text=text)
     head = F.col("term") == ""
-    total = postings.where(head).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("total"), F.lit(0)).alias("total")).first()
+    total = postings.where(head).agg(F.count("*").alias("shards"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("total"), F.lit(0)).alias("total")).first()
+    tasks = max(1, min(total["shards"], max(2 * spark.sparkContext.defaultParallelism, total["shards"] // SHARDS_A_TASK)))
     items = ws.write(queries.select(F.monotonically_increasing_id().alias("q"), F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{item_text}`").alias("t")))
     asked = ws.write(items.select("q", "t").mapInArrow(_query_terms, "q long, term string, n long"))
-    df = postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
+    some = lambda terms: F.broadcast(terms) if count <= SENT_TERMS else terms
+    count = asked.count()
+    df = postings.join(some(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
     weight = F.floor(1000 * F.log((2.0 * total["n"] + 2) / (2.0 * F.col("df") + 1)))
     weighed = ws.write(asked.join(df, "term").select("q", "term", (F.col("n") * weight).alias("w")))
-    count = weighed.count()
     parts = -(-count // part_terms) or 1
     part = F.pmod(F.xxhash64("q"), F.lit(parts))
     m = F.expr(f"transform(lengths, n -> 12 * (75 + (25 * n * {int(total['n'])}L) div {max(1, int(total['total']))}L))")
@@ -327,7 +333,7 @@ def search(
         for q, t, w in own.toLocalIterator():
             sent.setdefault(q, []).append((t, w))
         names = own.select("term").distinct().unionByName(spark.createDataFrame([("",)], "term string"))
-        dealt = postings.join(names, "term", "left_semi").select("shard", "term", "postings", "ids", m.alias("norm")).repartition("shard").sortWithinPartitions("shard", "term")
+        dealt = postings.join(some(names), "term", "left_semi").select("shard", "term", "postings", "ids", m.alias("norm")).repartition(tasks, "shard").sortWithinPartitions("shard", "term")
         hits = dealt.mapInArrow(_searched(spark.sparkContext.broadcast(sent), k), "q long, doc_id long, score long")
         found = hits if found is None else found.unionByName(hits)
     order = W.partitionBy("q").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_first())
