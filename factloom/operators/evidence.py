@@ -8,6 +8,8 @@ Gates give violations as rows with a ``code``; no rows is a pass.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +35,10 @@ def _absent(value: Column, quotes: Column) -> Column:
     return F.coalesce(value != "", F.lit(False)) & ~F.exists(quotes, lambda x: F.contains(fold(x), fold(value)))
 
 
-def quantity_warnings(facts: DataFrame) -> DataFrame:
+def quantity_warnings(facts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Quantities by ordinal: ``unknown_reference`` without a quote of the span, ``numeric_or_period_mismatch``
     for a unit, currency or period that is not quoted, ``quantity_warning`` for a figure that is not."""
-    each = facts.select("fact_id", "evidence", F.posexplode("quantities").alias("quantity_index", "q"))
+    each = facts.select(*keys, "fact_id", "evidence", F.posexplode("quantities").alias("quantity_index", "q"))
     quotes = F.transform(F.filter("evidence", lambda e: e["span_id"] == F.col("q.span_id")), lambda e: e["quote"])
     each = each.withColumn("_quotes", quotes)
     hit = quantity_quoted(F.col("q.numeric_text"), F.col("_quotes"))
@@ -46,7 +48,7 @@ def quantity_warnings(facts: DataFrame) -> DataFrame:
     for part in ("unit", "currency", "period"):
         absent = absent | _absent(F.col(f"q.{part}"), where)
     code = F.when(F.size("_quotes") == 0, "unknown_reference").when(absent, "numeric_or_period_mismatch").when(~hit, "quantity_warning")
-    return each.withColumn("code", code).where("code is not null").select("fact_id", "quantity_index", "q.span_id", "q.numeric_text", "code")
+    return each.withColumn("code", code).where("code is not null").select(*keys, "fact_id", "quantity_index", "q.span_id", "q.numeric_text", "code")
 
 
 def accept_facts(facts: DataFrame, spans: DataFrame, company: Column) -> DataFrame:
@@ -74,13 +76,15 @@ def accept_facts(facts: DataFrame, spans: DataFrame, company: Column) -> DataFra
     return out.withColumn("code", code).withColumn("evidence", evidence).fillna(0, ["warnings", "recovered"]).drop("_ev", "_quote_code", "_quantity_code")
 
 
-def ungrounded(claims: DataFrame, facts: DataFrame) -> DataFrame:
-    """Claims ``(claim_id, text, basis, fact_ids)`` that refer to no known fact, or say a number that their facts' quotes lack."""
-    cited = claims.select("claim_id", F.explode_outer("fact_ids").alias("fact_id")).join(facts.select("fact_id", F.transform("evidence", lambda e: e["quote"]).alias("_q")), "fact_id", "left")
-    own = cited.groupBy("claim_id").agg(F.count_if(F.col("fact_id").isNotNull() & F.col("_q").isNull()).alias("unknown"), F.array_join(F.flatten(F.collect_list("_q")), " ").alias("_text"))
-    out = claims.join(own, "claim_id", "left")
+def ungrounded(claims: DataFrame, facts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Claims ``(keys, claim_id, text, basis, fact_ids)`` that refer to no fact of their report, or say a number that their facts' quotes lack."""
+    own = [*keys, "claim_id"]
+    known = facts.select(*keys, "fact_id", F.transform("evidence", lambda e: e["quote"]).alias("_q"))
+    cited = claims.select(*own, F.explode_outer("fact_ids").alias("fact_id")).join(known, [*keys, "fact_id"], "left")
+    seen = cited.groupBy(*own).agg(F.count_if(F.col("fact_id").isNotNull() & F.col("_q").isNull()).alias("unknown"), F.array_join(F.flatten(F.collect_list("_q")), " ").alias("_text"))
+    out = claims.join(seen, own, "left")
     loose = (F.col("basis") == "source_backed") & (F.size(F.array_except(numeric_tokens(F.col("text")), numeric_tokens(F.coalesce("_text", F.lit(""))))) > 0)
-    return out.withColumn("code", F.when(F.col("unknown") > 0, "unknown_reference").when(loose, "numeric_or_period_mismatch")).where("code is not null").select("claim_id", "code")
+    return out.withColumn("code", F.when(F.col("unknown") > 0, "unknown_reference").when(loose, "numeric_or_period_mismatch")).where("code is not null").select(*own, "code")
 
 
 def relation_warnings(verdicts: DataFrame, company: Column) -> DataFrame:
@@ -101,8 +105,8 @@ def news_support(verdicts: DataFrame, spans: DataFrame) -> DataFrame:
     return every.where("span_id is not null").groupBy("source_id", "span_id", "quote").agg(F.min("kind").alias("kind"))
 
 
-def omission_notices(accepted: DataFrame) -> DataFrame:
-    """One gap row for each kind of omission that happened, with its count."""
-    n = accepted.agg(F.count_if(F.col("code") == "numeric_or_period_mismatch").alias("omitted"), F.sum("recovered").alias("recovered"))
-    row = lambda area, col, what: n.where(F.col(col) > 0).select(F.lit(area).alias("area"), F.concat(F.col(col).cast("string"), F.lit(what)).alias("detail"))
+def omission_notices(accepted: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One gap row ``(keys, area, detail)`` for each kind of omission that happened in a report, with its count."""
+    n = accepted.groupBy(*keys).agg(F.count_if(F.col("code") == "numeric_or_period_mismatch").alias("omitted"), F.sum("recovered").alias("recovered"))
+    row = lambda area, col, what: n.where(F.col(col) > 0).select(*keys, F.lit(area).alias("area"), F.concat(F.col(col).cast("string"), F.lit(what)).alias("detail"))
     return row("facts", "omitted", " facts were left out for a number or period.").unionByName(row("quotes", "recovered", " quotations were given the source's wording."))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -46,40 +47,59 @@ def grounded_text(claims: DataFrame, keys: list[str]) -> DataFrame:
     return violations(claims, keys, {"unknown_with_content": unknown & (F.col("text").isNotNull() | (n > 0)), "known_without_content": ~unknown & (blank | (n == 0)), "repeated_reference": ~all_different(F.col("fact_ids"))})
 
 
-def _sections_of(reviews: DataFrame) -> DataFrame:
-    return reviews.select("section_id", (F.col("decision") == "accept").alias("accepted"))
+def by_report(rows: DataFrame, reports: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with the columns of their report. Without keys there is one report, of one row."""
+    return rows.join(reports, [*keys]) if keys else rows.crossJoin(F.broadcast(reports.limit(1)))
 
 
-def _quote_codes(rows: DataFrame, part: str, spans: DataFrame) -> DataFrame:
-    """Codes of the quotes in array ``part``, each against the span of its own source."""
-    quotes = rows.select("source_id", F.explode(part).alias("e")).select("source_id", F.concat_ws("\x00", "source_id", "e.span_id").alias("span_id"), "e.quote")
-    own = spans.select(F.concat_ws("\x00", "source_id", "span_id").alias("span_id"), "text")
-    return check_quotes(quotes, own).where("code is not null").select("source_id", "code")
+def of(rows: DataFrame, keys: Sequence[str], item: str, code: str) -> DataFrame:
+    """``(keys, item, code)``, each once."""
+    return rows.select(*keys, item, F.lit(code).alias("code")).distinct()
 
 
-def source_verification(verdicts: DataFrame, sources: DataFrame, spans: DataFrame, *, named: Column, company: Column, homepage: Column) -> DataFrame:
-    """A verification of ``sources(source_id, title, text)`` that found the company ``named`` on ``homepage``, asked for ``company`` (or null).
+def _sections_of(reviews: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return reviews.select(*keys, "section_id", (F.col("decision") == "accept").alias("accepted"))
 
-    Verdicts cover the sources once each; the homepage is one of them and names the company; it is the one asked for;
-    quotes are of the verdict's own source; related sources have evidence and name the company in title or text;
-    an executive is named in the quotes given for it, as is the role, which needs a name. ``(source_id, code)``."""
-    cover = set_mismatch(verdicts, sources, ["source_id"]).select("source_id", F.lit("coverage").alias("code"))
-    known = sources.where(F.col("source_id") == homepage).agg(F.count("*").alias("n")).where("n <> 1").select(homepage.alias("source_id"), F.lit("unknown_homepage").alias("code"))
-    quotes = union(*(_quote_codes(verdicts, part, spans) for part in ("evidence", "date_evidence", "executive_evidence")))
-    whole = sources.select("source_id", F.concat_ws(" ", "title", "text").alias("_whole"))
+
+def _quote_codes(rows: DataFrame, part: str, spans: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Codes of the quotes in array ``part``, each against the span of its own report and source."""
+    place = lambda span: F.concat_ws("\x00", *[F.col(k).cast("string") for k in keys], "source_id", span).alias("span_id")
+    quotes = rows.select(*keys, "source_id", F.explode(part).alias("e")).select(*keys, "source_id", place("e.span_id"), "e.quote")
+    return check_quotes(quotes, spans.select(place("span_id"), "text")).where("code is not null").select(*keys, "source_id", "code")
+
+
+def source_verification(verdicts: DataFrame, sources: DataFrame, spans: DataFrame, reports: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Verifications of ``sources(keys, source_id, title, text)``, one for each row of ``reports(keys, named, found, company, homepage)``:
+    it found the company ``named`` on the page ``found``, and was asked for ``company`` (or null) on ``homepage``.
+
+    Verdicts cover the sources once each; the homepage is one of them and the page found; it names the company, which is the
+    one asked for; quotes are of the verdict's own source; related sources have evidence and name the company in title or
+    text; an executive is named in the quotes given for it, as is the role, which needs a name. ``(keys, source_id, code)``."""
+    own = [*keys, "source_id"]
+    cover = set_mismatch(verdicts, sources, own).select(*own, F.lit("coverage").alias("code"))
+    pages = by_report(sources.select(*own), reports.select(*keys, "homepage"), keys).where("source_id = homepage")
+    lost = reports.withColumn("source_id", F.col("homepage")).join(pages.groupBy(*own).agg(F.count("*").alias("_n")), own, "left")
+    whole = sources.select(*own, F.concat_ws(" ", "title", "text").alias("_whole"))
+    named = by_report(verdicts.join(whole, own), reports.select(*keys, "named", "homepage"), keys)
+    asked = F.coalesce(F.col("company"), F.lit(""))
+    per_report = {
+        "unknown_homepage": F.coalesce("_n", F.lit(0)) != 1,
+        "homepage_changed": ~F.col("found").eqNullSafe(F.col("homepage")),
+        "company_changed": (asked != "") & (entity_key(F.col("named")) != entity_key(asked)),
+    }
+    quotes = union(*(_quote_codes(verdicts, part, spans, keys) for part in ("evidence", "date_evidence", "executive_evidence")))
     said = F.array_join(F.transform("executive_evidence", lambda e: e["quote"]), " ")
     given = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
-    related = F.col("relation") == "related"
+    related, names = F.col("relation") == "related", entity_in_text(F.col("named"), F.col("_whole"))
     rules = {
-        "homepage_unnamed": (F.col("source_id") == homepage) & ~entity_in_text(named, F.col("_whole")),
-        "company_changed": (F.col("source_id") == homepage) & (F.coalesce(company, F.lit("")) != "") & (entity_key(named) != entity_key(company)),
+        "homepage_unnamed": (F.col("source_id") == F.col("homepage")) & ~names,
         "related_without_evidence": related & (F.size("evidence") == 0),
-        "related_unnamed": related & ~entity_in_text(named, F.col("_whole")),
+        "related_unnamed": related & ~names,
         "role_without_name": given("executive_role") & ~given("executive_name"),
         "executive_unquoted": given("executive_name") & ((F.size("executive_evidence") == 0) | ~entity_in_text(F.col("executive_name"), said)),
         "role_unquoted": given("executive_role") & ~entity_in_text(F.col("executive_role"), said),
     }
-    return union(cover, known, quotes, violations(verdicts.join(whole, "source_id"), ["source_id"], rules))
+    return union(cover, violations(lost, own, per_report), quotes, violations(named, own, rules))
 
 
 def dossier(dossiers: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
@@ -158,83 +178,96 @@ SERVER_SECTIONS = ("section_sources",)
 EVIDENCE_SECTIONS = ("section_company", "section_summary", "section_evidence", "section_contradictions")
 
 
-def review(sections: DataFrame, reviews: DataFrame, issues: DataFrame, facts: DataFrame, *, decision: Column | None = None) -> DataFrame:
-    """``reviews(section_id, decision)`` and ``issues(section_id, code, fact_ids)`` of a review that decided ``decision`` in all.
+def review(sections: DataFrame, reviews: DataFrame, issues: DataFrame, facts: DataFrame, *, decision: Column | DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """``reviews(keys, section_id, decision)`` and ``issues(keys, section_id, code, fact_ids)`` of reviews that decided ``decision``
+    in all: a column of reviews and issues, or a table ``(keys, decision)``.
 
-    Every section reviewed once; issues on known sections and facts; what the server owns is accepted and has no issue;
-    core evidence is not called insufficient, and is rejected with the facts concerned; rejections have an issue and
-    accepted sections none; a review that accepts has neither. ``(section_id, code)``."""
-    code = lambda rows, name: rows.select("section_id", F.lit(name).alias("code")).distinct()
-    own = reviews.join(sections.select("section_id"), "section_id", "left_semi")
-    rejected, accepted = own.where("decision <> 'accept'"), own.where("decision = 'accept'")
-    known = issues.join(sections.select("section_id"), "section_id", "left_semi")
+    Every section of a report reviewed once; issues on sections and facts of the same report; what the server owns is accepted
+    and has no issue; core evidence is not called insufficient, and is rejected with the facts concerned; rejections have an
+    issue and accepted sections none; a review that accepts has neither. ``(keys, section_id, code)``."""
+    own = [*keys, "section_id"]
+    code = lambda rows, name: of(rows, keys, "section_id", name)
+    ids = sections.select(*own)
+    known, reviewed = issues.join(ids, own, "left_semi"), reviews.join(ids, own, "left_semi")
+    rejected, accepted = reviewed.where("decision <> 'accept'"), reviewed.where("decision = 'accept'")
     core, server = F.col("section_id").isin(*EVIDENCE_SECTIONS), F.col("section_id").isin(*SERVER_SECTIONS)
     named = issues.where(F.size("fact_ids") > 0)
     parts = [
-        code(set_mismatch(reviews, sections, ["section_id"]), "coverage"),
-        code(issues.join(sections.select("section_id"), "section_id", "left_anti"), "unknown_section"),
-        code(issues.select("section_id", F.explode("fact_ids").alias("fact_id")).join(facts.select("fact_id"), "fact_id", "left_anti"), "unknown_reference"),
+        code(set_mismatch(reviews, sections, own), "coverage"),
+        code(issues.join(ids, own, "left_anti"), "unknown_section"),
+        code(issues.select(*own, F.explode("fact_ids").alias("fact_id")).join(facts.select(*keys, "fact_id"), [*keys, "fact_id"], "left_anti"), "unknown_reference"),
         code(rejected.where(server), "server_section_rejected"),
         code(known.where(server), "server_section_issue"),
         code(known.where(core & (F.col("code") == "insufficient_evidence")), "vague_core_issue"),
-        code(rejected.where(core).join(named.select("section_id"), "section_id", "left_anti"), "core_without_facts"),
-        code(rejected.join(issues.select("section_id"), "section_id", "left_anti"), "rejection_without_issue"),
-        code(accepted.join(issues.select("section_id"), "section_id", "left_semi"), "issue_without_rejection"),
+        code(rejected.where(core).join(named.select(*own), own, "left_anti"), "core_without_facts"),
+        code(rejected.join(issues.select(*own), own, "left_anti"), "rejection_without_issue"),
+        code(accepted.join(issues.select(*own), own, "left_semi"), "issue_without_rejection"),
     ]
     if decision is not None:
-        blocking = rejected.select("section_id").union(issues.select("section_id")).where(decision == "accept")
+        blocking = rejected.select(*own).union(issues.select(*own))
+        if isinstance(decision, DataFrame):
+            blocking = by_report(blocking, decision.where("decision = 'accept'").select(*keys), keys) if keys else blocking.crossJoin(F.broadcast(decision.where("decision = 'accept'").select(F.lit(1).alias("_one")).limit(1)))
+        else:
+            blocking = blocking.where(decision == "accept")
         parts.append(code(blocking, "accepted_with_issues"))
     return union(*parts)
 
 
-def report(parts: dict[str, DataFrame], *, days: int = 90) -> DataFrame:
-    """A report as tables: ``(item, code)`` of everything in it that does not hold.
+def report(parts: dict[str, DataFrame], *, days: int = 90, keys: Sequence[str] = ()) -> DataFrame:
+    """Reports as tables: ``(keys, item, code)`` of everything in them that does not hold.
 
-    ``header`` (one row: status, company_text, company_basis, description_text, description_basis, summary, news_status,
-    as_of), ``facts(fact_id, entity, evidence, quantities, warnings)``, ``claims(claim_id, text, basis, fact_ids)``,
+    ``header`` (a row a report: keys, status, company_text, company_basis, description_text, description_basis, summary,
+    news_status, as_of), ``facts(fact_id, entity, evidence, quantities, warnings)``, ``claims(claim_id, text, basis, fact_ids)``,
     ``sources(source_id, published_at, is_news)``, ``opportunities(opportunity_id)``, ``requested(audience)``,
     ``coverage(audience, status)``, ``audiences(audience, coverage, talk_points, evidence_gaps)`` and
-    ``announcements(source_id, published_at, executive_name, executive_role)``."""
-    header, facts, claims, sources, opportunities, requested, coverage, audiences, news = (parts[n] for n in ("header", "facts", "claims", "sources", "opportunities", "requested", "coverage", "audiences", "announcements"))
-    code = lambda rows, item, name: rows.select(F.col(item).cast("string").alias("item"), F.lit(name).alias("code")).distinct()
-    twice = lambda rows, key: rows.groupBy(key).count().where("count > 1")
-    missing = lambda rows, key, known: rows.join(known.select(key), key, "left_anti")
-    one = F.broadcast(header.limit(1))  # one row
+    ``announcements(source_id, published_at, executive_name, executive_role)``, each with the keys. References are
+    looked up within a report; rows of a key without a header belong to no report and are left out."""
+    header = parts["header"]
+    names = ("facts", "claims", "sources", "opportunities", "requested", "coverage", "audiences", "announcements")
+    facts, claims, sources, opportunities, requested, coverage, audiences, news = (parts[n].join(header.select(*keys), [*keys], "left_semi") if keys else parts[n] for n in names)
+    on = lambda *more: [*keys, *more]
+    code = lambda rows, item, name: rows.select(*keys, F.col(item).cast("string").alias("item"), F.lit(name).alias("code")).distinct()
+    twice = lambda rows, key: rows.groupBy(*on(key)).count().where("count > 1")
+    missing = lambda rows, key, known: rows.join(known.select(*on(key)), on(key), "left_anti")
     found = [code(twice(rows, key), key, "repeated_id") for rows, key in ((facts, "fact_id"), (sources, "source_id"), (opportunities, "opportunity_id"))]
-    found.append(ungrounded(claims, facts.dropDuplicates(["fact_id"])).select(F.col("claim_id").cast("string").alias("item"), "code"))
+    found.append(ungrounded(claims, facts.dropDuplicates(on("fact_id")), keys).select(*keys, F.col("claim_id").cast("string").alias("item"), "code"))
     # Audiences: each requested one is accounted for, what is retained agrees with its coverage.
-    found.append(code(set_mismatch(requested, coverage, ["audience"]), "audience", "audience_unaccounted"))
+    found.append(code(set_mismatch(requested, coverage, on("audience")), "audience", "audience_unaccounted"))
     found.append(code(twice(audiences, "audience"), "audience", "repeated_audience"))
     found.append(code(missing(audiences, "audience", requested), "audience", "audience_not_requested"))
-    both = coverage.join(audiences, "audience", "left")
     n, own = F.size("talk_points"), F.col("coverage")
     rules = {
         "coverage_mismatch": F.when(own.isNull(), F.col("status") != "unavailable").otherwise(own != F.col("status")),
         "audience_inconsistent": (own.isin("complete", "limited") & (n == 0)) | ((own == "insufficient_evidence") & (n > 0)) | ((own != "complete") & (F.size("evidence_gaps") == 0)),
     }
-    found.append(violations(both.withColumn("item", F.col("audience")), ["item"], rules))
-    found.append(code(coverage.where("status <> 'complete'").crossJoin(one.where("status = 'completed'").select(F.lit(1).alias("_one"))), "audience", "completed_without"))
-    empty = header.join(facts.limit(1).select(F.lit(True).alias("_any")), F.lit(True), "left")  # one row with one row
-    lacking = F.col("_any").isNull() | (F.size("summary") == 0)
+    found.append(violations(coverage.join(audiences, on("audience"), "left").withColumn("item", F.col("audience")), on("item"), rules))
+    completed = header.where("status = 'completed'").select(*(keys or [F.lit(1).alias("_one")]))
+    found.append(code(by_report(coverage.where("status <> 'complete'"), completed, keys), "audience", "completed_without"))
+    # The core: facts, a source-backed name and description, a summary; news as its status says.
+    some = lambda rows, name: rows.groupBy(*keys).agg((F.count("*") > 0).alias(name)) if keys else rows.agg((F.count("*") > 0).alias(name))
+    whole = header
+    for rows, name in ((facts, "_facts"), (news, "_news")):
+        whole = whole.join(some(rows, name), [*keys], "left") if keys else whole.crossJoin(F.broadcast(some(rows, name)))
+    lacking = ~F.coalesce("_facts", F.lit(False)) | (F.size("summary") == 0)
     for part in ("company", "description"):
         lacking = lacking | (F.col(f"{part}_basis") != "source_backed") | (F.coalesce(F.col(f"{part}_text"), F.lit("")) == "")
-    found.append(violations(empty.withColumn("item", F.lit("report")), ["item"], {"no_core": lacking}))
+    rules = {"no_core": lacking, "news_status": (F.col("news_status") == "found") != F.coalesce("_news", F.lit(False))}
+    found.append(violations(whole.withColumn("item", F.lit("report")), on("item"), rules))
     # Facts: citations, entity, warnings as they are recomputed.
-    found.append(code(missing(facts.select("fact_id", F.explode("evidence.source_id").alias("source_id")), "source_id", sources), "fact_id", "unknown_source"))
-    found.append(code(facts.crossJoin(one.select("company_text")).where(entity_key(F.col("entity")) != entity_key(F.col("company_text"))), "fact_id", "other_entity"))
+    found.append(code(missing(facts.select(*on("fact_id"), F.explode("evidence.source_id").alias("source_id")), "source_id", sources), "fact_id", "unknown_source"))
+    found.append(code(by_report(facts, header.select(*on("company_text")), keys).where(entity_key(F.col("entity")) != entity_key(F.coalesce("company_text", F.lit("")))), "fact_id", "other_entity"))
     warned = F.array_sort(F.collect_list(F.struct("quantity_index", "span_id", "numeric_text")))
-    again = quantity_warnings(facts).where("code = 'quantity_warning'").groupBy("fact_id").agg(warned.alias("_again"))
-    kept = facts.select("fact_id", F.array_sort(F.transform("warnings", lambda w: F.struct(w["quantity_index"].cast("int").alias("quantity_index"), w["span_id"].alias("span_id"), w["numeric_text"].alias("numeric_text")))).alias("_kept"))
+    again = quantity_warnings(facts, keys).where("code = 'quantity_warning'").groupBy(*on("fact_id")).agg(warned.alias("_again"))
+    kept = facts.select(*on("fact_id"), F.array_sort(F.transform("warnings", lambda w: F.struct(w["quantity_index"].cast("int").alias("quantity_index"), w["span_id"].alias("span_id"), w["numeric_text"].alias("numeric_text")))).alias("_kept"))
     none = F.array().cast("array<struct<quantity_index:int,span_id:string,numeric_text:string>>")
-    found.append(code(kept.join(again, "fact_id", "left").where(F.coalesce("_again", none) != F.coalesce("_kept", none)), "fact_id", "warnings_changed"))
-    found.append(code(missing(audiences.select("audience", F.explode("talk_points.opportunity_id").alias("opportunity_id")), "opportunity_id", opportunities), "audience", "unknown_opportunity"))
+    found.append(code(kept.join(again, on("fact_id"), "left").where(F.coalesce("_again", none) != F.coalesce("_kept", none)), "fact_id", "warnings_changed"))
+    found.append(code(missing(audiences.select(*on("audience"), F.explode("talk_points.opportunity_id").alias("opportunity_id")), "opportunity_id", opportunities), "audience", "unknown_opportunity"))
     # Announcements: from a news source of that day, in the window, with executives that its quotes name.
     found.append(code(missing(news, "source_id", sources), "source_id", "unknown_source"))
     found.append(code(twice(news, "source_id"), "source_id", "repeated_announcement"))
-    some = news.agg((F.count("*") > 0).alias("some"))
-    found.append(violations(header.crossJoin(F.broadcast(some)).withColumn("item", F.lit("report")), ["item"], {"news_status": (F.col("news_status") == "found") != F.col("some")}))  # one row with one row
-    quoted = facts.select(F.explode("evidence").alias("e")).groupBy(F.col("e.source_id").alias("source_id")).agg(F.array_join(F.array_sort(F.collect_list("e.quote")), " ").alias("_said"))
-    dated = news.join(sources.select("source_id", F.col("published_at").alias("_day"), "is_news"), "source_id").join(quoted, "source_id", "left").crossJoin(one.select("as_of"))
+    quoted = facts.select(*keys, F.explode("evidence").alias("e")).groupBy(*keys, F.col("e.source_id").alias("source_id")).agg(F.array_join(F.array_sort(F.collect_list("e.quote")), " ").alias("_said"))
+    dated = news.join(sources.select(*on("source_id"), F.col("published_at").alias("_day"), "is_news"), on("source_id")).join(quoted, on("source_id"), "left")
+    dated = by_report(dated, header.select(*on("as_of")), keys)
     said = F.coalesce("_said", F.lit(""))
     given = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
     day = F.col("published_at")
@@ -245,7 +278,7 @@ def report(parts: dict[str, DataFrame], *, days: int = 90) -> DataFrame:
         "executive_uncited": (given("executive_name") & ~entity_in_text(F.col("executive_name"), said)) | (given("executive_role") & ~entity_in_text(F.col("executive_role"), said)),
         "role_without_name": given("executive_role") & ~given("executive_name"),
     }
-    found.append(violations(dated.withColumn("item", F.col("source_id").cast("string")), ["item"], rules))
+    found.append(violations(dated.withColumn("item", F.col("source_id").cast("string")), on("item"), rules))
     return union(*found)
 
 
@@ -253,46 +286,56 @@ def report(parts: dict[str, DataFrame], *, days: int = 90) -> DataFrame:
 CORE_SECTIONS = ("section_company", "section_summary", "section_evidence", "section_sources")
 
 
-def publishable(reviews: DataFrame, *, contradictions: bool = False) -> DataFrame:
-    """Core sections that were not accepted: no rows lets the report out."""
-    core = [*CORE_SECTIONS, *["section_contradictions"] * contradictions]
-    accepted = _sections_of(reviews).where("accepted").select("section_id")
-    own = reviews.sparkSession.createDataFrame([(c,) for c in core], "section_id string")
-    return own.join(accepted, "section_id", "left_anti").withColumn("code", F.lit("core_not_accepted"))
-
-
-def published(opportunities: DataFrame, audiences: DataFrame, announcements: DataFrame, gaps: DataFrame, own_gaps: DataFrame, requested: DataFrame, reviews: DataFrame) -> dict[str, DataFrame]:
-    """What of a reviewed candidate goes out, as tables.
-
-    Accepted ``opportunities``; ``audiences`` whose content and coverage were accepted and all of whose points name an
-    accepted opportunity; ``coverage`` of every requested audience; ``announcements`` if their section was accepted;
-    ``gaps(area, detail)``: the candidate's, or the server's ``own_gaps`` if the limitations were not accepted, and what
-    was left out; ``status``, partial if anything is missing or not accepted."""
-    decided = _sections_of(reviews)
-    accepted = decided.where("accepted").select("section_id")
-    passes = lambda rows, section: rows.withColumn("section_id", section).join(accepted, "section_id", "left_semi").drop("section_id")
+def publishable(reviews: DataFrame, *, contradictions: bool = False, reports: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Core sections that were not accepted, ``(keys, section_id, code)``: reports without a row go out. A relational division
+    of reviews by the sections that each of ``reports(keys, contradictions)`` needs; without reports, of one job."""
+    own = [*keys, "section_id"]
+    if reports is None:
+        reports = reviews.sparkSession.range(1).select(F.lit(contradictions).alias("contradictions"))
+    core, more = F.array(*map(F.lit, CORE_SECTIONS)), F.array(F.lit("section_contradictions"))
+    needed = reports.select(*keys, F.explode(F.when(F.col("contradictions"), F.concat(core, more)).otherwise(core)).alias("section_id"))
+    return needed.join(_sections_of(reviews, keys).where("accepted").select(*own), own, "left_anti").withColumn("code", F.lit("core_not_accepted"))
+
+
+def published(opportunities: DataFrame, audiences: DataFrame, announcements: DataFrame, gaps: DataFrame, own_gaps: DataFrame, requested: DataFrame, reviews: DataFrame, reports: DataFrame, keys: Sequence[str]) -> dict[str, DataFrame]:
+    """What of reviewed candidates goes out, as tables with the keys of ``reports(keys, contradictions)``.
+
+    Only reports whose core was accepted (``publishable``) are there. Accepted ``opportunities``; ``audiences`` whose content
+    and coverage were accepted and all of whose points name an accepted opportunity; ``coverage`` of every requested audience;
+    ``announcements`` if their section was accepted; ``gaps(area, detail)``: the candidate's, or the server's ``own_gaps`` if
+    the limitations were not accepted, and what was left out; ``status``, partial if anything is missing or not accepted."""
+    keys = [*keys]
+    held = publishable(reviews, reports=reports, keys=keys).select(*keys).distinct()
+    out = reports.select(*keys).join(held, keys, "left_anti")
+    opportunities, audiences, announcements, gaps, own_gaps, requested, reviews = (d.join(out, keys, "left_semi") for d in (opportunities, audiences, announcements, gaps, own_gaps, requested, reviews))
+    decided = _sections_of(reviews, keys)
+    accepted = decided.where("accepted").select(*keys, "section_id")
+    passes = lambda rows, section: rows.withColumn("section_id", section).join(accepted, [*keys, "section_id"], "left_semi").drop("section_id")
     kept = passes(opportunities, F.concat(F.lit("section_"), F.col("opportunity_id").cast("string")))
     said = passes(passes(audiences, F.concat(F.lit("section_audience_"), F.col("audience"))), F.concat(F.lit("section_coverage_"), F.col("audience")))
-    points = audiences.select("audience", F.explode("talk_points.opportunity_id").alias("opportunity_id"))
-    said = said.join(points.join(kept.select("opportunity_id"), "opportunity_id", "left_anti").select("audience").distinct(), "audience", "left_anti")
-    coverage = requested.join(said.select("audience", F.col("coverage").alias("status")), "audience", "left").select("audience", F.coalesce("status", F.lit("unavailable")).alias("status"))
+    points = audiences.select(*keys, "audience", F.explode("talk_points.opportunity_id").alias("opportunity_id"))
+    loose = points.join(kept.select(*keys, "opportunity_id"), [*keys, "opportunity_id"], "left_anti").select(*keys, "audience").distinct()
+    said = said.join(loose, [*keys, "audience"], "left_anti")
+    coverage = requested.select(*keys, "audience").join(said.select(*keys, "audience", F.col("coverage").alias("status")), [*keys, "audience"], "left").withColumn("status", F.coalesce("status", F.lit("unavailable")))
     news = passes(announcements, F.lit("section_announcements"))
-    gap = lambda rows, area, detail: rows.select(F.lit(area).alias("area"), detail.alias("detail"))
-    limits = decided.where((F.col("section_id") == "section_limitations") & F.col("accepted")).select(F.lit(True).alias("_ok"))
-    flag = lambda rows: rows.agg(F.count("*").alias("n"))
-    state = flag(limits).select((F.col("n") > 0).alias("limits_ok")).crossJoin(flag(opportunities).select(F.col("n").alias("before"))).crossJoin(flag(kept).select(F.col("n").alias("after")))
-    state = F.broadcast(state.crossJoin(flag(announcements).select(F.col("n").alias("news_before"))).crossJoin(flag(news).select(F.col("n").alias("news_after"))))  # one row
-    chosen = gaps.crossJoin(state.select("limits_ok")).where("limits_ok").select("area", "detail").unionByName(own_gaps.crossJoin(state.select("limits_ok")).where("not limits_ok").select("area", "detail"))
-    removed = audiences.select("audience").distinct().join(said.select("audience"), "audience", "left_anti")
+    counted = {
+        "limits": decided.where("section_id = 'section_limitations' and accepted"), "before": opportunities, "after": kept, "news_before": announcements,
+        "news_after": news, "short": coverage.where("status <> 'complete'"), "refused": decided.where("not accepted"), "report": out,
+    }
+    marks = union(*(rows.select(*keys, F.lit(name).alias("_mark")) for name, rows in counted.items()))
+    state = marks.groupBy(*keys).agg(*[F.count_if(F.col("_mark") == name).alias(name) for name in counted])
+    gap = lambda rows, area, detail: rows.select(*keys, F.lit(area).alias("area"), detail.alias("detail"))
+    limited = state.where("limits > 0").select(*keys)
+    removed = audiences.select(*keys, "audience").distinct().join(said.select(*keys, "audience"), [*keys, "audience"], "left_anti")
     made = [
-        chosen,
+        gaps.join(limited, keys, "left_semi").select(*keys, "area", "detail"),
+        own_gaps.join(limited, keys, "left_anti").select(*keys, "area", "detail"),
         gap(removed, "audience_coverage", F.concat(F.upper("audience"), F.lit(" was left out: its content or something it shares was not accepted."))),
         gap(state.where("news_before > 0 and news_after = 0"), "official_news", F.lit("Announcements were not accepted and are not published.")),
-        gap(state.where("not limits_ok"), "quality_review", F.lit("Limitations that were not accepted were left out; those the server saw remain.")),
+        gap(state.where("limits = 0"), "quality_review", F.lit("Limitations that were not accepted were left out; those the server saw remain.")),
         gap(state.where("before <> after"), "opportunities", F.lit("Some opportunities were not accepted and were left out.")),
     ]
-    missing = coverage.where("status <> 'complete'").select(F.lit(1).alias("k")).unionByName(decided.where("not accepted").select(F.lit(1).alias("k")))
-    status = flag(missing).select(F.when(F.col("n") > 0, "partial").otherwise("completed").alias("status"))
+    status = state.select(*keys, F.when((F.col("short") > 0) | (F.col("refused") > 0), "partial").otherwise("completed").alias("status"))
     return {"opportunities": kept, "audiences": said, "coverage": coverage, "announcements": news, "gaps": union(*made).distinct(), "status": status}
 
 

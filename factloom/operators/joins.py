@@ -78,27 +78,26 @@ def announcement_violations(announcements: DataFrame, sources: DataFrame, facts:
     return own.withColumn("code", code).where("code is not null").select("source_id", "code")
 
 
-def issue_targets(issues: DataFrame, owners: DataFrame, chunks: DataFrame, artifacts: DataFrame, *, announced: bool = False) -> DataFrame:
-    """Which artifacts an issue sends back: ``(issue_id, target)``.
-
-    ``issues(issue_id, code, section_id, fact_ids)``, ``owners(fact_id, owner_key)``, ``chunks(owner_key)``,
-    ``artifacts(owner_key, coverage, n_gaps)``. Evidence goes to the owners of its facts, to all chunks if there are none;
-    an audience that said it is incomplete is not asked for its count again; limitations go to all that have gaps;
-    announcements to the news check if there were any; insufficient evidence is nobody's to mend."""
+def issue_targets(issues: DataFrame, owners: DataFrame, chunks: DataFrame, artifacts: DataFrame, reports: DataFrame, keys: list[str]) -> DataFrame:
+    """Which artifacts issues send back, each within its own job: ``(keys, issue_id, target)``.
+
+    ``issues(keys, issue_id, code, section_id, fact_ids)``, ``owners(keys, fact_id, owner_key)``, ``chunks(keys, owner_key)``,
+    ``artifacts(keys, owner_key, coverage, n_gaps)``, ``reports(keys, announced)``. Evidence goes to the owners of its facts,
+    to all chunks of the job if there are none; an audience that said it is incomplete is not asked for its count again;
+    limitations go to all of the job's artifacts that have gaps; announcements to the news check if there were any;
+    insufficient evidence is nobody's to mend. Joined by job, so nothing is gathered and no job meets another's artifacts."""
+    one = [*keys, "issue_id"]
     own = issues.where("code <> 'insufficient_evidence'")
     section = F.col("section_id")
     plain = F.when(section.isin("section_company", "section_summary", "section_contradictions"), "dossier").when(F.startswith(section, F.lit("section_opp_")), "strategy")
-    if announced:
-        plain = plain.when(section == "section_announcements", "verify_news")
-    direct = own.select("issue_id", plain.alias("target")).where("target is not null")
+    direct = own.select(*one, plain.alias("target")).where("target is not null")
+    news = own.where(section == "section_announcements").join(reports.where("announced").select(*keys), keys, "left_semi").select(*one, F.lit("verify_news").alias("target"))
     said = own.where(section.rlike(r"\Asection_(?:audience|coverage)_")).withColumn("owner_key", F.concat(F.lit("audience_"), F.element_at(F.split(section, "_"), -1)))
     known = (F.col("coverage") != "complete") & F.col("code").isin("wrong_point_count", "missing_audience")
-    said = said.join(artifacts, "owner_key").where(~known).select("issue_id", F.col("owner_key").alias("target"))
-    limited = artifacts.where("n_gaps > 0").agg(F.collect_set("owner_key").alias("all"))
-    limits = own.where(section == "section_limitations").crossJoin(F.broadcast(limited)).select("issue_id", F.explode("all").alias("target"))  # one row, of one job's artifacts
-    evidence = own.where(section == "section_evidence").select("issue_id", F.explode_outer("fact_ids").alias("fact_id")).join(owners, "fact_id", "left")
-    named = evidence.where("owner_key is not null").select("issue_id", F.col("owner_key").alias("target")).distinct()
-    rest = evidence.select("issue_id").distinct().join(named.select("issue_id"), "issue_id", "left_anti")
-    every = chunks.agg(F.collect_set("owner_key").alias("all"))
-    fallback = rest.crossJoin(F.broadcast(every)).select("issue_id", F.explode("all").alias("target"))  # one row, of one job's chunks
-    return direct.unionByName(said).unionByName(limits).unionByName(named).unionByName(fallback)
+    said = said.join(artifacts, [*keys, "owner_key"]).where(~known).select(*one, F.col("owner_key").alias("target"))
+    limits = own.where(section == "section_limitations").join(artifacts.where("n_gaps > 0").select(*keys, "owner_key"), keys).select(*one, F.col("owner_key").alias("target"))
+    evidence = own.where(section == "section_evidence").select(*one, F.explode_outer("fact_ids").alias("fact_id")).join(owners, [*keys, "fact_id"], "left")
+    named = evidence.where("owner_key is not null").select(*one, F.col("owner_key").alias("target")).distinct()
+    rest = evidence.select(*one).distinct().join(named.select(*one), one, "left_anti")
+    fallback = rest.join(chunks.select(*keys, "owner_key").distinct(), keys).select(*one, F.col("owner_key").alias("target"))
+    return direct.unionByName(news).unionByName(said).unionByName(limits).unionByName(named).unionByName(fallback)

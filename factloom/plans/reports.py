@@ -39,10 +39,6 @@ select c.conv_id, 'aud' || cast(c.conv_id as string) as audience, 'aud' || cast(
   case when c.conv_id % 4 = 0 then 'complete' when c.conv_id % 4 = 1 then 'limited' when c.conv_id % 4 = 2 then 'insufficient_evidence' else 'complete' end as coverage,
   case when c.conv_id % 3 = 0 then 0 else 1 end as n_gaps
 from {conversations} c group by c.conv_id"""
-#: The sections of a report on labels, their reviews and issues.
-SECTIONS = "select 'section_' || cast(doc_id as string) as section_id, doc_id, quality, toxic from {labels} where doc_id % 9 <> 0"
-REVIEWS = "select 'section_' || cast(doc_id as string) as section_id, case when quality = 1 then 'accept' else 'repair' end as decision from {labels} where doc_id % 9 <> 1"
-ISSUES = "select 'section_' || cast(doc_id as string) as section_id, case when doc_id % 2 = 0 then 'unsupported_claim' else 'insufficient_evidence' end as code, 'f' || cast(doc_id * 2 as string) as fact_id from {labels} where toxic = 1 or doc_id % 7 = 0"
 
 
 def derived(spark, sf_dir, sql: str):
@@ -90,14 +86,6 @@ def fact_acceptance(spark, sf_dir):
 FACT_ACCEPTANCE = f"with fact as ({twin(FACTS)}), {_JUDGED} select fact_id, code, warnings from judged"
 
 
-def omission_notices(spark, sf_dir):
-    """What an extraction left out."""
-    return evidence.omission_notices(evidence.accept_facts(facts(spark, sf_dir), spans(spark, sf_dir), F.lit("Contoso")))
-
-
-OMISSION_NOTICES = f"with fact as ({twin(FACTS)}), {_JUDGED} select 'facts' as area, count(*) || ' facts were left out for a number or period.' as detail from judged where code = 'numeric_or_period_mismatch' having count(*) > 0"
-
-
 def quantity_gate(spark, sf_dir):
     """Quantities by ordinal that their quotes do not bear out."""
     out = evidence.quantity_warnings(facts(spark, sf_dir))
@@ -219,52 +207,6 @@ union all select audience, 'repeated_line' from counted where n <> lines
 union all select distinct audience, 'unknown_opportunity' from aud join point using (conv_id) where opportunity_id not in (select opportunity_id from opp)"""
 
 
-def review_gate(spark, sf_dir):
-    """A review that misses sections, and decisions that do not fit their issues."""
-    issues = derived(spark, sf_dir, ISSUES).select("section_id", "code", F.array("fact_id").alias("fact_ids"))
-    return gates.review(derived(spark, sf_dir, SECTIONS).select("section_id"), derived(spark, sf_dir, REVIEWS), issues, facts(spark, sf_dir), decision=F.lit("accept"))
-
-
-REVIEW_GATE = f"""
-with section as ({twin(SECTIONS)}), review as ({twin(REVIEWS)}), issue as ({twin(ISSUES)}), fact as ({twin(FACTS)}),
-own as (select * from review where section_id in (select section_id from section))
-select distinct section_id, 'coverage' as code from (select section_id from section except select section_id from review union all (select section_id from review except select section_id from section))
-union all select distinct section_id, 'unknown_section' from issue where section_id not in (select section_id from section)
-union all select distinct section_id, 'unknown_reference' from issue where fact_id not in (select fact_id from fact)
-union all select distinct section_id, 'rejection_without_issue' from own where decision <> 'accept' and section_id not in (select section_id from issue)
-union all select distinct section_id, 'issue_without_rejection' from own where decision = 'accept' and section_id in (select section_id from issue)
-union all select distinct section_id, 'accepted_with_issues' from (select section_id from own where decision <> 'accept' union select section_id from issue)"""
-
-
-def review_targets(spark, sf_dir):
-    """Which artifacts issues send back: labels are issues on sections of all kinds, sources own facts."""
-    issues = derived(spark, sf_dir, TARGETED).select("issue_id", "code", "section_id", F.array("fact_id").alias("fact_ids"))
-    owners = derived(spark, sf_dir, "select 'f' || cast(doc_id as string) as fact_id, 'extract_' || source as owner_key from {documents}")
-    chunks = owners.select("owner_key").distinct()
-    artifacts = derived(spark, sf_dir, ARTIFACTS)
-    return joins.issue_targets(issues, owners, chunks, artifacts, announced=True)
-
-
-TARGETED = """
-select doc_id as issue_id, case when toxic = 1 then 'insufficient_evidence' when doc_id % 3 = 0 then 'wrong_point_count' else 'unsupported_claim' end as code, 'f' || cast(doc_id * 3 as string) as fact_id,
-  case doc_id % 8 when 0 then 'section_company' when 1 then 'section_contradictions' when 2 then 'section_opp_' || cast(doc_id as string) when 3 then 'section_audience_aud' || cast(doc_id % 40 as string)
-    when 4 then 'section_coverage_aud' || cast(doc_id % 40 as string) when 5 then 'section_evidence' when 6 then 'section_announcements' else 'section_limitations' end as section_id
-from {labels}"""
-ARTIFACTS = "select 'audience_aud' || cast(conv_id as string) as owner_key, case when conv_id % 2 = 0 then 'complete' else 'limited' end as coverage, case when conv_id % 50 = 7 then 1 else 0 end as n_gaps from {conversations} group by conv_id"
-REVIEW_TARGETS = f"""
-with issue as (select * from ({twin(TARGETED)}) where code <> 'insufficient_evidence'), artifact as ({twin(ARTIFACTS)}),
-owner as (select 'f' || doc_id as fact_id, 'extract_' || source as owner_key from documents),
-evidence as (select issue_id, owner_key from issue left join owner using (fact_id) where section_id = 'section_evidence')
-select issue_id, 'dossier' as target from issue where section_id in ('section_company', 'section_summary', 'section_contradictions')
-union all select issue_id, 'strategy' from issue where starts_with(section_id, 'section_opp_')
-union all select issue_id, 'verify_news' from issue where section_id = 'section_announcements'
-union all select issue_id, owner_key from issue join artifact on owner_key = 'audience_' || split_part(section_id, '_', 3)
-  where (starts_with(section_id, 'section_audience_') or starts_with(section_id, 'section_coverage_')) and not (coverage <> 'complete' and code in ('wrong_point_count', 'missing_audience'))
-union all select issue_id, owner_key from issue, artifact where section_id = 'section_limitations' and n_gaps > 0
-union all select issue_id, owner_key from evidence where owner_key is not null
-union all select issue_id, c.owner_key from evidence, (select distinct owner_key from owner) c where evidence.owner_key is null"""
-
-
 def dossier_gate(spark, sf_dir):
     """Dossiers, one for each language, against sources and facts."""
     rows = derived(spark, sf_dir, DOSSIERS)
@@ -314,36 +256,11 @@ select lang, arg_min(fact_id, ((category <> 'company')::int, (category not in ('
 from ({twin(NAMING)}) where source_id <> 'src1' and regexp_matches(lower(quote), '(^|[^\\pL\\pN_])contoso($|[^\\pL\\pN_])') group by lang"""
 
 
-def verification_gate(spark, sf_dir):
-    """Verdicts on documents as sources that do not cover, name or quote as they must."""
-    sources = derived(spark, sf_dir, "select 'd' || cast(doc_id as string) as source_id, case when doc_id % 3 = 0 then 'Contoso news' else lang end as title, text from {documents}")
-    rows = derived(spark, sf_dir, VERDICTS)
-    none = F.array().cast("array<struct<span_id:string,quote:string>>")
-    given = lambda q: F.when(F.col(q).isNotNull(), F.array(F.struct(F.col("source_id").alias("span_id"), F.col(q).alias("quote")))).otherwise(none)
-    verdicts = rows.select("source_id", "relation", "executive_name", "executive_role", given("quote").alias("evidence"), none.alias("date_evidence"), given("said").alias("executive_evidence"))
-    own = sources.select("source_id", F.col("source_id").alias("span_id"), "text")
-    return gates.source_verification(verdicts, sources, own, named=F.lit("Contoso"), company=F.lit("Contoso Ltd"), homepage=F.lit("d1"))
-
-
 VERDICTS = """
 select 'd' || cast(doc_id as string) as source_id, case when doc_id % 4 = 0 then 'unrelated' else 'related' end as relation,
   case when doc_id % 5 = 0 then null when doc_id % 5 = 1 then 'qqq zzz xxx' else substring(text, 3, 30) end as quote,
   case when doc_id % 6 = 1 then 'Qwx' when doc_id % 6 = 2 then regexp_extract(text, '[A-Za-z][A-Za-z][A-Za-z]+', 0) end as executive_name, case when doc_id % 12 = 3 then 'CEO' end as executive_role,
   case when doc_id % 6 in (1, 2, 3) then text end as said from {documents} where doc_id % 17 <> 5"""
-VERIFICATION_GATE = f"""
-with verdict as ({twin(VERDICTS)}),
-source as (select 'd' || doc_id as source_id, case when doc_id % 3 = 0 then 'Contoso news' else lang end as title, text from documents),
-own as (select v.*, title || ' ' || text as whole, text from verdict v join source using (source_id))
-select source_id, 'coverage' as code from source where source_id not in (select source_id from verdict)
-union all select source_id, 'quote_mismatch' from own where quote is not null and not contains(text, quote)
-union all select source_id, 'homepage_unnamed' from own where source_id = 'd1' and not regexp_matches(lower(whole), '(^|[^\\pL\\pN_])contoso($|[^\\pL\\pN_])')
-union all select source_id, 'related_without_evidence' from own where relation = 'related' and quote is null
-union all select source_id, 'related_unnamed' from own where relation = 'related' and not regexp_matches(lower(whole), '(^|[^\\pL\\pN_])contoso($|[^\\pL\\pN_])')
-union all select source_id, 'role_without_name' from own where executive_role is not null and coalesce(executive_name, '') = ''
-union all select source_id, 'executive_unquoted' from own where coalesce(executive_name, '') <> '' and (said is null or not regexp_matches(lower(said), '(^|[^\\pL\\pN_])' || lower(executive_name) || '($|[^\\pL\\pN_])'))
-union all select source_id, 'role_unquoted' from own where executive_role is not null and not regexp_matches(lower(coalesce(said, '')), '(^|[^\\pL\\pN_])ceo($|[^\\pL\\pN_])')"""
-
-
 def relation_warnings(spark, sf_dir):
     """Related sources none of whose quotes names the company."""
     rows = derived(spark, sf_dir, NAMING)
@@ -370,92 +287,7 @@ own as (select n.source_id, case when d.doc_id is null then 'unknown_source' whe
 select * from own where code is not null"""
 
 
-def report_gate_violations(spark, sf_dir):
-    """A report made of all tables, with everything that does not hold in it."""
-    labels = table(spark, sf_dir, "labels")
-    docs = table(spark, sf_dir, "documents")
-    own = facts(spark, sf_dir)
-    warned = F.when(F.substring("fact_id", -1, 1) == "8", F.array().cast("array<struct<quantity_index:int,span_id:string,numeric_text:string>>")).otherwise(F.array().cast("array<struct<quantity_index:int,span_id:string,numeric_text:string>>"))
-    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 200).cast("int"))
-    header = spark.range(1).select(F.lit("completed").alias("status"), F.lit("Contoso").alias("company_text"), F.lit("source_backed").alias("company_basis"), F.lit("").alias("description_text"), F.lit("source_backed").alias("description_basis"), F.array(F.lit("s")).alias("summary"), F.lit("none_found").alias("news_status"), F.lit("2024-06-01").cast("date").alias("as_of"))
-    audiences = outputs(spark, sf_dir).drop("asked")
-    parts = {
-        "header": header,
-        "facts": own.withColumn("warnings", warned),
-        "claims": derived(spark, sf_dir, CLAIMS).withColumn("fact_ids", F.array("fact_id")).drop("fact_id"),
-        "sources": docs.where("source <> 'src2'").groupBy(F.col("source").alias("source_id")).agg(F.lit(None).cast("date").alias("published_at"), F.lit(False).alias("is_news")).unionByName(docs.select(F.col("doc_id").cast("string").alias("source_id"), day.alias("published_at"), (F.col("doc_id") % 4 != 0).alias("is_news"))),
-        "opportunities": derived(spark, sf_dir, OPPORTUNITIES).select("opportunity_id"),
-        "requested": audiences.where("coverage <> 'limited'").select("audience"),
-        "coverage": audiences.select("audience", F.when(F.col("coverage") == "complete", "complete").otherwise("unavailable").alias("status")),
-        "audiences": audiences,
-        "announcements": labels.select(F.col("doc_id").cast("string").alias("source_id"), F.when(F.col("toxic") == 1, F.date_add(day, 1)).otherwise(day).alias("published_at"), F.when(F.col("quality") == 1, "Qwx").alias("executive_name"), F.lit("CEO").alias("executive_role")),
-    }
-    return gates.report(parts).groupBy("code").agg(F.count("*").alias("n"))
-
-
-REPORT_GATE_VIOLATIONS = f"""
-with fact as ({twin(FACTS)}), aud as ({twin(AUDIENCES)}), opp as ({twin(OPPORTUNITIES)}), {_POINTS},
-news as (select l.*, doc_id % 200 as day, quality = 1 as named from labels l),
-dated as (select n.*, day + (toxic = 1)::int as said from news n join documents using (doc_id)),
-found as (
-  select code from ({GROUNDING_GATE})
-  union all select 'audience_unaccounted' from counted where coverage = 'limited'
-  union all select 'audience_not_requested' from counted where coverage = 'limited'
-  union all select 'coverage_mismatch' from counted where coverage <> 'complete'
-  union all select 'audience_inconsistent' from counted where (coverage in ('complete', 'limited') and n = 0) or (coverage = 'insufficient_evidence' and n > 0) or (coverage <> 'complete' and n_gaps = 0)
-  union all select 'completed_without' from counted where coverage <> 'complete'
-  union all select 'no_core'
-  union all select 'unknown_source' from fact where source_id = 'src2'
-  union all select 'other_entity' from fact where entity = 'Fabrikam'
-  union all select 'warnings_changed' from fact where numeric_text is not null and currency is null and not {_QUOTED}
-  union all select 'unknown_opportunity' from (select distinct conv_id from point where opportunity_id not in (select opportunity_id from opp))
-  union all select 'unknown_source' from labels where doc_id not in (select doc_id from documents)
-  union all select 'news_status'
-  union all select 'date_out_of_window' from dated where said not between 62 and 152
-  union all select 'date_mismatch' from dated where toxic = 1
-  union all select 'not_news' from dated where doc_id % 4 = 0
-  union all select 'executive_uncited' from dated
-  union all select 'role_without_name' from dated where not named)
-select code, count(*) as n from found group by code"""
-
-
-def publish_gate(spark, sf_dir):
-    """What of a reviewed report goes out: opportunities are labels, audiences conversations."""
-    opportunities = derived(spark, sf_dir, OPPORTUNITIES).select("opportunity_id")
-    audiences = outputs(spark, sf_dir)
-    reviews = derived(spark, sf_dir, DECISIONS)
-    news = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("source_id"))
-    gaps = derived(spark, sf_dir, "select 'facts' as area, 'd' || cast(doc_id as string) as detail from {labels} where quality = 0")
-    own = derived(spark, sf_dir, "select 'server' as area, lang as detail from {documents} group by lang")
-    out = gates.published(opportunities, audiences, news, gaps, own, audiences.select("audience"), reviews)
-    rows = [out["opportunities"].select(F.lit("opportunity").alias("kind"), F.col("opportunity_id").alias("item")), out["audiences"].select(F.lit("audience").alias("kind"), F.col("audience").alias("item"))]
-    rows += [out["coverage"].select(F.lit("coverage").alias("kind"), F.concat_ws(":", "audience", "status").alias("item")), out["announcements"].select(F.lit("news").alias("kind"), F.col("source_id").cast("string").alias("item"))]
-    rows += [out["gaps"].select(F.lit("gap").alias("kind"), F.concat_ws(":", "area", F.when(F.col("area").isin("facts", "server"), F.col("detail")).when(F.col("area") == "audience_coverage", F.split_part("detail", F.lit(" "), F.lit(1)))).alias("item"))]
-    rows += [out["status"].select(F.lit("status").alias("kind"), F.col("status").alias("item")), gates.publishable(reviews).select(F.lit("held").alias("kind"), F.col("section_id").alias("item"))]
-    return gates.union(*rows)
-
-
-DECISIONS = """
-select 'section_opp_' || cast(doc_id as string) as section_id, case when quality = 1 then 'accept' else 'reject' end as decision from {labels}
-union all select 'section_audience_aud' || cast(conv_id as string), case when conv_id % 13 = 0 then 'repair' else 'accept' end from {conversations} group by conv_id
-union all select 'section_coverage_aud' || cast(conv_id as string), case when conv_id % 17 = 0 then 'repair' else 'accept' end from {conversations} group by conv_id
-union all select distinct 'section_company', 'accept' from {labels} union all select distinct 'section_summary', 'repair' from {labels} union all select distinct 'section_sources', 'accept' from {labels}
-union all select distinct 'section_limitations', 'repair' from {labels} union all select distinct 'section_announcements', 'reject' from {labels}"""
-PUBLISH_GATE = f"""
-with aud as ({twin(AUDIENCES)}), opp as ({twin(OPPORTUNITIES)}), {_POINTS},
-kept as (select opportunity_id from opp join labels using (doc_id) where quality = 1),
-said as (select * from counted where conv_id % 13 <> 0 and conv_id % 17 <> 0 and conv_id not in (select conv_id from point where opportunity_id not in (select opportunity_id from kept)))
-select 'opportunity' as kind, opportunity_id as item from kept
-union all select 'audience', audience from said
-union all select 'coverage', audience || ':' || coalesce((select s.coverage from said s where s.audience = aud.audience), 'unavailable') from aud
-union all select distinct 'gap', 'server:' || lang from documents
-union all select 'gap', 'audience_coverage:' || upper(audience) from aud where audience not in (select audience from said)
-union all select 'gap', 'quality_review' union all select 'gap', 'opportunities' where exists (select 1 from labels where quality <> 1)
-union all select 'gap', 'official_news' where exists (select 1 from labels where toxic = 1)
-union all select 'status', 'partial'
-union all select 'held', s from (values ('section_summary'), ('section_evidence')) t(s)"""
-
 QUERIES = (
-    fact_acceptance, omission_notices, quantity_gate, quote_gate, quote_fuzzy_match, grounding_gate, grounded_text_gate, citation_excerpts, strategy_gate, audience_gate,
-    review_gate, review_targets, dossier_gate, identity_facts, verification_gate, relation_warnings, announcement_gate, report_gate_violations, publish_gate,
+    fact_acceptance, quantity_gate, quote_gate, quote_fuzzy_match, grounding_gate, grounded_text_gate, citation_excerpts, strategy_gate, audience_gate,
+    dossier_gate, identity_facts, relation_warnings, announcement_gate,
 )
