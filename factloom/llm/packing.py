@@ -33,6 +33,7 @@ packed once each; input columns other than id, text and source are not used.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 import zlib
 from fractions import Fraction
@@ -57,7 +58,9 @@ QUEUES = 1024
 WEIGHT_BITS = 26
 #: Blocks of a queue that one row stands for until they are dealt out.
 STRIDE = 1 << 12
-CACHE = 1 << 20
+#: Bytes that the remembered words of a Python worker may take, and what an entry takes beside its word and ids.
+CACHE_BYTES = 96 << 20
+_SLOT = 104
 #: Characters tokenized at a time; longer texts are cut at a space, over which no token reaches.
 PIECE_CHARS = 1 << 16
 
@@ -67,6 +70,10 @@ _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-ſ]+|
 _loaded: dict[str, WordCache] = {}
 
 
+def entry_bytes(word: str, ids: bytes) -> int:
+    return sys.getsizeof(word) + sys.getsizeof(ids) + _SLOT
+
+
 class WordCache(dict):
     """Ids of single words, as packed little-endian 32-bit integers."""
 
@@ -75,11 +82,16 @@ class WordCache(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.size = 0
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > CACHE:
+        out = self.slow(word)
+        own = entry_bytes(word, out)
+        self.size += own
+        if self.size > CACHE_BYTES:
             self.clear()
-        self[word] = out = self.slow(word)
+            self.size = own
+        self[word] = out
         return out
 
     def slow(self, text: str) -> bytes:

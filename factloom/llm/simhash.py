@@ -231,14 +231,17 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 def kept(docs: DataFrame) -> DataFrame:
     """``docs`` less all but one document of each group: that with the smallest id
-    (of rows that share this id, one). Its columns are left as they are.
+    (of rows that share this id and its text, the first by their other columns, in the table's order; rows that
+    agree in these too are equal). Its columns are left as they are.
 
     Rows of one id and text are merged where they are read, so that none of them is a
     hot key, and texts are shuffled once: the merge and the join have the same key."""
     _, _, lowest = _groups(docs, "doc_id", "text", RADIUS, BANDS)
     key, null = long_key(F.col("doc_id")), F.lit(-(2**63))
-    own = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), key.alias("_key"), F.coalesce(_text_tag("text"), null).alias("_tag"))
-    once = own.groupBy("_key", "_tag").agg(F.first("_row").alias("_row"))
+    rest = [F.to_json(f"`{f.name}`") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields if f.name not in ("doc_id", "text")]
+    order = F.struct(*[c.alias(f"c{k}") for k, c in enumerate(rest)], F.lit(0).alias("_"))
+    own = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), order.alias("_order"), key.alias("_key"), F.coalesce(_text_tag("text"), null).alias("_tag"))
+    once = own.groupBy("_key", "_tag").agg(F.min_by("_row", "_order").alias("_row"))
     first = lowest.select(long_key(F.col("first.doc_id")).alias("_key"), F.coalesce("first.text_tag", null).alias("_tag"))
     return once.join(first, ["_key", "_tag"], "left_semi").select("_row.*")
 

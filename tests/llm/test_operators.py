@@ -831,6 +831,27 @@ def test_kept_documents(spark):
     assert simhash.kept(rows.limit(0)).collect() == []
 
 
+def test_kept_row_does_not_depend_on_the_input_order(spark):
+    """Of rows of one id and text the first by their other columns stays, whatever comes first."""
+    rows = [(1, "same text", "b", 2, None, {"x": 1}), (1, "same text", "b", 1, ["q"], {"x": 2}), (1, "same text", "b", 1, None, {"x": 3}), (1, "same text", "b", 1, None, {"x": 0}), (2, "other", None, 1, None, None), (2, "other", "a", 0, None, None)]
+    for own in (rows, rows[::-1], rows[2:] + rows[:2]):
+        df = spark.createDataFrame(own, "doc_id long, text string, source string, n long, tags array<string>, more map<string,int>").repartition(3)
+        assert sorted(tuple(r) for r in simhash.kept(df).collect()) == [(1, "same text", "b", 1, None, {"x": 0}), (2, "other", None, 1, None, None)]
+
+
+def test_word_cache_is_bounded_by_bytes(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "CACHE_BYTES", 20_000)
+    cache = packing.WordCache(public_tokenizers.path(packing.VOCABULARY))
+    rng = np.random.default_rng(2)
+    for k in range(400):
+        word = "".join(rng.choice(list("abcdefgh"), 5 + k % 60))
+        assert cache[word] == cache.slow(word)
+        assert cache.size == sum(packing.entry_bytes(w, ids) for w, ids in cache.items()) <= 20_000
+    assert cache["x" * 30_000] == cache.slow("x" * 30_000) and len(cache) == 1
+
+
 def test_unrelated_texts_that_share_ids(spark):
     texts = [" ".join(f"{c}{k}" for k in range(300)) for c in "abcdef"]
     rows = [(None, texts[0]), (7, texts[0]), (8, texts[0]), (None, texts[1]), (9, texts[1]), (5, texts[2]), (5, texts[3]), (6, texts[3]), (None, texts[4]), (1, texts[5])]
