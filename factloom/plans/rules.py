@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from factloom.functions import arrays, ids, numbers, text, urls
 from factloom.operators import dedup, jobs, joins, report, select
 from factloom.plans.evidence import values
-from factloom.sources import codec, pages, robots
+from factloom.sources import codec, crawl, pages
 from factloom.sources.tables import artifacts, scratch, table
 from factloom.streaming import jobs as streams
 
@@ -101,13 +101,52 @@ select 'report' as kind, event_id from events where ts + interval 10 days > time
 union all select 'job', event_id from events where ts + interval 7 days > timestamp '2024-01-20'"""
 
 
-def crawl_times(spark, sf_dir):
-    """The earliest next request on each host: users' events with their delay of a minute."""
-    own = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("host"), "ts").agg(F.lit(60.0).alias("delay"))
-    return robots.next_allowed(own.withColumn("ts", F.col("ts").cast("timestamp"))).select("host", F.unix_micros("ts").alias("ts"), F.unix_micros("earliest").alias("earliest"))
+#: Users are hosts, sign-ups readings of their policy, other events requests; a day passes in half an hour.
+CRAWL = "select event_id as request_id, user_id as host, {micros} as t, event_type = 'signup' as reading, case when event_type = 'signup' then event_id % 7 * 90.5 end as delay from {events}"
+_MICROS_SPARK, _MICROS_SQL = "cast(floor(unix_micros(cast(ts as timestamp)) / 50) as bigint)", "epoch_us(ts) // 50"
+
 
+def _crawl(spark, sf_dir):
+    rows = spark.sql(CRAWL.replace("{micros}", _MICROS_SPARK), events=table(spark, sf_dir, "events")).withColumn("delay", F.col("delay").cast("double"))
+    return rows.where("not reading").select("host", "request_id", F.col("t").alias("at")), rows.where("reading").select("host", F.col("t").alias("read_at"), "delay")
 
-CRAWL_TIMES = "select user_id as host, epoch_us(ts) as ts, lag(epoch_us(ts)) over (partition by user_id order by ts) + 60000000 as earliest from (select distinct user_id, ts from events)"
+
+def crawl_times(spark, sf_dir):
+    """When each request goes out: the policy that holds for it, or that one must be read, and its place in the host's queue."""
+    requests, versions = _crawl(spark, sf_dir)
+    own = crawl.policies_at(requests, versions)
+    out = crawl.queued(own.select("host", "request_id", "at", F.col("policy.read_at").alias("read_at"), F.col("policy.delay").alias("delay")))
+    return out.select("request_id", "host", "read_at", "delay", "starts_at")
+
+
+_CRAWLED = f"own as ({CRAWL.replace('{micros}', _MICROS_SQL).replace('{events}', 'events')})"
+CRAWL_TIMES = f"""
+with recursive {_CRAWLED},
+version as (select host, t as read_at, max(delay::double) as delay from own where reading group by all),
+known as (select r.request_id, r.host, r.t, case when v.read_at > r.t - 3600000000 then v.read_at end as read_at, case when v.read_at > r.t - 3600000000 then v.delay end as delay
+  from (select * from own where not reading) r asof left join version v on r.host = v.host and r.t >= v.read_at),
+ordered as (select *, row_number() over (partition by host order by t, request_id) as n, round(coalesce(delay, 0) * 1000000)::bigint as wait from known),
+queue as (
+  select request_id, host, read_at, delay, n, t as starts_at from ordered where n = 1
+  union all
+  select o.request_id, o.host, o.read_at, o.delay, o.n, greatest(o.t, q.starts_at + o.wait) from queue q join ordered o on o.host = q.host and o.n = q.n + 1)
+select request_id, host, read_at, delay, starts_at from queue"""
+
+
+def policy_asks(spark, sf_dir):
+    """When policies are read for the requests that no known version covers: again only once the last reading is an hour old."""
+    requests, versions = _crawl(spark, sf_dir)
+    return crawl.policy_asks(crawl.policies_at(requests, versions).where("policy is null").select("host", "at")).withColumnRenamed("at", "asked_at")
+
+
+POLICY_ASKS = f"""
+with recursive {_CRAWLED},
+open as (select distinct r.host, r.t from (select * from own where not reading) r asof left join (select host, t as read_at from own where reading) v on r.host = v.host and r.t >= v.read_at where v.read_at is null or v.read_at <= r.t - 3600000000),
+ask as (
+  select host, min(t) as t from open group by host
+  union all
+  select * from (select a.host, min(o.t) as t from ask a join open o on o.host = a.host and o.t >= a.t + 3600000000 group by a.host))
+select host, t as asked_at from ask"""
 
 
 def report_status(spark, sf_dir):
@@ -187,6 +226,6 @@ STREAM_SUBMISSIONS = "select distinct user_id, event_type from events"
 QUERIES = (
     coverage_notes, search_queries, source_markers, evidence_join, 
     pdf_coverage, merged_facts, 
-    planned_tasks, purged_rows, crawl_times, report_status,
+    planned_tasks, purged_rows, crawl_times, policy_asks, report_status,
     typed_artifacts, report_json, document_sections, identifier_filter, request_memo, stream_submissions,
 )

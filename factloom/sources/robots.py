@@ -151,9 +151,3 @@ def policy(lines: DataFrame, token: str) -> DataFrame:
     delays = chosen.groupBy("host").agg(F.coalesce(F.max(wait), F.lit(0.0)).alias("delay"))
     rules = chosen.where(F.col("key").isin(*RULE_KEYS) & (F.col("value") != "")).select("host", "line_no", F.col("value").alias("pattern"), (F.col("key") == "allow").alias("allow"))
     return delays.join(rules, "host", "left").select("host", "line_no", "pattern", "allow", "delay")
-
-
-def next_allowed(requests: DataFrame) -> DataFrame:
-    """``requests(host, ts, delay)`` with the earliest time after the one before on the same host."""
-    order = W.partitionBy("host").orderBy("ts")
-    return requests.withColumn("earliest", F.timestamp_micros((F.unix_micros(F.lag("ts").over(order)) + F.col("delay") * 1e6).cast("long")))
