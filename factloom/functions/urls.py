@@ -43,7 +43,7 @@ REFUSED_BLOCKS = tuple(map(ipaddress.ip_network, ("224.0.0.0/4", f"{METADATA_ADD
 UNICAST = ipaddress.ip_network("2000::/3")
 
 _URL = re.compile(r"(?P<scheme>[A-Za-z][A-Za-z0-9+.-]*)://(?P<host>\[[^\[\]]*\]|[^\[\]:/?#@]*)(?::(?P<port>[0-9]+))?(?P<path>/[^?#]*)?(?P<query>\?[^#]*)?(?:#.*)?")
-_LABEL = re.compile(r"(?!-)[a-z0-9-]{1,63}(?<!-)")
+_LABEL = r"(?!-)[a-z0-9-]{1,63}(?<!-)"
 #: What no URL may hold: blanks and control characters, a backslash plain or escaped, a broken escape, an escaped control character.
 _REFUSED = (re.compile(r"[\s\\]"), re.compile(r"%(?![0-9A-Fa-f]{2})"), re.compile(r"(?i)%(?:[01][0-9A-F]|5C|7F)"))
 
@@ -63,30 +63,27 @@ def public_address(value: str) -> bool:
     return not any(own in block for block in REFUSED_BLOCKS if block.version == own.version)
 
 
-#: Why a name in ASCII is no public host, given its labels.
-HOST_RULES = (
-    lambda labels: len(".".join(labels)) > 253,
-    lambda labels: len(labels) < 2,
-    lambda labels: labels[-1].isdigit(),
-    lambda labels: any(_LABEL.fullmatch(x) is None for x in labels),
-    lambda labels: any(labels[-len(s) :] == s for s in map(lambda x: x.split("."), LOCAL_SUFFIXES)),
-)
+#: Two labels or more, the last not a number, 253 characters in all.
+_NAME = re.compile(rf"(?=.{{1,253}}\Z)(?:{_LABEL}\.)+(?![0-9]+\Z){_LABEL}")
+_LOCAL = tuple(f".{s}" for s in LOCAL_SUFFIXES)
+
+
+def ascii_name(name: str) -> str:
+    """A host name as it is on the wire; empty if it has no such form."""
+    try:
+        return name if name.isascii() else name.encode("idna").decode("ascii").lower()
+    except UnicodeError:
+        return ""
 
 
 def host_name(host: str) -> str | None:
     """The normal form of a public host name or address, or null."""
-    name = host.lower()
-    name = name[:-1] if name.endswith(".") else name
-    if not name or not set("%\\/@?#").isdisjoint(name):
-        return None
+    name = host.lower().removesuffix(".")
     address = _address(name)
-    if address is not None:
-        return address.compressed if public_address(name) else None
-    try:
-        labels = name.encode("idna").decode("ascii").lower().split(".")
-    except UnicodeError:
-        return None
-    return None if any(broken(labels) for broken in HOST_RULES) else ".".join(labels)
+    if address is None:
+        wire = ascii_name(name)
+        return wire if _NAME.fullmatch(wire) and not f".{wire}".endswith(_LOCAL) else None
+    return address.compressed if public_address(name) else None
 
 
 def remove_dots(path: str) -> str:

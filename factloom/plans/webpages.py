@@ -71,12 +71,56 @@ def page_spans(spark, sf_dir):
     return rows.select("page_id", F.posexplode("d.spans").alias("ord", "s")).select("page_id", F.col("ord").cast("long").alias("ord"), F.length("s.text").cast("long").alias("chars"), "s.section")
 
 
+#: Pages with dates put into them: none, one, two that agree or not, some that do not count, impossible or too long ones, many.
+DATED = """
+select page_id, url, replace(html, '<head>', '<head>' || case page_id % 12
+  when 1 then '<meta property="article:published_time" content="2024-01-05">'
+  when 2 then '<meta name="DatePublished" content=" 2024-02-29T23:30:00+02:00 "><meta itemprop="pubdate" content="2024-02-29">'
+  when 3 then '<meta name="pubdate" content="2024-03-01"><meta name="publication_date" content="2024-03-02">'
+  when 4 then '<meta name="keywords" content="2024-04-01"><meta property="og:title" name="pubdate" content="2024-04-02">'
+  when 5 then '<meta name="pubdate" content="2024-02-30"><meta name="dc.date.issued" content="5 May 2024">'
+  when 6 then '<meta name="pubdate" content="2024-06-01' || repeat(' ', 300) || '"><meta name="pubdate" content="2024-06-02">'
+  when 7 then repeat('<meta name="pubdate" content="2024-07-01">', 16) || '<meta name="pubdate" content="2024-07-02">'
+  when 8 then repeat('<meta name="pubdate" content="soon">', 15) || '<meta name="pubdate" content="2024-08-01"><meta name="pubdate" content="2024-08-02">'
+  when 9 then '<meta name="pubdate" content=""><meta name="parsely-pub-date" content="2024-09-01">' else '' end) as html
+from (select page_id, url, replace(html, '<article>', '<article>' || case page_id % 5
+  when 1 then '<time datetime="2024-01-05" pubdate>x</time>' when 2 then '<time datetime="2024-01-06">x</time>'
+  when 3 then '<time class="Entry-Date big" datetime="2024-03-01">x</time>' when 4 then '<p hidden><time datetime="2024-01-07" itemprop="datePublished">x</time></p>' else '' end) as html from {pages} where url like 'https://%') p"""
+
+
 def page_publication_dates(spark, sf_dir):
     """The single date that a page says it was published on, and conflicts."""
-    return pages.published(pages.page_blocks(parsed(spark, sf_dir)), "page_id")
+    return pages.published(pages.page_blocks(pages.parse_pages(derived(spark, sf_dir, DATED))), "page_id")
+
+
+PAGE_PUBLICATION_DATES = f"""
+with page as ({twin(DATED)}),
+seen as (select page_id, regexp_replace(html, '<p hidden>.*?</p>', '', 'g') as html from page),
+tag as (select page_id, unnest(regexp_extract_all(html, '<(?:meta|time)\\b[^>]*>')) as t, unnest(range(len(regexp_extract_all(html, '<(?:meta|time)\\b[^>]*>')))) as n from seen),
+said as (
+  select page_id, n, lower(coalesce(nullif(regexp_extract(t, ' property="([^"]*)"', 1), ''), nullif(regexp_extract(t, ' name="([^"]*)"', 1), ''), regexp_extract(t, ' itemprop="([^"]*)"', 1))) as name,
+    starts_with(t, '<time') as is_time, regexp_extract(t, case when starts_with(t, '<time') then ' datetime="([^"]*)"' else ' content="([^"]*)"' end, 1) as v,
+    regexp_matches(t, ' pubdate\\b') or lower(regexp_extract(t, ' itemprop="([^"]*)"', 1)) = 'datepublished'
+      or list_has_any(string_split(lower(regexp_extract(t, ' class="([^"]*)"', 1)), ' '), ['published', 'publication-date', 'entry-date']) as of_publication from tag),
+counted as (select *, row_number() over (partition by page_id order by n) as k from said where v <> '' and length(v) <= 300
+  and (is_time or name in ({", ".join(repr(k) for k in sorted(pages.PUBLICATION_KEYS))}))),
+dated as (select page_id, case when regexp_matches(trim(v), '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') then try_cast(trim(v) as date) when regexp_matches(trim(v), '^\\d{{4}}-\\d{{2}}-\\d{{2}}T') and try_cast(trim(v) as timestamptz) is not null then try_cast(left(trim(v), 10) as date) end as d
+  from counted where k <= {pages.MAX_METADATA} and (not is_time or of_publication))
+select page_id, case when count(distinct d) = 1 then min(d) end as published_at, count(distinct d) > 1 as date_conflict from page left join dated using (page_id) group by page_id"""
+
+
+#: Pages that end in a tag or a comment that is never closed, of all lengths around the bound.
+UNFINISHED = """
+select page_id, url, html || case page_id % 4 when 1 then '<a title="' when 2 then '<!-- ' when 3 then '<script>' else '' end || repeat('x', cast(page_id % 10 * 16384 as int)) as html, cast(page_id % 10 * 16384 as int) as n, page_id % 4 as kind
+from {pages} where url like 'https://%'"""
+
+
+def page_complexity(spark, sf_dir):
+    """Pages that cannot be read because markup in them does not end."""
+    return pages.parse_pages(derived(spark, sf_dir, UNFINISHED)).select("page_id", "error")
 
 
-PAGE_PUBLICATION_DATES = "select page_id, null::date as published_at, false as date_conflict from pages where url like 'https://%'"
+PAGE_COMPLEXITY = f"select page_id, case when kind in (1, 2) and n + length(case kind when 1 then '<a title="' else '<!-- ' end) > {pages.MAX_MARKUP} then 'html_complexity' end as error from ({twin(UNFINISHED)})"
 
 
 def page_links(spark, sf_dir):
@@ -191,29 +235,68 @@ delay as (select host, coalesce(max(case when key = 'crawl-delay' then value::do
 rule as (select * from best where key in ('allow', 'disallow') and value <> '')
 select d.host, r.line_no, r.value as pattern, case when r.key is not null then r.key = 'allow' end as allow, d.delay from delay d left join rule r on r.host = d.host"""
 
+#: Each host's lines by number: what is wrong, if anything, turns with the host.
 ROBOTS_BROKEN = """
 select cast(user_id as string) as host, rn as line_no, case
-  when rn = 1 then case when user_id % 9 = 1 then 'Disallow: /x' when user_id % 9 = 2 then '<html>' when user_id % 9 = 8 then 'Allow-all: yes' else 'User-agent: *' end
-  when rn = 2 then case when user_id % 9 = 3 then 'Crawl-delay: soon' when user_id % 9 = 4 then 'Request-rate: 0/5' when user_id % 9 = 5 then 'Disallow: x' when user_id % 9 = 6 then 'no colon' when user_id % 9 = 7 then 'User-agent:' else '# note' end
-  else '# ' || event_type end as text
+  when rn = 1 then case user_id % 13 when 1 then 'Disallow: /x' when 2 then '<html>' when 8 then 'Allow-all: yes' when 9 then 'Crawl-delay: 1' else 'User-agent: ' || case when user_id % 13 = 12 then 'other' else '*' end end
+  when rn = 2 then case user_id % 13 when 3 then 'Crawl-delay: soon' when 4 then 'Request-rate: 0/5' when 5 then 'Disallow: x' when 6 then 'no colon' when 7 then 'User-agent:' when 10 then 'Crawl-delay: 20' when 11 then 'Request-rate: 2/41' when 12 then 'Crawl-delay: 500' else '# note' end
+  when rn = 3 and user_id % 13 = 7 then 'User-agent: ' || repeat('a', cast(95 + user_id % 10 as int)) when rn = 3 and user_id % 13 = 5 then 'Allow: /' || repeat('p', cast(2040 + user_id % 20 as int))
+  when rn = 4 and user_id % 7 = 3 then 'Sitemap: https://x/s' when rn = 5 and user_id % 11 = 0 then 'Crawl-delay: -1' else '# ' || event_type end as text
 from (select *, row_number() over (partition by user_id order by event_id) as rn from {events}) t"""
+ROBOTS_TYPES = "select distinct cast(user_id as string) as host, case user_id % 10 when 9 then 'text/html' when 8 then 'TEXT/Plain; charset=utf-8' when 7 then '' else 'text/plain' end as content_type from {events}"
 
 
 def robots_refused(spark, sf_dir):
-    """Hosts whose policy cannot be read, so nothing of theirs is: what is wrong with it."""
-    types = derived(spark, sf_dir, "select distinct cast(user_id as string) as host, case when user_id % 10 = 9 then 'text/html' else 'text/plain' end as content_type from {events}")
-    return robots.refused(derived(spark, sf_dir, ROBOTS_BROKEN), types)
+    """Hosts whose policy cannot be read or asks for too much, so nothing of theirs is read: what is wrong with it."""
+    return robots.refused(derived(spark, sf_dir, ROBOTS_BROKEN), derived(spark, sf_dir, ROBOTS_TYPES), token="loombot")
 
 
 ROBOTS_REFUSED = f"""
-with line as ({twin(ROBOTS_BROKEN)}), host as (select distinct user_id, user_id::varchar as host, user_id % 9 as k from events)
-select host, 'media_type' as code from host where user_id % 10 = 9
-union all select host, 'rule_without_agent' from host where k = 1
-union all select host, 'unreadable_line' from host where k in (2, 6) and exists (select 1 from line where line.host = host.host and (text = '<html>' or text = 'no colon'))
-union all select host, 'bad_delay' from host where k in (3, 4) and exists (select 1 from line where line.host = host.host and line_no = 2)
-union all select host, 'bad_pattern' from host where k = 5 and exists (select 1 from line where line.host = host.host and line_no = 2)
-union all select host, 'bad_agent' from host where k = 7 and exists (select 1 from line where line.host = host.host and line_no = 2)
-union all select host, 'unrecognised' from host where k in (1, 2, 8)"""
+with line as ({twin(ROBOTS_BROKEN)}), said as (select host, line_no, trim(split_part(text, '#', 1)) as t from line),
+own as (select *, lower(trim(split_part(t, ':', 1))) as key, trim(regexp_replace(t, '^[^:]*:', '')) as value, contains(t, ':') and not regexp_matches(t, '^[<{{]') as readable from said where t <> ''),
+waits as (select *, case key when 'crawl-delay' then try_cast(value as double) when 'request-rate' then try_cast(split_part(value, '/', 2) as double) / nullif(try_cast(split_part(value, '/', 1) as double), 0) end as wait,
+  count(*) filter (where key = 'user-agent') over (partition by host order by line_no) as agents,
+  key = 'user-agent' and coalesce(lag(key) over (partition by host order by line_no), '') <> 'user-agent' as opens from own),
+grouped as (select *, count(*) filter (where opens) over (partition by host order by line_no) as grp from waits where key in ('user-agent', 'allow', 'disallow', 'crawl-delay', 'request-rate')),
+score as (select host, grp, max(case when lower(value) = '*' then 0 when contains('loombot', lower(value)) then length(value) end) as score from grouped where key = 'user-agent' and grp > 0 group by all),
+delay as (select g.host, max(wait) as delay from grouped g join score s using (host, grp) where score = (select max(score) from score o where o.host = g.host) group by g.host)
+select host, 'media_type' as code from ({twin(ROBOTS_TYPES)}) where lower(trim(split_part(content_type, ';', 1))) not in ({", ".join(repr(t) for t in robots.POLICY_TYPES)})
+union all select distinct host, 'unreadable_line' from waits where not readable
+union all select distinct host, 'rule_without_agent' from waits where readable and key in ('allow', 'disallow', 'crawl-delay', 'request-rate') and agents = 0
+union all select distinct host, 'bad_agent' from waits where readable and key = 'user-agent' and length(value) not between 1 and {robots.MAX_AGENT}
+union all select distinct host, 'bad_pattern' from waits where readable and key in ('allow', 'disallow') and value <> '' and (length(value) > {robots.MAX_PATTERN} or not regexp_matches(value, '^[/*]'))
+union all select distinct host, 'bad_delay' from waits where readable and key in ('crawl-delay', 'request-rate') and not coalesce(wait >= 0 and wait < 'infinity'::double, false)
+union all select host, 'unrecognised' from waits group by host having count(*) filter (where readable and key in ('user-agent', 'sitemap', 'host')) = 0
+union all select host, 'delay_too_long' from delay where delay > {robots.MAX_DELAY}"""
+
+
+#: Documents as bodies: their text after something that may be a start of HTML, a PDF or a check for bots, with all declared types.
+BODIES = """
+select doc_id, case doc_id % 29 when 1 then '<main>' when 2 then '<div class=x>' when 3 then '<P>' when 4 then '<h3 id=a>' when 5 then '<h7>' when 6 then '<title>x</title>' when 7 then '<article>' when 8 then '<section>'
+    when 9 then '%PDF-1.7 ' when 10 then chr(0) when 11 then '<titles>' when 12 then '  <!DOCTYPE   html>' when 13 then '<body>' when 14 then '<pre>' when 15 then '<html lang=en>' when 16 then '<head>' when 17 then repeat(' ', 1500) || '<main>'
+    when 18 then '<title>Just a moment...</title>' when 19 then '<title lang=en> Security check' when 20 then '<TITLE>Security verification' when 21 then '<title>Verify you''re human' when 22 then '<title>Verify you are human'
+    when 23 then '<title>Checking your browser' when 24 then '<title>Attention required' when 25 then '<title>Nothing' when 26 then '<form id="challenge-form" action="?__cf_chl_f_tk=x">' || '/cdn-cgi/images/trace/jsch/' when 27 then '<h1>' else '' end
+  || case doc_id % 9 when 0 then '<script src="/cdn-cgi/challenge-platform/x">' when 1 then 'cf-chl-x' when 2 then '_CF_CHL_OPT' when 3 then 'jschl_vc' when 4 then '//challenges.cloudflare.com/t' when 5 then 'js.hcaptcha.com' when 6 then 'g-recaptcha' else '' end || coalesce(text, '') as body,
+  case doc_id % 6 when 0 then '' when 1 then 'text/html' when 2 then 'text/plain' when 3 then 'application/pdf' when 4 then 'application/octet-stream' else 'image/png' end as declared,
+  case when doc_id % 4 = 1 then 'Cloudflare' else 'nginx' end as server, case when doc_id % 37 = 5 then 'Challenge' when doc_id % 37 = 6 then 'no' end as mitigated, case when doc_id % 41 = 5 then 'challenge' end as action
+from {documents}"""
+
+
+def document_types(spark, sf_dir):
+    """The type that each body shows, if it agrees with the declared one, and whether it is a check for bots."""
+    rows = derived(spark, sf_dir, BODIES).withColumn("bytes", F.encode("body", "UTF-8"))
+    headers = F.map_from_arrays(F.array(F.lit("server"), F.lit("cf-mitigated"), F.lit("x-amzn-waf-action")), F.array("server", "mitigated", "action"))
+    return rows.select("doc_id", pages.media_type(F.col("bytes"), F.col("declared")).alias("media_type"), pages.challenged(headers, F.col("bytes")).alias("challenged"))
+
+
+DOCUMENT_TYPES = f"""
+with own as (select *, ltrim(left(body, 1024)) as lead, lower(left(body, 65536)) as low, declared in ('', 'text/plain', 'application/octet-stream') as generic from ({twin(BODIES)}))
+select doc_id, case when starts_with(lead, '%PDF-') then case when generic or declared = 'application/pdf' then 'application/pdf' end when declared = 'application/pdf' or contains(lead, chr(0)) then null
+    when declared = 'text/html' or (generic and regexp_matches(lead, '(?i)<(!doctype\\s+html|html\\b|head\\b|body\\b|title\\b|main\\b|article\\b|div\\b|p\\b|h[1-6]\\b)')) then 'text/html' end as media_type,
+  coalesce(lower(mitigated) = 'challenge', false) or coalesce(lower(action) = 'challenge', false)
+    or (lower(server) = 'cloudflare' and contains(low, '<form ') and contains(low, '"challenge-form"') and contains(low, '__cf_chl_f_tk=') and contains(low, '/cdn-cgi/images/trace/jsch/'))
+    or (regexp_matches(low, '<title[^>]*>\\s*(just a moment|checking your browser|attention required|verify you are human|verify you''re human|security verification|security check)')
+      and regexp_matches(low, '/cdn-cgi/challenge-platform/|cf-chl-|cf_chl_|jschl_vc|challenges[.]cloudflare[.]com|hcaptcha[.]com|g-recaptcha')) as challenged from own"""
 
 
 def media_types(spark, sf_dir):
@@ -226,8 +309,8 @@ MEDIA_TYPES = r"""
 with own as (select page_id, ltrim(html) as html, lower(html) as low, ['text/html', 'application/pdf', ''][page_id % 3 + 1] as declared from pages)
 select page_id, case when starts_with(html, '%PDF-') then case when declared in ('', 'application/pdf') then 'application/pdf' end
     when declared = 'application/pdf' or contains(left(html, 1024), chr(0)) then null
-    when declared = 'text/html' or (declared = '' and regexp_matches(left(html, 1024), '(?i)<(!doctype\s+html|html|head|body)\b')) then 'text/html' end as media_type,
-  regexp_matches(low, '<title[^>]*>\s*(just a moment|attention required|checking your browser|verify(ing)? you are human)')
+    when declared = 'text/html' or (declared = '' and regexp_matches(left(html, 1024), '(?i)<(!doctype\s+html|html|head|body|title|main|article|div|p|h[1-6])\b')) then 'text/html' end as media_type,
+  regexp_matches(low, '<title[^>]*>\s*(just a moment|attention required|checking your browser|verify you are human|verify you''re human|security verification|security check)')
     and regexp_matches(low, '/cdn-cgi/challenge-platform/|cf-chl-|cf_chl_|jschl_vc|challenges\.cloudflare\.com|hcaptcha\.com|g-recaptcha') as challenged from own"""
 
 
@@ -257,6 +340,6 @@ with own as (select c_custkey, 'User' || c_custkey || case when c_custkey % 3 =
 select c_custkey from own where lower(email) like '%@example.com' or lower(email) like 'user1%@other.org'"""
 
 QUERIES = (
-    page_span_topk, page_title, page_text_blocks, page_spans, page_publication_dates, page_links, link_purpose, url_normalize, host_policy, host_www_pairs,
-    robots_match, robots_groups, robots_refused, media_types, public_addresses, email_rules,
+    page_span_topk, page_title, page_text_blocks, page_spans, page_publication_dates, page_complexity, page_links, link_purpose, url_normalize, host_policy, host_www_pairs,
+    robots_match, robots_groups, robots_refused, media_types, document_types, public_addresses, email_rules,
 )

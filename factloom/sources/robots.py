@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.sources.crawl import MAX_DELAY
+
 #: Characters that a path in a policy keeps as they are, and those that are never escaped.
 SAFE = "/?:@!$&'()*+,;=%"
 UNRESERVED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~"
@@ -101,10 +103,11 @@ def _seconds(key: Column, value: Column) -> Column:
     return F.when(key == "crawl-delay", value.try_cast("double")).when(key == "request-rate", per)
 
 
-def refused(lines: DataFrame, types: DataFrame | None = None) -> DataFrame:
+def refused(lines: DataFrame, types: DataFrame | None = None, *, token: str | None = None, longest: float = MAX_DELAY) -> DataFrame:
     """``(host, code)``: policies that are broken anywhere, so that nothing on the host may be read.
 
-    ``lines(host, line_no, text)``; ``types(host, content_type)`` of the replies, if known."""
+    ``lines(host, line_no, text)``; ``types(host, content_type)`` of the replies, if known. With a ``token``, also hosts
+    whose groups for it ask for a delay of over ``longest`` seconds."""
     own = _keyed(lines)
     key, value = F.col("key"), F.col("value")
     first = W.partitionBy("host").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
@@ -125,6 +128,8 @@ def refused(lines: DataFrame, types: DataFrame | None = None) -> DataFrame:
     out = found.unionByName(silent).unionByName(large)
     if types is not None:
         out = out.unionByName(types.where(~F.lower(F.trim(F.split_part("content_type", F.lit(";"), F.lit(1)))).isin(*POLICY_TYPES)).select("host", F.lit("media_type").alias("code")))
+    if token is not None:
+        out = out.unionByName(policy(lines, token).where(F.col("delay") > longest).select("host", F.lit("delay_too_long").alias("code")))
     return out.distinct()
 
 
