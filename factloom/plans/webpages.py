@@ -120,7 +120,7 @@ def page_complexity(spark, sf_dir):
     return pages.parse_pages(derived(spark, sf_dir, UNFINISHED)).select("page_id", "error")
 
 
-PAGE_COMPLEXITY = f"select page_id, case when kind in (1, 2) and n + length(case kind when 1 then '<a title="' else '<!-- ' end) > {pages.MAX_MARKUP} then 'html_complexity' end as error from ({twin(UNFINISHED)})"
+PAGE_COMPLEXITY = f"""select page_id, case when kind in (1, 2) and n + length(case kind when 1 then '<a title="' else '<!-- ' end) > {pages.MAX_MARKUP} then 'html_complexity' end as error from ({twin(UNFINISHED)})"""
 
 
 def page_links(spark, sf_dir):
