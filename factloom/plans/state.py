@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from factloom.functions import dates, ids, text
 from factloom.operators import dedup, jobs, report, select
-from factloom.sources import codec
-from factloom.sources.tables import scoped_candidates, table
+from factloom.sources import codec, store
+from factloom.sources.tables import scoped_candidates, scratch, table
 
 NOW = "2024-01-20 00:00:00"
 
@@ -164,6 +166,33 @@ def latest_50(spark, sf_dir):
 LATEST_50 = "select event_id from events order by ts desc, event_id limit 50"
 
 
+SAVES = """
+select user_id, event_id, event_type || cast(event_id % 2 as string) as key, coalesce(props, '') || repeat('é', cast(event_id % 60 as int)) as value, case when event_id % 9 = 0 then null else event_id % 3 end as expected from {events}"""
+
+
+def store_saves(spark, sf_dir):
+    """Events as saves of their user's records: what a store with revisions and caps says to each, and what it then holds."""
+    rows = spark.sql(SAVES, events=table(spark, sf_dir, "events"))
+    day = lambda d: F.lit(d).cast("timestamp")
+    saves = rows.select(F.col("user_id").cast("string").alias("scope"), F.col("event_id").alias("ord"), "key", "value", day("2024-01-01").alias("generated_at"), day("2024-02-01").alias("expires_at"), "expected")
+    own = store.Store(spark, f"{scratch(spark)}/{uuid.uuid4().hex}", most_bytes=600, most_records=6)
+    said = own.save(saves, day(NOW))
+    held = own.records().select("scope", "key", F.lit(True).alias("held"), "revision")
+    return said.join(held, ["scope", "key", "revision"], "left").select("scope", "ord", "outcome", "revision", (F.coalesce("held", F.lit(False)) & (F.col("outcome") == "saved")).alias("held"))
+
+
+STORE_SAVES = f"""
+with recursive save as (select user_id, event_id, key, coalesce(expected, 0) as expected, (2 * (length(key) + length(value)))::bigint as size, row_number() over (partition by user_id order by event_id) as n from ({SAVES.replace('{events}', 'events').replace("event_id % 60 as int", "event_id % 60 as int")})),
+replay as (
+  select distinct user_id, 0::bigint as n, null::bigint as ord, null::varchar as key, null::varchar as outcome, null::bigint as revision, map([]::varchar[], []::struct(rev bigint, size bigint)[]) as held from save
+  union all
+  select user_id, n, event_id, key, outcome, case when outcome = 'saved' then rev + 1 else rev end, case when outcome = 'saved' then map_concat(held, map([key], [{{'rev': (rev + 1)::bigint, 'size': size}}])) else held end
+  from (select *, case when expected <> rev then 'changed' when (rev = 0 and cardinality(held) >= 6) or total - old + size > 600 then 'full' else 'saved' end as outcome
+    from (select s.*, r.held, coalesce(r.held[s.key].rev, 0) as rev, coalesce(r.held[s.key].size, 0) as old, coalesce(list_sum(list_transform(map_values(r.held), lambda x: x.size)), 0) as total from replay r join save s on s.user_id = r.user_id and s.n = r.n + 1))),
+final as (select user_id, arg_max(held, n) as held from replay group by user_id)
+select user_id::varchar as scope, ord, outcome, revision::bigint as revision, outcome = 'saved' and coalesce(f.held[key].rev = revision, false) as held from replay join final f using (user_id) where n > 0"""
+
+
 def upsert_latest(spark, sf_dir):
     """The last event of each user, for the forty users of each type that came first."""
     own = events(spark, sf_dir, "event_type", "user_id", "event_id")
@@ -255,6 +284,6 @@ select user_id as job_id, case when bool_or(event_type = 'purchase') then 'compl
 
 QUERIES = (
     date_window_filter, announcement_order, idempotent_submission, ttl_active, latest_state, best_attempt, stage_durations, ledger_totals, ledger_admission, 
-    job_admission, capacity_check, active_jobs, latest_50, upsert_latest, task_reuse, checkpoint_sizes, usage_by_task, 
+    job_admission, capacity_check, active_jobs, latest_50, upsert_latest, store_saves, task_reuse, checkpoint_sizes, usage_by_task, 
     blob_round_trip, candidate_scope, namespaces, job_view,
 )
