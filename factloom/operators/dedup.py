@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,6 +41,53 @@ def kept_documents(docs: DataFrame, scope: list[str], *, order: str = "ord", url
     return folded(docs, scope, [F.asc(order)], [order, url, digest], "kept_ord long", start)
 
 
+#: Rounds after which what is left, chains in the order of their rows, goes to the fold.
+ROUNDS = 12
+
+
+def kept_in_rounds(docs: DataFrame, scope: list[str], folder: str, *, order: str = "ord", url: str = "url", digest: str = "content_hash", rounds: int = ROUNDS) -> DataFrame:
+    """As ``kept_documents``, for a scope of any size; ``order`` has no repeats within a scope.
+
+    In each round a document that is the first undecided one of its URL and of its content is kept, for no earlier one
+    can be; those that share either with it give way. A round is two map-side minima and joins, so a URL or content of any
+    number of documents is no hot task. In random order few rounds decide all; a chain in which each document shares one
+    thing with the one before takes a round for every two, so what is left after ``rounds`` is folded by scope: it shares
+    nothing with what was kept. Tables of the rounds are written under ``folder``, which all executors share."""
+    spark, at = docs.sparkSession, f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{at}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{at}/{name}")
+
+    same = lambda a, b, names: reduce(Column.__and__, [F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names])
+    own = written(docs.select(*scope, F.col(order).alias("_o"), F.col(url).alias("_u"), F.col(digest).alias("_d")), "rows")
+    left, kept = own, []
+    for turn in range(rounds):
+        firsts = {c: left.groupBy(*scope, c).agg(F.min("_o").alias("_first")) for c in ("_u", "_d")}
+        marked = left.alias("l")
+        for c, first in firsts.items():
+            marked = marked.join(first.alias("f"), same("l", "f", [*scope, c])).select("l.*", F.col("f._first").alias(f"_first{c}")).alias("l")
+        marked = written(marked.select("*", ((F.col("_o") == F.col("_first_u")) & (F.col("_o") == F.col("_first_d"))).alias("_kept")), f"marked{turn}")
+        chosen = marked.where("_kept").select(*own.columns)
+        kept.append(chosen)
+        rest = marked.where("not _kept").select(*own.columns)
+        for c in ("_u", "_d"):
+            rest = rest.alias("l").join(chosen.select(*scope, c).alias("k"), same("l", "k", [*scope, c]), "left_anti")
+        left = written(rest.select(*own.columns), f"left{turn}")
+        if left.isEmpty():
+            break
+    else:
+        tail = kept_documents(left, scope, order="_o", url="_u", digest="_d")
+        kept.append(written(tail.where("kept_ord = _o").select(*own.columns), "tail"))
+    chosen = reduce(DataFrame.unionByName, kept).withColumnRenamed("_o", "_by")
+    # One kept document for each URL and each content; it counts for those after it.
+    out = docs.alias("l")
+    for c, name in (("_u", url), ("_d", digest)):
+        on = reduce(Column.__and__, [F.col(f"l.{k}").eqNullSafe(F.col(f"k.{k}")) for k in scope], F.col(f"l.{name}").eqNullSafe(F.col(f"k.{c}"))) & (F.col("k._by") <= F.col(f"l.{order}"))
+        out = out.join(chosen.select(*scope, c, "_by").alias("k"), on, "left").select("l.*", F.col("k._by").alias(f"_by{c}")).alias("l")
+    return out.withColumn("kept_ord", F.coalesce("_by_u", "_by_d")).select(*docs.columns, "kept_ord")
+
+
 def upsert(rows: DataFrame, keys: list[str], order: str, *, scope: list[str] | None = None, most: int | None = None) -> DataFrame:
     """The last row of each key; with ``most``, only the keys first seen among that many, in each ``scope`` or in all."""
     own = rows.groupBy(*keys).agg(F.max(order).alias("_last"), F.min(order).alias("_first"))

@@ -60,15 +60,16 @@ def capacity(rows: DataFrame, keys: list[str], *, size: str, item: str, most_ite
 
 
 def admissions(events: DataFrame, scope: list[str], order: str, amount: str, *, budget: int) -> DataFrame:
-    """Reservations in order: admitted while they fit in what earlier admitted ones left; refused ones cost nothing."""
+    """Reservations in order: admitted while they fit in what earlier admitted ones left; refused ones cost nothing.
+    A null amount is refused."""
 
     def start():
         used = 0
 
         def step(n):
             nonlocal used
-            ok = used + n <= budget
-            used += n * ok
+            ok = n is not None and used + n <= budget
+            used += n if ok else 0
             return (ok,)
 
         return step
@@ -76,56 +77,71 @@ def admissions(events: DataFrame, scope: list[str], order: str, amount: str, *,
     return folded(events.select(*scope, order, F.col(amount).cast("long").alias("_n")), scope, [F.asc(order)], ["_n"], "admitted boolean", start).drop("_n")
 
 
+class LedgerSteps:
+    """One scope's ledger, event by event; ``state`` is all that it remembers, and can be stored as JSON."""
+
+    def __init__(self, limits: dict[str, int], state: dict | None = None):
+        self.limits = limits
+        self.state = state or {"spent": dict.fromkeys(RESOURCES, 0), "held": dict.fromkeys(RESOURCES, 0), "flight": {}, "shut": False}
+
+    def __call__(self, key: str | None, kind: str | None, *amounts: int | None) -> tuple[bool, int, int]:
+        own, amount = self.state, dict(zip(RESOURCES, amounts, strict=True))
+        spent, held, flight = own["spent"], own["held"], own["flight"]
+        ok = False
+        if kind == "reserve" and key is not None and None not in amounts:
+            ok = not own["shut"] and key not in flight and all(spent[r] + held[r] + amount[r] <= self.limits[r] for r in RESOURCES)
+            own["shut"] = own["shut"] or not ok
+            if ok:
+                flight[key] = amount
+                held.update({r: held[r] + amount[r] for r in RESOURCES})
+        elif kind == "settle" and key in flight:
+            ok, freed = True, flight.pop(key)
+            held.update({r: held[r] - freed[r] for r in RESOURCES})
+            spent.update({r: spent[r] + (freed[r] if amount[r] is None else amount[r]) for r in RESOURCES})
+        return ok, spent["input_tokens"], held["input_tokens"]
+
+
+#: What ``LedgerSteps`` reads and gives.
+LEDGER_INPUTS, LEDGER_OUTPUTS = ("key", "kind", *RESOURCES), "accepted boolean, spent_tokens long, in_flight_tokens long"
+
+
 def ledger(events: DataFrame, scope: list[str], limits: dict[str, int]) -> DataFrame:
     """Reserve and settle events replayed in order (``ord, key, kind`` and the four resources): ``accepted`` for each,
-    what is spent and in flight after it. A reservation must fit; settling frees it and spends the actual amount;
-    after a refusal the ledger is exhausted and takes no more. The state is the reservations in flight."""
+    what is spent and in flight after it. A reservation must fit; settling frees it and spends the actual amount, of
+    what is not known (null) the reserved one; after a refusal the ledger is exhausted and takes no more. A reservation
+    with a null key or amount, and an event of no kind, is refused without more. The state is the reservations in flight."""
+    return folded(events, scope, [F.asc("ord")], [*LEDGER_INPUTS], LEDGER_OUTPUTS, lambda: LedgerSteps(limits))
 
-    def start():
-        spent, held, flight, shut = dict.fromkeys(RESOURCES, 0), dict.fromkeys(RESOURCES, 0), {}, False
-
-        def step(key, kind, *amounts):
-            nonlocal shut
-            amount = dict(zip(RESOURCES, amounts, strict=True))
-            if kind == "reserve":
-                ok = not shut and key not in flight and all(spent[r] + held[r] + amount[r] <= limits[r] for r in RESOURCES)
-                shut = shut or not ok
-                if ok:
-                    flight[key] = amount
-                    held.update({r: held[r] + amount[r] for r in RESOURCES})
-            else:
-                freed = flight.pop(key, None)
-                ok = freed is not None
-                if ok:
-                    held.update({r: held[r] - freed[r] for r in RESOURCES})
-                    spent.update({r: spent[r] + amount[r] for r in RESOURCES})
-            return ok, spent["input_tokens"], held["input_tokens"]
 
-        return step
+class PlaceSteps:
+    """One scope's open jobs, event by event; ``state`` is the owner of each open job, in order."""
 
-    return folded(events, scope, [F.asc("ord")], ["key", "kind", *RESOURCES], "accepted boolean, spent_tokens long, in_flight_tokens long", start)
+    def __init__(self, running: int, queued: int, per_owner: int, state: dict | None = None):
+        self.running, self.places, self.per_owner = running, running + queued, per_owner
+        self.state: dict[str, str | None] = {} if state is None else state
 
+    def __call__(self, job: str | None, owner: str | None, kind: str | None) -> tuple[str]:
+        jobs = self.state
+        if kind == "finish":
+            return ("finished" if jobs.pop(job, self) is not self else "ignored",)
+        if job is None or job in jobs:
+            return ("ignored",)
+        if list(jobs.values()).count(owner) >= self.per_owner:
+            return ("owner_busy",)
+        if len(jobs) >= self.places:
+            return ("full",)
+        jobs[job] = owner
+        return ("running" if len(jobs) <= self.running else "queued",)
 
-def admitted_jobs(submitted: DataFrame, *, running: int = 2, queued: int = 4, per_owner: int = 1) -> DataFrame:
-    """Events ``(scope, ord, job_id, owner_hash, kind submit|finish)`` replayed: a submission enters if its owner has
-    fewer than ``per_owner`` open jobs and there is room to run or wait. The state is the open jobs."""
 
-    def start():
-        open_jobs: dict[str, str] = {}
-
-        def step(job, owner, kind):
-            if kind == "finish":
-                return ("finished" if open_jobs.pop(job, None) else "ignored",)
-            if list(open_jobs.values()).count(owner) >= per_owner:
-                return ("owner_busy",)
-            if len(open_jobs) >= running + queued:
-                return ("full",)
-            open_jobs[job] = owner
-            return ("running" if len(open_jobs) <= running else "queued",)
+PLACE_INPUTS, PLACE_OUTPUTS = ("job_id", "owner_hash", "kind"), "outcome string"
 
-        return step
 
-    return folded(submitted, ["scope"], [F.asc("ord")], ["job_id", "owner_hash", "kind"], "outcome string", start)
+def admitted_jobs(submitted: DataFrame, *, running: int = 2, queued: int = 4, per_owner: int = 1) -> DataFrame:
+    """Events ``(scope, ord, job_id, owner_hash, kind submit|finish)`` replayed: a submission enters if its owner has
+    fewer than ``per_owner`` open jobs and there is room to run or wait; null owners are one owner, a job without an id or
+    open already is ignored. The state is the open jobs."""
+    return folded(submitted, ["scope"], [F.asc("ord")], [*PLACE_INPUTS], PLACE_OUTPUTS, lambda: PlaceSteps(running, queued, per_owner))
 
 
 def durations(events: DataFrame, keys: list[str], order: list[Column], micros: Column) -> DataFrame:

@@ -52,8 +52,9 @@ def running_prefix(rows: DataFrame, keys: list[str], order: list[Column], cost:
 def first_fit(rows: DataFrame, keys: list[str], order: list[tuple[str, bool]], cost: str, budget: int, *, item: str, most: int | None = None) -> DataFrame:
     """Rows that still fit when their turn comes; those that don't are passed over, not the end.
 
-    ``order``: (column, descending) of numbers. Gives ``(keys, item, cost, pos)``."""
-    own = rows.select(*keys, *dict.fromkeys([*(c for c, _ in order), item]), F.col(cost).cast("long").alias("_cost"))
+    ``order``: (column, descending) of numbers. Gives ``(keys, item, cost, pos)``. Rows that cost more than the whole
+    budget, or of unknown cost (null), never fit and are left out before any exchange."""
+    own = rows.select(*keys, *dict.fromkeys([*(c for c, _ in order), item]), F.col(cost).cast("long").alias("_cost")).where(F.col("_cost") <= budget)
     sort = [F.desc(c) if down else F.asc(c) for c, down in order] + [F.asc(item), F.asc("_cost")]
 
     def start():
@@ -72,14 +73,15 @@ def first_fit(rows: DataFrame, keys: list[str], order: list[tuple[str, bool]], c
 
 
 def chunks(rows: DataFrame, keys: list[str], order: str, chars: str, *, limit: int, overhead: int = 150) -> DataFrame:
-    """Consecutive rows in chunks: one closes when the next row and its overhead would pass the limit. Adds ``chunk`` from 0."""
+    """Consecutive rows in chunks: one closes when the next row and its overhead would pass the limit. Adds ``chunk`` from 0.
+    A row of unknown size (null) counts as empty."""
 
     def start():
         size, chunk = 0, 0
 
         def step(n):
             nonlocal size, chunk
-            n += overhead
+            n = (n or 0) + overhead
             new = 0 < size and size + n > limit
             size, chunk = n if new else size + n, chunk + new
             return (chunk,)
