@@ -124,7 +124,7 @@ class PlaceSteps:
         jobs = self.state
         if kind == "finish":
             return ("finished" if jobs.pop(job, self) is not self else "ignored",)
-        if job is None or job in jobs:
+        if job is None:
             return ("ignored",)
         if list(jobs.values()).count(owner) >= self.per_owner:
             return ("owner_busy",)
@@ -139,8 +139,8 @@ PLACE_INPUTS, PLACE_OUTPUTS = ("job_id", "owner_hash", "kind"), "outcome string"
 
 def admitted_jobs(submitted: DataFrame, *, running: int = 2, queued: int = 4, per_owner: int = 1) -> DataFrame:
     """Events ``(scope, ord, job_id, owner_hash, kind submit|finish)`` replayed: a submission enters if its owner has
-    fewer than ``per_owner`` open jobs and there is room to run or wait; null owners are one owner, a job without an id or
-    open already is ignored. The state is the open jobs."""
+    fewer than ``per_owner`` open jobs and there is room to run or wait; null owners are one owner, a job without an id is
+    ignored. The state is the open jobs."""
     return folded(submitted, ["scope"], [F.asc("ord")], [*PLACE_INPUTS], PLACE_OUTPUTS, lambda: PlaceSteps(running, queued, per_owner))
 
 

@@ -455,25 +455,6 @@ with own as ({twin(SETTINGS)}) select event_id, 'pages:range' as code from own w
 union all select event_id, 'one_search_task' from own where search_tasks > 1 union all select event_id, 'task_cap' from own where task_tokens > job_tokens union all select event_id, 'pages_for_seeds' from own where pages < seeds"""
 
 
-def strict_schemas(spark, sf_dir):
-    """The test tables' types as closed schemas: how many properties each asks for."""
-    rows = [(n, len(jsonshape.strict_schema(table(spark, sf_dir, n).schema)["required"])) for n in ("documents", "events", "customer", "labels")]
-    return spark.createDataFrame(rows, "name string, required long")
-
-
-STRICT_SCHEMAS = "select * from (values ('documents', (select count(*) from (describe documents))), ('events', (select count(*) from (describe events))), ('customer', (select count(*) from (describe customer))), ('labels', (select count(*) from (describe labels)))) t(name, required)"
-
-
-def parallel_values(spark, sf_dir):
-    """A map over all pages whose failures are values: the normal address, or what was wrong."""
-    rows = table(spark, sf_dir, "pages").withColumn("normal", urls.normalize_url("url"))
-    return rows.select("page_id", F.col("normal").alias("value"), F.when(F.col("normal").isNull(), "invalid_url").alias("error"))
-
-
-PARALLEL_VALUES = r"""
-select page_id, case when url like 'https://%' then 'https://' || lower(regexp_extract(url, '^https://([^/?#]+)', 1)) || coalesce(nullif(regexp_extract(url, '^https://[^/?#]+([^?#]*)', 1), ''), '/') || regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) end as value,
-  case when url not like 'https://%' then 'invalid_url' end as error from pages"""
-
 def quote_token_rows(spark, sf_dir):
     """Tokens of the benchmark's texts with their places."""
     own = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(quotes.quote_tokens(F.concat("text", F.lit(" 1,000.50 can’t")))).alias("n", "t"))
@@ -604,6 +585,6 @@ QUERIES = (
     dates_in_text, strict_dates, publication_resolution, news_support, first_texts, names_and_placeholders, retry_waits, message_lines, audience_jobs, resolved_gaps,
     remaining_budget, promoted_attempts, retryable_jobs, restored_reports, swept_store, usage_gate, resource_fit, ledger_replay, invalidate_closure, job_lifecycle,
     provider_failures, reply_status, stored_records, local_paths, redirect_chain, request_gate, json_shape_gate, artifact_references, bounded_bodies, settings_gate,
-    strict_schemas, parallel_values, quote_token_rows, marker_rows, host_forms, owned_rows, chunk_payloads, decoded_pages, json_forms, stored_lines,
+    quote_token_rows, marker_rows, host_forms, owned_rows, chunk_payloads, decoded_pages, json_forms, stored_lines,
     stream_usage_windows, stream_live_reports,
 )

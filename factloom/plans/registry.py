@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from factloom.plans import evidence, inputs, manyreports, reports, rules, spans, state, webpages
+from factloom.plans import evidence, inputs, manyreports, mechanisms, reports, rules, spans, state, webpages
 
-_MODULES = (spans, webpages, evidence, state, rules, reports, manyreports, inputs)
+_MODULES = (spans, webpages, evidence, state, rules, reports, manyreports, inputs, mechanisms)
 QUERIES = {f.__name__: f for m in _MODULES for f in m.QUERIES}
 ORACLE_SQL = {f.__name__: getattr(m, f.__name__.upper()) for m in _MODULES for f in m.QUERIES if hasattr(m, f.__name__.upper())}

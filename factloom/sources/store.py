@@ -75,11 +75,11 @@ def decided(records: DataFrame, saves: DataFrame, *, most_bytes: int = MAX_BYTES
     return saves.join(made.select("scope", "ord", "outcome", "revision"), ["scope", "ord"])
 
 
-class Store:
-    """Records under ``folder``, which driver and executors share."""
+class Versions:
+    """Versions of one table under ``folder``, which driver and executors share."""
 
-    def __init__(self, spark: SparkSession, folder: str, *, most_bytes: int = MAX_BYTES, most_records: int = MAX_RECORDS):
-        self.spark, self.folder, self.caps = spark, folder.rstrip("/"), {"most_bytes": most_bytes, "most_records": most_records}
+    def __init__(self, spark: SparkSession, folder: str, schema: str):
+        self.spark, self.folder, self.schema = spark, folder.rstrip("/"), T._parse_datatype_string(schema)
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(f"{self.folder}/manifest"))
@@ -92,14 +92,14 @@ class Store:
     def records(self, version: int | None = None) -> DataFrame:
         version = self.version() if version is None else version
         if not version:
-            return self.spark.createDataFrame([], RECORDS)
+            return self.spark.createDataFrame([], self.schema)
         named = self.spark.read.text(f"{self.folder}/manifest/{version:020d}").first()[0]
-        return self.spark.read.schema(T._parse_datatype_string(RECORDS)).parquet(f"{self.folder}/data/{named}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/data/{named}")
 
     def publish(self, records: DataFrame, after: int) -> bool:
         """Writes ``records`` as the version ``after`` + 1; false if that is there already."""
         name = uuid.uuid4().hex
-        records.select(*T._parse_datatype_string(RECORDS).names).write.parquet(f"{self.folder}/data/{name}")
+        records.select(*self.schema.names).write.parquet(f"{self.folder}/data/{name}")
         try:
             out = self._fs.create(self._path(f"{self.folder}/manifest/{after + 1:020d}"), False)
         except Exception as refused:
@@ -111,6 +111,14 @@ class Store:
         out.close()
         return True
 
+
+class Store(Versions):
+    """Saved records."""
+
+    def __init__(self, spark: SparkSession, folder: str, *, most_bytes: int = MAX_BYTES, most_records: int = MAX_RECORDS):
+        super().__init__(spark, folder, RECORDS)
+        self.caps = {"most_bytes": most_bytes, "most_records": most_records}
+
     def attempts(self, saves: DataFrame, now: Column | datetime) -> Iterator[tuple[int, DataFrame, DataFrame]]:
         """``(version, outcomes, records after)``, decided on the newest version each time."""
         while True:
