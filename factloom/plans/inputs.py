@@ -396,9 +396,10 @@ _PART = lambda n, p: f"""'[[OPEN]]"url": "https://a.com/{n}", "purpose": "{p}"[[
 for _mark, _text in (("[[A]]", _PART(1, "homepage")), ("[[B]]", _PART(2, "homepage")), ("[[C]]", _PART(1, "news")), ("[[D]]", _PART(2, "news"))):
     REQUESTS = REQUESTS.replace(_mark, _text)
 REQUESTS = REQUESTS.replace("[[OPEN]]", "' || chr(123) || '").replace("[[CLOSE]]", "' || chr(125) || '")
-REQUEST_GATE = """
-select conv_id, case conv_id % 6 when 1 then 'one_homepage' when 2 then 'repeated_seed' when 3 then 'seed_count' when 4 then 'repeated_audience' when 5 then 'wrong_shape' end as error
-from conversations group by conv_id"""
+REQUEST_GATE = f"""
+with own as (select conv_id, list_sort(json_keys(json)) as keys, json_extract_string(json, '$.seeds[*].url') as urls, json_extract_string(json, '$.seeds[*].purpose') as purposes, json_extract_string(json, '$.audiences[*]') as audiences from ({twin(REQUESTS)}))
+select conv_id, case when keys <> ['audiences', 'seeds', 'seller_context'] then 'wrong_shape' when len(urls) not between 1 and 6 then 'seed_count' when len(list_filter(purposes, lambda p: p = 'homepage')) <> 1 then 'one_homepage'
+  when len(list_distinct(urls)) <> len(urls) then 'repeated_seed' when len(list_distinct(audiences)) <> len(audiences) then 'repeated_audience' end as error from own"""
 
 
 def json_shape_gate(spark, sf_dir):
@@ -410,7 +411,9 @@ def json_shape_gate(spark, sf_dir):
 ARTIFACTS = """
 select event_id, case event_id % 6 when 0 then replace(props, chr(125), ', "more": 1' || chr(125)) when 1 then replace(props, chr(123), chr(123) || '"k": 1, ') when 2 then replace(props, ': ', ': "x') || '"'
   when 3 then '[' || props || ']' when 4 then replace(props, '"k": ', '"k": NaN, "l": ') else props end as j from {events}"""
-JSON_SHAPE_GATE = "select event_id, case when props is null then 'invalid_json' else case event_id % 6 when 0 then 'wrong_shape' when 1 then 'invalid_json' when 2 then 'invalid_json' when 3 then 'wrong_shape' when 4 then 'invalid_json' end end as code from events"
+JSON_SHAPE_GATE = f"""
+with own as (select event_id, j, j is not null and json_valid(j) and not contains(j, 'NaN') and len(regexp_extract_all(j, '"k": ')) <= 1 as readable from ({twin(ARTIFACTS)}))
+select event_id, case when not readable then 'invalid_json' when json_type(j) <> 'OBJECT' or json_keys(j) <> ['k'] or json_type(j, '$.k') not in ('UBIGINT', 'BIGINT') then 'wrong_shape' end as code from own"""
 
 
 def artifact_references(spark, sf_dir):
@@ -471,22 +474,34 @@ select item_id, k - 1 as n, case when t = '1,000.50' then '1000.5' else replace(
 
 def marker_rows(spark, sf_dir):
     """What tells sign, currency and comparison in each event's amount, written in turn in several ways."""
-    said = F.element_at(F.array(*[F.concat(F.lit(a), F.col("user_id").cast("string"), F.lit(b)) for a, b in MARKED]), (F.col("event_id") % len(MARKED) + 1).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(quotes.meaning_markers(said), " ").alias("markers"))
+    rows = derived(spark, sf_dir, AMOUNTS)
+    return rows.select("event_id", F.array_join(quotes.meaning_markers(F.col("said")), " ").alias("markers"))
 
 
-MARKED = (("$", " and €5"), ("(", ")"), ("-", ""), ("a-", ""), ("- £", ">="), ("($ ", ",00 )"), ("", ""))
-MARKER_ROWS = "select event_id, ['$ €', 'accounting_negative', 'negative_number', '', '= > negative_number £', '$ accounting_negative', ''][event_id % 7 + 1] as markers from events"
+AMOUNTS = """
+select event_id, case event_id % 8 when 0 then '$' || n || ' and €5' when 1 then '(' || n || ')' when 2 then '-' || n when 3 then 'a-' || n when 4 then '- £' || n || '>=' when 5 then '($ ' || n || ',00 )' when 6 then '-' || n || ' < -3 = ($4)' else n end as said
+from (select event_id, cast(user_id as string) as n from {events}) e"""
+_AMOUNT = f"([{quotes.CURRENCIES}]\\s*)?\\d"
+MARKER_ROWS = f"""
+with own as (select event_id, regexp_extract_all(said, '[{quotes.SYMBOLS}]') || case when regexp_matches(said, '(^|[^\\pL\\pN_])-\\s*{_AMOUNT}') then ['negative_number'] else [] end
+  || case when regexp_matches(said, '\\(\\s*{_AMOUNT}[\\d.,]*\\s*\\)') then ['accounting_negative'] else [] end as found from ({twin(AMOUNTS)}))
+select event_id, array_to_string(list_sort(found), ' ') as markers from own"""
 
 
 def host_forms(spark, sf_dir):
     """Hosts of pages as they may be written, in normal form or refused."""
-    host = F.try_parse_url("url", F.lit("HOST"))
-    form = F.element_at(F.array(F.upper(host), F.concat(host, F.lit(".")), F.concat(host, F.lit(".internal")), F.concat(F.lit("10.0.0."), (F.col("page_id") % 250).cast("string")), F.concat(F.lit("-"), host)), (F.col("page_id") % 5 + 1).cast("int"))
-    return table(spark, sf_dir, "pages").select("page_id", urls.normalize_host(form).alias("host"))
-
-
-HOST_FORMS = "select page_id, case when page_id % 5 < 2 then lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) end as host from pages"
+    return derived(spark, sf_dir, HOSTS).select("page_id", urls.normalize_host("form").alias("host"))
+
+
+HOSTS = """
+select page_id, case page_id % 9 when 0 then upper(h) when 1 then h || '.' when 2 then h || '.internal' when 3 then '10.0.0.' || cast(page_id % 250 as string) when 4 then '-' || h when 5 then h || '.42' when 6 then repeat('a', cast(60 + page_id % 8 as int)) || '.' || h
+  when 7 then repeat('abcdefghi.', cast(20 + page_id % 9 as int)) || h else 'localhost' end as form
+from (select page_id, split_part(split_part(url, '/', 3), ':', 1) as h from {pages}) p"""
+_LABEL = "[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?"
+HOST_FORMS = f"""
+with own as (select page_id, regexp_replace(lower(form), '[.]$', '') as h from ({twin(HOSTS)}))
+select page_id, case when regexp_matches(h, '^({_LABEL}[.])+{_LABEL}$') and not regexp_matches(h, '[.][0-9]+$') and length(h) <= 253
+  and not regexp_matches('.' || h, '[.]({"|".join(x.replace(".", "[.]") for x in urls.LOCAL_SUFFIXES)})$') then h end as host from own"""
 
 
 def owned_rows(spark, sf_dir):

@@ -273,20 +273,18 @@ RELATION_WARNINGS = f"select fact_id as source_id from ({twin(NAMING)}) where ca
 
 def announcement_gate(spark, sf_dir):
     """Announcements (labels) whose source is missing, has another date, or is not cited."""
-    day = "cast('2024-01-01' as date)"
-    news = derived(spark, sf_dir, f"select cast(doc_id + toxic * 100000000 as string) as source_id, {day} as published_at from {{labels}}")
-    sources = derived(spark, sf_dir, f"select cast(doc_id as string) as source_id, case when doc_id % 5 = 0 then cast('2024-01-02' as date) else {day} end as published_at from {{documents}}")
-    cited = derived(spark, sf_dir, "select cast(doc_id as string) as source_id, text as quote from {documents} where doc_id % 3 = 0").select(F.array(F.struct("source_id", "quote")).alias("evidence"))
-    return joins.announcement_violations(news, sources, cited)
+    cited = derived(spark, sf_dir, NEWS_CITED).select(F.array(F.struct("source_id", "quote")).alias("evidence"))
+    return joins.announcement_violations(derived(spark, sf_dir, NEWS), derived(spark, sf_dir, NEWS_SOURCES), cited)
 
 
-ANNOUNCEMENT_GATE = """
-with news as (select cast(doc_id + toxic * 100000000 as string) as source_id, doc_id, toxic from labels),
-own as (select n.source_id, case when d.doc_id is null then 'unknown_source' when d.doc_id % 5 = 0 then 'date_mismatch' when d.doc_id % 3 <> 0 then 'no_evidence' end as code
-  from news n left join documents d on d.doc_id::varchar = n.source_id)
+NEWS = "select cast(doc_id + toxic * 100000000 as string) as source_id, cast('2024-01-01' as date) as published_at from {labels}"
+NEWS_SOURCES = "select cast(doc_id as string) as source_id, case when doc_id % 5 = 0 then cast('2024-01-02' as date) else cast('2024-01-01' as date) end as published_at from {documents}"
+NEWS_CITED = "select cast(doc_id as string) as source_id, text as quote from {documents} where doc_id % 3 = 0"
+ANNOUNCEMENT_GATE = f"""
+with own as (select n.source_id, case when s.published_at is null then 'unknown_source' when s.published_at <> n.published_at then 'date_mismatch' when n.source_id not in (select source_id from ({twin(NEWS_CITED)})) then 'no_evidence' end as code
+  from ({twin(NEWS)}) n left join ({twin(NEWS_SOURCES)}) s using (source_id))
 select * from own where code is not null"""
 
-
 QUERIES = (
     fact_acceptance, quantity_gate, quote_gate, quote_fuzzy_match, grounding_gate, grounded_text_gate, citation_excerpts, strategy_gate, audience_gate,
     dossier_gate, identity_facts, relation_warnings, announcement_gate,

@@ -26,8 +26,8 @@ COVERAGE_NOTES = "select doc_id, nullif(concat_ws(' ', case when toxic = 1 then
 
 def search_queries(spark, sf_dir):
     """One query for each host of the pages, in order, limited to a date."""
-    own = table(spark, sf_dir, "pages").select(urls.url_host(F.col("url")).alias("host")).agg(F.collect_set("host").alias("hosts"))
-    return own.select(F.explode(urls.search_query(F.col("hosts"), F.lit("Contoso"), F.lit("2024-01-01").cast("date"))).alias("query"))
+    own = table(spark, sf_dir, "pages").select(urls.url_host(F.col("url")).alias("host")).where("host is not null").distinct()
+    return own.select(F.explode(urls.search_query(F.array("host"), F.lit("Contoso"), F.lit("2024-01-01").cast("date"))).alias("query"))
 
 
 SEARCH_QUERIES = """select distinct 'site:' || regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) || ' "Contoso" after:2024-01-01' as query from pages"""

@@ -195,20 +195,26 @@ named as (select host, regexp_extract(left(host, length(host) - length(suffix) -
 select host, case when host = domain then 'www.' || domain else domain end as counterpart
 from named where not starts_with(domain, 'www.') and (host = domain or host = 'www.' || domain)"""
 
-RULES = ((1, "/*q", False), (2, "/a", True), (3, "/th*", False), (4, "/the$", True), (5, "/an%64*", False), (6, "/*", True), (7, "/o", False), (8, "/o", True))
+#: Every host has some of these rules.
+HOST_RULES = """
+select host, pattern, allow from (select distinct split_part(url, '/', 3) as host from {pages}) h,
+  (values (1, '/*q', false), (2, '/a', true), (3, '/th*', false), (4, '/the$', true), (5, '/an%64*', false), (6, '/*', true), (7, '/o', false), (8, '/o', true), (9, '/f*/1', false), (10, '/e*$', false)) as t(n, pattern, allow)
+where (n + length(host)) % 3 <> 0"""
+HOST_PAGES = "select page_id, url, split_part(url, '/', 3) as host from {pages}"
 
 
 def robots_match(spark, sf_dir):
-    """Whether the rules of one policy let a page be read."""
-    rules = spark.createDataFrame(RULES, "n int, pattern string, allow boolean").select(F.lit("h").alias("host"), robots.robots_path("pattern").alias("pattern"), "allow")
-    own = table(spark, sf_dir, "pages").select("page_id", F.lit("h").alias("host"), robots.robots_path(robots.target_path(F.col("url"))).alias("target"))
+    """Whether the rules of its host let a page be read."""
+    rules = derived(spark, sf_dir, HOST_RULES).select("host", robots.robots_path("pattern").alias("pattern"), "allow")
+    own = derived(spark, sf_dir, HOST_PAGES).select("page_id", "host", robots.robots_path(robots.target_path(F.col("url"))).alias("target"))
     return robots.allowed(own, rules).select("page_id", "allowed")
 
 
-ROBOTS_MATCH = """
-with rule(pattern, size, allow) as (values ('/%q%', 2, false), ('/a%', 2, true), ('/th%', 3, false), ('/the', 4, true), ('/and%', 4, false), ('/%', 1, true), ('/o%', 2, false), ('/o%', 2, true)),
-page as (select page_id, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), ''), '/') || regexp_extract(url, '^[^?#]*(\\?[^#]*)', 1) as target from pages),
-hit as (select page_id, max(size * 2 + allow::int) as best from page join rule on target like pattern group by page_id)
+ROBOTS_MATCH = f"""
+with rule as (select host, allow, length(replace(replace(replace(pattern, '%64', 'd'), '*', ''), '$', '')) as size,
+    '^' || replace(regexp_replace(replace(pattern, '%64', 'd'), '[$]$', ''), '*', '.*') || case when ends_with(pattern, '$') then '$' else '' end as pattern from ({twin(HOST_RULES)})),
+page as (select page_id, host, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), ''), '/') || regexp_extract(url, '^[^?#]*(\\?[^#]*)', 1) as target from ({twin(HOST_PAGES)})),
+hit as (select page_id, max(size * 2 + allow::int) as best from page join rule on rule.host = page.host and regexp_matches(target, pattern) group by page_id)
 select page_id, coalesce(best % 2 = 1, true) as allowed from page left join hit using (page_id)"""
 
 #: Users of ``events`` are hosts, their events the lines of its policy.
@@ -314,19 +320,34 @@ select page_id, case when starts_with(html, '%PDF-') then case when declared in
     and regexp_matches(low, '/cdn-cgi/challenge-platform/|cf-chl-|cf_chl_|jschl_vc|challenges\.cloudflare\.com|hcaptcha\.com|g-recaptcha') as challenged from own"""
 
 
-ADDRESSES = ("8.8.8.8", "10.0.0.1", "127.0.0.1", "169.254.169.254", "168.63.129.16", "::1", "2001:4860:4860::8888", "::ffff:8.8.8.8", "224.0.0.1", "192.0.2.1", "x", "100.64.0.1")
+#: Users of ``events`` play the hosts: each event is an answer, an address of its own.
+ANSWERS = """
+select user_id, address, a * 16777216 + b * 65536 + c * 256 + d as n from (
+  select user_id, a, b, c, d, cast(a as string) || '.' || cast(b as string) || '.' || cast(c as string) || '.' || cast(d as string) as address from (
+    select user_id, event_id % 256 as a, case event_id % 5 when 0 then 168 when 1 then 0 when 2 then 63 when 3 then 18 + event_id % 3 else cast(floor(event_id / 7) as bigint) % 256 end as b, case event_id % 4 when 0 then 2 when 1 then 100 when 2 then 129 else event_id % 256 end as c, case event_id % 3 when 0 then 16 else event_id % 250 end as d
+    from (select user_id, cast(event_id as bigint) as event_id from {events} where event_id % 11 = user_id % 11) e) p) q"""
 
 
 def public_addresses(spark, sf_dir):
-    """Hosts all of whose addresses are public, one to 32 of them. Users of ``events`` play the hosts."""
-    known = spark.createDataFrame(list(enumerate(ADDRESSES)), "k long, address string").withColumn("public", urls.is_public_address("address"))
-    own = table(spark, sf_dir, "events").select("user_id", F.explode(F.array(F.col("user_id") % len(ADDRESSES), F.floor(F.col("user_id") / 2) % 7)).alias("k")).distinct()
-    return own.join(known, "k").groupBy("user_id").agg(F.bool_and("public").alias("ok"), F.count("*").alias("n")).where("ok and n between 1 and 32").select("user_id", "n")
+    """Hosts all of whose addresses are public, one to 32 of them."""
+    own = derived(spark, sf_dir, ANSWERS).select("user_id", "address").distinct()
+    own = own.withColumn("public", urls.is_public_address("address"))
+    return own.groupBy("user_id").agg(F.bool_and("public").alias("ok"), F.count("*").alias("n")).where("ok and n between 1 and 32").select("user_id", "n")
+
+
+# Blocks of IPv4 that are not of the public web.
+BLOCKED = "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 168.63.129.16/32 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.2.0/24 192.168.0.0/16 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 224.0.0.0/4 240.0.0.0/4".split()
+
+
+def _range(block: str) -> str:
+    address, bits = block.split("/")
+    first = sum(int(x) << 8 * (3 - k) for k, x in enumerate(address.split(".")))
+    return f"({first}, {first + 2 ** (32 - int(bits)) - 1})"
 
 
 PUBLIC_ADDRESSES = f"""
-with own as (select distinct user_id, unnest([user_id % {len(ADDRESSES)}, (user_id // 2) % 7]) as k from events)
-select user_id, count(*) as n from own group by user_id having bool_and(k in (0, 6))"""
+with own as (select distinct user_id, n from ({twin(ANSWERS)})), block(low, high) as (values {", ".join(map(_range, BLOCKED))})
+select user_id, count(*) as n from own group by user_id having count(*) between 1 and 32 and not bool_or(exists (select 1 from block where n between low and high))"""
 
 
 def email_rules(spark, sf_dir):
