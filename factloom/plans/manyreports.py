@@ -274,7 +274,7 @@ def publish_gate(spark, sf_dir):
         row(out["opportunities"], "opportunity", F.col("opportunity_id")),
         row(out["audiences"], "audience", F.col("audience")),
         row(out["coverage"], "coverage", F.concat_ws(":", "audience", "status")),
-        row(out["announcements"].distinct(), "news", F.col("source_id")),
+        row(out["announcements"].select("report_id", "source_id").distinct(), "news", F.col("source_id")),
         row(out["gaps"], "gap", F.concat_ws(":", "area", detail)),
         row(out["status"], "status", F.col("status")),
         row(gates.publishable(reviews, reports=heads, keys=KEYS), "held", F.col("section_id")),

@@ -72,7 +72,9 @@ class Reader(DataSourceReader):
         found = files.get_file_info(fs.FileSelector(folder, allow_not_found=True))
         return [File(f.path) for f in sorted(found, key=lambda f: f.path) if f.is_file and not f.base_name.startswith(("_", "."))]
 
-    def read(self, partition: File):
+    def read(self, partition: File | None):
+        if partition is None:  # an empty folder
+            return
         files, _ = _files(self.path)
         with files.open_input_stream(partition.path) as lines:
             rest = b""
