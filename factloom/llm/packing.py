@@ -36,6 +36,7 @@ import re
 import sys
 import unicodedata
 import zlib
+from array import array
 from fractions import Fraction
 
 import numpy as np
@@ -82,20 +83,26 @@ class WordCache(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.size = 0
+        #: The entries before, of which those that come again stay.
+        self.old: dict[str, bytes] = {}
+        self.size = self.old_size = 0
 
     def __missing__(self, word: str) -> bytes:
-        out = self.slow(word)
+        out = self.old.get(word) or self.slow(word)
         own = entry_bytes(word, out)
-        self.size += own
-        if self.size > CACHE_BYTES:
+        if self.size + own > CACHE_BYTES // 2:
+            self.old, self.old_size = dict(self), self.size
             self.clear()
-            self.size = own
+            self.size = 0
+        self.size += own
         self[word] = out
         return out
 
     def slow(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text``. Words do not act on each other, so plain texts go word by word, long ones in pieces."""
