@@ -136,6 +136,19 @@ def identity_fact(facts: DataFrame, dossiers: DataFrame, keys: list[str]) -> Dat
     return own.groupBy(*keys).agg(F.min_by("fact_id", order).alias("identity_fact_id"))
 
 
+def rebound(dossiers: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """``dossiers(keys, company, included, company_fact_ids)`` with what their company's name rests on: ``(keys, fact_ids,
+    rebound, code)``. The facts cited, if a quote of theirs names the company; else the fact of ``identity_fact``; and if
+    there is none either, null and ``identity_unsupported``."""
+    cited = dossiers.select(*keys, "company", F.explode("company_fact_ids").alias("fact_id")).join(facts.select(*keys, "fact_id", "evidence"), [*keys, "fact_id"])
+    said = cited.groupBy(*keys, "company").agg(F.array_join(F.flatten(F.collect_list(F.transform("evidence", lambda e: e["quote"]))), " ").alias("_said"))
+    named = said.where(entity_in_text(F.col("company"), F.col("_said"))).select(*keys, F.lit(True).alias("_named"))
+    out = dossiers.join(named, keys, "left").join(identity_fact(facts, dossiers, keys), keys, "left")
+    keeps = F.col("_named").isNotNull()
+    ids = F.when(keeps, F.col("company_fact_ids")).when(F.col("identity_fact_id").isNotNull(), F.array("identity_fact_id"))
+    return out.select(*keys, ids.alias("fact_ids"), (~keeps & ids.isNotNull()).alias("rebound"), F.when(ids.isNull(), "identity_unsupported").alias("code"))
+
+
 def strategy(opportunities: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
     """``opportunities(keys, opportunity_id, priority, signal_basis, hypothesis_basis, outcome_basis, success_criteria, prerequisites)``:
     priorities once each, a source-backed signal, hypothesis and outcome that claim no more than that, targets open,

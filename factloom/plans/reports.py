@@ -256,6 +256,30 @@ select lang, arg_min(fact_id, ((category <> 'company')::int, (category not in ('
 from ({twin(NAMING)}) where source_id <> 'src1' and regexp_matches(lower(quote), '(^|[^\\pL\\pN_])contoso($|[^\\pL\\pN_])') group by lang"""
 
 
+#: A dossier for ten documents each: its name rests on one of them, and one source is left out.
+BOUND = """
+select report_id, lang_fact, source_id, category, case when doc_id % 3 = 0 then 'The contoso plant' when doc_id % 3 = 1 then 'contosos' else 'no name here' end as quote, doc_id from (
+  select cast(floor(doc_id / 4) as bigint) as report_id, 'f' || cast(doc_id as string) as lang_fact, source as source_id, doc_id,
+    case doc_id % 4 when 0 then 'financial' when 1 then 'product_workflow' when 2 then 'customers' else 'company' end as category from {documents}) d"""
+
+
+def identity_rebinding(spark, sf_dir):
+    """What each dossier's name rests on: the facts that it cites, another one, or nothing."""
+    rows = derived(spark, sf_dir, BOUND)
+    own = rows.select("report_id", "category", F.col("lang_fact").alias("fact_id"), F.array(F.struct("source_id", "quote")).alias("evidence"))
+    kept = rows.groupBy("report_id").agg(F.collect_set(F.when(F.col("doc_id") % 5 != 2, F.col("source_id"))).alias("included"), F.array(F.min_by("lang_fact", "doc_id")).alias("company_fact_ids"))
+    out = gates.rebound(kept.withColumn("company", F.lit("Contoso Inc")), own, ["report_id"])
+    return out.select("report_id", F.array_join("fact_ids", ",").alias("fact_ids"), "rebound", "code")
+
+
+IDENTITY_REBINDING = f"""
+with own as (select *, regexp_matches(lower(quote), '(^|[^\\pL\\pN_])contoso($|[^\\pL\\pN_])') as names from ({twin(BOUND)})),
+included as (select distinct report_id, source_id from own where doc_id % 5 <> 2),
+cited as (select report_id, arg_min(lang_fact, doc_id) as fact_id, arg_min(names, doc_id) as names from own group by report_id),
+best as (select report_id, arg_min(lang_fact, ((category <> 'company')::int, (category not in ('company', 'offering', 'product_workflow'))::int, lang_fact)) as fact_id from own semi join included using (report_id, source_id) where names group by report_id)
+select report_id, case when names then c.fact_id else b.fact_id end as fact_ids, not names and b.fact_id is not null as rebound, case when not names and b.fact_id is null then 'identity_unsupported' end as code from cited c left join best b using (report_id)"""
+
+
 VERDICTS = """
 select 'd' || cast(doc_id as string) as source_id, case when doc_id % 4 = 0 then 'unrelated' else 'related' end as relation,
   case when doc_id % 5 = 0 then null when doc_id % 5 = 1 then 'qqq zzz xxx' else substring(text, 3, 30) end as quote,
@@ -287,5 +311,5 @@ select * from own where code is not null"""
 
 QUERIES = (
     fact_acceptance, quantity_gate, quote_gate, quote_fuzzy_match, grounding_gate, grounded_text_gate, citation_excerpts, strategy_gate, audience_gate,
-    dossier_gate, identity_facts, relation_warnings, announcement_gate,
+    dossier_gate, identity_facts, identity_rebinding, relation_warnings, announcement_gate,
 )
