@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -310,25 +310,26 @@ def publishable(reviews: DataFrame, *, contradictions: bool = False, reports: Da
     return needed.join(_sections_of(reviews, keys).where("accepted").select(*own), own, "left_anti").withColumn("code", F.lit("core_not_accepted"))
 
 
-def published(opportunities: DataFrame, audiences: DataFrame, announcements: DataFrame, gaps: DataFrame, own_gaps: DataFrame, requested: DataFrame, reviews: DataFrame, reports: DataFrame, keys: Sequence[str]) -> dict[str, DataFrame]:
+def published(opportunities: DataFrame, audiences: DataFrame, announcements: DataFrame, gaps: DataFrame, own_gaps: DataFrame, requested: DataFrame, reviews: DataFrame, reports: DataFrame, keys: Sequence[str], *, stored: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
     """What of reviewed candidates goes out, as tables with the keys of ``reports(keys, contradictions)``.
 
     Only reports whose core was accepted (``publishable``) are there. Accepted ``opportunities``; ``audiences`` whose content
     and coverage were accepted and all of whose points name an accepted opportunity; ``coverage`` of every requested audience;
     ``announcements`` if their section was accepted; ``gaps(area, detail)``: the candidate's, or the server's ``own_gaps`` if
-    the limitations were not accepted, and what was left out; ``status``, partial if anything is missing or not accepted."""
+    the limitations were not accepted, and what was left out; ``status``, partial if anything is missing or not accepted.
+    ``stored`` may write a table that several outputs read, so that their plans stay small."""
     keys = [*keys]
     held = publishable(reviews, reports=reports, keys=keys).select(*keys).distinct()
-    out = reports.select(*keys).join(held, keys, "left_anti")
+    out = stored(reports.select(*keys).join(held, keys, "left_anti"))
     opportunities, audiences, announcements, gaps, own_gaps, requested, reviews = (d.join(out, keys, "left_semi") for d in (opportunities, audiences, announcements, gaps, own_gaps, requested, reviews))
     decided = _sections_of(reviews, keys)
-    accepted = decided.where("accepted").select(*keys, "section_id")
+    accepted = stored(decided.where("accepted").select(*keys, "section_id"))
     passes = lambda rows, section: rows.withColumn("section_id", section).join(accepted, [*keys, "section_id"], "left_semi").drop("section_id")
-    kept = passes(opportunities, F.concat(F.lit("section_"), F.col("opportunity_id").cast("string")))
+    kept = stored(passes(opportunities, F.concat(F.lit("section_"), F.col("opportunity_id").cast("string"))))
     said = passes(passes(audiences, F.concat(F.lit("section_audience_"), F.col("audience"))), F.concat(F.lit("section_coverage_"), F.col("audience")))
     points = audiences.select(*keys, "audience", F.explode("talk_points.opportunity_id").alias("opportunity_id"))
     loose = points.join(kept.select(*keys, "opportunity_id"), [*keys, "opportunity_id"], "left_anti").select(*keys, "audience").distinct()
-    said = said.join(loose, [*keys, "audience"], "left_anti")
+    said = stored(said.join(loose, [*keys, "audience"], "left_anti"))
     coverage = requested.select(*keys, "audience").join(said.select(*keys, "audience", F.col("coverage").alias("status")), [*keys, "audience"], "left").withColumn("status", F.coalesce("status", F.lit("unavailable")))
     news = passes(announcements, F.lit("section_announcements"))
     counted = {

@@ -8,6 +8,8 @@ its number; the SQL of a query states the rule over these tables.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from factloom.operators import evidence, gates, joins
 from factloom.plans import reports as one
 from factloom.plans.evidence import _sql_numbers
 from factloom.plans.reports import AUDIENCES, FACTS, OPPORTUNITIES, VERDICTS, derived, twin
+from factloom.sources.tables import scratch
 
 KEYS = ["report_id"]
 _REPORT = "cast(floor(doc_id / 10) as bigint) as report_id"
@@ -80,6 +83,13 @@ SERVER_GAPS = f"select distinct {_REPORT}, 'server' as area, lang as detail from
 CITED = f"select {_REPORT}, 'n' || cast(doc_id as string) as fact_id, 'd' || cast(doc_id as string) as source_id, case when doc_id % 2 = 0 then 'A gadget, said the CEO' else 'the gadgets' end as quote from {{labels}} where quality = 0"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A derived table that many rules read, written once under the shared folder."""
+    at = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def _news_facts(spark, sf_dir) -> DataFrame:
     rows = derived(spark, sf_dir, CITED)
     none = F.array().cast("array<struct<numeric_text:string,unit:string,currency:string,period:string,kind:string,span_id:string>>")
@@ -157,7 +167,8 @@ union all select report_id, source_id, 'role_unquoted' from own where executive_
 def review_gate(spark, sf_dir):
     """Reviews that miss sections, and decisions that do not fit their issues, by report."""
     decisions = headers(spark, sf_dir).select("report_id", "decision")
-    return gates.review(derived(spark, sf_dir, SECTIONS), derived(spark, sf_dir, REVIEWS), _issues(spark, sf_dir), facts(spark, sf_dir), decision=decisions, keys=KEYS)
+    sections, reviews, issues = (stored(d) for d in (derived(spark, sf_dir, SECTIONS), derived(spark, sf_dir, REVIEWS), _issues(spark, sf_dir)))
+    return gates.review(sections, reviews, issues, facts(spark, sf_dir), decision=decisions, keys=KEYS)
 
 
 _CORE = "section_id in ('section_company', 'section_summary', 'section_evidence', 'section_contradictions')"
@@ -208,14 +219,14 @@ def report_gate_violations(spark, sf_dir):
     own = facts(spark, sf_dir).select("report_id", "fact_id", "entity", "evidence", "quantities").join(warned, "fact_id")
     audiences = _audiences(spark, sf_dir)
     parts = {
-        "header": headers(spark, sf_dir),
+        "header": stored(headers(spark, sf_dir)),
         "facts": own.unionByName(_news_facts(spark, sf_dir).withColumn("warnings", none)),
         "claims": derived(spark, sf_dir, CLAIMS).withColumn("fact_ids", F.array("fact_id")).drop("fact_id"),
         "sources": derived(spark, sf_dir, SOURCES).select("report_id", "source_id", _day("day").alias("published_at"), "is_news"),
         "opportunities": derived(spark, sf_dir, OPPORTUNITIES).select(F.floor(F.col("doc_id") / 10).alias("report_id"), "opportunity_id"),
         "requested": derived(spark, sf_dir, REQUESTED),
         "coverage": derived(spark, sf_dir, COVERAGE),
-        "audiences": audiences,
+        "audiences": stored(audiences),
         "announcements": derived(spark, sf_dir, NEWS).select("report_id", "source_id", _day("day").alias("published_at"), "executive_name", "executive_role"),
     }
     return gates.report(parts, keys=KEYS)
@@ -265,9 +276,9 @@ select report_id, item, code from found"""
 
 def publish_gate(spark, sf_dir):
     """What of reviewed reports goes out, and what holds the others back."""
-    audiences, reviews, heads = _audiences(spark, sf_dir), derived(spark, sf_dir, DECISIONS), headers(spark, sf_dir).select("report_id", "contradictions")
-    opportunities = derived(spark, sf_dir, OPPORTUNITIES).select(F.floor(F.col("doc_id") / 10).alias("report_id"), "opportunity_id")
-    out = gates.published(opportunities, audiences, derived(spark, sf_dir, NEWS), derived(spark, sf_dir, GAPS), derived(spark, sf_dir, SERVER_GAPS), audiences.select("report_id", "audience"), reviews, heads, KEYS)
+    audiences, reviews, heads = stored(_audiences(spark, sf_dir)), stored(derived(spark, sf_dir, DECISIONS)), stored(headers(spark, sf_dir).select("report_id", "contradictions"))
+    opportunities = stored(derived(spark, sf_dir, OPPORTUNITIES).select(F.floor(F.col("doc_id") / 10).alias("report_id"), "opportunity_id"))
+    out = gates.published(opportunities, audiences, derived(spark, sf_dir, NEWS), derived(spark, sf_dir, GAPS), derived(spark, sf_dir, SERVER_GAPS), audiences.select("report_id", "audience"), reviews, heads, KEYS, stored=stored)
     row = lambda rows, kind, item: rows.select("report_id", F.lit(kind).alias("kind"), item.cast("string").alias("item"))
     detail = F.when(F.col("area").isin("facts", "server"), F.col("detail")).when(F.col("area") == "audience_coverage", F.split_part("detail", F.lit(" "), F.lit(1)))
     return gates.union(
