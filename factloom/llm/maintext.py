@@ -7,13 +7,15 @@ is the words of the region less those of boilerplate elements inside it.
 
 Weights come from labelled pages. A page labels itself if it marks its main text
 by one ``article``, ``main`` or ``role=main`` element: words in it are content,
-unless an element inside has a name known for boilerplate, and all others are not. Spark counts, over a bounded sample of such pages (``PAGES``
-by hash), how many words of either kind stand in elements of each name (a
-structural tag, a role, or a word of class and id), and how often each tag stands
-inside and outside. To the counts of names come those of ``PRIOR`` pages, so that
-a corpus without sidebars still knows what a sidebar is. A name's weight is the
-logarithm of the two counts' ratio, a tag's is a small negative number that grows
-with its share outside. Weights are a dictionary of at most ``NAMES`` names.
+unless an element inside has a name known for boilerplate, and all others are
+not. Spark counts, over a bounded sample of such pages (``PAGES`` by hash), on how
+many pages words of either kind stand in elements of each name (a structural tag,
+a role, or a word of class and id), and how often each tag stands inside and
+outside. To the counts of names come those of ``PRIOR`` pages, so that a corpus
+without sidebars still knows what a sidebar is. A name's weight is the logarithm
+of the two counts' ratio, and at ``BAR`` or below the name is boilerplate; a tag's
+is a small negative number that grows with its share outside. Weights are a
+dictionary of at most ``NAMES`` names.
 
 Rules of the region. A page's main elements are those that do not stand in
 boilerplate, or all if each does (a form or a menu that is never closed may hold
