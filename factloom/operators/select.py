@@ -1,15 +1,13 @@
 """Ranked, budgeted and interleaved selection.
 
 Order-dependent choices are folds that stream a group's ordered rows, linear in
-their number; everything else is a window. ``halved`` and ``shrunk`` see a whole
-group at once: it is one chunk or batch of a document, which ``MAX_GROUP`` rows
-bound; a larger one is an error.
+their number; everything else is a window. ``halved`` sees a whole group at once:
+it is one chunk of a document, which ``MAX_GROUP`` rows bound; a larger one is an
+error. ``shrunk`` takes batches of any size.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,7 +15,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators.fold import folded
 
-#: Rows of a chunk or batch that is looked at as a whole.
+#: Rows of a chunk that is looked at as a whole.
 MAX_GROUP = 100_000
 
 
@@ -142,40 +140,38 @@ def byte_budget(rows: DataFrame, keys: list[str], order: list[str], text: str, p
 
 
 def shrunk(rows: DataFrame, keys: list[str], source: str, order: str, text: str, *, limit: int, overhead: int = 0, least: int = 120) -> DataFrame:
-    """A batch made to fit: the last span of the source with the most text goes, single spans are halved, never under ``least`` characters."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        _bounded(pdf)
-        own = pdf.sort_values([source, order]).reset_index(drop=True)
-        texts = own[text].tolist()
-        left = sum(len(t) + overhead for t in texts)
-        stacks: dict = {}
-        for k, s in enumerate(own[source]):
-            stacks.setdefault(s, []).append(k)
-        size = {s: sum(len(texts[k]) for k in own_rows) for s, own_rows in stacks.items()}
-        largest = [(-size[s], s) for s in stacks if len(stacks[s]) > 1]
-        heapq.heapify(largest)
-        while left > limit and largest:
-            _, s = heapq.heappop(largest)
-            gone = len(texts[stacks[s].pop()])
-            size[s] -= gone
-            left -= gone + overhead
-            if len(stacks[s]) > 1:
-                heapq.heappush(largest, (-size[s], s))
-        kept = sorted(k for own_rows in stacks.values() for k in own_rows)
-        longest = [(-len(texts[k]), k) for k in kept]
-        heapq.heapify(longest)
-        while left > limit and longest:
-            n, k = heapq.heappop(longest)
-            half = -n // 2
-            if half < least:
-                return own.iloc[:0]
-            left -= -n - half
-            texts[k] = texts[k][:half]
-            heapq.heappush(longest, (-half, k))
-        return own.loc[kept].assign(**{text: [texts[k] for k in kept]})
-
-    return rows.groupBy(*keys).applyInPandas(run, rows.schema)
+    """A batch made to fit: the last span of the source with the most text goes, single spans are halved, never under ``least`` characters.
+
+    A source's size before each drop, and a span's before each halving, only falls: the steps of a batch are all of
+    them by size (equal ones by ascending source) until it fits, which a running sum tells. Drops from sources of over
+    ``limit`` characters are sure, and a sum tells whether halving can help, so ``limit`` bounds what is ranked, not the batch."""
+    if least < 1:
+        raise ValueError("texts cannot be halved for ever")
+    of_source = W.partitionBy(*keys, source).orderBy(order, "_n", text)
+    sized = rows.withColumn("_n", F.coalesce(F.length(text), F.lit(0)).cast("long")).withColumn("_at", F.row_number().over(of_source))
+    sized = sized.withColumn("_size", F.sum("_n").over(of_source.rowsBetween(W.unboundedPreceding, 0)))
+    sized = sized.withColumn("_halvings", F.expr(f"size(filter(sequence(1, 31), j -> shiftright(_n, j) >= {least}))"))
+    single, cost = F.col("_at") == 1, F.col("_n") + overhead
+    totals = sized.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(
+        F.sum(cost).alias("_total"),
+        F.sum(F.when(single, cost)).alias("_singles"),
+        F.sum(F.when(single, F.expr("shiftright(_n, _halvings)") + overhead)).alias("_halved"),
+        F.sum(F.when(~single & (F.col("_size") > limit), cost).otherwise(0)).alias("_sure"),
+    )
+    own = sized.join(totals, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
+    halving = F.col("_singles") > limit
+    own = own.where(F.when(halving, single & (F.col("_halved") <= limit)).otherwise(single | (F.col("_size") <= limit)))
+    # A row for each halving that a span may get and one for what it ends as; dropping is one step.
+    steps = own.withColumn(text, F.left(text, F.lit(limit))).withColumn("_j", F.explode(F.sequence(F.lit(0), F.when(halving, F.col("_halvings")).otherwise(0))))
+    size = F.when(halving, F.expr("shiftright(_n, _j)")).otherwise(F.col("_size"))
+    gives = F.when(halving, F.when(F.col("_j") < F.col("_halvings"), F.expr("shiftright(_n, _j) - shiftright(_n, _j + 1)"))).when(~single, cost)
+    ranked = W.partitionBy(*keys).orderBy(F.desc(size), F.asc(source), F.desc("_at"), F.asc("_j")).rowsBetween(W.unboundedPreceding, -1)
+    left = F.when(halving, F.col("_singles")).otherwise(F.col("_total") - F.col("_sure")) - F.coalesce(F.sum(gives).over(ranked), F.lit(0))
+    done = steps.withColumn("_done", gives.isNotNull() & (left > limit)).groupBy(*keys, source, "_at").agg(
+        F.first(F.struct(*rows.columns)).alias("_row"), F.first(halving).alias("_halving"), F.first("_n").alias("_n"), F.count_if("_done").cast("int").alias("_done")
+    )
+    kept = done.where("_halving or _done = 0").select("_row.*", F.expr("shiftright(_n, _done)").cast("int").alias("_chars"), "_halving")
+    return kept.withColumn(text, F.when(F.col("_halving"), F.left(text, F.col("_chars"))).otherwise(F.col(text))).select(*rows.columns)
 
 
 def coverage(rows: DataFrame, keys: list[str], chosen: Column) -> DataFrame:
