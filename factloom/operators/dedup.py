@@ -112,15 +112,12 @@ def set_mismatch(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
     return out.where("n_left <> 1 or n_right <> 1")
 
 
-#: Characters of a name that details are looked up by.
-LEAD = 8
-
-
 def without_resolved(gaps: DataFrame, resolved: DataFrame, area: str) -> DataFrame:
     """Gaps of ``area`` whose detail starts with the name of something now resolved go.
-    Names are looked up by their first characters, then compared whole."""
-    names = resolved.where("name is not null").select(F.col("name").alias("_name"), F.left("name", F.lit(LEAD)).alias("_lead")).distinct()
-    leads = F.array_distinct(F.array(*[F.left("detail", F.lit(n)) for n in range(LEAD + 1)]))
-    details = gaps.where(F.col("area") == area).select("detail").distinct().withColumn("_lead", F.explode(leads))
-    hit = details.join(names, "_lead").where(F.startswith("detail", F.col("_name"))).select(F.lit(area).alias("area"), "detail").distinct()
+    A detail is looked up by its beginnings of the lengths that names have, so names may begin alike."""
+    names = resolved.where("name is not null").select(F.col("name").alias("_name")).distinct()
+    lengths = names.agg(F.collect_set(F.length("_name")).alias("_lengths"))
+    details = gaps.where(F.col("area") == area).select("detail").distinct().crossJoin(F.broadcast(lengths))
+    begun = details.select("detail", F.explode(F.filter("_lengths", lambda n: n <= F.length("detail"))).alias("_length"))
+    hit = begun.withColumn("_name", F.left("detail", F.col("_length"))).join(names, "_name", "left_semi").select(F.lit(area).alias("area"), "detail").distinct()
     return gaps.join(hit, ["area", "detail"], "left_anti").select(*gaps.columns)
