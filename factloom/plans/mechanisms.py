@@ -129,6 +129,15 @@ def _fed(spark, rows: DataFrame, name: str):
     return lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(at)
 
 
+#: Events of one file of a stream's input; two files are one micro-batch.
+EVENTS = 500_000
+
+
+def _in_order(spark, sf_dir, events: DataFrame) -> DataFrame:
+    """Numbered events in files of a bounded size, early numbers in early files: few of them wait in state."""
+    return events.repartitionByRange(max(4, -(-table(spark, sf_dir, "events").count() // EVENTS)), "ord")
+
+
 def stream_ledger(spark, sf_dir):
     """Reservations and settlements of users as a stream, with those in flight in state: the rows of the batch fold."""
     source = _fed(spark, derived(spark, sf_dir, LEDGER).repartition(4, "ord"), "ledger")
@@ -145,7 +154,7 @@ select event_type as scope, cast(floor(event_id / 3) as string) as job_id, cast(
 
 def stream_places(spark, sf_dir):
     """Submissions against places to run and wait as a stream."""
-    source = _fed(spark, derived(spark, sf_dir, PLACES).repartition(4, "ord"), "places")
+    source = _fed(spark, _in_order(spark, sf_dir, derived(spark, sf_dir, PLACES)), "places")
     return replay.drained(lambda: replay.admitted_jobs(source(), ["scope"]), _folder(spark))
 
 
