@@ -68,6 +68,10 @@ PIECE_CHARS = 1 << 16
 # Characters that normalise and split alike here and in the tokenizer: ASCII, Latin-1 letters and marks, Latin Extended-A.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ſ]*")
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-ſ]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-z\xaa\xb5\xba\xdf-\xf6\xf8-ſ0-9\xb2\xb3\xb9\xbc-\xbe]+")
+#: Bytes that the vocabulary writes as other characters than their Latin-1 ones.
+_HIDDEN = {b: chr(256 + k) for k, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
+#: Words of all kinds, on which a vocabulary shows whether its model can be asked directly.
+_PROBES = ("'s", "the", "łódź", "ÿ­", "¡¿!?", "7", "¾", "2024", "qzxj" * 9)
 _loaded: dict[str, WordCache] = {}
 
 
@@ -75,6 +79,13 @@ def entry_bytes(word: str, ids: bytes) -> int:
     return sys.getsizeof(word) + sys.getsizeof(ids) + _SLOT
 
 
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class WordCache(dict):
     """Ids of single words, as packed little-endian 32-bit integers."""
 
@@ -83,12 +94,14 @@ class WordCache(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         #: The entries before, of which those that come again stay.
         self.old: dict[str, bytes] = {}
         self.size = self.old_size = 0
+        self.ask = self.word if all(self.word(x) == self.slow(x) for w in _PROBES for x in _SPLIT.findall(w)) else self.slow
 
     def __missing__(self, word: str) -> bytes:
-        out = self.old.get(word) or self.slow(word)
+        out = self.old.get(word) or self.ask(word)
         own = entry_bytes(word, out)
         if self.size + own > CACHE_BYTES // 2:
             self.old, self.old_size = dict(self), self.size
@@ -99,10 +112,14 @@ class WordCache(dict):
         return out
 
     def slow(self, text: str) -> bytes:
-        ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def word(self, word: str) -> bytes:
+        """The ids of one match of ``_SPLIT``, without the tokenizer's own normalising and splitting. Each digit is a token's whole word."""
+        if len(word) > 1 and word[0].isnumeric():
+            return b"".join(map(self.word, word))
+        plain = word if word.isascii() else word.encode().decode("latin-1").translate(_HIDDEN)
+        return _packed([t.id for t in self.model.tokenize(plain)])
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text``. Words do not act on each other, so plain texts go word by word, long ones in pieces."""
